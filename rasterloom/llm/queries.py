@@ -6,10 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import common, packing, pfor, token_counts
+from rasterloom.llm import common, fingerprints, html_text, packing, pfor, token_counts, warc
 from rasterloom.llm.tokens import default_tokenizer
 
 
+def op1_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(common.table(spark, sf_dir, "documents"))
+
+
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(common.table(spark, sf_dir, "pages"))
+
+
+def op6_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(common.table(spark, sf_dir, "pages"), common.scratch_path(spark, "warc"), least=0)
+    return warc.read_archives(manifest)
+
+
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = common.scratch_path(spark, "pfor")
     manifest = pfor.write_token_files(common.table(spark, sf_dir, "documents"), default_tokenizer(), out, end_id=0)
@@ -25,7 +38,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_token_file, op8_token_counts, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_weighted_fingerprints, op4_html_main_text, op6_warc_roundtrip, op7_token_file, op8_token_counts, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
