@@ -231,7 +231,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, *, key: str = "
                 part = TaskContext.get().partitionId()
                 path = f"{out}/part-{part:06d}-{uuid.uuid4().hex}.pfor"
                 fs, at = open_fs(path)
-                stream = fs.open_output_stream(at)
+                stream = fs.open_output_stream(at, compression=None)
                 writer = TokenFileWriter(stream, end_id)
             keys = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]

@@ -213,7 +213,7 @@ def write_archives(pages: DataFrame, out: str, *, key: str = "page_id", url: str
                 if writer is None:
                     path = f"{out}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.zst"
                     fs, at = open_fs(path)
-                    stream = fs.open_output_stream(at)
+                    stream = fs.open_output_stream(at, compression=None)
                     writer = ArchiveWriter(stream)
                 writer.add(record(i, u, h.encode("utf-8", "surrogatepass"), first))
                 if writer.size >= rotate:
