@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import common, fingerprints, html_text, packing, pfor, token_counts, warc
+from rasterloom.llm import common, fingerprints, html_text, packing, pfor, token_counts, toxicity, warc
 from rasterloom.llm.tokens import default_tokenizer
 
 
@@ -33,12 +33,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.attribute_sections(common.table(spark, sf_dir, "documents"), default_tokenizer(), rule="most")
 
 
+def op9_toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), default_tokenizer(), capacity=1024, end_id=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_weighted_fingerprints, op4_html_main_text, op6_warc_roundtrip, op7_token_file, op8_token_counts, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_weighted_fingerprints, op4_html_main_text, op6_warc_roundtrip, op7_token_file, op8_token_counts, op9_toxicity_kneser_ney, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
