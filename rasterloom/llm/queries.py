@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import common, fingerprints, html_text, packing, pfor, token_counts, toxicity, warc
+from rasterloom.llm import common, decontamination, fingerprints, html_text, packing, pfor, token_counts, toxicity, warc
 from rasterloom.llm.tokens import default_tokenizer
 
 
@@ -14,6 +14,10 @@ def op1_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(common.table(spark, sf_dir, "documents"))
 
 
+def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(common.table(spark, sf_dir, "pages"))
 
@@ -43,7 +47,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_weighted_fingerprints, op4_html_main_text, op6_warc_roundtrip, op7_token_file, op8_token_counts, op9_toxicity_kneser_ney, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_weighted_fingerprints, op2_template_decontamination, op4_html_main_text, op6_warc_roundtrip, op7_token_file, op8_token_counts, op9_toxicity_kneser_ney, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
