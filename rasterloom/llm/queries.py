@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import common, decontamination, fingerprints, html_text, packing, pfor, token_counts, toxicity, warc
+from rasterloom.llm import common, decontamination, fingerprints, html_text, jaccard_join, packing, pfor, token_counts, toxicity, warc
 from rasterloom.llm.tokens import default_tokenizer
 
 
@@ -22,6 +22,10 @@ def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(common.table(spark, sf_dir, "pages"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(common.table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op6_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(common.table(spark, sf_dir, "pages"), common.scratch_path(spark, "warc"), least=0)
     return warc.read_archives(manifest)
@@ -47,7 +51,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_weighted_fingerprints, op2_template_decontamination, op4_html_main_text, op6_warc_roundtrip, op7_token_file, op8_token_counts, op9_toxicity_kneser_ney, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_weighted_fingerprints, op2_template_decontamination, op4_html_main_text, op5_ngram_jaccard_join, op6_warc_roundtrip, op7_token_file, op8_token_counts, op9_toxicity_kneser_ney, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
