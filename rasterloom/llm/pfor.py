@@ -29,7 +29,7 @@ PERCENTILE = 0.9
 MAGIC = b"RLPFOR01"
 HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("outliers", "u1"), ("count", "<u2")])
 FOOTER = struct.Struct("<QQQQQ8s")  # blocks, ids, documents, start of block index, end id, magic
-CHUNK = 8192 * BLOCK
+CHUNK = 2048 * BLOCK
 
 
 def _pack(rows: np.ndarray, width: int) -> np.ndarray:
@@ -233,10 +233,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, *, key: str = "
                 fs, at = open_fs(path)
                 stream = fs.open_output_stream(at, compression=None)
                 writer = TokenFileWriter(stream, end_id)
-            keys = batch.column(0).to_pylist()
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i in range(0, len(texts), 500):
-                for k, ids in zip(keys[i : i + 500], encoder(tokenizer).encode_many(texts[i : i + 500]), strict=True):
+            for i in range(0, batch.num_rows, 250):
+                part = batch.slice(i, 250)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for k, ids in zip(part.column(0).to_pylist(), encoder(tokenizer).encode_many(texts), strict=True):
                     writer.add(k, ids)
         if writer is not None:
             size = writer.close()
