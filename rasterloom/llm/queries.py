@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import common, decontamination, fingerprints, html_text, jaccard_join, packing, pfor, token_counts, toxicity, warc
+from rasterloom.llm import common, decontamination, fingerprints, html_text, jaccard_join, packing, pfor, suffix_dedup, token_counts, toxicity, warc
 from rasterloom.llm.tokens import default_tokenizer
 
 
@@ -18,6 +18,10 @@ def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest_repeats(common.table(spark, sf_dir, "documents"))
+
+
 def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(common.table(spark, sf_dir, "pages"))
 
@@ -51,7 +55,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_weighted_fingerprints, op2_template_decontamination, op4_html_main_text, op5_ngram_jaccard_join, op6_warc_roundtrip, op7_token_file, op8_token_counts, op9_toxicity_kneser_ney, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_weighted_fingerprints, op2_template_decontamination, op3_suffix_array_dedup, op4_html_main_text, op5_ngram_jaccard_join, op6_warc_roundtrip, op7_token_file, op8_token_counts, op9_toxicity_kneser_ney, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
