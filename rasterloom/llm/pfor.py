@@ -228,8 +228,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, *, key: str = "
             if not batch.num_rows:
                 continue
             if writer is None:
-                part = TaskContext.get().partitionId()
-                path = f"{out}/part-{part:06d}-{uuid.uuid4().hex}.pfor"
+                number = TaskContext.get().partitionId()
+                path = f"{out}/part-{number:06d}-{uuid.uuid4().hex}.pfor"
                 fs, at = open_fs(path)
                 stream = fs.open_output_stream(at, compression=None)
                 writer = TokenFileWriter(stream, end_id)
@@ -241,7 +241,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, *, key: str = "
         if writer is not None:
             size = writer.close()
             stream.close()
-            yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "bytes": [size], "n_docs": [len(writer.keys)], "n_ids": [writer.total]})
+            yield pa.RecordBatch.from_pydict({"part": [number], "path": [path], "bytes": [size], "n_docs": [len(writer.keys)], "n_ids": [writer.total]})
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     ranged = rows.repartitionByRange(common.parts(spark), "key").sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
