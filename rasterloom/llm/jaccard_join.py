@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rasterloom.llm import common
@@ -310,3 +311,14 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", th
     final = joined.drop("one").join(named, "component").select("cls", "class_id", "one", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     first = F.col("doc").eqNullSafe(F.col("one.doc")) & (F.col("tkey") == F.col("one.tkey"))
     return sketches.select("doc", "tkey", "cls").join(final, "cls").select(F.col("doc").alias("doc_id"), "tkey", "class_id", "n_links", first.alias("first"))
+
+
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, unchanged, with one row of each class: the least by id, then by hash of the text."""
+    own, rank = "_rasterloom_tkey", "_rasterloom_rank"  # a column of docs could be called tkey
+    first = jaccard_join(docs, key=key, text=text, threshold=threshold).where("first").select("doc_id", "tkey")
+    rows = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    same = rows[key].cast("long").eqNullSafe(first["doc_id"]) & (rows[own] == first["tkey"])
+    kept = rows.join(first, same, "left_semi")
+    once = W.partitionBy(F.col(key), F.col(own)).orderBy(F.lit(1))  # rows that are repeated as they are
+    return kept.withColumn(rank, F.row_number().over(once)).where(F.col(rank) == 1).drop(own, rank)

@@ -415,11 +415,12 @@ def merged(spans: list[list[int]] | None) -> list[tuple[int, int]]:
 
 
 def _with_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The columns of docs and ``_spans``."""
+    """The columns of docs and the spans."""
     spans = repeated_spans(docs, key=key, text=text)
-    rows = docs.withColumn("_tkey", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    same = rows[key].cast("long").eqNullSafe(spans["doc"]) & (rows["_tkey"] == spans["tkey"])
-    return rows.join(spans, same, "left").select(*(rows[c] for c in docs.columns), spans["spans"].alias("_spans"))
+    own = "_rasterloom_tkey"  # a column of docs could be called tkey
+    rows = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    same = rows[key].cast("long").eqNullSafe(spans["doc"]) & (rows[own] == spans["tkey"])
+    return rows.join(spans, same, "left").select(*(rows[c] for c in docs.columns), spans["spans"].alias("_rasterloom_spans"))
 
 
 def digest_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
