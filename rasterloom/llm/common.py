@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -60,7 +61,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again.scratch = path
+    return again
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once nothing will read it again."""
+    delete_paths(df.sparkSession, [df.scratch])
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of what nothing refers to any more, rather than at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def parts(spark: SparkSession) -> int:

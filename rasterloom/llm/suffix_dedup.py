@@ -272,17 +272,9 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in batch.column(column).to_pylist()]
 
 
-def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """mh: hashes of anchors of two runs or more, anywhere."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [runs_of(data, starts)[3] for at in range(0, batch.num_rows, 1000) for data, starts, _ in _chunks(_texts(batch.slice(at, 1000), 0))]
-            if found:
-                mh, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(common.signed(mh)), pa.array(n.astype(np.int64))], names=["mh", "n"])
-
-    return rows.select("text").mapInArrow(count, "mh long, n long").groupBy("mh").agg(F.sum("n").alias("n")).where("n > 1").select("mh")
+def repeated_anchors(runs: DataFrame) -> DataFrame:
+    """mh: hashes of anchors of two runs or more, anywhere; counted in each task before the shuffle."""
+    return runs.groupBy("mh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mh")
 
 
 def all_runs(rows: DataFrame) -> DataFrame:
@@ -306,34 +298,46 @@ def all_runs(rows: DataFrame) -> DataFrame:
 def run_contents(rows: DataFrame) -> DataFrame:
     """(mh, hi, lo, doc, tkey, run, content) of each run whose anchor is repeated; hi and lo are a hash of the content,
     which stands only where a task meets it first. Stored."""
-    wanted = all_runs(rows).join(repeated_anchors(rows), "mh").groupBy("doc", "tkey").agg(F.collect_set(F.struct("mh", "run")).alias("runs"))
-    texts = rows.join(wanted, rows["doc"].eqNullSafe(wanted["doc"]) & (rows["tkey"] == wanted["tkey"])).select(rows["doc"], rows["tkey"], rows["text"], wanted["runs"])
+    found = common.stored(all_runs(rows), "all-runs")
+    wanted = found.join(repeated_anchors(found), "mh").groupBy("doc", "tkey").agg(F.collect_list("mh").alias("anchors"), F.collect_list("run").alias("runs"))
+    texts = rows.join(wanted, rows["doc"].eqNullSafe(wanted["doc"]) & (rows["tkey"] == wanted["tkey"])).select(rows["doc"], rows["tkey"], rows["text"], wanted["anchors"], wanted["runs"])
     names = ["mh", "hi", "lo", "doc", "tkey", "run", "content"]
-    kinds = [pa.int64()] * 6 + [pa.binary()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)
-                out: list[tuple] = []
-                for doc, tkey, text, runs in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    raw = text.encode("utf-8", "surrogatepass")
-                    for r in runs:
-                        p, n = r["run"] >> 16, r["run"] >> 8 & 255
+                row: list[int] = []
+                mh: list[np.ndarray] = []
+                run: list[np.ndarray] = []
+                hashes: list[bytes] = []
+                contents: list[bytes | None] = []
+                for i, raw in enumerate(_texts(part, 2)):
+                    own, first = np.unique(part.column(4)[i].values.to_numpy(), return_index=True)  # a repeated row has its runs twice
+                    mh.append(part.column(3)[i].values.to_numpy()[first])
+                    run.append(own)
+                    row += [i] * len(own)
+                    for p, n in zip((own >> 16).tolist(), (own >> 8 & 255).tolist(), strict=True):
                         content = raw[p : p + n + SPAN - 1]
-                        h = xxhash.xxh3_128_intdigest(content)
-                        new = h not in seen
-                        if new:
-                            if len(seen) > 300_000:
-                                seen.clear()
+                        h = xxhash.xxh3_128_digest(content)
+                        hashes.append(h)
+                        if h in seen:
+                            contents.append(None)
+                        else:
+                            contents.append(content)
                             seen.add(h)
-                        hi, lo = h >> 64, h & (2**64 - 1)
-                        out.append((r["mh"], hi - (hi >> 63 << 64), lo - (lo >> 63 << 64), doc, tkey, r["run"], content if new else None))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                if len(seen) > 300_000:
+                    seen.clear()
+                if row:
+                    words = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+                    at_row = pa.array(row)
+                    cols = [pa.array(np.concatenate(mh)), pa.array(words[:, 0]), pa.array(words[:, 1]), part.column(0).take(at_row), part.column(1).take(at_row), pa.array(np.concatenate(run)), pa.array(contents, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return common.stored(texts.mapInArrow(cut, "mh long, hi long, lo long, doc long, tkey long, run long, content binary"), "runs")
+    runs = common.stored(texts.mapInArrow(cut, "mh long, hi long, lo long, doc long, tkey long, run long, content binary"), "runs")
+    common.discard(found)
+    return runs
 
 
 def compared_runs(runs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -393,11 +397,13 @@ def _counted_strings(contents: DataFrame, counts: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, tkey, spans): byte ranges of each text, as [start, end] pairs that may overlap, that repeated strings cover."""
-    rows = _rows(docs, key, text)
-    runs = run_contents(rows)
+    spark = docs.sparkSession
+    runs = run_contents(_rows(docs, key, text))
+    common.release(spark)
     counts = common.stored(runs.groupBy("mh", "hi", "lo").agg(F.count(F.lit(1)).alias("n")), "run-counts")
     whole = counts.where("n > 1").select("hi", "lo", F.array(F.lit(0), F.lit(1 << 20)).alias("strings"))
-    covered = whole.unionByName(compared_runs(runs, counts))
+    covered = whole.unionByName(common.stored(compared_runs(runs, counts), "repeated-strings"))
+    common.release(spark)
     hits = runs.select("hi", "lo", "doc", "tkey", "run").join(covered, ["hi", "lo"])
     offset, strings = F.shiftright("run", 16), F.shiftright("run", 8).bitwiseAND(255).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), (F.size("strings") / 2).cast("int") - 1), lambda i: F.array(offset + F.element_at("strings", 2 * i + 1), offset + F.least(F.element_at("strings", 2 * i + 2), strings) + (SPAN - 1)))
