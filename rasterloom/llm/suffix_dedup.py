@@ -483,7 +483,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             cols[columns.index(text)] = pa.array(new, batch.schema.field(columns.index(text)).type)
             if n_chars in columns:
                 i = columns.index(n_chars)
-                cols[i] = pa.array([None if old is None or x is None else len(x) if x != t else old for old, x, t in zip(cols[i].to_pylist(), new, texts, strict=True)], batch.schema.field(i).type)
+                cols[i] = pa.array([old if x == t else len(x) for old, x, t in zip(cols[i].to_pylist(), new, texts, strict=True)], batch.schema.field(i).type)
             yield pa.RecordBatch.from_arrays(cols, names=columns).filter(keep)
 
     return _with_spans(docs, key, text).mapInArrow(run, docs.schema)
