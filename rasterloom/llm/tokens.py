@@ -29,7 +29,7 @@ def default_tokenizer() -> str:
 class CachedEncoder:
     """Ids as little-endian uint32 bytes; offsets as int32 pairs (start, end) of characters."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
