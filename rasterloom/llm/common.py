@@ -6,6 +6,7 @@ import contextlib
 import contextvars
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -73,8 +74,10 @@ def discard(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of what nothing refers to any more, rather than at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python lets go first, then what that kept alive
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)  # Spark's cleaner works in the background
 
 
 def parts(spark: SparkSession) -> int:

@@ -299,7 +299,9 @@ def run_contents(rows: DataFrame) -> DataFrame:
     """(mh, hi, lo, doc, tkey, run, content) of each run whose anchor is repeated; hi and lo are a hash of the content,
     which stands only where a task meets it first. Stored."""
     found = common.stored(all_runs(rows), "all-runs")
-    wanted = found.join(repeated_anchors(found), "mh").groupBy("doc", "tkey").agg(F.collect_list("mh").alias("anchors"), F.collect_list("run").alias("runs"))
+    wanted = common.stored(found.join(repeated_anchors(found), "mh").groupBy("doc", "tkey").agg(F.collect_list("mh").alias("anchors"), F.collect_list("run").alias("runs")), "wanted-runs")
+    common.discard(found)
+    common.release(found.sparkSession)
     texts = rows.join(wanted, rows["doc"].eqNullSafe(wanted["doc"]) & (rows["tkey"] == wanted["tkey"])).select(rows["doc"], rows["tkey"], rows["text"], wanted["anchors"], wanted["runs"])
     names = ["mh", "hi", "lo", "doc", "tkey", "run", "content"]
 
@@ -336,7 +338,7 @@ def run_contents(rows: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(cols, names=names)
 
     runs = common.stored(texts.mapInArrow(cut, "mh long, hi long, lo long, doc long, tkey long, run long, content binary"), "runs")
-    common.discard(found)
+    common.discard(wanted)
     return runs
 
 
