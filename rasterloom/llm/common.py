@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import ctypes
 import gc
 import tempfile
 import time
@@ -11,6 +12,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +82,13 @@ def release(spark: SparkSession) -> None:
         time.sleep(1)  # Spark's cleaner works in the background
 
 
+def trim() -> None:
+    """Give what a Python worker has freed back to the system; workers live on after a task, beside the next one."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def parts(spark: SparkSession) -> int:
     """Number of partitions for placements that this package makes itself."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -92,7 +101,7 @@ def hash64(text: str) -> int:
 class WordHashes(dict):
     """word -> 64-bit hash; forgets everything when it holds ``limit`` words."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         self.limit = limit
 
     def __missing__(self, word: str) -> int:

@@ -110,6 +110,7 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
                     out.append((cls, len(shingles), common.signed(band).tolist() if len(shingles) else [], sig.tobytes()))
                 cols = [part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()], strict=True))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc", "tkey", "cls", "n", "bands", "sig"])
+        common.trim()
 
     return keyed(docs, key, text).mapInArrow(run, "doc long, tkey long, cls long, n int, bands array<long>, sig binary")
 
@@ -247,6 +248,7 @@ def exact_links(docs: DataFrame, sketches: DataFrame, blocks: DataFrame, key: st
                 out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b", "links"])
+        common.trim()
 
     cells = _cells(texts, "g", "members").select("g", "i", "j", "cls", "block", "copies", "text")
     return _placed(cells).mapInArrow(verify, "a long, b long, links long")

@@ -291,6 +291,8 @@ def all_runs(rows: DataFrame) -> DataFrame:
                     text, offset = np.array(origin)[which].T if len(which) else (np.empty(0, np.int64),) * 2
                     run = (offset + first - starts[which]) << 16 | strings << 8 | (place - first)
                     yield pa.RecordBatch.from_arrays([pa.array(common.signed(mh)), docs.take(pa.array(text)), tkeys.take(pa.array(text)), pa.array(run)], names=["mh", "doc", "tkey", "run"])
+        _powers.cache_clear()
+        common.trim()
 
     return rows.mapInArrow(find, "mh long, doc long, tkey long, run long")
 
@@ -374,6 +376,9 @@ def compared_runs(runs: DataFrame, counts: DataFrame) -> DataFrame:
                 held.append((mh, hi, lo, anchor, content, mark == (hi, lo)))
         if held:
             yield compared()
+            held.clear()
+        _powers.cache_clear()
+        common.trim()
 
     near = placed.mapInArrow(compare, "hi long, lo long, strings array<int>")
     return near.unionByName(_counted_strings(contents.join(many, "mh"), counts))
