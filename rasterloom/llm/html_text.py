@@ -173,6 +173,9 @@ LABELLED = (
     (60, 0, 30, 0, 45, 0, 0, 0.5, 0, 0, 1), (25, 0.1, 50, 0, 60, 0, 0, 0.5, 0, 0, 1), (120, 0.02, 3, 1, 2, 1, 0, 0.5, 0, 0, 1), (16, 0, 40, 0, 22, 0, 0, 0.5, 0, 0, 1),
     (5, 0, 40, 0, 60, 0, 0, 0.5, 0, 0, 1), (3, 0, 33, 0, 28, 0, 0, 0.5, 0, 0, 1), (7, 0, 2, 1, 70, 0, 0, 0.5, 0, 1, 1), (9, 0, 50, 0, 30, 0, 0, 0.5, 1, 0, 1),
     (35, 0.1, 0, 0, 0, 0, 0, 0.5, 0, 0, 1), (22, 0, 4, 0, 3, 0.5, 0, 0.5, 0, 0, 1), (6, 0, 1, 1, 35, 0, 0, 0.5, 0, 1, 1), (18, 0, 6, 0, 50, 0, 0, 0.5, 1, 0, 1),
+    (45, 0, 60, 0, 5, 0.5, 0, 0.5, 0, 0, 1), (30, 0, 80, 0, 0, 0, 0, 0.5, 0, 0, 1), (18, 0, 0, 0, 0, 0, 0, 0.5, 0, 0, 1), (24, 0, 12, 0, 10, 0, 0, 0.5, 0, 0, 1), (60, 0.05, 40, 0, 3, 1, 0, 0.5, 0, 0, 1),
+    (15, 0, 30, 0, 6, 1, 0, 0.5, 0, 0, 1), (13, 0, 45, 0, 0, 0, 0, 0.5, 0, 0, 1), (26, 0.15, 20, 0, 14, 0, 0, 0.5, 0, 0, 1), (19, 0, 4, 1, 12, 0, 0, 0.5, 0, 0, 1), (80, 0, 70, 0, 8, 1, 0, 0.5, 0, 0, 1),
+    (8, 0.1, 5, 1, 3, 0, 0, 0.5, 0, 0, 0), (7, 0, 3, 1, 6, 1, 0, 0.5, 0, 0, 0), (10, 0.8, 40, 0, 30, 0, 0, 0.5, 1, 0, 0), (40, 0.9, 3, 1, 2, 1, 0, 0.5, 0, 0, 0),
     (2, 1, 1, 1, 3, 1, 0, 0.5, 1, 0, 0), (4, 1, 2, 1, 2, 1, 0, 0.5, 0, 0, 0), (12, 0.9, 5, 1, 8, 0.8, 0, 0.5, 0, 0, 0), (30, 0.8, 10, 1, 12, 1, 0, 0.5, 0, 0, 0),
     (5, 0, 3, 1, 2, 1, 0, 0.5, 0, 0, 0), (4, 0, 0, 0, 2, 1, 0, 0.5, 0, 0, 0), (6, 0, 4, 0.5, 0, 0, 0, 0.5, 0, 0, 0), (3, 0, 2, 0, 3, 0, 0, 0.5, 0, 0, 0), (20, 0.7, 60, 0, 4, 1, 0, 0.5, 0, 0, 0),
     (40, 0, 60, 0, 30, 0, 1, 0.5, 0, 0, 0), (70, 0.1, 3, 0, 4, 0, 1, 0.5, 0, 0, 0), (9, 0, 40, 0, 60, 0, 1, 0.5, 0, 1, 0), (8, 1, 45, 0, 2, 1, 1, 0.5, 1, 0, 0), (35, 0, 50, 0, 45, 0, 1, 0.5, 0, 0, 0),
