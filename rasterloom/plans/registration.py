@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rasterloom.functions import geo
 from rasterloom.operators import fits, matching, raster, robust
@@ -174,7 +175,7 @@ def fetch_tiles(tiles: DataFrame, fetch: Callable[[str], bytes | None], retries:
                 out.append(data)
             yield frame.assign(data=pd.Series(out, dtype=object))
 
-    return tiles.mapInPandas(run, tiles.schema.add("data", "binary"))
+    return tiles.mapInPandas(run, StructType([*tiles.schema.fields]).add("data", "binary"))
 
 
 def mosaic_crop(x0: int, y0: int, x1: int, y1: int, zoom: int, box: tuple[float, float, float, float]) -> tuple[int, int, int, int]:

@@ -51,7 +51,7 @@ def test_diagnosis(spark):
     s = "struct<epsg:int,a:double,left:double,bottom:double,right:double,top:double>"
     df = spark.createDataFrame([((4326, 1.0, 0.0, 0.0, 1.0, 1.0), (4326, 1.0, 0.5, 0.0, 1.5, 1.0)), ((4326, 1.0, 0.0, 0.0, 1.0, 1.0), (32610, 50.0, 5.0, 0.0, 6.0, 1.0))], f"source {s}, target {s}")
     a, b = registration.diagnose(df).collect()
-    assert a.issues == [] and a.overlap == 0.5 and b.issues == ["CRS differ", "no overlap", "resolutions differ"] and b.centre_distance == 5.5
+    assert a.issues == [] and a.overlap == 0.5 and b.issues == ["CRS differ", "no overlap", "resolutions differ"] and b.centre_distance == 5.0
 
 
 def test_event_stream(spark, tmp_path):
