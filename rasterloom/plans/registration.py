@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rasterloom.functions import geo
-from rasterloom.operators import fits, matching, raster, robust
+from rasterloom.operators import control, features, fits, matching, raster, robust
 
 #: The plan that is used where none is given.
 DEFAULT_PLAN = ((0.125, "shift"), (0.25, "shift"), (0.5, "affine"))
@@ -78,7 +78,17 @@ def ncc_matcher(patch: int = 8, spacing: int = 8, margin: int = 4, threshold: fl
     return match
 
 
-MATCHERS: dict[str, Callable[..., Matcher]] = {"patch_ncc": ncc_matcher}
+def corner_matcher(tile: int = 64, ratio: float = 0.75) -> Matcher:
+    """Corners and binary descriptors, tile by tile."""
+
+    def match(source: DataFrame, target: DataFrame, scale: float) -> DataFrame:
+        a, b = (features.keypoints(raster.to_tiles(p, tile), tile) for p in (source, target))
+        return features.distinct_matches(features.match_tiles(a, b, ratio)).drop("confidence")
+
+    return match
+
+
+MATCHERS: dict[str, Callable[..., Matcher]] = {"patch_ncc": ncc_matcher, "corners": corner_matcher}
 
 
 def matcher(name: str, **options) -> Matcher:
@@ -208,6 +218,45 @@ def utm_forward(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]
     return 500000 + 0.9996 * big * x, F.when(lat < 0, 10000000.0).otherwise(0.0) + 0.9996 * big * y
 
 
+def utm_inverse(easting: np.ndarray, northing: np.ndarray, epsg: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longitude and latitude of UTM coordinates on WGS84, by Newton's method on the forward series' inverse."""
+    a, f = 6378137.0, 1 / 298.257223563
+    n = f / (2 - f)
+    big = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    e = math.sqrt(f * (2 - f))
+    xi = (np.asarray(northing, float) - (1e7 if epsg // 100 == 327 else 0)) / (0.9996 * big)
+    eta = (np.asarray(easting, float) - 5e5) / (0.9996 * big)
+    x, y = xi.copy(), eta.copy()
+    for j, c in enumerate(beta, 1):
+        x -= c * np.sin(2 * j * xi) * np.cosh(2 * j * eta)
+        y -= c * np.cos(2 * j * xi) * np.sinh(2 * j * eta)
+    chi = np.arcsin(np.sin(x) / np.cosh(y))
+    phi = chi.copy()
+    for _ in range(6):
+        s = np.sin(phi)
+        phi = np.arcsin(np.tanh(np.arctanh(np.sin(chi)) + e * np.arctanh(e * s)))
+    return np.degrees(np.arctan2(np.sinh(y), np.cos(x))) + (epsg % 100) * 6 - 183, np.degrees(phi)
+
+
+def reproject_to_utm(tiles: DataFrame, tile: int, height: int, width: int, transform: tuple[float, ...], epsg: int, pixel_m: float, origin: tuple[float, float], out_height: int, out_width: int) -> DataFrame:
+    """Tiles of a raster in degrees (no rotation) resampled to a UTM grid whose upper left corner is ``origin``."""
+    a, _, c, _, e, f = transform
+
+    def inverse(p: np.ndarray) -> np.ndarray:
+        lon, lat = utm_inverse(origin[0] + (p[:, 0] + 0.5) * pixel_m, origin[1] - (p[:, 1] + 0.5) * pixel_m, epsg)
+        return np.c_[(lon - c) / a - 0.5, (lat - f) / e - 0.5]
+
+    return raster.warp_tiles(tiles, inverse, tile, out_height, out_width)
+
+
+def analyse_gcps(gcps: DataFrame, rasters: DataFrame, size: int = 300) -> tuple[DataFrame, DataFrame]:
+    """Patch bounds of the points that a raster holds, and the number of points with and without."""
+    placed = control.patch_bounds(control.points_in_rasters(gcps, rasters), size)
+    status = gcps.join(placed.select("gcp_id").distinct().withColumn("_hit", F.lit(True)), "gcp_id", "left")
+    return placed, status.groupBy(F.when(F.col("_hit"), "success").otherwise("failed").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def diagnose(pair: DataFrame) -> DataFrame:
     """Issues of (source, target) rasters in one row each: other CRS, no or little overlap, very different resolution."""
     s, t = (lambda c: F.col(f"source.{c}")), (lambda c: F.col(f"target.{c}"))

@@ -61,3 +61,44 @@ def test_event_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("counts").first().n == 2
+
+
+def test_utm_there_and_back(spark):
+    for lon, lat, epsg in ((-123.3, 49.2, 32610), (20.5, -30.2, 32734), (5.0, 60.0, 32632)):
+        e, n = registration.utm_forward(F.lit(lon), F.lit(lat), F.lit(epsg % 100))
+        r = spark.range(1).select(e.alias("e"), n.alias("n")).first()
+        lon2, lat2 = registration.utm_inverse(np.array([r.e]), np.array([r.n]), epsg)
+        assert abs(lon2[0] - lon) < 1e-8 and abs(lat2[0] - lat) < 1e-8
+
+
+def test_corners_match_across_a_shift(spark):
+    rng = np.random.default_rng(8)
+    base = np.kron(rng.integers(20, 250, (24, 24)), np.ones((4, 4), int))
+    source = spark.createDataFrame([(1, r, c, int(base[r, c])) for r in range(64) for c in range(64)], SCHEMA)
+    target = spark.createDataFrame([(1, r, c, int(base[r + 3, c + 2])) for r in range(64) for c in range(64)], SCHEMA)
+    from rasterloom.operators import features, raster
+
+    a, b = raster.to_tiles(source, 64), raster.to_tiles(target, 64)
+    found = features.compare_variants(a, b, 64).collect()
+    raw = [m for m in found if m.method == "raw"]
+    assert len(raw) > 10 and np.mean([(m.dst_x - m.src_x, m.dst_y - m.src_y) == (-2, -3) for m in raw]) > 0.9
+    done, _ = registration.register(source, target, [(1.0, "shift")], registration.matcher("corners"))
+    assert np.allclose(done.matrix[:2, 2], [-2, -3], atol=0.2)
+
+
+def test_gcp_analysis(spark):
+    r = spark.createDataFrame([(1, 400, 200, 0.001, 0.0, 10.0, 0.0, -0.001, 50.0, 10.0, 49.8, 10.4, 50.0)], "raster_id long, width long, height long, a double, b double, c double, d double, e double, f double, left double, bottom double, right double, top double")
+    g = spark.createDataFrame([(1, 10.1, 49.9), (2, 99.0, 1.0)], "gcp_id long, lon double, lat double")
+    placed, status = registration.analyse_gcps(g, r)
+    assert placed.count() == 1 and {(x.status, x.n) for x in status.collect()} == {("success", 1), ("failed", 1)}
+
+
+def test_reprojection_keeps_a_flat_image(spark):
+    from rasterloom.operators import raster
+
+    p = spark.createDataFrame([(1, r, c, 100) for r in range(32) for c in range(32)], SCHEMA)
+    tiles = raster.to_tiles(p, 16)
+    e, n = registration.utm_forward(F.lit(-123.0), F.lit(49.0), F.lit(10))
+    o = spark.range(1).select(e.alias("e"), n.alias("n")).first()
+    out = registration.reproject_to_utm(tiles, 16, 32, 32, (0.0001, 0, -123.0, 0, -0.0001, 49.0), 32610, 10.0, (o.e + 30, o.n - 30), 16, 16).collect()
+    assert len(out) == 1 and np.allclose(np.frombuffer(out[0].data, np.float32), 100, atol=1e-3)
