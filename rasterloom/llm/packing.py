@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from rasterloom.llm import common
-from rasterloom.llm.tokens import encoder
+from rasterloom.llm.tokens import KEPT, encoder
 
 #: Most intervals that the plan may have before it is joined instead of broadcast.
 PLAN_LIMIT = 500_000
@@ -90,7 +90,7 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[int
     return plan
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int = 2, capacity: int = 1024) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int = 2, capacity: int = 1024, kept: int = KEPT) -> DataFrame:
     """Pieces of at most ``capacity`` ids of each document, its end id included; stored.
 
     Only longer documents are cut; the first piece is the shorter one. ``part`` and
@@ -104,7 +104,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for i in range(0, len(texts), 500):
                 out: list[tuple] = []
-                for k, ids in zip(keys[i : i + 500], encoder(tokenizer).encode_many(texts[i : i + 500]), strict=True):
+                for k, ids in zip(keys[i : i + 500], encoder(tokenizer, kept).encode_many(texts[i : i + 500]), strict=True):
                     ids += end
                     n = len(ids) // 4
                     edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
@@ -162,8 +162,8 @@ def _runs(sorted_desc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sorted_desc[a], a, np.concatenate((a[1:], [len(sorted_desc)]))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text", kept: int = KEPT) -> DataFrame:
     """Pack every document; see token_pieces and pack. Empty and null texts are pieces of the end id alone;
     repeated rows are packed each; an empty table gives no rows; other columns are not used."""
-    pieces = token_pieces(docs, tokenizer, key=key, text=text, end_id=end_id, capacity=capacity)
+    pieces = token_pieces(docs, tokenizer, key=key, text=text, end_id=end_id, capacity=capacity, kept=kept)
     return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -28,7 +28,9 @@ BLOCK = 128
 PERCENTILE = 0.9
 MAGIC = b"RLPFOR01"
 HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("outliers", "u1"), ("count", "<u2")])
+HEAD_WORDS = HEAD.itemsize // 4
 FOOTER = struct.Struct("<QQQQQ8s")  # blocks, ids, documents, start of block index, end id, magic
+ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
 CHUNK = 2048 * BLOCK
 
 
@@ -65,7 +67,7 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def encode_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """Bytes of the blocks, and where each begins."""
+    """Bytes of the blocks, and where each begins; a block is head, packed words, exceptions' places, their values, in whole words."""
     n = len(ids)
     if not n:
         return b"", np.empty(0, np.int64)
@@ -75,30 +77,30 @@ def encode_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     padded[n:] = ids[-1]
     rows = padded.reshape(blocks, BLOCK)
     low = rows.min(axis=1)
-    rows = rows - low[:, None]
+    rows -= low[:, None]
     at = int(PERCENTILE * (BLOCK - 1))
     width = np.frexp(np.partition(rows, at, axis=1)[:, at].astype(np.float64))[1].astype(np.int64)
-    over = rows > ((np.int64(1) << width) - 1)[:, None]
+    over = rows > ((np.int64(1) << width) - 1).astype(np.uint32)[:, None]
     outliers = over.sum(axis=1)
-    sizes = HEAD.itemsize + 16 * width + 5 * outliers
+    places = -(-outliers // 4)
+    sizes = HEAD_WORDS + 4 * width + places + outliers
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    out = np.zeros(int(sizes.sum()), np.uint8)
+    out = np.zeros(int(sizes.sum()), np.uint32)
     heads = np.zeros(blocks, HEAD)
     heads["low"], heads["width"], heads["outliers"], heads["count"] = low, width, outliers, BLOCK
     heads["count"][-1] = n - (blocks - 1) * BLOCK
-    out[starts[:, None] + np.arange(HEAD.itemsize)] = heads.view(np.uint8).reshape(blocks, HEAD.itemsize)
-    inside = np.where(over, np.uint32(0), rows)
+    out[starts[:, None] + np.arange(HEAD_WORDS)] = heads.view(np.uint32).reshape(blocks, HEAD_WORDS)
+    block, place = np.nonzero(over)
+    if len(block):
+        lists = starts + HEAD_WORDS + 4 * width
+        out.view(np.uint8)[_spread(4 * lists, outliers)] = place
+        out[_spread(lists + places, outliers)] = rows[block, place]
+        rows[block, place] = 0
     for w in np.unique(width):
         if w:
             which = np.flatnonzero(width == w)
-            packed = _pack(inside[which], int(w)).view(np.uint8)
-            out[(starts[which] + HEAD.itemsize)[:, None] + np.arange(16 * w)] = packed
-    block, place = np.nonzero(over)
-    if len(block):
-        lists = starts + HEAD.itemsize + 16 * width
-        out[_spread(lists, outliers)] = place.astype(np.uint8)
-        out[_spread(lists + outliers, 4 * outliers)] = rows[block, place].astype("<u4").view(np.uint8)
-    return out.tobytes(), starts
+            out[(starts[which] + HEAD_WORDS)[:, None] + np.arange(4 * w)] = _pack(rows[which], int(w))
+    return out.astype("<u4").tobytes(), 4 * starts
 
 
 def decode_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
@@ -106,8 +108,9 @@ def decode_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
     blocks = len(starts)
     if not blocks:
         return np.empty(0, np.uint32)
-    raw = np.frombuffer(data, np.uint8)
-    heads = raw[starts[:, None] + np.arange(HEAD.itemsize)].reshape(-1).view(HEAD)
+    raw = np.frombuffer(data, "<u4", len(data) // 4)
+    starts = np.asarray(starts, np.int64) // 4
+    heads = raw[starts[:, None] + np.arange(HEAD_WORDS)].reshape(-1).view(HEAD)
     width, outliers = heads["width"].astype(np.int64), heads["outliers"].astype(np.int64)
     if width.max() > 32 or heads["count"].max() > BLOCK:
         raise ValueError("damaged block header")
@@ -115,12 +118,11 @@ def decode_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
     for w in np.unique(width):
         if w:
             which = np.flatnonzero(width == w)
-            words = raw[(starts[which] + HEAD.itemsize)[:, None] + np.arange(16 * w)].reshape(-1).view("<u4")
-            rows[which] = _unpack(words.reshape(len(which), 4 * int(w)), int(w))
+            rows[which] = _unpack(raw[(starts[which] + HEAD_WORDS)[:, None] + np.arange(4 * w)], int(w))
     if outliers.any():
-        lists = starts + HEAD.itemsize + 16 * width
-        place = raw[_spread(lists, outliers)].astype(np.int64)
-        rows[np.repeat(np.arange(blocks), outliers), place] = raw[_spread(lists + outliers, 4 * outliers)].view("<u4")
+        lists = starts + HEAD_WORDS + 4 * width
+        place = raw.view(np.uint8)[_spread(4 * lists, outliers)]
+        rows[np.repeat(np.arange(blocks), outliers), place] = raw[_spread(lists + -(-outliers // 4), outliers)]
     rows += heads["low"][:, None]
     if (heads["count"] == BLOCK).all():
         return rows.reshape(-1)
@@ -233,8 +235,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, *, key: str = "
                 fs, at = open_fs(path)
                 stream = fs.open_output_stream(at, compression=None)
                 writer = TokenFileWriter(stream, end_id)
-            for i in range(0, batch.num_rows, 250):
-                part = batch.slice(i, 250)
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for k, ids in zip(part.column(0).to_pylist(), encoder(tokenizer).encode_many(texts), strict=True):
                     writer.add(k, ids)
@@ -257,7 +259,6 @@ def read_token_files(manifest: DataFrame, each, schema: str) -> DataFrame:
     files = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = None
         for batch in batches:
             for f in batch.to_pylist():
                 fs, at = open_fs(f["path"])
@@ -268,17 +269,18 @@ def read_token_files(manifest: DataFrame, each, schema: str) -> DataFrame:
                     for key, start, ids in read_token_file(source, f["bytes"]):
                         rows.append(each(key, f["base"] + start, ids))
                         if len(rows) == 2000:
-                            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], kind)
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                             rows = []
                 if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], kind)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     names = [x.split()[0] for x in schema.split(",")]
+    kinds = [ARROW[x.split()[1]] for x in schema.split(",")]
     return files.select("path", "bytes", "base").repartition(max(1, common.parts(manifest.sparkSession)), "path").mapInArrow(read, schema)
 
 
 def crc_row(key: int | None, start: int, ids: np.ndarray) -> tuple:
-    return key, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())
+    return key, start, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4"))
 
 
 def roundtrip(ids: np.ndarray) -> np.ndarray:

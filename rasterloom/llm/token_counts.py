@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.tokens import encoder
 
+#: Pieces whose spans a Python worker keeps.
+KEPT_SPANS = 400_000
 RULES = ("first", "last", "most", "split")
 
 
@@ -80,7 +82,7 @@ def attribute_sections(
             ids: list[tuple[int | None, int]] = []
             for k, t in zip(keys, texts, strict=True):
                 starts = np.array(sections(t), np.int64)
-                counts, crossing = allocate(encoder(tokenizer).offsets(t), starts, len(t), rule)
+                counts, crossing = allocate(encoder(tokenizer, KEPT_SPANS).offsets(t), starts, len(t), rule)
                 out.append((np.arange(len(starts)), starts, np.append(starts[1:], len(t)), counts, crossing))
                 ids.append((k, len(starts)))
             if out:
@@ -113,7 +115,7 @@ def attribute_fields(docs: DataFrame, tokenizer: str, fields: Sequence[str], *,
                 used = np.flatnonzero(np.array(widths) > 0)  # empty fields hold no character
                 counts = np.zeros(len(names))
                 if len(used):
-                    counts[used] = allocate(encoder(tokenizer).offsets(whole), starts[used], len(whole), rule)[0]
+                    counts[used] = allocate(encoder(tokenizer, KEPT_SPANS).offsets(whole), starts[used], len(whole), rule)[0]
                 rows += [{"doc_id": row["key"], "field": n, "n_tokens": float(c)} for n, c in zip(names, counts, strict=True)]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("field", pa.string()), ("n_tokens", pa.float64())]))

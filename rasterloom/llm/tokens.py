@@ -26,10 +26,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Pieces whose ids a Python worker keeps, about 250 MB.
+KEPT = 900_000
+
+
 class CachedEncoder:
     """Ids as little-endian uint32 bytes; offsets as int32 pairs (start, end) of characters."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = KEPT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -93,11 +97,11 @@ class CachedEncoder:
         return spans + np.repeat(starts, counts)[:, None]
 
 
-_encoders: dict[str, CachedEncoder] = {}
+_encoders: dict[tuple[str, int], CachedEncoder] = {}
 
 
-def encoder(path: str) -> CachedEncoder:
+def encoder(path: str, limit: int = KEPT) -> CachedEncoder:
     """One per path and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = CachedEncoder(path)
-    return _encoders[path]
+    if (path, limit) not in _encoders:
+        _encoders[path, limit] = CachedEncoder(path, limit)
+    return _encoders[path, limit]
