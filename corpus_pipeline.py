@@ -46,7 +46,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """What is left is packed into sequences of 1024 tokens."""
     common.delete_paths(spark, _left)
     with common.scratch_scope(_left):
-        return packing.pack_documents(docs, default_tokenizer(), capacity=1024, end_id=2)
+        return packing.pack_documents(docs, default_tokenizer(), capacity=1024, end_id=2, kept=300_000)
 
 
 STAGES = [
