@@ -101,10 +101,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text:
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for i in range(0, len(texts), 500):
+            for i in range(0, batch.num_rows, 500):
+                rows = batch.slice(i, 500)
+                texts = [t or "" for t in rows.column(1).to_pylist()]
                 out: list[tuple] = []
-                for k, ids in zip(keys[i : i + 500], encoder(tokenizer, kept).encode_many(texts[i : i + 500]), strict=True):
+                for k, ids in zip(rows.column(0).to_pylist(), encoder(tokenizer, kept).encode_many(texts), strict=True):
                     ids += end
                     n = len(ids) // 4
                     edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
