@@ -30,8 +30,6 @@ ORDER = 5
 #: Labelled rows that the class models are fitted on, and further ones for the logistic curve, at most.
 MODEL_ROWS = 20_000
 CURVE_ROWS = 4_000
-#: Least share of all grams that a gram needs to have counts of its own, so there are at most 2 million.
-LEAST_SHARE = 5e-7
 DISCOUNT = 0.75
 #: A word's log-likelihood ratio counts from here on.
 MARGIN = 3.0
@@ -104,44 +102,33 @@ class Evidence:
             return math.log1p(sum([known[w] for w in words]) / len(words) / SCALE)
 
 
-def shared_model(counts: dict[str, int]) -> dict[str, float]:
-    """Interpolated Kneser-Ney probability of each gram's last character below its full order, i.e. after
-    its context without the first character; counts are those of the top grams over all documents."""
-    level = {g: n for g, n in counts.items()}
-    tables: list[tuple[dict, dict, dict]] = []
-    for _ in range(ORDER):
-        follow: dict[str, int] = {}
-        types: dict[str, int] = {}
-        for g, n in level.items():
-            follow[g[:-1]] = follow.get(g[:-1], 0) + n
-            types[g[:-1]] = types.get(g[:-1], 0) + 1
-        tables.append((level, follow, types))
-        lower: dict[str, int] = {}
-        for g in level:
-            if len(g) > 1:
-                lower[g[1:]] = lower.get(g[1:], 0) + 1
-        level = lower
-        if not level:
-            break
-    flat = 1 / max(1, len(tables[-1][0]) + 1)
-
-    def probability(g: str, depth: int) -> float:
-        if depth >= len(tables) or not g:
-            return flat
-        level, follow, types = tables[depth]
-        total = follow.get(g[:-1])
-        below = probability(g[1:], depth + 1) if len(g) > 1 else flat
-        if not total:
-            return below
-        return max(level.get(g, 0) - DISCOUNT, 0) / total + DISCOUNT * types[g[:-1]] / total * below
-
-    return {g: probability(g[1:], 1) if len(g) > 1 else flat for g in counts}
-
+def shared_model(table: DataFrame) -> DataFrame:
+    """table with ``below``: the interpolated Kneser-Ney probability of each labelled gram's last character below
+    its full order, i.e. after its context without the first character.
 
-def fit_model(rows: list[tuple[str, int, int, int]]) -> Model:
-    """rows: (gram, count in all documents, in toxic ones, in ordinary ones)."""
-    everywhere = {g: n for g, n, _, _ in rows}
-    below = shared_model(everywhere)
+    n has the counts of the top grams over all documents. A level holds what the grams of the one above it end in,
+    counted by kinds; every gram of every level takes part, and only rows of labelled documents come back.
+    """
+    rest, context = F.expr("substring(gram, 2)"), F.expr("substring(gram, 1, length(gram) - 1)")
+    levels, sizes = [table.select("gram", "n")], [table.count()]
+    for _ in range(ORDER - 1):
+        lower = levels[-1].where(F.length("gram") > 1).groupBy(rest.alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        levels.append(common.stored(lower, "grams-lower"))
+        sizes.append(levels[-1].count())
+    flat = F.lit(1 / (1 + next((n for n in reversed(sizes) if n), 0)))
+    below = None
+    for level in reversed(levels[1:]):
+        totals = level.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"))
+        own = level.select("gram", "n", rest.alias("rest"), context.alias("context")).join(totals, "context")
+        own = own.withColumn("below", flat) if below is None else own.join(below, "rest", "left").withColumn("below", F.coalesce("below", flat))
+        p = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total") + DISCOUNT * F.col("types") / F.col("total") * F.col("below")
+        below = own.select(F.col("gram").alias("rest"), p.alias("below"))
+    labelled = table.where("toxic > 0 OR ordinary > 0").withColumn("rest", rest)
+    return labelled.join(below, "rest", "left").select("gram", F.coalesce("below", flat).alias("below"), "toxic", "ordinary")
+
+
+def fit_model(rows: list[tuple[str, float, int, int]]) -> Model:
+    """rows: (gram, its probability in the shared model, count in toxic documents, in ordinary ones)."""
     total, types = ({}, {}), ({}, {})
     for g, _, *own in rows:
         for c in (0, 1):
@@ -150,13 +137,12 @@ def fit_model(rows: list[tuple[str, int, int, int]]) -> Model:
                 types[c][g[:-1]] = types[c].get(g[:-1], 0) + 1
     weight = [{h: DISCOUNT * types[c][h] / n for h, n in total[c].items()} for c in (0, 1)]
     seen = {}
-    for g, _, *own in rows:
-        if own[0] or own[1]:
-            h, p = g[:-1], []
-            for c in (0, 1):
-                n = total[c].get(h)
-                p.append(below[g] if not n else max(own[c] - DISCOUNT, 0) / n + weight[c][h] * below[g])
-            seen[g] = math.log(p[0]) - math.log(p[1])
+    for g, below, *own in rows:
+        h, p = g[:-1], []
+        for c in (0, 1):
+            n = total[c].get(h)
+            p.append(below if not n else max(own[c] - DISCOUNT, 0) / n + weight[c][h] * below)
+        seen[g] = math.log(p[0]) - math.log(p[1])
     backoff = {h: math.log(weight[0].get(h, 1.0)) - math.log(weight[1].get(h, 1.0)) for h in {*total[0], *total[1]}}
     return Model(seen, backoff)
 
@@ -203,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     """Fit on labelled rows outside the held-out fold: the class models on folds 1 to 3, the curve on fold 4.
 
     Class counts come from at most MODEL_ROWS labelled rows, the curve from at most CURVE_ROWS; the shared
-    counts come from every document. The samples are small enough to broadcast by those bounds.
+    counts come from every document. No gram is too rare to count. The samples are small enough to broadcast by those bounds.
     """
     spark = docs.sparkSession
     labelled = _labelled(labels, key, toxic)
@@ -237,9 +223,8 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
 
     counted = rows.join(sample, "key", "left").select("text", "toxic").mapInArrow(count, "gram string, n long, toxic long, ordinary long")
     table = common.stored(counted.groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("n", "toxic", "ordinary"))), "grams")
-    total = table.agg(F.sum("n")).first()[0] or 0
-    kept = table.where(F.col("n") >= max(1.0, total * LEAST_SHARE)).toArrow()
-    model = fit_model(list(zip(*(kept.column(c).to_pylist() for c in ("gram", "n", "toxic", "ordinary")), strict=True)) if kept.num_rows else [])
+    found = shared_model(table).toArrow()  # the grams of at most MODEL_ROWS documents
+    model = fit_model(list(zip(*(found.column(c).to_pylist() for c in ("gram", "below", "toxic", "ordinary")), strict=True)) if found.num_rows else [])
     curve = F.broadcast(_first(labelled.where(fold(F.col("key")) == 4), CURVE_ROWS))
     shared = spark.sparkContext.broadcast(model)
 

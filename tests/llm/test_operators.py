@@ -449,3 +449,41 @@ def test_toxicity_without_labels(spark, none):
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.predicted for r in toxicity.score(docs, model).collect()} == {0}
     toxicity.train(none, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
+
+
+def shared_brute_force(counts):
+    """Below each gram's full order, from whole tables in plain Python."""
+    level, tables = dict(counts), []
+    while level:
+        tables.append(level)
+        level = dict(Counter(g[1:] for g in level if len(g) > 1))
+    flat = 1 / (len(tables[-1]) + 1)
+
+    def probability(g, depth):
+        if not g:
+            return flat
+        follow = [n for h, n in tables[depth].items() if h[:-1] == g[:-1]]
+        return max(tables[depth][g] - toxicity.DISCOUNT, 0) / sum(follow) + toxicity.DISCOUNT * len(follow) / sum(follow) * probability(g[1:], depth + 1)
+
+    return {g: probability(g[1:], 1) for g in counts}
+
+
+@pytest.mark.parametrize("texts", [["abba baba", "aé abbé", "x 😀a", "cab abba", None], ["a", "b"], [""]])
+def test_shared_model_equals_brute_force(spark, texts):
+    counts = toxicity.count_grams(Counter(w for t in texts for w in (t or "").split()))
+    rows = [(g, n, i % 3 == 1, i % 3 == 2) for i, (g, n) in enumerate(counts.items())]
+    grams = spark.createDataFrame([(g, n, int(a), int(b)) for g, n, a, b in rows], "gram string, n long, toxic long, ordinary long")
+    got = {r.gram: r.below for r in toxicity.shared_model(grams).collect()}
+    expected = shared_brute_force(counts) if counts else {}
+    assert set(got) == {g for g, _, a, b in rows if a or b}
+    assert got == pytest.approx({g: expected[g] for g in got})
+
+
+def test_rare_grams_keep_their_class_counts(spark):
+    """A gram of one occurrence among more than 2 / 5e-7 others."""
+    docs = table(spark, ["common words here " * 30_000] * 10 + ["zqx", "common"], [*range(100, 110), 1, 2])
+    keys = [k for k in range(1000) if zlib.crc32(str(k).encode()) % 5 not in (0, 4)][:2]
+    docs = docs.replace({1: keys[0], 2: keys[1]}, subset=["doc_id"])
+    marks = spark.createDataFrame([(keys[0], 1), (keys[1], 0)], "doc_id long, toxic int")
+    model = toxicity.train(docs, marks)
+    assert {"^z", "^zq", "^zqx", "^zqx$"} <= set(model.seen) and model.word("zqx") > model.word("common")
