@@ -369,6 +369,21 @@ def test_slots_must_be_consistent():
     assert whole[0][1] > broken[0][1] if broken else True
 
 
+def test_leaks_in_other_capitals_and_of_few_literals(spark):
+    strasse = "On Monday the farmer Tom went along the long Kantstraße to sell 3 apples and 12 pears to Bob there."
+    items = [(7, ITEM, 1), (11, "What is 12 times 15?", 1), (12, "Ann likes Bob", 1), (13, "12 kg", 1), (14, "In 3 km", 1), (15, strasse, 1), (16, "?!", 1)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string, doc_id int")
+    texts = [
+        ITEM.lower(), ITEM.upper(), f"before {ITEM.upper()} after", ITEM.upper().replace("3", "7"), "So what is 12 times 15? Nobody knows", "What is 12 times 16?", "WHAT IS 12 TIMES 15",
+        "but ann likes bob a lot", "Eve likes Bob", "Take 12 KG of it", "Take 13 kg of it", "5 in 3 km", strasse.upper(), "?!",
+    ]
+    found = decontamination.find_leaks(table(spark, texts), benchmark)
+    got = {(r.doc_id, r.item_id): (r.coverage, r.changed) for r in found.collect()}
+    assert got.pop((3, 7)) == (1.0, True)
+    exact = {(0, 7), (1, 7), (2, 7), (4, 11), (6, 11), (7, 12), (9, 13), (11, 14), (12, 15)} | {(k, 13) for k in (0, 1, 2, 3)}
+    assert got == dict.fromkeys(exact, (1.0, False))
+
+
 # --- pages and archives ---
 
 
