@@ -2,8 +2,7 @@
 
 Shift, similarity and affine least squares are sums and closed forms. Robust
 fits (RANSAC), homography, polynomials and thin-plate splines run as numpy in
-one task per group; a group is one image pair at one scale, whose matches the
-matchers bound. ``fit_all`` makes one row per type, ``choose_best`` takes the
+one task per group, on all of its matches; a group is one image pair at one scale. ``fit_all`` makes one row per type, ``choose_best`` takes the
 least robust RMSE.
 """
 
@@ -23,7 +22,8 @@ TRANSFORM_SCHEMA = (
     "pair_id long, type string, matrix array<double>, coef_x array<double>, coef_y array<double>, ctrl_src array<array<double>>, ctrl_dst array<array<double>>, degree int, "
     "num_points long, inlier_count long, inlier_ratio double, median_error double, robust_rmse double, mean_error double, std_error double, max_error double, error string"
 )
-ITERATIONS = 500
+#: Fixed value: hypotheses of a robust fit, at most.
+ITERATIONS = 2000
 
 
 def ransac_threshold(scale: Column) -> Column:
@@ -146,8 +146,11 @@ def thin_plate(s: np.ndarray, d: np.ndarray, smoothing: float) -> tuple[np.ndarr
 
 
 def apply_thin_plate(at: np.ndarray, s: np.ndarray, weights: np.ndarray, affine: np.ndarray) -> np.ndarray:
-    r2 = ((at[:, None] - s[None]) ** 2).sum(-1)
-    return np.where(r2 > 0, 0.5 * r2 * np.log(np.where(r2 > 0, r2, 1)), 0) @ weights + np.c_[np.ones(len(at)), at] @ affine
+    out = np.c_[np.ones(len(at)), at] @ affine
+    for i in range(0, len(at), 1024):
+        r2 = ((at[i : i + 1024, None] - s[None]) ** 2).sum(-1)
+        out[i : i + 1024] += np.where(r2 > 0, 0.5 * r2 * np.log(np.where(r2 > 0, r2, 1)), 0) @ weights
+    return out
 
 
 def _statistics(err: np.ndarray, inside: np.ndarray) -> dict:
@@ -159,8 +162,11 @@ def _statistics(err: np.ndarray, inside: np.ndarray) -> dict:
     }
 
 
-def fit_one(kind: str, s: np.ndarray, d: np.ndarray, threshold: float = 5.0) -> dict:
-    """One row of TRANSFORM_SCHEMA without pair_id; ``error`` says why there is no transform."""
+def fit_one(kind: str, s: np.ndarray, d: np.ndarray, threshold: float = 5.0, rough: np.ndarray | None = None) -> dict:
+    """One row of TRANSFORM_SCHEMA without pair_id; ``error`` says why there is no transform.
+
+    rough: the inliers of an affine map at twice the threshold, where they are known already.
+    """
     out: dict = {"type": kind, "num_points": len(s)}
     if len(s) < LEAST_POINTS[kind]:
         return out | {"error": "insufficient_points"}
@@ -172,7 +178,7 @@ def fit_one(kind: str, s: np.ndarray, d: np.ndarray, threshold: float = 5.0) ->
         if m is None:
             return out | {"error": "degenerate_points"}
         return out | {"matrix": m.ravel().tolist()} | _statistics(np.minimum(np.linalg.norm(_project(m, s) - d, axis=1), 1e6), inside)
-    _, inside = ransac("affine", s, d, 2 * threshold)
+    inside = ransac("affine", s, d, 2 * threshold)[1] if rough is None else rough
     if inside.sum() < LEAST_POINTS[kind]:
         return out | {"error": "insufficient_points"}
     if kind == "spline":
@@ -206,7 +212,8 @@ def fit_all(df: DataFrame, kinds: Sequence[str] = tuple(LEAST_POINTS), threshold
     def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("match_id")
         s, d = g[["src_x", "src_y"]].to_numpy(float), g[["dst_x", "dst_y"]].to_numpy(float)
-        rows = [{"pair_id": key[0]} | fit_one(k, s, d, threshold) for k in kinds]
+        rough = ransac("affine", s, d, 2 * threshold)[1] if len(s) >= 3 and not set(kinds) <= {"shift", "similarity", "affine", "homography"} else None
+        rows = [{"pair_id": key[0]} | fit_one(k, s, d, threshold, rough) for k in kinds]
         return pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names)
 
     return df.select("pair_id", "match_id", "src_x", "src_y", "dst_x", "dst_y").groupBy("pair_id").applyInPandas(fit, TRANSFORM_SCHEMA)

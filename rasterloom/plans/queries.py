@@ -374,8 +374,7 @@ def scale_from_filename(spark, d):
 @query("TF2 TF3 TF4 TF5 TF6 TF7 TF8 TF9 FIL13 FIL18 FIL19 LIM1 SRT1 SET2 SC26 TF10")
 def best_transform_per_pair(spark, d):
     kept = robust.remove_gross_outliers(view(spark, d, "correspondence"))
-    few = robust.even_sample_by_y(kept)  # as the fits bound their matches
-    return fits.choose_best(fits.fit_all(few)).select("pair_id", "type", "num_points", "inlier_count", F.round("robust_rmse", 4).alias("robust_rmse"))
+    return fits.choose_best(fits.fit_all(kept)).select("pair_id", "type", "num_points", "inlier_count", F.round("robust_rmse", 4).alias("robust_rmse"))
 
 
 @query("AP3 AP4 AP6 AP12 OR2")

@@ -219,3 +219,13 @@ def test_points_patches_and_disjoint_boxes(spark):
     boxes = r.select(F.col("raster_id").alias("id"), "left", "bottom", "right", "top")
     far = boxes.withColumn("left", F.col("left") + 5).withColumn("right", F.col("right") + 5)
     assert control.overlaps(boxes, far).count() == 0 and control.overlaps(boxes, boxes).first().share_a == 1.0
+
+
+def test_best_transform_fits_every_match(spark, monkeypatch):
+    from rasterloom.plans import queries
+
+    grid = [(x * 7 % 101, y * 3) for x in range(20) for y in range(21)]
+    df = pairs(spark, grid, [(x + 3, y - 2) for x, y in grid])
+    monkeypatch.setattr(queries, "view", lambda *_: df)
+    best = queries.best_transform_per_pair(spark, "").first()
+    assert best.num_points == best.inlier_count == len(grid) and best.type == "shift"
