@@ -145,6 +145,18 @@ def thin_plate(s: np.ndarray, d: np.ndarray, smoothing: float) -> tuple[np.ndarr
     return out[:n], out[n:]
 
 
+def spline_through(s: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The thin-plate spline of least smoothing that has a finite solution."""
+    for smoothing in (0.0, 0.1, 1.0, 10.0):
+        try:
+            weights, affine = thin_plate(s, d, smoothing)
+        except np.linalg.LinAlgError:
+            continue
+        if np.isfinite(apply_thin_plate(s, s, weights, affine)).all():
+            return weights, affine
+    raise np.linalg.LinAlgError("no spline through the control points")
+
+
 def apply_thin_plate(at: np.ndarray, s: np.ndarray, weights: np.ndarray, affine: np.ndarray) -> np.ndarray:
     out = np.c_[np.ones(len(at)), at] @ affine
     for i in range(0, len(at), 1024):
@@ -184,15 +196,11 @@ def fit_one(kind: str, s: np.ndarray, d: np.ndarray, threshold: float = 5.0, rou
     if kind == "spline":
         c, t = np.unique(s[inside], axis=0, return_index=True)
         t = d[inside][t]
-        for smoothing in (0.0, 0.1, 1.0, 10.0):
-            try:
-                weights, affine = thin_plate(c, t, smoothing)
-            except np.linalg.LinAlgError:
-                continue
-            got = apply_thin_plate(s, c, weights, affine)
-            if np.isfinite(got).all():
-                return out | {"ctrl_src": c.tolist(), "ctrl_dst": t.tolist()} | _statistics(np.linalg.norm(got - d, axis=1), inside)
-        return out | {"error": "degenerate_points"}
+        try:
+            got = apply_thin_plate(s, c, *spline_through(c, t))
+        except np.linalg.LinAlgError:
+            return out | {"error": "degenerate_points"}
+        return out | {"ctrl_src": c.tolist(), "ctrl_dst": t.tolist()} | _statistics(np.linalg.norm(got - d, axis=1), inside)
     degree = int(kind[-1])
     b = basis(s[inside, 0], s[inside, 1], degree)
     cx, _, rank, _ = np.linalg.lstsq(b, d[inside, 0], rcond=None)

@@ -2,7 +2,9 @@
 
 A plan is an ordered list of (scale, transform type). At each scale the mosaic so
 far is reduced, matched against the target, fitted and composed; in the end the
-composed transform is applied once to the full-resolution tiles.
+composed transform is applied once to the full-resolution tiles. Polynomials and
+splines have no inverse in closed form, so they are fitted from the target to the
+mosaic, which is the way that pixels are looked up.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ class Step:
     scale: float
     kind: str
     row: dict
-    matrix: np.ndarray  # at full resolution, all steps so far composed
+    matrix: np.ndarray | None  # at full resolution, all steps so far composed; None once one of them is no matrix
+    back: Callable[[np.ndarray], np.ndarray]  # this step's map of (n, 2) x, y at full resolution to those before it
 
 
 @dataclass
@@ -37,9 +40,17 @@ class Registration:
     steps: list[Step] = field(default_factory=list)
 
     @property
-    def matrix(self) -> np.ndarray:
+    def matrix(self) -> np.ndarray | None:
         return self.steps[-1].matrix if self.steps else np.eye(3)
 
+    def back(self, p: np.ndarray) -> np.ndarray:
+        """x, y of the registered mosaic to those of the source, through all steps from the last to the first."""
+        if self.matrix is not None:
+            return fits._project(np.linalg.inv(self.matrix), p)
+        for step in reversed(self.steps):
+            p = step.back(p)
+        return p
+
 
 def at_full_resolution(m: np.ndarray, scale: float) -> np.ndarray:
     """A matrix in pixels of a scale, in those of scale 1."""
@@ -47,6 +58,16 @@ def at_full_resolution(m: np.ndarray, scale: float) -> np.ndarray:
     return np.linalg.inv(s) @ m @ s
 
 
+def look_up(row: dict, scale: float) -> Callable[[np.ndarray], np.ndarray]:
+    """The map of a polynomial or spline, fitted in pixels of a scale, in those of scale 1."""
+    if row["coef_x"]:
+        coef = np.array([row["coef_x"], row["coef_y"]]).T
+        return lambda p: fits.basis(p[:, 0] * scale, p[:, 1] * scale, row["degree"]) @ coef / scale
+    s, d = np.array(row["ctrl_src"]), np.array(row["ctrl_dst"])
+    weights, affine = fits.spline_through(s, d)
+    return lambda p: fits.apply_thin_plate(p * scale, s, weights, affine) / scale
+
+
 def default_plan(scales: Sequence[float]) -> list[tuple[float, str]]:
     """The first two scales shift, the others use a homography."""
     return [(s, "shift" if i < 2 else "homography") for i, s in enumerate(sorted(scales))]
@@ -101,7 +122,7 @@ def matcher(name: str, **options) -> Matcher:
 def register(source: DataFrame, target: DataFrame, plan: Sequence[tuple[float, str]] = DEFAULT_PLAN, match: Matcher | None = None, height: int = 0, width: int = 0) -> tuple[Registration, DataFrame]:
     """Register one raster's pixels (values 0..255, integers) to another's; returns the steps and the warped tiles.
 
-    Each step needs the one before, so the scales are a loop on the driver, which holds one 3 x 3 matrix; the
+    Each step needs the one before, so the scales are a loop on the driver, which holds the steps' transforms; the
     pixels stay distributed. A step that finds no transform leaves the mosaic as it is.
     """
     match, done = match or ncc_matcher(), Registration()
@@ -111,17 +132,23 @@ def register(source: DataFrame, target: DataFrame, plan: Sequence[tuple[float, s
     tiles = raster.to_tiles(source, tile)
 
     def warped() -> DataFrame:
-        back = np.linalg.inv(done.matrix)
-        return raster.warp_tiles(tiles, lambda p: fits._project(back, p), tile, height, width) if done.steps else tiles
+        so_far = Registration(list(done.steps))
+        return raster.warp_tiles(tiles, so_far.back, tile, height, width) if done.steps else tiles
 
     for scale, kind in plan:
         whole = lambda df: df.withColumn("value", F.round("value").cast("int"))
         moved = whole(reduce_to(pixels_of(warped(), tile), scale))
         found = robust.remove_gross_outliers(match(moved, whole(reduce_to(target, scale)), scale))
+        if kind in ("polynomial_2", "polynomial_3", "spline"):
+            ends = ("src_x", "src_y", "dst_x", "dst_y")
+            found = found.select("pair_id", "match_id", *(F.col(a).alias(b) for a, b in zip(ends, ends[2:] + ends[:2], strict=True)))
         rows = fits.fit_all(found, [kind], threshold=5.0 * scale / 0.15).where("error IS NULL").collect()  # one row
         if rows and rows[0]["matrix"]:
             m = at_full_resolution(np.array(rows[0]["matrix"]).reshape(3, 3), scale)
-            done.steps.append(Step(scale, kind, rows[0].asDict(), m @ done.matrix))
+            done.steps.append(Step(scale, kind, rows[0].asDict(), None if done.matrix is None else m @ done.matrix, lambda p, back=np.linalg.inv(m): fits._project(back, p)))
+        elif rows:
+            row = rows[0].asDict()
+            done.steps.append(Step(scale, kind, row, None, look_up(row, scale)))
     return done, warped()
 
 

@@ -102,3 +102,28 @@ def test_reprojection_keeps_a_flat_image(spark):
     o = spark.range(1).select(e.alias("e"), n.alias("n")).first()
     out = registration.reproject_to_utm(tiles, 16, 32, 32, (0.0001, 0, -123.0, 0, -0.0001, 49.0), 32610, 10.0, (o.e + 30, o.n - 30), 16, 16).collect()
     assert len(out) == 1 and np.allclose(np.frombuffer(out[0].data, np.float32), 100, atol=1e-3)
+
+
+@pytest.mark.parametrize("kind", ["polynomial_2", "polynomial_3", "spline"])
+def test_curved_steps_are_applied(spark, kind):
+    """A target that is the source moved by (2, 4), found by control points; a shift goes before and an affine step after."""
+    rng = np.random.default_rng(5)
+    base = np.kron(rng.integers(20, 250, (18, 18)), np.ones((4, 4), int))
+    source = spark.createDataFrame([(1, r, c, int(base[r, c])) for r in range(64) for c in range(64)], SCHEMA)
+    bend = {0.5: lambda x, y: (x + 1, y), 1.0: lambda x, y: (x + 2 + x * x / 400, y + 4 + x * y / 500), 2.0: lambda x, y: (x, y - 1)}
+
+    def match(a, b, scale):
+        at = [(x, y) for x in range(0, 64, 9) for y in range(0, 64, 9)]
+        rows = [(1, i, *map(float, bend[scale](x, y)), float(x), float(y)) for i, (x, y) in enumerate(at)]
+        return spark.createDataFrame(rows, "pair_id long, match_id long, src_x double, src_y double, dst_x double, dst_y double")
+
+    done, tiles = registration.register(source, source, [(0.5, "shift"), (1.0, kind), (2.0, "affine")], match)
+    assert [s.kind for s in done.steps] == ["shift", kind, "affine"] and done.matrix is None
+    p = np.array([[18.0, 27.0], [36.0, 9.0]])
+    expected = np.array([np.add(bend[1.0](x, y - 0.5), (2, 0)) for x, y in p])
+    assert np.allclose(done.back(p), expected, atol=0.3 if kind == "spline" else 1e-6)
+    got = np.frombuffer(tiles.first().data, np.float32).reshape(64, 64)
+    x, y = done.back(np.array([[20.0, 30.0]]))[0]
+    i, j = int(y), int(x)
+    fy, fx = y - i, x - j
+    assert got[30, 20] == pytest.approx((base[i, j] * (1 - fx) + base[i, j + 1] * fx) * (1 - fy) + (base[i + 1, j] * (1 - fx) + base[i + 1, j + 1] * fx) * fy, abs=0.01)
