@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Strongest keypoints of an image that take part, as matchers have it.
 MAX_FEATURES = 5000
+#: Descriptors of each side that a task compares at a time, about.
+BLOCK = 2000
 
 
 def strongest(keypoints: DataFrame, image: Sequence[str] = (), n: int = MAX_FEATURES) -> DataFrame:
@@ -22,35 +24,37 @@ def strongest(keypoints: DataFrame, image: Sequence[str] = (), n: int = MAX_FEAT
 def two_nearest(source: DataFrame, target: DataFrame, metric: str = "l2") -> DataFrame:
     """(query_id, train_id, distance, next_distance): the nearest and second nearest target of each source descriptor.
 
-    One image's descriptors are the target: at most MAX_FEATURES, so they are sent to every task, which
-    compares a block of sources with them at a time. Ties go to the smaller id; one target alone has no second.
+    Both sides are cut into blocks of about BLOCK rows by hash of their id, and each pair of blocks meets in a task.
+    Ties go to the smaller id; one target alone has no second.
     metric: l2 over float vectors, hamming over arrays of 64-bit words.
     """
-    rows = target.select("kp_id", "descriptor").orderBy("kp_id").limit(MAX_FEATURES + 1).collect()
-    if len(rows) > MAX_FEATURES:
-        raise ValueError(f"a target image has at most {MAX_FEATURES} descriptors; keep the strongest first")
-    ids = np.array([r.kp_id for r in rows], np.int64)
     kind = np.float64 if metric == "l2" else np.int64
-    theirs = np.array([r.descriptor for r in rows], kind)
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            own = np.array(batch.column(1).to_pylist(), kind)
-            out = []
-            for i in range(0, len(own), 64):
-                if metric == "l2":
-                    d = np.sqrt(((own[i : i + 64, None, :] - theirs[None]) ** 2).sum(-1))
-                else:
-                    d = np.bitwise_count((own[i : i + 64, None, :] ^ theirs[None]).view(np.uint64)).sum(-1).astype(np.float64)
-                order = np.argsort(d, axis=1, kind="stable")[:, :2]
-                near = np.take_along_axis(d, order, 1)
-                out.append((ids[order[:, 0]], near[:, 0], near[:, 1] if near.shape[1] > 1 else np.full(len(near), np.nan)))
-            t, a, b = (np.concatenate(c) for c in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t), pa.array(a), pa.array(b, mask=np.isnan(b))], names=["query_id", "train_id", "distance", "next_distance"])
-
-    return source.select(F.col("kp_id").cast("long"), "descriptor").mapInArrow(nearest, "query_id long, train_id long, distance double, next_distance double")
+    cuts = [max(1, -(-df.count() // BLOCK)) for df in (source, target)]
+
+    def blocks(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        rows = df.select(F.col("kp_id").cast("long").alias("kp_id"), "descriptor").withColumn(own, F.pmod(F.xxhash64("kp_id"), F.lit(n)).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).groupBy("sb", "tb")
+
+    def nearest(s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        names = ["query_id", "distance", "train_id"]
+        if not len(s) or not len(t):
+            return pd.DataFrame({c: [] for c in names})
+        t = t.sort_values("kp_id", kind="stable")
+        ids, theirs, own = t["kp_id"].to_numpy(np.int64), np.array(t["descriptor"].tolist(), kind), np.array(s["descriptor"].tolist(), kind)
+        out = []
+        for i in range(0, len(own), 64):
+            if metric == "l2":
+                d = np.sqrt(((own[i : i + 64, None, :] - theirs[None]) ** 2).sum(-1))
+            else:
+                d = np.bitwise_count((own[i : i + 64, None, :] ^ theirs[None]).view(np.uint64)).sum(-1).astype(np.float64)
+            order = np.argsort(d, axis=1, kind="stable")[:, :2]
+            out.append(pd.DataFrame({"query_id": np.repeat(s["kp_id"].to_numpy(np.int64)[i : i + 64], order.shape[1]), "distance": np.take_along_axis(d, order, 1).ravel(), "train_id": ids[order].ravel()}, columns=names))
+        return pd.concat(out)
+
+    found = blocks(source, "sb", cuts[0], "tb", cuts[1]).cogroup(blocks(target, "tb", cuts[1], "sb", cuts[0])).applyInPandas(nearest, "query_id long, distance double, train_id long")
+    near = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("distance", "train_id"))).alias("n"))  # two of each target block
+    first = F.get("n", F.lit(0))
+    return near.select("query_id", first["train_id"].alias("train_id"), first["distance"].alias("distance"), F.get("n", F.lit(1))["distance"].alias("next_distance"))
 
 
 def ratio_matches(source: DataFrame, target: DataFrame, ratio: float, metric: str = "l2") -> DataFrame:

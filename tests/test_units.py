@@ -229,3 +229,15 @@ def test_best_transform_fits_every_match(spark, monkeypatch):
     monkeypatch.setattr(queries, "view", lambda *_: df)
     best = queries.best_transform_per_pair(spark, "").first()
     assert best.num_points == best.inlier_count == len(grid) and best.type == "shift"
+
+
+def test_nearest_among_more_than_one_image(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 40, (2100, 3)).astype(float), rng.integers(0, 40, (5100, 3)).astype(float)
+    s, t = (spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "kp_id long, descriptor array<double>") for m in (a, b))
+    got = {r.query_id: r[1:] for r in matching.two_nearest(s, t).collect()}
+    for i, v in enumerate(a):
+        d = np.sqrt(((v - b) ** 2).sum(-1))
+        first, second = np.argsort(d, kind="stable")[:2]
+        assert got[i] == (first, d[first], d[second])
+    assert len(got) == len(a)
