@@ -6,6 +6,8 @@ import json
 import struct
 import zlib
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -14,15 +16,26 @@ from pyspark.sql import functions as F
 from rasterloom.operators.robust import offset_distance
 
 
-def matches_json(matches: DataFrame, pixel_m: float, keys: tuple[str, ...] = ("pair_id",)) -> DataFrame:
-    """One JSON text per group: its matches in order of match_id, their number and the mean distances; order of keys as read back."""
+#: Matches of one JSON text, about.
+PART = 10_000
+
+
+def matches_json(matches: DataFrame, pixel_m: float, keys: tuple[str, ...] = ("pair_id",), part: int = PART) -> DataFrame:
+    """JSON texts (keys, part, json) of each group: matches in order of match_id, the group's number of them and the mean distances; order of keys as read back.
+
+    A group of more than ``part`` matches is dealt out over several texts of about that size by hash of match_id; readers add them up.
+    """
     d = F.round(offset_distance(), 6)
     one = F.struct(
         F.col("match_id").alias("match_id"), F.struct(F.col("src_x").alias("x"), F.col("src_y").alias("y")).alias("source"), F.struct(F.col("dst_x").alias("x"), F.col("dst_y").alias("y")).alias("target_original"),
         F.struct(d.alias("pixels"), F.round(d * pixel_m, 6).alias("meters")).alias("distance"),
     )
-    body = F.to_json(F.struct(F.count(F.lit(1)).alias("num_matches"), F.sort_array(F.collect_list(one)).alias("matches")))
-    return matches.groupBy(*keys).agg(body.alias("json"))
+    counts = matches.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.count(F.lit(1)).alias("_total"))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    parts = F.ceil(F.col("_total") / part)
+    rows = matches.join(counts, same).withColumn("part", F.pmod(F.xxhash64("match_id"), parts).cast("int"))
+    body = F.to_json(F.struct(F.first("_total").alias("num_matches"), F.sort_array(F.collect_list(one)).alias("matches")))
+    return rows.groupBy(*keys, "part").agg(body.alias("json"))
 
 
 def transforms_json(transforms: DataFrame, resolution: str = "pixel_resolution") -> DataFrame:

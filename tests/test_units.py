@@ -241,3 +241,14 @@ def test_nearest_among_more_than_one_image(spark):
         first, second = np.argsort(d, kind="stable")[:2]
         assert got[i] == (first, d[first], d[second])
     assert len(got) == len(a)
+
+
+def test_match_json_of_a_large_pair_comes_in_parts(spark):
+    grid = [(x, y) for x in range(50) for y in range(20)]
+    df = pairs(spark, grid, [(x + 3, y + 4) for x, y in grid])
+    df = df.union(df.limit(1).withColumn("pair_id", F.lit(None).cast("long")))
+    rows = sinks.matches_json(df, 0.5, part=100).collect()
+    texts = [json.loads(r.json) for r in rows if r.pair_id == 1]
+    assert len({r.part for r in rows if r.pair_id == 1}) == len(texts) == 10 and {t["num_matches"] for t in texts} == {1000}
+    assert max(len(t["matches"]) for t in texts) < 150 and sorted(m["match_id"] for t in texts for m in t["matches"]) == list(range(1000))
+    assert [json.loads(r.json)["num_matches"] for r in rows if r.pair_id is None] == [1]
