@@ -2,8 +2,12 @@
 
 A page is cut into blocks at block-level tags. A block has its word count, the
 share of its words inside links, the same two of the blocks before and after it,
-and marks for what encloses it. A decision tree, grown on the labelled table
-below, says which blocks are main text.
+and marks for what encloses it. A decision tree, grown on the blocks of the
+labelled pages below, says which blocks are main text.
+
+An element that is named like a menu, a footer, an advert and so on marks its
+blocks, unless it turns out to hold the page itself: see ``Page.outside``. Reading
+takes time in proportion to the page's length, however its tags are broken.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,19 +28,35 @@ BLOCK_TAGS = frozenset(
 SILENT_TAGS = frozenset("script style noscript template iframe object svg math canvas audio video head title select textarea button".split())
 RAW_TAGS = frozenset("script style textarea title noscript iframe".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEAD_TAGS = frozenset("title meta link style script base noscript template".split())
+ENDS = {
+    "p": ("p",), "li": ("p", "li"), "option": ("p", "option"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd"),
+    "tr": ("p", "td", "th", "tr"), "td": ("p", "td", "th"), "th": ("p", "td", "th"),
+}
 OUTSIDE_TAGS = frozenset("nav header footer aside form menu dialog search".split())
 MAIN_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-OUTSIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|aside|footer\w*|foot|header|masthead|comment\w*|respond|reply|replies|disqus\w*|"
-    r"cookie\w*|consent\w*|gdpr\w*|notice\w*|notification\w*|alert\w*|newsletter\w*|subscribe\w*|signup|login|popup|modal|overlay|share\w*|social\w*|related\w*|recommend\w*|pager|pagination|widget\w*|toolbar|skip\w*|copyright|legal|disclaimer)(?=$|[\s_-])",
-    re.I,
-)
+ITEMS = frozenset("li td th option dt".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Words that name a region; those of COMMENTS hold what readers wrote.
+COMMENTS = frozenset("comment comments commentlist commentform respond reply replies disqus".split())
+REGIONS = COMMENTS | frozenset(
+    "ad ads advert advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice notification "
+    "alert newsletter subscribe subscription signup login popup modal overlay share sharing social related recommended recommendations pager pagination widget toolbar copyright legal disclaimer".split()
+)
+#: Words that name a region whatever follows them.
+FIRST = frozenset("ad ads advert advertisement adsense sponsored cookie cookies gdpr newsletter disqus".split())
+#: Words that say where or how a region is, not what it is; and words that make a name tell a state of the page.
+PLACES = frozenset("left right top bottom primary secondary main site page inner outer wrap wrapper container box list links link area section block group item items content bar row col column text body".split())
+STATES = frozenset("has no with without is not hide hidden show js".split())
+
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"(=?[^\s/>=]*)(\s*=\s*)?")
+BARE = re.compile(r"[^\s>]*")
+GAP = re.compile(r"[\s/]*")
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SPACE = re.compile(r"\s+")
+SILENT_ENDS = re.compile(rf"</({'|'.join(sorted(SILENT_TAGS))})(?=[\s/>])", re.I)
 
 
 @dataclass
@@ -44,145 +64,315 @@ class Block:
     text: str
     words: int
     linked: int
-    outside: bool  # within navigation, header, footer, form, comments, adverts or notices
-    inside: bool  # within article or main
+    mark: int  # number of the innermost element named as a region that encloses it; -1: none
+    inside: bool  # within an article or main element
     item: bool  # a list item or table cell
     heading: bool
 
 
-def _outside(tag: str, attributes: str, within_main: bool) -> bool:
-    if tag in OUTSIDE_TAGS:
-        return not (tag == "header" and within_main)
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
-    if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
-        return True
-    return found.get("role", "").lower() in OUTSIDE_ROLES or any(OUTSIDE_NAMES.search(found.get(k, "")) for k in ("class", "id"))
-
-
-def blocks(page: str) -> list[Block]:
-    """Text blocks in page order, empty ones left out."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool]] = []  # open elements and whether each is outside main text
-    parts: list[str] = []
-    linked: list[str] = []
-    links = outside = main = items = silent = headings = 0
-
-    def close() -> None:
-        if parts:
-            text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
+@dataclass
+class Page:
+    """Blocks in page order; for each element named as a region the one around it (-1: none), whether it holds comments and whether it is within an article or main element."""
+
+    blocks: list[Block] = field(default_factory=list)
+    around: list[int] = field(default_factory=list)
+    comments: list[bool] = field(default_factory=list)
+    within: list[bool] = field(default_factory=list)
+
+    def outside(self) -> list[bool]:
+        """Whether each block is within an element that counts as outside main text.
+
+        Names mislead: a menu that is never closed, a header or a form around everything. So an
+        element does not count if it has most of the words in article and main elements and three
+        tenths of the page's, or, on a page without such words, most of the page's; words in links are
+        left aside. One inside an article or main element, and one of comments, always counts.
+        """
+        own, core = [0] * len(self.around), [0] * len(self.around)
+        whole = main = 0
+        for b in self.blocks:
+            n = b.words - b.linked
+            whole += n
+            main += n * b.inside
+            if b.mark >= 0:
+                own[b.mark] += n
+                core[b.mark] += n * b.inside
+        for k in range(len(own) - 1, -1, -1):  # an element has a greater number than the one around it
+            if self.around[k] >= 0:
+                own[self.around[k]] += own[k]
+                core[self.around[k]] += core[k]
+        off: list[bool] = []
+        for k, up in enumerate(self.around):
+            page_itself = 2 * core[k] > main and 10 * own[k] >= 3 * whole if main else 2 * own[k] > whole
+            off.append(up >= 0 and off[up] or self.comments[k] or self.within[k] or not page_itself)
+        return [b.mark >= 0 and off[b.mark] for b in self.blocks]
+
+
+def region(name: str) -> str | None:
+    """The word of REGIONS that a class or id names, e.g. 'footer' for 'site-footer'; None for 'has-footer' or 'footer-fixed'."""
+    words = [w.lower() for w in WORDS.findall(name)]
+    if not words or words[0] in STATES:
+        return None
+    while len(words) > 1 and (words[-1] in PLACES or words[-1].isdigit()):
+        words.pop()
+    if words[-1] in REGIONS:
+        return words[-1]
+    return words[0] if words[0] in FIRST else None
+
+
+def outside(tag: str, attributes: dict[str, str], within_main: bool) -> tuple[bool, bool]:
+    """Whether an element's tag or attributes say that it is no main text, and whether they say that it holds comments."""
+    if tag in ("html", "body", "main"):
+        return False, False
+    named = {r for k in ("class", "id") if k in attributes for name in attributes[k].split() if (r := region(name))} if attributes else set()
+    comments = bool(named & COMMENTS)
+    if tag == "article":
+        return comments, comments
+    if tag in OUTSIDE_TAGS and not (tag == "header" and within_main):
+        return True, comments
+    if not attributes:
+        return False, False
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
+        return True, comments
+    return (bool(named) or attributes.get("role", "").lower() in OUTSIDE_ROLES) and not (named <= {"header"} and within_main and named), comments
+
+
+class Reader:
+    """One pass over a page; ``stack`` has the open elements, and ``open`` their places in it by tag."""
+
+    def __init__(self, page: str):
+        self.page, self.out = page, Page()
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, and whether it silences, is marked, is a link
+        self.open: dict[str, list[int]] = {}
+        self.blocks_open: list[int] = []
+        self.barriers: list[int] = []
+        self.marks: list[int] = [-1]
+        self.parts: list[str] = []
+        self.linked: list[str] = []
+        self.silent = self.mains = self.links = self.items = self.headings = 0
+        self.last_double, self.last_single = page.rfind('"'), page.rfind("'")
+        self.ends: dict[str, int] | None = None
+
+    def end_after(self, tag: str, at: int) -> bool:
+        """Whether an end tag of this silent element comes later; all such tags are found once."""
+        if self.ends is None:
+            self.ends = {m[1].lower(): m.start() for m in SILENT_ENDS.finditer(self.page)}
+        return self.ends.get(tag, -1) >= at
+
+    def close_block(self) -> None:
+        if self.parts:
+            text = SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                anchors = SPACE.sub(" ", html.unescape("".join(linked))).strip()
-                out.append(Block(text, text.count(" ") + 1, anchors.count(" ") + 1 if anchors else 0, outside > 0, main > 0, items > 0, headings > 0))
-            parts.clear()
-            linked.clear()
-
-    def count(tag: str, off: bool, by: int) -> None:
-        nonlocal links, outside, main, items, silent, headings
-        outside += by * off
-        main += by * (tag in MAIN_TAGS)
-        items += by * (tag in ("li", "td", "th", "option", "dt"))
-        silent += by * (tag in SILENT_TAGS)
-        headings += by * (tag in HEADINGS)
-        links += by * (tag == "a")
-
-    def pop(to: int) -> None:
-        while len(stack) > to:
-            count(*stack.pop(), -1)
-
-    at = 0
-    while True:
-        m = TAG.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text and not silent:
-            parts.append(text)
-            if links:
-                linked += (text, " ")
-        if m is None:
-            break
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA[") and not silent:
-                parts.append(html.escape(m[0][9:].removesuffix("]]>")))
-            continue
-        tag, ending, attributes = m[2].lower(), bool(m[1]), m[3]
+                anchors = SPACE.sub(" ", "".join(self.linked)).strip()
+                words = text.count(" ") + 1
+                linked = min(words, anchors.count(" ") + 1) if anchors else 0
+                self.out.blocks.append(Block(text, words, linked, self.marks[-1], self.mains > 0, self.items > 0, self.headings > 0))
+            self.parts.clear()
+            self.linked.clear()
+
+    def push(self, tag: str, attributes: dict[str, str], silent: bool) -> None:
+        off, comments = outside(tag, attributes, self.mains > 0)
+        if off:
+            self.out.around.append(self.marks[-1])
+            self.out.comments.append(comments)
+            self.out.within.append(self.mains > 0)
+            self.marks.append(len(self.out.around) - 1)
+        link = tag == "a" and "href" in attributes
+        place = len(self.stack)
+        self.stack.append((tag, silent, off, link))
+        self.open.setdefault(tag, []).append(place)
+        if tag in BLOCK_TAGS:
+            self.blocks_open.append(place)
+        if tag in ("article", "main", "table", "body"):
+            self.barriers.append(place)
+        self.count(tag, silent, link, 1)
+
+    def count(self, tag: str, silent: bool, link: bool, by: int) -> None:
+        self.silent += by * silent
+        self.links += by * link
+        self.mains += by * (tag in MAIN_TAGS)
+        self.items += by * (tag in ITEMS)
+        self.headings += by * (tag in HEADINGS)
+
+    def pop(self, to: int) -> None:
+        while len(self.stack) > to:
+            tag, silent, off, link = self.stack.pop()
+            self.open[tag].pop()
+            for places in (self.blocks_open, self.barriers):
+                if places and places[-1] == len(self.stack):
+                    places.pop()
+            if off:
+                self.marks.pop()
+            self.count(tag, silent, link, -1)
+
+    def last(self, tag: str) -> int:
+        places = self.open.get(tag)
+        return places[-1] if places else -1
+
+    def text(self, chunk: str) -> None:
+        if not chunk:
+            return
+        if self.stack and self.stack[-1][0] == "head" and not chunk.isspace():
+            self.pop(len(self.stack) - 1)  # text ends the head
+        if not self.silent:
+            decoded = html.unescape(chunk)
+            self.parts.append(decoded)
+            if self.links:
+                self.linked += (decoded, " ")
+
+    def attributes(self, at: int, wanted: bool) -> tuple[dict[str, str], int, bool]:
+        """Attributes from here to the end of the tag, the place behind it, and whether it closes itself."""
+        page, found = self.page, {}
+        n, slash = len(page), False
+        while True:
+            gap = GAP.match(page, at)
+            slash = gap.end() > at and page[gap.end() - 1] == "/"
+            at = gap.end()
+            if at >= n:
+                return found, n, slash
+            if page[at] == ">":
+                return found, at + 1, slash
+            m = ATTRIBUTE.match(page, at)
+            at, value = m.end(), ""
+            if m[2]:
+                quote = page[at : at + 1]
+                if quote == '"' and at < self.last_double or quote == "'" and at < self.last_single:
+                    end = page.index(quote, at + 1)
+                    value, at = page[at + 1 : end], end + 1
+                else:  # no quotes, or one that is never closed
+                    bare = BARE.match(page, at)
+                    value, at = bare[0], bare.end()
+            if wanted:
+                found.setdefault(m[1].lower(), value)
+
+    def start(self, tag: str, at: int) -> int:
+        attributes, at, closed = self.attributes(at, True)
         if tag in BLOCK_TAGS:
-            close()
-        if ending:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if stack[k][0] in ("article", "main", "table", "body") and tag not in ("html", "body", "main", "article"):
-                    break
-            continue
-        if tag in VOID_TAGS or attributes.rstrip().endswith("/") and tag not in BLOCK_TAGS and tag not in SILENT_TAGS:
-            continue
-        if tag in ("p", "li", "option", "dt", "dd", "tr", "td", "th") or tag in BLOCK_TAGS and stack and any(t == "p" for t, _ in stack):
-            # These end an open one of their kind, and any block ends a paragraph.
-            ends = {"p"} | ({tag} if tag != "p" else set()) | ({"td", "th"} if tag in ("td", "th", "tr") else set()) | ({"dt", "dd"} if tag in ("dt", "dd") else set())
-            for k in range(len(stack) - 1, -1, -1):
-                t = stack[k][0]
-                if t in ends:
-                    pop(k)
-                    break
-                if t in BLOCK_TAGS:
-                    break
-        off = _outside(tag, attributes, main > 0)
+            self.close_block()
+        if self.open.get("head") and tag not in HEAD_TAGS and tag != "head":
+            self.pop(self.last("head"))  # what cannot be in the head ends it
+        foreign = max(self.last("svg"), self.last("math"))
+        if foreign >= 0 and tag in BLOCK_TAGS and tag != "title":
+            self.pop(foreign)  # so with drawings and formulas
+        if tag in VOID_TAGS or closed and tag not in BLOCK_TAGS and (tag not in SILENT_TAGS or tag in ("svg", "math")):
+            return at
+        if tag == "a" and self.last("a") > (self.blocks_open[-1] if self.blocks_open else -1):
+            self.pop(self.last("a"))  # links do not nest
+        ends = ENDS.get(tag, ("p",) if tag in BLOCK_TAGS else ())
+        while ends and self.blocks_open and any(self.last(t) == self.blocks_open[-1] for t in ends):
+            self.pop(self.blocks_open[-1])
+        silent = tag in SILENT_TAGS and (tag == "head" or self.end_after(tag, at))
         if tag in RAW_TAGS:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        stack.append((tag, off))
-        count(tag, off, 1)
-    close()
-    return out
+            if silent:
+                end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(self.page, at)
+                return self.attributes(end.end(), False)[1]
+            return len(self.page) if tag in ("script", "style") else at
+        self.push(tag, attributes, silent)
+        return at
+
+    def end(self, tag: str) -> None:
+        if tag in BLOCK_TAGS:
+            self.close_block()
+        place = self.last(tag)
+        barrier = self.barriers[-1] if self.barriers else -1
+        if place >= 0 and (place >= barrier or tag in ("html", "body", "main", "article")):
+            self.pop(place)
+
+    def read(self) -> Page:
+        page, at, n = self.page, 0, len(self.page)
+        while at < n:
+            lt = page.find("<", at)
+            if lt < 0 or lt + 1 >= n:
+                self.text(page[at:])
+                break
+            after = page[lt + 1]
+            if after.isascii() and after.isalpha():
+                self.text(page[at:lt])
+                m = TAG_NAME.match(page, lt + 1)
+                at = self.start(m[0].lower(), m.end())
+            elif after == "/" and page[lt + 2 : lt + 3].isascii() and page[lt + 2 : lt + 3].isalpha():
+                self.text(page[at:lt])
+                m = TAG_NAME.match(page, lt + 2)
+                at = self.attributes(m.end(), False)[1]
+                self.end(m[0].lower())
+            elif page.startswith("<!--", lt):
+                self.text(page[at:lt])
+                end = page.find("-->", lt + 2)
+                at = end + 3 if end >= 0 else n
+            elif page.startswith("<![CDATA[", lt):
+                self.text(page[at:lt])
+                end = page.find("]]>", lt)
+                self.text(html.escape(page[lt + 9 : end if end >= 0 else n]))
+                at = end + 3 if end >= 0 else n
+            elif after in "!?/":
+                self.text(page[at:lt])
+                end = page.find(">", lt)
+                at = end + 1 if end >= 0 else n
+            else:  # a mere sign
+                self.text(page[at : lt + 1])
+                at = lt + 1
+        self.close_block()
+        return self.out
+
+
+def read(page: str) -> Page:
+    return Reader(page).read()
 
 
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "outside", "placed", "item", "heading")
 
 
-def features(page: list[Block]) -> list[tuple[float, ...]]:
+def features(page: Page) -> list[tuple[float, ...]]:
     """A row of FEATURES for each block; blocks beyond the page's ends have no words.
 
-    placed: 1 within an article or main element, 0 beside one, 0.5 on a page without any.
+    outside: within an element that counts as such. placed: 1 within an article or main element that is
+    not itself outside, 0 beside one, 0.5 where such elements have less than three tenths of the page's unmarked words that are no links.
     """
-    elsewhere = 0.0 if any(b.inside for b in page) else 0.5
-    flat = [(0.0, 0.0), *((float(b.words), b.linked / b.words) for b in page), (0.0, 0.0)]
+    off = page.outside()
+    inside = [b.inside and not x for b, x in zip(page.blocks, off, strict=True)]
+    plain = [(b.words - b.linked) * (not x) for b, x in zip(page.blocks, off, strict=True)]
+    core = sum(n for n, x in zip(plain, inside, strict=True) if x)
+    beside = 0.0 if any(inside) and 10 * core >= 3 * sum(plain) else 0.5
+    flat = [(0.0, 0.0), *((float(b.words), b.linked / b.words) for b in page.blocks), (0.0, 0.0)]
     return [
-        (*flat[i + 1], *flat[i], *flat[i + 2], float(b.outside), 1.0 if b.inside else elsewhere, float(b.item), float(b.heading))
-        for i, b in enumerate(page)
+        (*flat[i + 1], *flat[i], *flat[i + 2], float(off[i]), (1.0 if inside[i] and beside == 0.0 else beside), float(b.item), float(b.heading))
+        for i, b in enumerate(page.blocks)
     ]
 
 
-#: Labelled blocks, invented: FEATURES, then 1 for main text.
+#: Invented pages; {+n} stands for n words of main text, {-n} for n words of something else.
 LABELLED = (
-    # within an article or main element, not marked as outside
-    (12, 0, 1, 1, 80, 0, 0, 1, 0, 1, 1), (80, 0, 12, 0, 45, 0, 0, 1, 0, 0, 1), (2, 0, 60, 0, 40, 0, 0, 1, 0, 0, 1), (1, 0, 9, 0, 3, 0, 0, 1, 0, 0, 1), (25, 0.2, 30, 0, 60, 0, 0, 1, 0, 0, 1),
-    (6, 0, 25, 0, 7, 0, 0, 1, 1, 0, 1), (7, 0, 6, 0, 120, 0, 0, 1, 1, 0, 1), (150, 0.05, 0, 0, 0, 0, 0, 1, 0, 0, 1), (9, 1, 70, 0, 50, 0, 0, 1, 0, 0, 1), (4, 0, 90, 0, 9, 0, 0, 1, 0, 1, 1),
-    (40, 0, 8, 0, 6, 0.2, 0, 1, 0, 0, 1), (3, 0, 5, 0, 2, 0, 0, 1, 0, 1, 1), (2, 0, 3, 0, 11, 0, 0, 1, 0, 0, 1), (5, 1, 2, 1, 3, 1, 0, 1, 1, 0, 1), (30, 0.9, 4, 1, 6, 0, 0, 1, 0, 0, 1),
-    (3, 0, 0, 0, 2, 1, 0, 1, 0, 0, 1), (8, 0, 60, 0, 0, 0, 0, 1, 0, 0, 1), (1, 0, 1, 1, 1, 0, 0, 1, 0, 0, 1), (2, 0.5, 14, 0, 5, 0, 0, 1, 1, 0, 1), (18, 0, 2, 1, 4, 0, 0, 1, 0, 0, 1),
-    # within one, marked as outside: comments, adverts, share links
-    (30, 0, 60, 0, 30, 0, 1, 1, 0, 0, 0), (55, 0, 4, 0, 20, 0, 1, 1, 0, 0, 0), (6, 1, 40, 0, 5, 1, 1, 1, 1, 0, 0), (3, 0, 50, 0, 14, 0, 1, 1, 0, 1, 0), (90, 0, 30, 0, 12, 0, 1, 1, 0, 0, 0),
-    (16, 0.1, 0, 0, 80, 0, 1, 1, 0, 0, 0), (45, 0, 45, 0, 45, 0, 1, 1, 0, 0, 0), (25, 0.2, 12, 0, 2, 0, 1, 1, 1, 0, 0),
-    # beside one
-    (1, 1, 0, 0, 1, 1, 1, 0, 1, 0, 0), (2, 1, 1, 1, 1, 1, 1, 0, 1, 0, 0), (14, 0, 1, 1, 12, 0, 1, 0, 0, 0, 0), (20, 0, 90, 0, 0, 0, 1, 0, 0, 0, 0), (60, 0, 20, 0, 45, 0, 1, 0, 0, 0, 0),
-    (45, 0, 60, 0, 0, 0, 0, 0, 0, 0, 0), (5, 0, 45, 0, 0, 0, 0, 0, 0, 1, 0), (18, 0, 2, 1, 10, 0, 0, 0, 0, 0, 0), (70, 0, 50, 0, 40, 0, 0, 0, 0, 0, 0), (24, 0.1, 30, 0, 60, 0, 0, 0, 0, 0, 0),
-    # on a page without one: long blocks of few links, and short ones between such
-    (60, 0, 30, 0, 45, 0, 0, 0.5, 0, 0, 1), (25, 0.1, 50, 0, 60, 0, 0, 0.5, 0, 0, 1), (120, 0.02, 3, 1, 2, 1, 0, 0.5, 0, 0, 1), (16, 0, 40, 0, 22, 0, 0, 0.5, 0, 0, 1),
-    (5, 0, 40, 0, 60, 0, 0, 0.5, 0, 0, 1), (3, 0, 33, 0, 28, 0, 0, 0.5, 0, 0, 1), (7, 0, 2, 1, 70, 0, 0, 0.5, 0, 1, 1), (9, 0, 50, 0, 30, 0, 0, 0.5, 1, 0, 1),
-    (35, 0.1, 0, 0, 0, 0, 0, 0.5, 0, 0, 1), (22, 0, 4, 0, 3, 0.5, 0, 0.5, 0, 0, 1), (6, 0, 1, 1, 35, 0, 0, 0.5, 0, 1, 1), (18, 0, 6, 0, 50, 0, 0, 0.5, 1, 0, 1),
-    (45, 0, 60, 0, 5, 0.5, 0, 0.5, 0, 0, 1), (30, 0, 80, 0, 0, 0, 0, 0.5, 0, 0, 1), (18, 0, 0, 0, 0, 0, 0, 0.5, 0, 0, 1), (24, 0, 12, 0, 10, 0, 0, 0.5, 0, 0, 1), (60, 0.05, 40, 0, 3, 1, 0, 0.5, 0, 0, 1),
-    (15, 0, 30, 0, 6, 1, 0, 0.5, 0, 0, 1), (13, 0, 45, 0, 0, 0, 0, 0.5, 0, 0, 1), (26, 0.15, 20, 0, 14, 0, 0, 0.5, 0, 0, 1), (19, 0, 4, 1, 12, 0, 0, 0.5, 0, 0, 1), (80, 0, 70, 0, 8, 1, 0, 0.5, 0, 0, 1),
-    (8, 0.1, 5, 1, 3, 0, 0, 0.5, 0, 0, 0), (7, 0, 3, 1, 6, 1, 0, 0.5, 0, 0, 0), (10, 0.8, 40, 0, 30, 0, 0, 0.5, 1, 0, 0), (40, 0.9, 3, 1, 2, 1, 0, 0.5, 0, 0, 0),
-    (2, 1, 1, 1, 3, 1, 0, 0.5, 1, 0, 0), (4, 1, 2, 1, 2, 1, 0, 0.5, 0, 0, 0), (12, 0.9, 5, 1, 8, 0.8, 0, 0.5, 0, 0, 0), (30, 0.8, 10, 1, 12, 1, 0, 0.5, 0, 0, 0),
-    (5, 0, 3, 1, 2, 1, 0, 0.5, 0, 0, 0), (4, 0, 0, 0, 2, 1, 0, 0.5, 0, 0, 0), (6, 0, 4, 0.5, 0, 0, 0, 0.5, 0, 0, 0), (3, 0, 2, 0, 3, 0, 0, 0.5, 0, 0, 0), (20, 0.7, 60, 0, 4, 1, 0, 0.5, 0, 0, 0),
-    (40, 0, 60, 0, 30, 0, 1, 0.5, 0, 0, 0), (70, 0.1, 3, 0, 4, 0, 1, 0.5, 0, 0, 0), (9, 0, 40, 0, 60, 0, 1, 0.5, 0, 1, 0), (8, 1, 45, 0, 2, 1, 1, 0.5, 1, 0, 0), (35, 0, 50, 0, 45, 0, 1, 0.5, 0, 0, 0),
+    # an article with what usually surrounds it
+    "<title>{-5}</title><nav><ul><li><a>{-1}</a><li><a>{-2}</a><li><a>{-1}</a></ul></nav><div class=ad>{-9}</div><article><h1>{+8}</h1><p>{+1}<p>{+60}<p>{+14}<br>{+3}<ul><li>{+6}<li><a>{+5}</a></ul>"
+    "<div class=share><a>{-1}</a></div><div class=related><a>{-7}</a></div></article><section id=comments><h3>{-2}</h3><p>{-30}<p>{-55}</section><footer>{-14}</footer>",
+    "<div class=cookie-notice>{-16} <a>{-2}</a></div><header><a>{-2}</a></header><main><h2>{+4}</h2><p>{+2}<p>{+25}<p><a>{+9}</a><p>{+120}<table><tr><td>{+2}<td>{+1}</table><aside>{-40}</aside><form>{-5}</form></main><p>{-18}<footer>{-6}</footer>",
+    "<p>{-12}<div>{-45}</div><article>{+90}<blockquote>{+22}</blockquote><p>{+5}</article><p>{-3}<div>{-9}</div>",
+    "<div><a>{-3}</a></div><article><header><h1>{+5}</h1><p>{+3}</header><p><a>{+30}</a> {+2}<p>{+40}<footer>{-8}</footer></article><div>{-24} <a>{-2}</a></div><div>{-30}</div>",
+    "<ul><li><a>{-1}</a><li><a>{-1}</a></ul><main><p>{+7}</main>",
+    # pages without such an element: blocks of many words and few links, and short ones beside them
+    "<nav><a>{-1}</a> <a>{-1}</a></nav><h1>{+6}</h1><div>{+60}</div><div>{+25} <a>{+3}</a></div><div>{+5}</div><div>{+90}</div><div><a>{-2}</a></div><div><a>{-4}</a></div><div>{-5}</div>",
+    "<div><a>{-1}</a></div><div><a>{-2}</a></div><div>{-4}</div><div><a>{-1}</a></div><p>{+35}<p>{+16}<p>{+7}<p>{+45}<p>{+3}<p>{+28}<div class=footer>{-20}</div>",
+    "<p>{+18}", "<div>{+120}</div><p><a>{-3}</a>", "<p>{+24}<p>{+12}<p>{+10}", "<h2>{+7}</h2><p>{+70}<h2>{+4}</h2><p>{+33}<ul><li>{+9}<li>{+18}</ul><p>{+50}",
+    "<div><a>{-3}</a></div><div>{-7}</div><div><a>{-6}</a></div><div>{-3} <a>{-9}</a></div><p>{+40}<p>{+22} <a>{+2}</a><p>{+15}<p><a>{-30}</a><p><a>{-12}</a> {-2}",
+    "<div class=header><a>{-2}</a> {-6}</div><p>{+80}<p>{+13}<div class=comments><p>{-40}<p>{-70}</div><div class=sidebar><h3>{-3}</h3><ul><li><a>{-8}</a></ul></div>",
+    "<p>{-4}<ul><li><a>{-2}</a><li><a>{-1}</a><li><a>{-3}</a></ul><p>{+65}<p>{+30}<div>{-6}</div><ul><li><a>{-20}</a> {-8}<li><a>{-15}</a> {-2}</ul><p>{-6}",
+    "<h1>{+5}</h1><p>{+19}<p><a>{-2}</a><div>{-8} <a>{-1}</a></div><div><a>{-2}</a></div>", "<div>{-3}</div><div>{-2}</div><div>{-3}</div>", "<p>{+26} <a>{+4}</a><p>{+14}",
 )
 
 
-def grow(rows: tuple[tuple[float, ...], ...], depth: int = 8, least: int = 1):
+def labelled_rows(pages: tuple[str, ...] = LABELLED) -> list[tuple[float, ...]]:
+    """FEATURES and then 1 for main text or 0, of every block of the labelled pages."""
+
+    def filled(m: re.Match) -> str:
+        return " ".join([m[1]] * int(m[2]))
+
+    out = []
+    for page in pages:
+        found = read(re.sub(r"\{([+-])(\d+)\}", filled, page.replace("<a>", "<a href=x>")))
+        out += [(*row, int(b.text[0] == "+")) for b, row in zip(found.blocks, features(found), strict=True)]
+    return out
+
+
+def grow(rows: list[tuple[float, ...]], depth: int = 8, least: int = 1):
     """A tree by Gini impurity: a share of main text, or (feature, threshold, at or below, above)."""
     share = sum(r[-1] for r in rows) / len(rows)
     if depth == 0 or share in (0, 1) or len(rows) < 2 * least:
@@ -201,7 +391,7 @@ def grow(rows: tuple[tuple[float, ...], ...], depth: int = 8, least: int = 1):
     if best is None:
         return share
     _, f, cut = best
-    return f, cut, grow(tuple(r for r in rows if r[f] <= cut), depth - 1, least), grow(tuple(r for r in rows if r[f] > cut), depth - 1, least)
+    return f, cut, grow([r for r in rows if r[f] <= cut], depth - 1, least), grow([r for r in rows if r[f] > cut], depth - 1, least)
 
 
 def predict(tree, row: tuple[float, ...]) -> float:
@@ -212,17 +402,17 @@ def predict(tree, row: tuple[float, ...]) -> float:
 
 def main_text(page: str | None, tree) -> str:
     """The main blocks, white space made single spaces, joined by spaces; empty for no page."""
-    found = blocks(page or "")
-    return " ".join(b.text for b, row in zip(found, features(found), strict=True) if predict(tree, row) >= 0.5)
+    found = read(page or "")
+    return " ".join(b.text for b, row in zip(found.blocks, features(found), strict=True) if predict(tree, row) >= 0.5)
 
 
-def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html_column: str = "html", labelled=LABELLED) -> DataFrame:
+def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html_column: str = "html", labelled: tuple[str, ...] = LABELLED) -> DataFrame:
     """page_id, url, text and n_chars of each page.
 
     Null or empty html gives an empty text; null keys and addresses stay null; repeated
-    rows give repeated results; other columns are not used.
+    rows give repeated results; an empty table gives no rows; other columns are not used.
     """
-    tree = grow(labelled)
+    tree = grow(labelled_rows(labelled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
