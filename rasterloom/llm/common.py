@@ -28,19 +28,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
+    """A new path, with its scheme, in the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in tests, a temporary folder stands in.
+    Where that setting is absent a temporary folder stands in if everything runs in one
+    process, as in tests; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.gettempdir() + "/rasterloom-scratch"
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = qualified(spark, f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}")
     if (scope := _scope.get()) is not None:
         scope.append(path)
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme; without one it is in Spark's default file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 @contextlib.contextmanager
 def scratch_scope(paths: list[str]) -> Iterator[list[str]]:
     """Collect the scratch paths made inside, so that a caller can delete them later."""

@@ -25,9 +25,6 @@ from pyspark.sql import Window as W
 from rasterloom.llm import common
 from rasterloom.llm.tokens import KEPT, encoder
 
-#: Most intervals that the plan may have before it is joined instead of broadcast.
-PLAN_LIMIT = 500_000
-
 
 class CapacityTree:
     """Segment tree over remaining capacities 0..capacity; a leaf is set while bins of it are open."""
@@ -128,17 +125,13 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     base = per_part.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     # At most ``capacity`` rows, whatever the corpus.
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = np.array(best_fit_decreasing(counts, capacity), np.int64).reshape(-1, 5)
+    steps = np.array(best_fit_decreasing(counts, capacity), np.int64).reshape(-1, 5)
+    # A step per length and interval of equal bins: bounded by the square of the capacity, whatever the corpus.
+    shared = pieces.sparkSession.sparkContext.broadcast((steps, {int(x): (int(a), int(b)) for x, a, b in zip(*_runs(steps[:, 0]), strict=True)}))
     ranked = pieces.join(base, ["length", "part"]).withColumn("rank", F.col("base") + F.col("place")).drop("base", "part", "place")
-    if len(plan) > PLAN_LIMIT:
-        steps = pieces.sparkSession.createDataFrame(plan.tolist(), "length long, lo long, n long, bin long, offset long")
-        return (
-            ranked.join(steps, "length").where("rank >= lo and rank < lo + n")
-            .withColumn("sequence_id", F.expr("bin + rank - lo")).drop("lo", "n", "bin", "rank")
-        )
-    first = {int(x): (int(a), int(b)) for x, a, b in zip(*_runs(plan[:, 0]), strict=True)}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, first = shared.value
         for batch in batches:
             length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
             sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)

@@ -130,10 +130,12 @@ def decode_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
 
 
 def open_fs(uri: str):
-    """pyarrow's file system and the path in it."""
+    """pyarrow's file system and the path in it; the path has a scheme, see common.qualified."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
+    if uri.startswith("file:/") and not uri.startswith("file://"):  # as Hadoop writes it
+        uri = "file://" + uri[5:]
+    return fs.FileSystem.from_uri(uri)
 
 
 class TokenFileWriter:
@@ -214,40 +216,49 @@ def read_token_file(source, size: int) -> Iterator[tuple[int | None, int, np.nda
         start += need
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, out: str, *, key: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
-    """Encode whole texts and write them in ascending key order, one file per range of keys.
+def write_token_files(docs: DataFrame, tokenizer: str, out: str, *, key: str = "doc_id", text: str = "text", end_id: int = 0, rotate: int = 1 << 28) -> DataFrame:
+    """Encode whole texts and write them in ascending key order, one or more files per range of keys.
 
-    Returns the manifest (part, path, bytes, n_docs, n_ids), stored: a file counts once its
+    Returns the manifest (part, number, path, bytes, n_docs, n_ids), stored: a file counts once its
     row is there, so files of failed or repeated attempts are ignored. Null texts are empty,
-    null keys come first, equal keys are ordered by text, repeated rows stay.
+    null keys come first, equal keys are ordered by a hash of the text, repeated rows stay; rows
+    of one key may fill several ranges. A file of ``rotate`` ids is closed, which bounds its index.
     """
     spark = docs.sparkSession
+    out = common.qualified(spark, out)
     open_fs(out)[0].create_dir(open_fs(out)[1], recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = None
+        task, number = TaskContext.get().partitionId(), 0
+        writer = stream = path = None
+
+        def closed() -> pa.RecordBatch:
+            size = writer.close()
+            stream.close()
+            return pa.RecordBatch.from_pydict({"part": [task], "number": [number], "path": [path], "bytes": [size], "n_docs": [len(writer.keys)], "n_ids": [writer.total]})
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if writer is None:
-                number = TaskContext.get().partitionId()
-                path = f"{out}/part-{number:06d}-{uuid.uuid4().hex}.pfor"
-                fs, at = open_fs(path)
-                stream = fs.open_output_stream(at, compression=None)
-                writer = TokenFileWriter(stream, end_id)
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for k, ids in zip(part.column(0).to_pylist(), encoder(tokenizer).encode_many(texts), strict=True):
+                    if writer is None:
+                        path = f"{out}/part-{task:06d}-{number:04d}-{uuid.uuid4().hex}.pfor"
+                        fs, at = open_fs(path)
+                        stream = fs.open_output_stream(at, compression=None)
+                        writer = TokenFileWriter(stream, end_id)
                     writer.add(k, ids)
+                    if writer.total + writer.waiting >= rotate:
+                        yield closed()
+                        writer, number = None, number + 1
         if writer is not None:
-            size = writer.close()
-            stream.close()
-            yield pa.RecordBatch.from_pydict({"part": [number], "path": [path], "bytes": [size], "n_docs": [len(writer.keys)], "n_ids": [writer.total]})
+            yield closed()
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    ranged = rows.repartitionByRange(common.parts(spark), "key").sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
-    return common.stored(ranged.mapInArrow(write, "part long, path string, bytes long, n_docs long, n_ids long"), "pfor-manifest")
+    # The row number keeps even equal rows from filling one range.
+    order = [F.col("key").asc_nulls_first(), F.xxhash64(F.coalesce("text", F.lit(""))), F.monotonically_increasing_id()]
+    ranged = rows.repartitionByRange(common.parts(spark), *order).sortWithinPartitions(*order[:2])
+    return common.stored(ranged.mapInArrow(write, "part long, number long, path string, bytes long, n_docs long, n_ids long"), "pfor-manifest")
 
 
 def read_token_files(manifest: DataFrame, each, schema: str) -> DataFrame:
@@ -255,7 +266,7 @@ def read_token_files(manifest: DataFrame, each, schema: str) -> DataFrame:
 
     Starts count from the first file: the sums over the manifest, a row per file.
     """
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    before = W.orderBy("part", "number").rowsBetween(W.unboundedPreceding, -1)
     files = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

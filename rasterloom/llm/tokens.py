@@ -3,12 +3,15 @@
 A byte-level BPE never merges across the pieces into which its pattern cuts a
 text, so a text's ids are those of its pieces, one after another. Pieces repeat;
 their ids are taken from the library once and kept. Texts with characters
-outside Latin-1, where Unicode tables of two libraries might differ, go to the
-library whole.
+outside Latin-1, where Unicode tables of two libraries might differ, and texts
+with the string of an added token, which the library finds before it cuts, go to
+the library whole. So does everything for a vocabulary that is not of this kind:
+one with another pattern, a normalizer or a post-processor that joins pieces.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -30,22 +33,41 @@ def default_tokenizer() -> str:
 KEPT = 900_000
 
 
+def cuts_like_pieces(path: str) -> bool:
+    """Whether PIECES cuts as this tokenizer does, so that ids of pieces are ids of the text."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    before, model = said.get("pre_tokenizer") or {}, said.get("model") or {}
+    byte_level = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    after = (said.get("post_processor") or {}).get("type", "ByteLevel") == "ByteLevel" and not (said.get("post_processor") or {}).get("trim_offsets")
+    return bool(byte_level and model.get("type") == "BPE" and plain and after and not any(said.get(k) for k in ("normalizer", "truncation", "padding")))
+
+
 class CachedEncoder:
-    """Ids as little-endian uint32 bytes; offsets as int32 pairs (start, end) of characters."""
+    """Ids as little-endian uint32 bytes; offsets as int32 pairs (start, end) of characters.
+
+    Both are what ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` gives.
+    """
 
     def __init__(self, path: str, limit: int = KEPT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.pieces = cuts_like_pieces(path)
+        line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.pieces = self.pieces and len(line_feed) == 1
+        self.line_feed = line_feed[0] if self.pieces else None
         self.limit = limit
         self.ids: dict[str, bytes] = {}
         self.spans: dict[str, bytes] = {}
 
-    @staticmethod
-    def _plain(text: str) -> bool:
+    def _plain(self, text: str) -> bool:
+        if not self.pieces or self.added is not None and self.added.search(text):
+            return False
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -40,6 +41,16 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def escaped(url: str) -> str:
+    """Bytes of white space, control characters and '%5C' as '%5C' and two hexadecimal digits: a header line
+    cannot hold them or would lose them, and a reader gets the address back as it was."""
+    return re.sub(r"[\s\x00-\x1f\x7f]|%5C", lambda m: "".join(f"%5C{b:02X}" for b in m[0].encode()), url)
+
+
+def unescaped(field: str) -> str:
+    return re.sub(r"(?:%5C[0-9A-F]{2})+", lambda m: bytes.fromhex(m[0].replace("%5C", "")).decode(), field)
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None) -> bytes:
     """A response, or with ``refers_to`` a revisit that carries no payload."""
     kind = "response" if refers_to is None else "revisit"
@@ -50,7 +61,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         ("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("WARC-Block-Digest", f"sha1:{digest(block)}"),
     ]
     if url is not None:
-        fields.append(("WARC-Target-URI", " ".join(url.split())))
+        fields.append(("WARC-Target-URI", escaped(url)))
     if refers_to is not None:
         fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
     fields.append(("Content-Length", str(len(block))))
@@ -182,7 +193,7 @@ def read_record(data: bytes) -> dict:
     elif kind != "revisit" or payload or len(lengths) != 1 or "WARC-Refers-To" not in fields:
         raise WarcError(f"bad {kind} record")
     return {
-        "page_id": _urn(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "payload": payload if kind == "response" else None, "payload_bytes": lengths[0],
+        "page_id": _urn(fields["WARC-Record-ID"]), "url": unescaped(fields["WARC-Target-URI"]) if "WARC-Target-URI" in fields else None, "payload": payload if kind == "response" else None, "payload_bytes": lengths[0],
         "payload_digest": said, "record_type": kind, "refers_to": _urn(fields["WARC-Refers-To"]) if kind == "revisit" else None,
     }
 
@@ -196,11 +207,13 @@ def write_archives(pages: DataFrame, out: str, *, key: str = "page_id", url: str
     Archives of failed or repeated attempts are not in the manifest.
     """
     spark = pages.sparkSession
+    out = common.qualified(spark, out)
     open_fs(out)[0].create_dir(open_fs(out)[1], recursive=True)
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     # Length and SHA-1 tell payloads apart as the records do; counting is combined before the shuffle.
     digests = rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha"), F.octet_length("html").alias("n"))
     firsts = digests.where(F.col("n") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    firsts = common.stored(firsts, "warc-firsts")  # as a table of its own it lets Spark split a payload that very many rows share
     marked = rows.withColumn("sha", F.sha1(F.col("html").cast("binary"))).join(firsts, "sha", "left").withColumn(
         "refers_to", F.when((F.octet_length("html") >= least) & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
     )

@@ -7,13 +7,20 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from rasterloom.llm import common, decontamination, fingerprints, html_text, jaccard_join, packing, pfor, suffix_dedup, token_counts, toxicity, warc
+from rasterloom.llm import common, fingerprints, jaccard_join, packing, pfor, suffix_dedup, token_counts, toxicity, warc
 from rasterloom.llm.tokens import CachedEncoder, default_tokenizer
+from tokenizers import Tokenizer
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, tkey string, key string, g int, doc string, spans int, run int"
 
 
+def library():
+    """As the library gives it, without any of this package's code or settings."""
+    return Tokenizer.from_file(default_tokenizer())
+
+
 def words(rng, n):
     return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8))) for _ in range(n))
 
@@ -33,6 +40,7 @@ def corpus(spark):
         copy = list(near)
         copy[20 * k + 3] = "changed"
         texts.append(" ".join(copy))
+    texts += ["one <|endoftext|> two", "three<|endoftext|>\n four"]
     texts += [words(rng, 60) + " " + base[5] + " " + words(rng, 50) for _ in range(4)]
     ids = [*range(len(texts) - 2), 3, None]
     return table(spark, texts, ids), list(zip(ids, texts, strict=True))
@@ -52,10 +60,12 @@ def key(row):
 
 def test_cached_encoder_equals_the_library():
     encoder, rng = CachedEncoder(default_tokenizer(), limit=200), random.Random(1)
-    library = CachedEncoder(default_tokenizer()).tokenizer
-    for _ in range(2000):
+    own = library()
+    for k in range(2000):
         t = "".join(rng.choice([chr(rng.randrange(256)), " ", "\n", "'s", "é", "a", "1", "  ", "\xa0", "œ" if rng.random() < 0.01 else "b"]) for _ in range(rng.randrange(30)))
-        e = library.encode(t, add_special_tokens=False)
+        if k % 10 == 0:
+            t = t[: k % 7] + " <|endoftext|>" + t[k % 7 :] + "<|endoftext"
+        e = own.encode(t, add_special_tokens=False)
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == e.ids
         assert encoder.offsets(t).tolist() == [list(x) for x in e.offsets]
 
@@ -71,7 +81,7 @@ def test_pfor_blocks_round_trip(n):
 
 
 def expected_ids(t, end):
-    return np.array([*CachedEncoder(default_tokenizer()).tokenizer.encode(t or "", add_special_tokens=False).ids, end], "<u4")
+    return np.array([*library().encode(t or "", add_special_tokens=False).ids, end], "<u4")
 
 
 def test_token_files(spark, corpus, none):
@@ -79,7 +89,8 @@ def test_token_files(spark, corpus, none):
     manifest = pfor.write_token_files(docs, default_tokenizer(), common.scratch_path(spark, "t"), end_id=0)
     got = pfor.read_token_files(manifest, pfor.crc_row, "doc_id long, start long, n_tokens long, ids_crc32 long").collect()
     start, expected = 0, []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    order = {t: h for t, h in docs.select("text", F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, order[r[1]])):
         ids = expected_ids(t, 0)
         expected.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
@@ -88,6 +99,26 @@ def test_token_files(spark, corpus, none):
     assert pfor.read_token_files(empty, pfor.crc_row, "doc_id long, start long, n_tokens long, ids_crc32 long").count() == 0
 
 
+def test_token_files_of_few_ids(spark, corpus):
+    """More files than ranges, and rows of one key in several of them, still follow one another."""
+    docs, rows = corpus
+    manifest = pfor.write_token_files(docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long"))), default_tokenizer(), common.scratch_path(spark, "t"), end_id=0, rotate=400)
+    got = sorted(pfor.read_token_files(manifest, pfor.crc_row, "doc_id long, start long, n_tokens long, ids_crc32 long").collect(), key=lambda r: r.start)
+    assert manifest.count() > spark.conf.get("spark.sql.shuffle.partitions").__len__() and len(got) == 2 * len(rows)
+    keys = [(r.doc_id is not None, r.doc_id or 0) for r in got]
+    assert keys == sorted(keys) and all(x.start + x.n_tokens == y.start for x, y in zip(got, got[1:], strict=False))
+    assert Counter(r.ids_crc32 for r in got) == Counter(zlib.crc32(expected_ids(t, 0).tobytes()) for _, t in [*rows, *rows])
+
+
+def test_other_vocabularies_go_to_the_library_whole():
+    other = default_tokenizer().replace("byte_bpe_50k", "word_bpe_49k")
+    encoder, own = CachedEncoder(other), Tokenizer.from_file(other)
+    assert not encoder.pieces and CachedEncoder(default_tokenizer()).pieces
+    for t in ("Hello  there, WORLD's 12", "a\nb <|endoftext|> c", ""):
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == own.encode(t, add_special_tokens=False).ids
+        assert encoder.offsets(t).tolist() == [list(x) for x in own.encode(t, add_special_tokens=False).offsets]
+
+
 def test_token_file_that_is_cut_short_is_refused(spark, corpus, tmp_path):
     import io
 
@@ -147,15 +178,15 @@ def test_packing(spark, corpus, none):
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(spark, rule):
     text = "one two\n\nthree  \n four é\nfive"
-    texts = [text, "", None, "x" * 3000 + "\n" + "y"]
+    texts = [text, "", None, "x" * 3000 + "\n" + "y", "one <|endoftext|>\ntwo<|endoftext|>\n  three", text]
     got = {(r.doc_id, r.section): r for r in token_counts.attribute_sections(table(spark, texts), default_tokenizer(), rule=rule).collect()}
-    library = CachedEncoder(default_tokenizer()).tokenizer
+    own = library()
     for i, t in enumerate(texts):
         t = t or ""
         starts = token_counts.lines(t)
         ends = [*starts[1:], len(t)]
         expected = [0.0] * len(starts)
-        for a, b in library.encode(t, add_special_tokens=False).offsets:
+        for a, b in own.encode(t, add_special_tokens=False).offsets:
             share = [max(0, min(b, e) - max(a, s)) for s, e in zip(starts, ends, strict=True)]
             hit = [k for k, x in enumerate(share) if x]
             if rule == "split":
@@ -169,7 +200,7 @@ def test_token_counts(spark, rule):
 
 def test_token_counts_of_fields(spark):
     got = token_counts.attribute_fields(table(spark, ["hello there", None]), default_tokenizer(), ["lang", "source", "text"]).collect()
-    assert sum(r.n_tokens for r in got if r.doc_id == 0) == len(CachedEncoder(default_tokenizer()).encode("en\ns\nhello there")) // 4
+    assert sum(r.n_tokens for r in got if r.doc_id == 0) == len(library().encode("en\ns\nhello there", add_special_tokens=False).ids)
     assert {r.field: r.n_tokens for r in got if r.doc_id == 1}["text"] == 0
 
 
@@ -340,69 +371,7 @@ def test_suffix_sort_equals_plain_sort():
     assert order.tolist() == plain.tolist() and shared.tolist() == plain_shared.tolist()
 
 
-# --- leaks ---
-
-ITEM = "On Monday the farmer Tom has 3 apples and buys 12 kg of pears from Ann. Then Tom sells 3 apples to Bob for 5 dollars each."
-
-
-def test_leaks(spark, none):
-    benchmark = spark.createDataFrame([(7, ITEM, 1), (8, None, 1), (9, "", 1), (10, "too short", 1)], "item_id long, text string, doc_id int")
-    texts = [
-        f"Some words before. {ITEM} And after.", "nothing of this kind is in here at all", None, "", ITEM.replace("Tom", "Max").replace("3", "7").replace("Bob", "Jim"),
-        "On Monday the farmer Max has 7 apples then other things follow that are not in it", ITEM.lower(), "On Friday the farmer Max has 3 apples and Eve buys 4 pears from him and Max sells them.",
-    ]
-    got = {r.doc_id: r for r in decontamination.find_leaks(table(spark, texts), benchmark).collect()}
-    assert set(got) >= {0, 4} and not {1, 2, 3, 5, 7} & set(got)
-    assert got[0].item_id == 7 and got[0].coverage == 1.0 and not got[0].changed and got[4].changed
-    kept = decontamination.without_leaks(table(spark, texts), benchmark)
-    assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - set(got)
-    assert decontamination.find_leaks(none, benchmark).count() == 0
-    assert decontamination.find_leaks(table(spark, texts), benchmark.limit(0)).count() == 0
-
-
-def test_slots_must_be_consistent():
-    kinds, index = decontamination.TokenKinds(), decontamination.Index()
-    index.add(1, ITEM, kinds)
-    index.close()
-    whole = decontamination.leaks(ITEM.replace("Tom", "Max"), index, kinds)
-    broken = decontamination.leaks(ITEM.replace("Tom has", "Max has").replace("Tom sells", "Eve sells"), index, kinds)
-    assert whole[0][1] > broken[0][1] if broken else True
-
-
-def test_leaks_in_other_capitals_and_of_few_literals(spark):
-    strasse = "On Monday the farmer Tom went along the long Kantstraße to sell 3 apples and 12 pears to Bob there."
-    items = [(7, ITEM, 1), (11, "What is 12 times 15?", 1), (12, "Ann likes Bob", 1), (13, "12 kg", 1), (14, "In 3 km", 1), (15, strasse, 1), (16, "?!", 1)]
-    benchmark = spark.createDataFrame(items, "item_id long, text string, doc_id int")
-    texts = [
-        ITEM.lower(), ITEM.upper(), f"before {ITEM.upper()} after", ITEM.upper().replace("3", "7"), "So what is 12 times 15? Nobody knows", "What is 12 times 16?", "WHAT IS 12 TIMES 15",
-        "but ann likes bob a lot", "Eve likes Bob", "Take 12 KG of it", "Take 13 kg of it", "5 in 3 km", strasse.upper(), "?!",
-    ]
-    found = decontamination.find_leaks(table(spark, texts), benchmark)
-    got = {(r.doc_id, r.item_id): (r.coverage, r.changed) for r in found.collect()}
-    assert got.pop((3, 7)) == (1.0, True)
-    exact = {(0, 7), (1, 7), (2, 7), (4, 11), (6, 11), (7, 12), (9, 13), (11, 14), (12, 15)} | {(k, 13) for k in (0, 1, 2, 3)}
-    assert got == dict.fromkeys(exact, (1.0, False))
-
-
-# --- pages and archives ---
-
-
-def test_main_text(spark, none):
-    page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/a>menu</a></li></ul></nav>
-    <div class="cookie-notice">We use cookies here and there for you</div><div class=ad>Buy this now</div><article><h1>Head &amp; shoulders</h1>
-    <p>First   paragraph<br>with a break<p>x<script>if (a < b) { "</p>" }</script><form><input>Name</form><aside>see also</aside>
-    <section id="comments"><p>I liked this long article about many things very much indeed</p></section></article><footer>&copy; me</footer></body></html>"""
-    rows = [(1, "u", page), (2, None, None), (3, "v", ""), (4, "w", "<p>no tags at the end <b>and a rather long text that goes on for quite a while here</b>"), (None, "x", page)]
-    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    texts = {r.page_id: r.text for r in got}
-    assert texts[1] == texts[None] == "Head & shoulders First paragraph with a break x" and texts[2] == texts[3] == ""
-    assert texts[4].startswith("no tags at the end") and all(r.n_chars == len(r.text) for r in got)
-    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-
-
-def test_tree_fits_its_table():
-    tree = html_text.grow(html_text.LABELLED)
-    assert all((html_text.predict(tree, r[:-1]) >= 0.5) == bool(r[-1]) for r in html_text.LABELLED)
+# --- archives ---
 
 
 def test_archives(spark):
@@ -410,7 +379,7 @@ def test_archives(spark):
     long = words(rng, 30_000)
     html = [words(rng, 50), "", None, words(rng, 50), long, long, "é" * 99, "", long]
     ids = [5, 4, 3, 2, 1, 0, 9, None, 5]
-    pages = spark.createDataFrame([(i, "http://x/\r\nA: b", h, "z") for i, h in zip(ids, html, strict=True)], "page_id long, url string, html string, sha string")
+    pages = spark.createDataFrame([(i, "http://x/\r\nA: b  c%5C20%5c \u2028é ", h, "z") for i, h in zip(ids, html, strict=True)], "page_id long, url string, html string, sha string")
     got = warc.read_archives(warc.write_archives(pages, common.scratch_path(spark, "w")), payloads=True).collect()
     least = {}
     for i, h in zip(ids, html, strict=True):
@@ -418,6 +387,7 @@ def test_archives(spark):
             least[h or ""] = min(i, least.get(h or "", 99))
     expected = Counter((i, len((h or "").encode()), warc.digest((h or "").encode()), None if least[h or ""] == i else least[h or ""]) for i, h in zip(ids, html, strict=True))
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.refers_to) for r in got) == expected
+    assert {r.url for r in got} == {"http://x/\r\nA: b  c%5C20%5c \u2028é "}
     assert all(r.record_type == ("response" if r.refers_to is None else "revisit") for r in got)
     small = warc.read_archives(warc.write_archives(pages, common.scratch_path(spark, "w"), least=10)).collect()
     assert all(r.record_type == "response" for r in small if r.payload_bytes < 10)
