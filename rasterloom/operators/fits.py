@@ -117,17 +117,73 @@ def solve(kind: str, s: np.ndarray, d: np.ndarray) -> np.ndarray | None:
     return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
 
 
+def distinct_picks(rng: np.random.Generator, n: int, need: int, many: int) -> np.ndarray:
+    """Rows of ``need`` different numbers below n."""
+    if n <= 4 * need:
+        return np.argsort(rng.random((many, n)), axis=1)[:, :need]
+    picks = rng.integers(0, n, (many, need))
+    while True:
+        ordered = np.sort(picks, axis=1)
+        again = np.flatnonzero((ordered[:, 1:] == ordered[:, :-1]).any(axis=1))
+        if not len(again):
+            return picks
+        picks[again] = rng.integers(0, n, (len(again), need))
+
+
+def through(kind: str, s: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The 3 x 3 matrices that take the few points s[k] to d[k] exactly; samples that determine none are left out."""
+    if kind == "similarity":
+        p, q = s[:, 1] - s[:, 0], d[:, 1] - d[:, 0]
+        ss = (p * p).sum(1)
+        ok = ss > 1e-9
+        p, q, ss, s, d = p[ok], q[ok], ss[ok], s[ok], d[ok]
+        a, b = (p * q).sum(1) / ss, (p[:, 0] * q[:, 1] - p[:, 1] * q[:, 0]) / ss
+        tx, ty = d[:, 0, 0] - a * s[:, 0, 0] + b * s[:, 0, 1], d[:, 0, 1] - b * s[:, 0, 0] - a * s[:, 0, 1]
+        o = np.zeros_like(a)
+        return np.stack([np.stack([a, -b, tx], 1), np.stack([b, a, ty], 1), np.stack([o, o, o + 1], 1)], 1)
+
+    def areas(i: int, j: int, k: int) -> np.ndarray:
+        u, v = s[:, j] - s[:, i], s[:, k] - s[:, i]
+        return np.abs(u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0])
+
+    corners = [(0, 1, 2)] if kind == "affine" else [(0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3)]
+    ok = np.min([areas(*c) for c in corners], axis=0) > 1e-6
+    s, d = s[ok], d[ok]
+    if not len(s):
+        return np.empty((0, 3, 3))
+    if kind == "affine":
+        a = np.concatenate([s, np.ones((len(s), 3, 1))], axis=2)
+        top = np.linalg.solve(a, d).transpose(0, 2, 1)
+        return np.concatenate([top, np.tile([[[0.0, 0.0, 1.0]]], (len(s), 1, 1))], axis=1)
+    # Eight equations with the last entry 1.
+    a, b = np.zeros((len(s), 8, 8)), d.reshape(len(s), 8, 1)
+    a[:, 0::2, 0:2], a[:, 0::2, 2], a[:, 0::2, 6:8] = s, 1, -d[:, :, :1] * s
+    a[:, 1::2, 3:5], a[:, 1::2, 5], a[:, 1::2, 6:8] = s, 1, -d[:, :, 1:] * s
+    good = np.abs(np.linalg.det(a)) > 1e-12
+    h = np.linalg.solve(a[good], b[good])[:, :, 0]
+    return np.concatenate([h, np.ones((len(h), 1))], axis=1).reshape(-1, 3, 3)
+
+
 def ransac(kind: str, s: np.ndarray, d: np.ndarray, threshold: float, seed: int = 0) -> tuple[np.ndarray | None, np.ndarray]:
-    """The matrix with most inliers among seeded hypotheses (the first of equals), refitted on them."""
-    rng, need, best = np.random.default_rng(seed), LEAST_POINTS[kind], np.zeros(len(s), bool)
-    for _ in range(ITERATIONS):
-        m = solve(kind, s[pick := rng.choice(len(s), need, replace=False)], d[pick])
-        if m is not None:
-            inside = np.linalg.norm(_project(m, s) - d, axis=1) <= threshold
-            if inside.sum() > best.sum():
-                best = inside
-                if best.all():
-                    break
+    """The matrix with most inliers among seeded hypotheses (the first of equals), refitted on them.
+
+    Hypotheses are made and scored some at a time, so that work and memory per step stay about equal for any number of points.
+    """
+    need, best = LEAST_POINTS[kind], np.zeros(len(s), bool)
+    picks = distinct_picks(np.random.default_rng(seed), len(s), need, ITERATIONS)
+    step = int(np.clip(200_000 // len(s), 1, ITERATIONS))
+    for i in range(0, len(picks), step):
+        m = through(kind, s[picks[i : i + step]], d[picks[i : i + step]])
+        if not len(m):
+            continue
+        w = np.where(np.abs(w := m[:, 2, :2] @ s.T + m[:, 2, 2:]) < 1e-6, 1.0, w)
+        dx, dy = (m[:, 0, :2] @ s.T + m[:, 0, 2:]) / w - d[:, 0], (m[:, 1, :2] @ s.T + m[:, 1, 2:]) / w - d[:, 1]
+        inside = dx * dx + dy * dy <= threshold * threshold
+        counts = inside.sum(axis=1)
+        if counts.max() > best.sum():
+            best = inside[int(counts.argmax())]
+            if best.all():
+                break
     if best.sum() < need:
         return None, best
     m = solve(kind, s[best], d[best])
@@ -146,8 +202,10 @@ def thin_plate(s: np.ndarray, d: np.ndarray, smoothing: float) -> tuple[np.ndarr
 
 
 def spline_through(s: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The thin-plate spline of least smoothing that has a finite solution."""
-    for smoothing in (0.0, 0.1, 1.0, 10.0):
+    """The thin-plate spline of least smoothing that has a finite solution; smoothing starts higher where consecutive points are collinear."""
+    u, v = s[1:101] - s[:-1][:100], s[2:102] - s[:-2][:100]
+    area = np.abs(u[: len(v), 0] * v[:, 1] - u[: len(v), 1] * v[:, 0]) / 2
+    for smoothing in (1.0, 10.0, 100.0, 1000.0) if len(area) and area.min() < 1e-6 else (0.0, 0.1, 1.0, 10.0):
         try:
             weights, affine = thin_plate(s, d, smoothing)
         except np.linalg.LinAlgError:
@@ -166,10 +224,11 @@ def apply_thin_plate(at: np.ndarray, s: np.ndarray, weights: np.ndarray, affine:
 
 
 def _statistics(err: np.ndarray, inside: np.ndarray) -> dict:
-    med = float(np.median(err))
+    """Of the inliers' errors; of all where there is no inlier."""
     used = err[inside] if inside.any() else err
+    med = float(np.median(used))
     return {
-        "inlier_count": int(inside.sum()), "inlier_ratio": float(inside.mean()), "median_error": med, "robust_rmse": med + 1.4826 * float(np.median(np.abs(err - med))),
+        "inlier_count": int(inside.sum()), "inlier_ratio": float(inside.mean()), "median_error": med, "robust_rmse": med + 1.4826 * float(np.median(np.abs(used - med))),
         "mean_error": float(used.mean()), "std_error": float(used.std()), "max_error": float(used.max()),
     }
 

@@ -1,4 +1,9 @@
-"""Robust statistics over correspondence tables: (pair_id, match_id, src_x, src_y, dst_x, dst_y, ...)."""
+"""Robust statistics over correspondence tables: (pair_id, match_id, src_x, src_y, dst_x, dst_y, ...).
+
+Filter, fit and error summary of a group use windows over the same keys, so a
+chain of them reads its input once and shuffles it once. Medians come from
+sorted rows, which spill, and not from a buffer of all values.
+"""
 
 from __future__ import annotations
 
@@ -16,10 +21,11 @@ def offset_distance() -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def exact_mean(x: Column, digits: int = 6) -> Column:
-    """A mean that does not depend on the order of summation: integers are summed, then divided once."""
+def exact_mean(x: Column, digits: int = 6, over=None) -> Column:
+    """A mean that does not depend on the order of summation: integers are summed, then divided once. over: a window."""
     unit = 10.0**digits
-    return F.sum(F.round(x * unit).cast("long")) / (F.count(x) * F.lit(unit))
+    total, n = F.sum(F.round(x * unit).cast("long")), F.count(x)
+    return (total.over(over) if over is not None else total) / ((n.over(over) if over is not None else n) * F.lit(unit))
 
 
 def exact_sd(x: Column, digits: int = 6) -> Column:
@@ -31,13 +37,18 @@ def exact_sd(x: Column, digits: int = 6) -> Column:
 
 
 def with_median_and_mad(df: DataFrame, keys: Sequence[str], value: Column, prefix: str = "d") -> DataFrame:
-    """Add {prefix}, {prefix}_median and {prefix}_mad per group; the two small aggregates join back by key."""
-    keys = list(keys)
-    df = df.withColumn(prefix, value)
-    med = df.groupBy(*keys).agg(F.median(prefix).alias(f"{prefix}_median"))
-    df = df.join(med, keys)
-    mad = df.groupBy(*keys).agg(F.median(F.abs(F.col(prefix) - F.col(f"{prefix}_median"))).alias(f"{prefix}_mad"))
-    return df.join(mad, keys)
+    """Add {prefix}, {prefix}_median and {prefix}_mad per group; nulls have no part in them."""
+    df = with_median(df.withColumn(prefix, value), keys, F.col(prefix), f"{prefix}_median")
+    return with_median(df, keys, F.abs(F.col(prefix) - F.col(f"{prefix}_median")), f"{prefix}_mad")
+
+
+def with_median(df: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
+    """Add the group's median: the mean of the one or two values in the middle of its sorted rows."""
+    group = W.partitionBy(*keys)
+    ranked = df.withColumn("_value", value)
+    ranked = ranked.withColumn("_rank", F.row_number().over(group.orderBy(F.col("_value").asc_nulls_last()))).withColumn("_n", F.count("_value").over(group))
+    middle = (F.col("_rank") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_rank") == F.floor(F.col("_n") / 2) + 1)
+    return ranked.withColumn(name, F.avg(F.when(middle, F.col("_value"))).over(group)).drop("_value", "_rank", "_n")
 
 
 def remove_gross_outliers(df: DataFrame, keys: Sequence[str] = ("pair_id",), limit: float = 1000.0) -> DataFrame:
@@ -48,10 +59,9 @@ def remove_gross_outliers(df: DataFrame, keys: Sequence[str] = ("pair_id",), lim
 
 def fit_shift(df: DataFrame, keys: Sequence[str] = ("pair_id",)) -> DataFrame:
     """Mean shift per group with residual statistics: n, shift_x, shift_y, median_error, robust_rmse, mean_error, std_error, max_error."""
-    keys = list(keys)
+    keys, group = list(keys), W.partitionBy(*keys)
     dx, dy = F.col("dst_x") - F.col("src_x"), F.col("dst_y") - F.col("src_y")
-    shifts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), exact_mean(dx).alias("shift_x"), exact_mean(dy).alias("shift_y"))
-    res = df.join(shifts, keys)
+    res = df.withColumns({"n": F.count(F.lit(1)).over(group), "shift_x": exact_mean(dx, over=group), "shift_y": exact_mean(dy, over=group)})
     ex, ey = dx - F.col("shift_x"), dy - F.col("shift_y")
     return error_summary(res.withColumn("err", F.sqrt(ex * ex + ey * ey)), [*keys, "n", "shift_x", "shift_y"], "err")
 
@@ -85,6 +95,11 @@ def histogram(df: DataFrame, value: str, bins: int, low: Column, high: Column, k
     return inside.withColumn("bin", at.cast("int")).withColumn("left_edge", edge).groupBy(*keys, "bin").agg(F.min("left_edge").alias("left_edge"), F.count(F.lit(1)).alias("n"))
 
 
+def inlier_errors(df: DataFrame, kind: str = "type", err: str = "err", inlier: str = "inlier") -> DataFrame:
+    """Rows whose error belongs in a histogram: a spline goes through its control points, so its inliers are those with an error; of other types the marked ones."""
+    return df.where(F.when(F.col(kind) == "spline", F.col(err) > 1e-6).otherwise(F.col(inlier)))
+
+
 def colour_band(metres: Column, edges: tuple[float, float, float] = (5.0, 10.0, 20.0)) -> Column:
     a, b, c = edges
     return F.when(metres < a, "green").when(metres < b, "yellow").when(metres < c, "orange").otherwise("red")
