@@ -110,38 +110,49 @@ def to_tiles(pixels: DataFrame, tile: int) -> DataFrame:
 def warp_tiles(tiles: DataFrame, inverse: Callable[[np.ndarray], np.ndarray], tile: int, height: int, width: int) -> DataFrame:
     """Resample bilinearly; ``inverse`` maps output (n, 2) x, y to source ones and is the same on every task.
 
-    Which source tiles an output tile needs is found on the driver from the grid of tiles alone, and joined by tile number.
+    Tasks work out which source tiles an output tile needs from the grid of tiles alone; both meet by tile number. An
+    output tile of which the source has nothing is all 0.
     """
-    spark, needs = tiles.sparkSession, []
-    for ty in range(-(-height // tile)):
-        for tx in range(-(-width // tile)):
-            edge = np.linspace(0, tile - 1, 9)
-            gy, gx = np.meshgrid(ty * tile + edge, tx * tile + edge, indexing="ij")
-            s = inverse(np.c_[gx.ravel(), gy.ravel()])
-            lo, hi = np.floor((s.min(0) - 2) / tile).astype(int), np.floor((s.max(0) + 2) / tile).astype(int)
-            needs += [(ty, tx, int(sy), int(sx)) for sy in range(max(0, lo[1]), hi[1] + 1) for sx in range(max(0, lo[0]), hi[0] + 1)]
-    plan = spark.createDataFrame(needs or [(0, 0, -1, -1)], "oy int, ox int, ty int, tx int")
+    spark, down, across = tiles.sparkSession, -(-height // tile), -(-width // tile)
+
+    def needed(frames):
+        edge = np.linspace(0, tile - 1, 9)
+        for frame in frames:
+            out = []
+            for ty, tx in (divmod(int(k), across) for k in frame["id"]):
+                gy, gx = np.meshgrid(ty * tile + edge, tx * tile + edge, indexing="ij")
+                s = inverse(np.c_[gx.ravel(), gy.ravel()])
+                lo, hi = np.floor((s.min(0) - 2) / tile).astype(int), np.floor((s.max(0) + 2) / tile).astype(int)
+                found = [(ty, tx, int(sy), int(sx)) for sy in range(max(0, lo[1]), hi[1] + 1) for sx in range(max(0, lo[0]), hi[0] + 1)]
+                out += [*found, (ty, tx, -1, -1)]  # each output tile has a row of its own
+            yield pd.DataFrame(out, columns=["oy", "ox", "ty", "tx"])
+
+    plan = spark.range(down * across).mapInPandas(needed, "oy int, ox int, ty int, tx int")
 
     def resample(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = int(g["ty"].min()) * tile, int(g["tx"].min()) * tile
-        h, w = (int(g["ty"].max()) + 1) * tile - y0, (int(g["tx"].max()) + 1) * tile - x0
-        src = np.zeros((h + 1, w + 1), np.float32)
-        for r in g.itertuples():
-            src[r.ty * tile - y0 : (r.ty + 1) * tile - y0, r.tx * tile - x0 : (r.tx + 1) * tile - x0] = np.frombuffer(r.data, np.float32).reshape(tile, tile)
-        gy, gx = np.meshgrid(np.arange(tile) + key[1] * tile, np.arange(tile) + key[2] * tile, indexing="ij")
-        s = inverse(np.c_[gx.ravel(), gy.ravel()].astype(float)) - [x0, y0]
-        fx, fy = np.floor(s[:, 0]), np.floor(s[:, 1])
-        out = np.zeros(len(s))
-        for ddx in (0, 1):
-            for ddy in (0, 1):
-                x, y = (fx + ddx).astype(int), (fy + ddy).astype(int)
-                ok = (x >= 0) & (x < w) & (y >= 0) & (y < h)
-                weight = (1 - np.abs(s[:, 0] - x)) * (1 - np.abs(s[:, 1] - y))
-                out[ok] += weight[ok] * src[y[ok], x[ok]]
+        out, g = np.zeros(tile * tile), g[g["data"].notna()]
+        if len(g):
+            y0, x0 = int(g["ty"].min()) * tile, int(g["tx"].min()) * tile
+            h, w = (int(g["ty"].max()) + 1) * tile - y0, (int(g["tx"].max()) + 1) * tile - x0
+            src = np.zeros((h + 1, w + 1), np.float32)
+            for r in g.itertuples():
+                src[r.ty * tile - y0 : (r.ty + 1) * tile - y0, r.tx * tile - x0 : (r.tx + 1) * tile - x0] = np.frombuffer(r.data, np.float32).reshape(tile, tile)
+            gy, gx = np.meshgrid(np.arange(tile) + key[1] * tile, np.arange(tile) + key[2] * tile, indexing="ij")
+            s = inverse(np.c_[gx.ravel(), gy.ravel()].astype(float)) - [x0, y0]
+            fx, fy = np.floor(s[:, 0]), np.floor(s[:, 1])
+            for ddx in (0, 1):
+                for ddy in (0, 1):
+                    x, y = (fx + ddx).astype(int), (fy + ddy).astype(int)
+                    ok = (x >= 0) & (x < w) & (y >= 0) & (y < h)
+                    weight = (1 - np.abs(s[:, 0] - x)) * (1 - np.abs(s[:, 1] - y))
+                    out[ok] += weight[ok] * src[y[ok], x[ok]]
         return pd.DataFrame({"raster_id": [key[0]], "ty": [key[1]], "tx": [key[2]], "data": [out.astype(np.float32).tobytes()]})
 
-    joined = tiles.join(plan, ["ty", "tx"])
-    return joined.groupBy("raster_id", "oy", "ox").applyInPandas(resample, "raster_id long, ty int, tx int, data binary")
+    cols = ["raster_id", "oy", "ox", "ty", "tx", "data"]
+    found = tiles.join(plan.where("ty >= 0"), ["ty", "tx"]).select(*cols)
+    every = tiles.select("raster_id").distinct().crossJoin(plan.where("ty < 0").select("oy", "ox"))  # a row for each output tile of each raster
+    rows = found.unionByName(every.select("raster_id", "oy", "ox", F.lit(-1).alias("ty"), F.lit(-1).alias("tx"), F.lit(None).cast("binary").alias("data")))
+    return rows.groupBy("raster_id", "oy", "ox").applyInPandas(resample, "raster_id long, ty int, tx int, data binary")
 
 
 def warp_extent(rasters: DataFrame, matrix: tuple[Column, ...]) -> DataFrame:

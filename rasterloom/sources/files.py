@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-import struct
 import zipfile
 from collections.abc import Iterator
 from io import BytesIO
@@ -17,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.operators.control import normalise_gcps
+from rasterloom.sources import geotiff
+from rasterloom.sources.geotiff import read_raster_headers  # noqa: F401
 
 POINT = "struct<x:double,y:double,response:double>"
 MATCHES_SCHEMA = f"method string, scale double, num_matches long, scale_factor double, source_image string, target_image string, matches array<struct<source:{POINT},target_upsampled:{POINT},target_original:{POINT},confidence:double>>"
@@ -92,63 +93,10 @@ def load_config(path: str) -> dict:
         return json.load(f)
 
 
-#: TIFF tags and the bytes of their types.
-TAGS = {256: "width", 257: "height", 258: "bits", 259: "compression", 262: "photometric", 273: "strips", 277: "bands", 278: "rows", 279: "counts", 322: "tile_width", 323: "tile_height", 33550: "pixel_scale", 33922: "tiepoint", 34735: "geokeys"}
-SIZES = {1: ("B", 1), 2: ("c", 1), 3: ("H", 2), 4: ("I", 4), 12: ("d", 8), 16: ("Q", 8)}
-
-
-def tiff_tags(data: bytes) -> dict[str, tuple]:
-    """Known tags of the first directory of a TIFF."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
-        raise ValueError("not a TIFF")
-    at = struct.unpack_from(order + "I", data, 4)[0]
-    out = {}
-    for k in range(struct.unpack_from(order + "H", data, at)[0]):
-        tag, kind, n, _ = struct.unpack_from(order + "HHII", data, at + 2 + 12 * k)
-        if tag in TAGS and kind in SIZES:
-            code, size = SIZES[kind]
-            place = at + 10 + 12 * k if n * size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * k)[0]
-            out[TAGS[tag]] = struct.unpack_from(f"{order}{n}{code}", data, place)
-    return out
-
-
-RASTER_SCHEMA = "path string, epsg int, width int, height int, bands int, a double, b double, c double, d double, e double, f double, left double, bottom double, right double, top double, error string"
-
-
-def read_raster_headers(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each GeoTIFF, from its header; ``error`` says why a file has none."""
-
-    def headers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in RASTER_SCHEMA.split(", ")]
-        for frame in frames:
-            rows = []
-            for p, content in zip(frame["path"], frame["content"], strict=True):
-                row = dict.fromkeys(names) | {"path": p}
-                try:
-                    t = tiff_tags(content)
-                    w, h = t["width"][0], t["height"][0]
-                    sx, sy = t.get("pixel_scale", (1.0, 1.0))[:2]
-                    i, j, _, x, y = t.get("tiepoint", (0, 0, 0, 0.0, 0.0, 0))[:5]
-                    keys = t.get("geokeys", ())
-                    epsg = next((keys[k + 3] for k in range(4, len(keys), 4) if keys[k] in (2048, 3072)), None)
-                    left, top = x - i * sx, y + j * sy
-                    row |= {"epsg": epsg, "width": w, "height": h, "bands": t.get("bands", (1,))[0], "a": sx, "b": 0.0, "c": left, "d": 0.0, "e": -sy, "f": top, "left": left, "top": top, "right": left + w * sx, "bottom": top - h * sy}
-                except (ValueError, KeyError, struct.error) as e:
-                    row["error"] = str(e) or type(e).__name__
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=names)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(headers, RASTER_SCHEMA)
-
-
 def read_tiff(data: bytes) -> np.ndarray:
-    """(bands, height, width) of an uncompressed 8-bit TIFF in strips."""
-    t = tiff_tags(data)
-    if t.get("compression", (1,))[0] != 1 or set(t.get("bits", (8,))) != {8} or "strips" not in t:
-        raise ValueError("only uncompressed 8-bit strips are read")
-    raw = b"".join(data[a : a + n] for a, n in zip(t["strips"], t["counts"], strict=True))
-    return np.frombuffer(raw, np.uint8).reshape(t["height"][0], t["width"][0], t.get("bands", (1,))[0]).transpose(2, 0, 1)
+    """(bands, height, width) of a whole TIFF in memory; files are read by window, see geotiff.read_tiles."""
+    tiff = geotiff.Tiff(BytesIO(data))
+    return tiff.window(0, tiff.height, 0, tiff.width)
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
