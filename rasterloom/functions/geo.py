@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: WGS84, Web Mercator and degree lengths.
@@ -89,6 +91,16 @@ def pixel_to_world(col: Column, row: Column, a: Column, b: Column, c: Column, d:
     return a * col + b * row + c, d * col + e * row + f
 
 
+def from_bounds(left: Column, bottom: Column, right: Column, top: Column, width: Column, height: Column) -> dict[str, Column]:
+    """The geotransform of a raster without rotation that fills a rectangle."""
+    return {"a": (right - left) / width, "b": F.lit(0.0), "c": left, "d": F.lit(0.0), "e": (bottom - top) / height, "f": top}
+
+
+def bounding_box(points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """min_lat, min_lon, max_lat, max_lon of the vertices (lon, lat) of each group's cells or polygons."""
+    return points.groupBy(*keys).agg(F.min("lat").alias("min_lat"), F.min("lon").alias("min_lon"), F.max("lat").alias("max_lat"), F.max("lon").alias("max_lon"))
+
+
 def metres_to_degrees(dx: Column, dy: Column, lat: Column) -> tuple[Column, Column]:
     return dx / (METRES_PER_DEGREE * F.cos(F.radians(lat))), dy / METRES_PER_DEGREE
 
@@ -98,6 +110,18 @@ def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius:
     return 2 * radius * F.asin(F.sqrt(h))
 
 
+def geodesic_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Metres on the WGS84 ellipsoid by Lambert's formula: to about 1e-5 of short and middle distances."""
+    a, f = 6378137.0, 1 / 298.257223563
+    b1, b2 = (F.atan((1 - f) * F.tan(F.radians(x))) for x in (lat1, lat2))
+    h = F.pow(F.sin((b2 - b1) / 2), 2) + F.cos(b1) * F.cos(b2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+    s = 2 * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    p, q = (b1 + b2) / 2, (b2 - b1) / 2
+    x = (s - F.sin(s)) * F.pow(F.sin(p) * F.cos(q), 2) / F.greatest(1 - h, F.lit(1e-300))
+    y = (s + F.sin(s)) * F.pow(F.cos(p) * F.sin(q), 2) / F.greatest(h, F.lit(1e-300))
+    return F.when(h <= 0, 0.0).otherwise(a * (s - f / 2 * (x + y)))
+
+
 def adaptive_ncc(scale: Column, patch: int = 64, grid: int = 32, gsd: float = 0.02, error_m: float = 3.0) -> dict[str, Column]:
     """Patch size, grid spacing and search margin for a scale."""
     res = gsd / scale

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 MAX_FEATURES = 5000
 #: Descriptors of each side that a task compares at a time, about.
 BLOCK = 2000
+#: Candidates whose exact distance is taken; rounding of the product moves a distance by far less than their spread.
+CLOSE = 16
 
 
 def strongest(keypoints: DataFrame, image: Sequence[str] = (), n: int = MAX_FEATURES) -> DataFrame:
@@ -41,12 +43,22 @@ def two_nearest(source: DataFrame, target: DataFrame, metric: str = "l2") -> Dat
             return pd.DataFrame({c: [] for c in names})
         t = t.sort_values("kp_id", kind="stable")
         ids, theirs, own = t["kp_id"].to_numpy(np.int64), np.array(t["descriptor"].tolist(), kind), np.array(s["descriptor"].tolist(), kind)
-        out = []
+        out, squares = [], (theirs * theirs).sum(1)[None] if metric == "l2" else None
         for i in range(0, len(own), 64):
             if metric == "l2":
-                d = np.sqrt(((own[i : i + 64, None, :] - theirs[None]) ** 2).sum(-1))
-            else:
-                d = np.bitwise_count((own[i : i + 64, None, :] ^ theirs[None]).view(np.uint64)).sum(-1).astype(np.float64)
+                part = own[i : i + 64]
+                near = (part * part).sum(1)[:, None] - 2 * part @ theirs.T + squares
+                # The product picks a few candidates; their distances are taken from the differences.
+                some = np.argpartition(near, min(CLOSE, len(ids)) - 1, axis=1)[:, :CLOSE]
+                limit = np.sort(np.take_along_axis(near, some, 1), axis=1)[:, : min(2, len(ids))][:, -1]
+                if len(ids) > CLOSE and ((near <= limit[:, None] + 1e-9 * (1 + np.abs(near).max())).sum(1) > CLOSE).any():
+                    some = np.tile(np.arange(len(ids)), (len(part), 1))  # more are as near as the second than were picked
+                some.sort(axis=1)
+                exact = np.sqrt(((part[:, None, :] - theirs[some]) ** 2).sum(-1))
+                best = np.argsort(exact, axis=1, kind="stable")[:, :2]
+                out.append(pd.DataFrame({"query_id": np.repeat(s["kp_id"].to_numpy(np.int64)[i : i + 64], best.shape[1]), "distance": np.take_along_axis(exact, best, 1).ravel(), "train_id": ids[np.take_along_axis(some, best, 1)].ravel()}, columns=names))
+                continue
+            d = np.bitwise_count((own[i : i + 64, None, :] ^ theirs[None]).view(np.uint64)).sum(-1).astype(np.float64)
             order = np.argsort(d, axis=1, kind="stable")[:, :2]
             out.append(pd.DataFrame({"query_id": np.repeat(s["kp_id"].to_numpy(np.int64)[i : i + 64], order.shape[1]), "distance": np.take_along_axis(d, order, 1).ravel(), "train_id": ids[order].ravel()}, columns=names))
         return pd.concat(out)
@@ -108,28 +120,85 @@ def patch_grid(rasters: DataFrame, patch: int, spacing: int) -> DataFrame:
     return rasters.select("*", F.explode(centres("height")).alias("py")).select("*", F.explode(centres("width")).alias("px"))
 
 
-def patch_ncc(source: DataFrame, target: DataFrame, centres: DataFrame, patch: int, margin: int) -> DataFrame:
+def first_patches(centres: DataFrame, n: int) -> DataFrame:
+    """The first n patches of each raster in the order of its grid."""
+    w = W.partitionBy("raster_id").orderBy("py", "px")
+    return centres.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
+#: A match needs a valid source pixel this near, and a search region so many valid ones of the patch's area or so large a share.
+NEAR, PATCH_SHARE, REGION_SHARE = 5, 0.2, 0.1
+
+
+def patch_ncc(source: DataFrame, target: DataFrame, centres: DataFrame, patch: int, margin: int, valid: int | None = None) -> DataFrame:
     """Best offset of each target patch in the source: (raster_id, py, px, dy, dx, ncc).
 
-    pixel tables (raster_id, row, col, value); patches meet pixels by tiles of the patch size, an equi join,
-    and the correlation is Pearson's over the patch. Flat patches have none. Ties go to the first in row-major order.
+    Pixel tables (raster_id, row, col, value) have whole values. A task has a square of centres and the pixels that
+    they reach, so a pixel goes to about four tasks whatever the margin. Correlation is Pearson's over
+    the patch, from exact sums: a transform for the products, running sums for the rest. Flat patches and offsets that leave the raster
+    have none. Ties go to the first offset in row-major order.
+
+    valid: pixels above it are valid. Then a patch whose centre is not is left out, as are one whose search region has too
+    few valid source pixels and a match with none within NEAR of it.
     """
-    half = patch // 2
-    cells = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    at = centres.select("raster_id", "py", "px").withColumn("_dy", cells).withColumn("_dx", F.explode(F.sequence(F.lit(-1), F.lit(1))))
-    at = at.withColumn("ty", F.floor(F.col("py") / patch) + F.col("_dy")).withColumn("tx", F.floor(F.col("px") / patch) + F.col("_dx"))
-    pixels = target.select("raster_id", "row", "col", F.col("value").alias("t")).withColumn("ty", F.floor(F.col("row") / patch)).withColumn("tx", F.floor(F.col("col") / patch))
-    inside = (F.col("row") >= F.col("py") - half) & (F.col("row") < F.col("py") + half) & (F.col("col") >= F.col("px") - half) & (F.col("col") < F.col("px") + half)
-    template = at.join(pixels, ["raster_id", "ty", "tx"]).where(inside).select("raster_id", "py", "px", "row", "col", "t")
-    offsets = F.sequence(F.lit(-margin), F.lit(margin))
-    moved = template.withColumn("dy", F.explode(offsets)).withColumn("dx", F.explode(offsets)).withColumn("sr", F.col("row") + F.col("dy")).withColumn("sc", F.col("col") + F.col("dx"))
-    src = source.select(F.col("raster_id"), F.col("row").alias("sr"), F.col("col").alias("sc"), F.col("value").alias("s"))
-    both = moved.join(src, ["raster_id", "sr", "sc"])
-    n = F.count(F.lit(1)).cast("double")
-    s, t = F.col("s").cast("long"), F.col("t").cast("long")
-    sums = both.groupBy("raster_id", "py", "px", "dy", "dx").agg(n.alias("n"), F.sum(s).alias("ss"), F.sum(t).alias("st"), F.sum(s * s).alias("sss"), F.sum(t * t).alias("stt"), F.sum(s * t).alias("sst"))
-    cov = F.col("n") * F.col("sst") - F.col("ss") * F.col("st")
-    vs, vt = F.col("n") * F.col("sss") - F.col("ss") * F.col("ss"), F.col("n") * F.col("stt") - F.col("st") * F.col("st")
-    scored = sums.where((F.col("n") == patch * patch) & (vs > 0) & (vt > 0)).withColumn("ncc", cov / F.sqrt(vs * vt))
-    w = W.partitionBy("raster_id", "py", "px").orderBy(F.desc(F.round("ncc", 9)), "dy", "dx")
-    return scored.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("raster_id", "py", "px", "dy", "dx", "ncc")
+    half, reach = patch // 2, margin + patch + NEAR
+    side = max(64, 2 * reach)
+
+    def squares(value: str, around: int) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(value) - around) / side).cast("int"), F.floor((F.col(value) + around) / side).cast("int")))
+
+    def dealt(df: DataFrame, kind: int, y: str, x: str, value: Column, around: int) -> DataFrame:
+        rows = df.select("raster_id", F.lit(kind).alias("kind"), F.col(y).cast("int").alias("row"), F.col(x).cast("int").alias("col"), value.cast("long").alias("value"))
+        return rows.withColumn("by", squares("row", around)).withColumn("bx", squares("col", around))
+
+    rows = dealt(centres, 0, "py", "px", F.lit(0), 0).unionByName(dealt(source, 1, "row", "col", F.col("value"), reach)).unionByName(dealt(target, 2, "row", "col", F.col("value"), half + 1))
+    used = centres.select("raster_id", F.floor(F.col("py") / side).cast("int").alias("by"), F.floor(F.col("px") / side).cast("int").alias("bx")).distinct()
+    rows = rows.join(used, ["raster_id", "by", "bx"], "left_semi")
+
+    def match(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        top, left = key[1] * side - reach, key[2] * side - reach
+        n = side + 2 * reach
+        value, there = np.zeros((2, n, n)), np.zeros((2, n, n), bool)
+        for k in (1, 2):
+            p = g[g["kind"] == k]
+            y, x = p["row"].to_numpy() - top, p["col"].to_numpy() - left
+            value[k - 1, y, x], there[k - 1, y, x] = p["value"], True
+        ok = there[0] & (value[0] > valid) if valid is not None else there[0]
+        sums = [np.pad(np.cumsum(np.cumsum(a, 0), 1), ((1, 0), (1, 0))) for a in (value[0], value[0] ** 2, there[0].astype(float), ok.astype(float))]
+
+        def box(a: np.ndarray, y0, y1, x0, x1):
+            return a[y1, x1] - a[y0, x1] - a[y1, x0] + a[y0, x0]
+
+        out, offsets = [], np.arange(2 * margin + 1)
+        for y, x in sorted(zip(g["row"][g["kind"] == 0].tolist(), g["col"][g["kind"] == 0].tolist(), strict=True)):
+            cy, cx = y - top, x - left
+            t, full = value[1, cy - half : cy + half, cx - half : cx + half], there[1, cy - half : cy + half, cx - half : cx + half].all()
+            m = float(t.size)
+            spread = m * (t * t).sum() - t.sum() ** 2
+            if not full or spread <= 0 or valid is not None and not (there[1, cy, cx] and value[1, cy, cx] > valid):
+                continue
+            if valid is not None:
+                a, b, c, d = cy - margin, cy + margin + patch, cx - margin, cx + margin + patch
+                area, good = box(sums[2], a, b, c, d), box(sums[3], a, b, c, d)
+                if good < PATCH_SHARE * patch * patch and good < REGION_SHARE * area:
+                    continue
+            a, c = cy - half - margin, cx - half - margin
+            region = value[0, a : a + 2 * (half + margin), c : c + 2 * (half + margin)]
+            shape = region.shape
+            cross = np.rint(np.fft.irfft2(np.fft.rfft2(region) * np.conj(np.fft.rfft2(t, shape)), shape))[: 2 * margin + 1, : 2 * margin + 1]
+            yy, xx = (a + offsets)[:, None], (c + offsets)[None]
+            s1, s2, have = (box(q, yy, yy + 2 * half, xx, xx + 2 * half) for q in sums[:3])
+            own = m * s2 - s1 * s1
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ncc = np.where((have == m) & (own > 0), (m * cross - s1 * t.sum()) / np.sqrt(own * spread), -np.inf)
+            k = int(np.argmax(np.round(ncc, 9)))
+            dy, dx = divmod(k, 2 * margin + 1)
+            if not np.isfinite(ncc[dy, dx]):
+                continue
+            sy, sx = cy + dy - margin, cx + dx - margin
+            if valid is not None and not box(sums[3], sy - NEAR, sy + NEAR + 1, sx - NEAR, sx + NEAR + 1):
+                continue
+            out.append((key[0], y, x, dy - margin, dx - margin, float(ncc[dy, dx])))
+        return pd.DataFrame(out, columns=["raster_id", "py", "px", "dy", "dx", "ncc"])
+
+    return rows.groupBy("raster_id", "by", "bx").applyInPandas(match, "raster_id long, py int, px int, dy int, dx int, ncc double")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import geo
 from rasterloom.operators import control, fits, matching, raster, robust
+from rasterloom.plans import registration
 from rasterloom.plans.views import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,14 +71,14 @@ def distance_histogram(spark, d):
     return robust.histogram(m, "dist", 30, F.lit(0.0), F.lit(750.0)).select("bin", robust.colour_band(F.col("left_edge") * 0.25).alias("band"), "n")
 
 
-@query("AGG7 FIL14 FIL4", f"SELECT pair_id, sum(CASE WHEN dist < 5 THEN 1 ELSE 0 END)::bigint AS under_5, round(sum(CASE WHEN dist < 5 THEN 1 ELSE 0 END) / count(*)::double, 6) AS share FROM (SELECT pair_id, {_DIST} AS dist FROM correspondence WHERE confidence > 0.5) GROUP BY pair_id")
+@query("AGG7 FIL4", f"SELECT pair_id, sum(CASE WHEN dist < 5 THEN 1 ELSE 0 END)::bigint AS under_5, round(sum(CASE WHEN dist < 5 THEN 1 ELSE 0 END) / count(*)::double, 6) AS share FROM (SELECT pair_id, {_DIST} AS dist FROM correspondence WHERE confidence > 0.5) GROUP BY pair_id")
 def share_below_threshold(spark, d):
     m = view(spark, d, "correspondence").where("confidence > 0.5").withColumn("dist", robust.offset_distance())
     near = F.sum((F.col("dist") < 5).cast("int"))
     return m.groupBy("pair_id").agg(near.alias("under_5"), F.round(near / F.count(F.lit(1)).cast("double"), 6).alias("share"))
 
 
-@query("LIM2 LIM3 SRT2", """SELECT pair_id, match_id, src_y FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY src_y, match_id) AS rn, greatest(1, floor(count(*) OVER (PARTITION BY pair_id) / 200.0)) AS step FROM correspondence)
+@query("LIM2 LIM3", """SELECT pair_id, match_id, src_y FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY src_y, match_id) AS rn, greatest(1, floor(count(*) OVER (PARTITION BY pair_id) / 200.0)) AS step FROM correspondence)
   WHERE (rn - 1) % cast(step AS bigint) = 0 AND (rn - 1) / step < 200""")
 def even_y_sample(spark, d):
     return robust.even_sample_by_y(view(spark, d, "correspondence")).select("pair_id", "match_id", "src_y")
@@ -118,18 +119,18 @@ def similarity_lsq_per_pair(spark, d):
     return t.select("pair_id", "n", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round("tx", 4).alias("tx"), F.round("ty", 4).alias("ty"))
 
 
-@query("WIN4 SC27 JN9 SRT2", "SELECT step, scale, sum(shift_x) OVER (ORDER BY step) AS cum_x, sum(shift_y) OVER (ORDER BY step) AS cum_y FROM steps")
+@query("WIN4", "SELECT step, scale, sum(shift_x) OVER (ORDER BY step) AS cum_x, sum(shift_y) OVER (ORDER BY step) AS cum_y FROM steps")
 def shift_chain_cumulative(spark, d):
     return fits.compose_shifts(view(spark, d, "steps")).select("step", "scale", "cum_x", "cum_y")
 
 
-@query("AP1 SC9 AP15", "SELECT match_id, 1.25 * src_x - 0.5 * src_y + 3 AS u, 0.5 * src_x + 1.25 * src_y - 7 AS v FROM correspondence")
+@query("AP1", "SELECT match_id, 1.25 * src_x - 0.5 * src_y + 3 AS u, 0.5 * src_x + 1.25 * src_y - 7 AS v FROM correspondence")
 def apply_affine_points(spark, d):
     u, v = fits.apply_matrix(F.col("src_x"), F.col("src_y"), [F.lit(x) for x in (1.25, -0.5, 3.0, 0.5, 1.25, -7.0)])
     return view(spark, d, "correspondence").select("match_id", u.alias("u"), v.alias("v"))
 
 
-@query("SRC8 SRC11 FIL12 WIN6", "SELECT CASE WHEN gcp_id % 3 = 0 THEN printf('GCP_%03d', row_number() OVER (ORDER BY gcp_id)) ELSE cast(gcp_id AS varchar) END AS id, lon, lat, z, cast(0.005 AS double) AS accuracy FROM gcp WHERE enabled = '1'")
+@query("FIL12 WIN6", "SELECT CASE WHEN gcp_id % 3 = 0 THEN printf('GCP_%03d', row_number() OVER (ORDER BY gcp_id)) ELSE cast(gcp_id AS varchar) END AS id, lon, lat, z, cast(0.005 AS double) AS accuracy FROM gcp WHERE enabled = '1'")
 def gcp_load_normalise(spark, d):
     raw = view(spark, d, "gcp").select(F.when(F.col("gcp_id") % 3 == 0, "").otherwise(F.col("gcp_id").cast("string")).alias("Label"), F.col("lon").alias("X"), F.col("lat").alias("Y"), F.col("z").cast("string").alias("Z"), F.col("enabled").alias("Enabled"), F.col("gcp_id").alias("_order"))
     return control.normalise_gcps(raw)
@@ -147,7 +148,7 @@ def _placed(spark, d):
     return control.points_in_rasters(view(spark, d, "gcp").where("enabled = '1'"), view(spark, d, "raster_bounds"))
 
 
-@query("SC19 AP13 AP14 SNK7 AP17", f"/* gcp raster_bounds */ SELECT * FROM (WITH {_IN}, p AS (SELECT *, cast(greatest(0, least(cast(trunc(px) AS bigint) - 150, width - 300)) AS bigint) AS x0, cast(greatest(0, least(cast(trunc(py) AS bigint) - 150, height - 300)) AS bigint) AS y0 FROM j) SELECT gcp_id, raster_id, x0, least(x0 + 300, width) AS x1, y0, least(y0 + 300, height) AS y1, concat('GCP_', gcp_id) AS name FROM p)")
+@query("SC19 SNK7", f"/* gcp raster_bounds */ SELECT * FROM (WITH {_IN}, p AS (SELECT *, cast(greatest(0, least(cast(trunc(px) AS bigint) - 150, width - 300)) AS bigint) AS x0, cast(greatest(0, least(cast(trunc(py) AS bigint) - 150, height - 300)) AS bigint) AS y0 FROM j) SELECT gcp_id, raster_id, x0, least(x0 + 300, width) AS x1, y0, least(y0 + 300, height) AS y1, concat('GCP_', gcp_id) AS name FROM p)")
 def gcp_patch_bounds(spark, d):
     return control.patch_bounds(_placed(spark, d)).select("gcp_id", "raster_id", "x0", "x1", "y0", "y1", geo.safe_name(F.concat(F.lit("GCP /_"), F.col("gcp_id"))).alias("name"))
 
@@ -155,10 +156,33 @@ def gcp_patch_bounds(spark, d):
 _ERR = "c AS (SELECT step, sum(shift_x) OVER (ORDER BY step) AS cx, sum(shift_y) OVER (ORDER BY step) AS cy FROM steps)"
 
 
-@query("JN10 SC28 AGG14 SET3 OR6", f"/* gcp raster_bounds steps */ SELECT * FROM (WITH {_IN}, {_ERR} SELECT step, raster_id, count(*) AS n, round(max(sqrt(cx * cx + cy * cy) * 0.25), 6) AS max_error, round(median(sqrt(cx * cx + cy * cy) * 0.25), 6) AS median_error FROM j CROSS JOIN c GROUP BY step, raster_id)")
+#: Each step's matrix at its scale, from the steps' shifts.
+_MATRIX = "1 + step / 1000.0::double AS m0, -step / 2000.0::double AS m1, shift_x AS m2, step / 2000.0::double AS m3, 1 - step / 1000.0::double AS m4, shift_y AS m5"
+_CUM = f"""m AS (SELECT step, m0, m1, m2 / scale AS m2, m3, m4, m5 / scale AS m5 FROM (SELECT step, scale, {_MATRIX} FROM steps)),
+  c AS (SELECT 0 AS step, 1.0::double AS a0, 0.0::double AS a1, 0.0::double AS a2, 0.0::double AS a3, 1.0::double AS a4, 0.0::double AS a5 UNION ALL
+    SELECT m.step, a0 * m0 + a1 * m3, a0 * m1 + a1 * m4, a0 * m2 + a1 * m5 + a2, a3 * m0 + a4 * m3, a3 * m1 + a4 * m4, a3 * m2 + a4 * m5 + a5 FROM c JOIN m ON m.step = c.step + 1)"""
+
+
+def _evaluation(spark, d):
+    s = F.col("step")
+    matrix = F.array(1 + s / 1000.0, -s / 2000.0, "shift_x", s / 2000.0, 1 - s / 1000.0, "shift_y")
+    return control.step_errors(_placed(spark, d), control.cumulative_matrices(view(spark, d, "steps").withColumn("matrix", matrix)), 0.25)
+
+
+@query("JN10 SC28 AGG14 SET3 OR6", f"""/* gcp raster_bounds steps */ SELECT * FROM (WITH RECURSIVE {_IN}, {_CUM}, e AS (SELECT step, raster_id, a0 * px + a1 * py + a2 - px AS dx, a3 * px + a4 * py + a5 - py AS dy FROM j CROSS JOIN c)
+  SELECT step, raster_id, count(*) AS n, round(max(sqrt(dx * dx + dy * dy) * 0.25), 5) AS max_error, round(median(sqrt(dx * dx + dy * dy) * 0.25), 5) AS median_error FROM e GROUP BY step, raster_id)""")
 def gcp_step_errors(spark, d):
-    e = control.step_errors(_placed(spark, d), fits.compose_shifts(view(spark, d, "steps")), 0.25)
-    return control.step_summary(e, ("step", "raster_id")).select("step", "raster_id", "n", F.round("max_error", 6).alias("max_error"), F.round("median_error", 6).alias("median_error"))
+    return control.step_summary(_evaluation(spark, d), ("step", "raster_id")).select("step", "raster_id", "n", F.round("max_error", 5).alias("max_error"), F.round("median_error", 5).alias("median_error"))
+
+
+@query("SNK8 OR6", f"""/* gcp raster_bounds steps */ SELECT * FROM (WITH RECURSIVE {_IN}, {_CUM}, e AS (SELECT step, gcp_id, a0 * px + a1 * py + a2 - px AS dx, a3 * px + a4 * py + a5 - py AS dy FROM j CROSS JOIN c)
+  SELECT step, count(*) AS n, cast(sum(gcp_id) AS bigint) AS ids, round(max(sqrt(dx * dx + dy * dy) * 0.25), 5) AS max_error FROM e GROUP BY step)""")
+def evaluation_json_roundtrip(spark, d):
+    e = _evaluation(spark, d)
+    text = control.evaluation_json(control.step_summary(e), e)
+    back = F.from_json("json", "struct<step:int,n:long,max_error:double,points:array<struct<gcp_id:long,error_m:double>>>")
+    p = text.select(back.alias("j")).select("j.step", "j.n", "j.max_error", F.explode("j.points").alias("p"))
+    return p.groupBy("step", "n").agg(F.sum("p.gcp_id").alias("ids"), F.round(F.max("p.error_m"), 5).alias("max_error"))
 
 
 @query("WIN3", f"/* steps */ SELECT * FROM (WITH {_ERR}, e AS (SELECT step, sqrt(cx * cx + cy * cy) AS m FROM c), l AS (SELECT *, lag(m) OVER (ORDER BY step) AS p FROM e) SELECT step, round(m, 6) AS mean_error, CASE WHEN p IS NULL THEN 'N/A' WHEN m < p THEN 'Improving' WHEN m > p THEN 'Degrading' ELSE 'Same' END AS trend FROM l)")
@@ -167,21 +191,21 @@ def gcp_step_trend(spark, d):
     return raster.running_mean_steps(s).select("step", F.round("mean_error", 6).alias("mean_error"), "trend")
 
 
-@query("JN7 SET4 SC10 OR7", """SELECT x.raster_id AS a_id, y.raster_id AS b_id, round((least(x."right", y."right") - greatest(x."left", y."left")) * (least(x.top, y.top) - greatest(x.bottom, y.bottom)) / ((x."right" - x."left") * (x.top - x.bottom)), 6) AS share_a
+@query("JN7 SET4", """SELECT x.raster_id AS a_id, y.raster_id AS b_id, round((least(x."right", y."right") - greatest(x."left", y."left")) * (least(x.top, y.top) - greatest(x.bottom, y.bottom)) / ((x."right" - x."left") * (x.top - x.bottom)), 6) AS share_a
   FROM raster_bounds x JOIN raster_bounds y ON x.raster_id % 2 = 0 AND y.raster_id % 2 = 1 AND greatest(x."left", y."left") < least(x."right", y."right") AND greatest(x.bottom, y.bottom) < least(x.top, y.top)""")
 def raster_overlap(spark, d):
     r = view(spark, d, "raster_bounds").withColumnRenamed("raster_id", "id")
     return control.overlaps(r.where("id % 2 = 0"), r.where("id % 2 = 1")).select("a_id", "b_id", F.round("share_a", 6).alias("share_a"))
 
 
-@query("SC29 SC30 SC37 SC38 OR7", "SELECT raster_id, round(s / greatest(width, height), 6) AS scale, CASE WHEN s / width > 10 THEN 'source much finer' WHEN s / width < 0.1 THEN 'source much coarser' ELSE 'OK' END AS ratio FROM raster CROSS JOIN (SELECT unnest([cast(500 AS double), 1000, 2000]) AS s) WHERE s / greatest(width, height) BETWEEN 0.01 AND 1")
+@query("SC29 SC30", "SELECT raster_id, round(s / greatest(width, height), 6) AS scale, CASE WHEN s / width > 10 THEN 'source much finer' WHEN s / width < 0.1 THEN 'source much coarser' ELSE 'OK' END AS ratio FROM raster CROSS JOIN (SELECT unnest([cast(500 AS double), 1000, 2000]) AS s) WHERE s / greatest(width, height) BETWEEN 0.01 AND 1")
 def raster_diagnostics(spark, d):
     r = view(spark, d, "raster").withColumn("s", F.explode(F.array(*(F.lit(float(x)) for x in (500, 1000, 2000)))))
     scale = F.col("s") / F.greatest("width", "height")
     return r.where(scale.between(0.01, 1)).select("raster_id", F.round(scale, 6).alias("scale"), geo.resolution_class(F.col("s") / F.col("width")).alias("ratio"))
 
 
-@query("SC11 SC12 SC13 SC21 SC9 PRJ4", """SELECT raster_id, a / 0.5 AS a2, e / 0.5 AS e2, ("left" + "right") / 2 AS mid_lon, (bottom + top) / 2 AS mid_lat, round(100 / (111320 * cos(radians((bottom + top) / 2))), 9) AS lon_100m, round(("right" - c) * 4096, 6) AS last_col FROM raster_bounds""")
+@query("SC11 SC13 SC21 SC9", """SELECT raster_id, a / 0.5 AS a2, e / 0.5 AS e2, ("left" + "right") / 2 AS mid_lon, (bottom + top) / 2 AS mid_lat, round(100 / (111320 * cos(radians((bottom + top) / 2))), 9) AS lon_100m, round(("right" - c) * 4096, 6) AS last_col FROM raster_bounds""")
 def geotransform_rescale(spark, d):
     r = view(spark, d, "raster_bounds")
     lat = (F.col("bottom") + F.col("top")) / 2
@@ -189,21 +213,54 @@ def geotransform_rescale(spark, d):
     return r.select("raster_id", (F.col("a") / 0.5).alias("a2"), (F.col("e") / 0.5).alias("e2"), ((F.col("left") + F.col("right")) / 2).alias("mid_lon"), lat.alias("mid_lat"), F.round(geo.metres_to_degrees(F.lit(100.0), F.lit(0.0), lat)[0], 9).alias("lon_100m"), F.round(col, 6).alias("last_col"))
 
 
-_H = "2 * 6371008.8 * asin(sqrt(power(sin(radians({a2} - {a1}) / 2), 2) + cos(radians({a1})) * cos(radians({a2})) * power(sin(radians({o2} - {o1}) / 2), 2)))"
+def _geodesic(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
+    f = "(1 / 298.257223563::double)"
+    b1, b2 = (f"atan((1 - {f}) * tan(radians({x})))" for x in (lat1, lat2))
+    h = f"(power(sin(({b2} - {b1}) / 2), 2) + cos({b1}) * cos({b2}) * power(sin(radians({lon2} - {lon1}) / 2), 2))"
+    s = f"(2 * asin(sqrt({h})))"
+    return f"6378137.0::double * ({s} - {f} / 2 * (({s} - sin({s})) * power(sin(({b1} + {b2}) / 2) * cos(({b2} - {b1}) / 2), 2) / (1 - {h}) + ({s} + sin({s})) * power(cos(({b1} + {b2}) / 2) * sin(({b2} - {b1}) / 2), 2) / {h}))"
 
 
-@query("SC7 SC15", "SELECT raster_id, round((" + _H.format(a1="(bottom + top) / 2", a2="(bottom + top) / 2", o1='"left"', o2='"right"') + " / width + " + _H.format(a1="bottom", a2="top", o1='("left" + "right") / 2', o2='("left" + "right") / 2') + " / height) / 2, 5) AS metres FROM raster_bounds")
+@query("SC7 SC15", "SELECT raster_id, round((" + _geodesic('"left"', "(bottom + top) / 2", '"right"', "(bottom + top) / 2") + " / width + " + _geodesic('("left" + "right") / 2', "bottom", '("left" + "right") / 2', "top") + " / height) / 2, 5) AS metres FROM raster_bounds")
 def raster_resolution(spark, d):
     mid_lat, mid_lon = (F.col("bottom") + F.col("top")) / 2, (F.col("left") + F.col("right")) / 2
-    dx = geo.haversine_m(F.col("left"), mid_lat, F.col("right"), mid_lat) / F.col("width")
-    dy = geo.haversine_m(mid_lon, F.col("bottom"), mid_lon, F.col("top")) / F.col("height")
+    dx = geo.geodesic_m(F.col("left"), mid_lat, F.col("right"), mid_lat) / F.col("width")
+    dy = geo.geodesic_m(mid_lon, F.col("bottom"), mid_lon, F.col("top")) / F.col("height")
     return view(spark, d, "raster_bounds").select("raster_id", F.round((dx + dy) / 2, 5).alias("metres"))
 
 
+@query("SC12", """SELECT raster_id, round(("right" - "left") / (width / 2.0::double), 9) AS a, "left" AS c, round((bottom - top) / (height / 2.0::double), 9) AS e, top AS f FROM raster_bounds""")
+def transform_from_bounds(spark, d):
+    t = geo.from_bounds(*(F.col(c) for c in ("left", "bottom", "right", "top")), F.col("width") / 2, F.col("height") / 2)
+    return view(spark, d, "raster_bounds").select("raster_id", F.round(t["a"], 9).alias("a"), t["c"].alias("c"), F.round(t["e"], 9).alias("e"), t["f"].alias("f"))
+
+
+@query("AGG10", "SELECT gcp_id % 25 AS area, min(lat) AS min_lat, min(lon) AS min_lon, max(lat) AS max_lat, max(lon) AS max_lon FROM gcp GROUP BY 1")
+def area_bounds(spark, d):
+    return geo.bounding_box(view(spark, d, "gcp").withColumn("area", F.col("gcp_id") % 25), ["area"])
+
+
+@query("SC10 PRJ4", """SELECT x.raster_id AS a_id, y.raster_id AS b_id, greatest(0, least(x.width, cast(floor((greatest(x."left", y."left") - x.c) * 4096) AS bigint))) AS x0, greatest(0, least(x.height, cast(floor((x.f - least(x.top, y.top)) * 4096) AS bigint))) AS y0,
+  greatest(0, least(x.width, cast(floor((least(x."right", y."right") - x.c) * 4096) AS bigint))) AS x1, greatest(0, least(x.height, cast(floor((x.f - greatest(x.bottom, y.bottom)) * 4096) AS bigint))) AS y1
+  FROM raster_bounds x JOIN raster_bounds y ON x.raster_id % 2 = 0 AND y.raster_id % 2 = 1 AND greatest(x."left", y."left") < least(x."right", y."right") AND greatest(x.bottom, y.bottom) < least(x.top, y.top)""")
+def overlap_pixel_windows(spark, d):
+    r = view(spark, d, "raster_bounds").withColumnRenamed("raster_id", "id")
+    return control.overlap_pixels(control.overlaps(r.where("id % 2 = 0"), r.where("id % 2 = 1")), r).select("a_id", "b_id", "x0", "y0", "x1", "y1")
+
+
+@query("SC37 SC38 OR7", """SELECT x.raster_id AS id, round(greatest(0, least(x."right", y."right") - greatest(x."left", y."left")) * greatest(0, least(x.top, y.top) - greatest(x.bottom, y.bottom)) / ((x."right" - x."left") * (x.top - x.bottom)), 6) AS overlap,
+  CASE WHEN least(x."right", y."right") > greatest(x."left", y."left") AND least(x.top, y.top) > greatest(x.bottom, y.bottom) THEN NULL ELSE round(sqrt(power((x."left" + x."right" - y."left" - y."right") / 2, 2) + power((x.bottom + x.top - y.bottom - y.top) / 2, 2)), 6) END AS centre_distance
+  FROM raster_bounds x JOIN raster_bounds y ON y.raster_id = x.raster_id + 1""")
+def alignment_diagnosis(spark, d):
+    r = view(spark, d, "raster_bounds")
+    s, t = (r.select(*((F.col("raster_id") - k).alias("id"),), F.struct(*r.columns).alias(name)) for name, k in (("source", 0), ("target", 1)))
+    return registration.diagnose(s.join(t, "id")).select("id", F.round("overlap", 6).alias("overlap"), F.round("centre_distance", 6).alias("centre_distance"))
+
+
 _WORLD = "SELECT gcp_id, cast(gcp_id * 37 % 360 - 180 AS double) + 0.5 AS wlon, cast(gcp_id * 53 % 160 - 80 AS double) + 0.25 AS wlat FROM gcp"
 
 
-@query("SC18 OR8", f"SELECT gcp_id, cast(CASE WHEN wlat >= 0 THEN 32600 ELSE 32700 END + CASE WHEN wlat >= 72 AND wlat < 84 AND wlon >= 0 AND wlon < 9 THEN 31 WHEN wlat >= 72 AND wlat < 84 AND wlon >= 9 AND wlon < 21 THEN 33 WHEN wlat >= 72 AND wlat < 84 AND wlon >= 21 AND wlon < 33 THEN 35 WHEN wlat >= 72 AND wlat < 84 AND wlon >= 33 AND wlon < 42 THEN 37 WHEN wlat >= 56 AND wlat < 64 AND wlon >= 3 AND wlon < 12 THEN 32 ELSE cast(trunc((wlon + 180) / 6) AS int) + 1 END AS int) AS epsg FROM ({_WORLD})")
+@query("SC18", f"SELECT gcp_id, cast(CASE WHEN wlat >= 0 THEN 32600 ELSE 32700 END + CASE WHEN wlat >= 72 AND wlat < 84 AND wlon >= 0 AND wlon < 9 THEN 31 WHEN wlat >= 72 AND wlat < 84 AND wlon >= 9 AND wlon < 21 THEN 33 WHEN wlat >= 72 AND wlat < 84 AND wlon >= 21 AND wlon < 33 THEN 35 WHEN wlat >= 72 AND wlat < 84 AND wlon >= 33 AND wlon < 42 THEN 37 WHEN wlat >= 56 AND wlat < 64 AND wlon >= 3 AND wlon < 12 THEN 32 ELSE cast(trunc((wlon + 180) / 6) AS int) + 1 END AS int) AS epsg FROM ({_WORLD})")
 def utm_zone(spark, d):
     return _world(spark, d).select("gcp_id", geo.utm_epsg(F.col("wlon"), F.col("wlat")).alias("epsg"))
 
@@ -213,14 +270,14 @@ def _world(spark, d):
     return view(spark, d, "gcp").select("gcp_id", ((k * 37 % 360 - 180).cast("double") + 0.5).alias("wlon"), ((k * 53 % 160 - 80).cast("double") + 0.25).alias("wlat"))
 
 
-@query("SC3 SC5 AGG10", f"SELECT gcp_id, x, y, concat('https://tile.openstreetmap.org/12/', x, '/', y, '.png') AS url FROM (SELECT gcp_id, cast(trunc((wlon + 180) / 360 * 4096) AS int) AS x, cast(trunc((1 - asinh(tan(radians(wlat))) / pi()) / 2 * 4096) AS int) AS y FROM ({_WORLD}))")
+@query("SC3 SC5", f"SELECT gcp_id, x, y, concat('https://tile.openstreetmap.org/12/', x, '/', y, '.png') AS url FROM (SELECT gcp_id, cast(trunc((wlon + 180) / 360 * 4096) AS int) AS x, cast(trunc((1 - asinh(tan(radians(wlat))) / pi()) / 2 * 4096) AS int) AS y FROM ({_WORLD}))")
 def tile_urls(spark, d):
     z = F.lit(12)
     t = _world(spark, d).select("gcp_id", geo.tile_x(F.col("wlon"), z).alias("x"), geo.tile_y(F.col("wlat"), z).alias("y"))
     return t.select("*", geo.tile_url(F.lit("osm"), F.col("x"), F.col("y"), z).alias("url"))
 
 
-@query("SC4 AP16 FIL16 SRC14", "SELECT gcp_id, (gcp_id * 37 % 4096) / 4096.0::double * 360 - 180 AS lon, round(degrees(atan(sinh(pi() * (1 - 2 * (gcp_id * 53 % 4096) / 4096.0::double)))), 7) AS lat FROM gcp")
+@query("SC4", "SELECT gcp_id, (gcp_id * 37 % 4096) / 4096.0::double * 360 - 180 AS lon, round(degrees(atan(sinh(pi() * (1 - 2 * (gcp_id * 53 % 4096) / 4096.0::double)))), 7) AS lat FROM gcp")
 def tile_bounds(spark, d):
     z, k = F.lit(12), F.col("gcp_id")
     return view(spark, d, "gcp").select("gcp_id", geo.tile_lon((k * 37 % 4096).cast("double"), z).alias("lon"), F.round(geo.tile_lat((k * 53 % 4096).cast("double"), z), 7).alias("lat"))
@@ -231,12 +288,12 @@ def zoom_choice(spark, d):
     return _world(spark, d).select("gcp_id", geo.zoom_for_resolution(F.col("wlat"), F.col("gcp_id") % 40 + F.lit(0.3)).cast("int").alias("zoom"))
 
 
-@query("SRC12 AGG17", "SELECT DISTINCT cell FROM cells WHERE regexp_matches(cell, '^[0-9a-fA-F]{15}$')")
+@query("AGG17", "SELECT DISTINCT cell FROM cells WHERE regexp_matches(cell, '^[0-9a-fA-F]{15}$')")
 def h3_cells_distinct(spark, d):
     return view(spark, d, "cells").where(F.col("cell").rlike("^[0-9a-fA-F]{15}$")).distinct()
 
 
-@query("SRC13 SC34", "SELECT cell, count(*) AS n, printf('%.3f', count(*) / 8.0) AS label FROM cells GROUP BY cell")
+@query("SC34", "SELECT cell, count(*) AS n, printf('%.3f', count(*) / 8.0) AS label FROM cells GROUP BY cell")
 def h3_cells_text(spark, d):
     n = F.count(F.lit(1))
     return view(spark, d, "cells").groupBy("cell").agg(n.alias("n"), F.format_string("%.3f", n / 8.0).alias("label"))
@@ -249,7 +306,7 @@ def match_tile_grid(spark, d):
     return g.select("raster_id", "ty", "tx", F.col("y0").cast("long").alias("y0"), "y1", F.col("x0").cast("long").alias("x0"), "x1", matching.needs_tiles(F.col("width"), F.col("height"), 256).alias("tiled"))
 
 
-@query("FIL7 FIL8 JN6 SET1 AGG11", "SELECT raster_id, cast(floor(\"row\" / 8) AS int) AS ty, cast(floor(col / 8) AS int) AS tx, cast(sum(CASE WHEN value > 10 THEN 1 ELSE 0 END) AS bigint) AS valid, count(*) AS total FROM pixel GROUP BY 1, 2, 3 HAVING sum(CASE WHEN value > 10 THEN 1 ELSE 0 END) >= 0.1 * count(*)")
+@query("FIL7 AGG11", "SELECT raster_id, cast(floor(\"row\" / 8) AS int) AS ty, cast(floor(col / 8) AS int) AS tx, cast(sum(CASE WHEN value > 10 THEN 1 ELSE 0 END) AS bigint) AS valid, count(*) AS total FROM pixel GROUP BY 1, 2, 3 HAVING sum(CASE WHEN value > 10 THEN 1 ELSE 0 END) >= 0.1 * count(*)")
 def tile_validity(spark, d):
     return raster.tile_validity(view(spark, d, "pixel"), 8)
 
@@ -260,7 +317,7 @@ def normalise_mask(spark, d):
     return raster.normalise(p).select("raster_id", "row", "col", F.col("value").alias("scaled"), "masked")
 
 
-@query("SC2 PRJ2 PRJ3 SRC3 AP10", "SELECT raster_id, \"row\", col, cast(trunc((value * 299 + ((value * 3) % 256) * 587 + ((value * 5) % 256) * 114) / 1000.0::double) AS int) AS gray FROM pixel")
+@query("SC2 PRJ3", "SELECT raster_id, \"row\", col, cast(trunc((value * 299 + ((value * 3) % 256) * 587 + ((value * 5) % 256) * 114) / 1000.0::double) AS int) AS gray FROM pixel")
 def gray_bands(spark, d):
     v = F.col("value")
     return view(spark, d, "pixel").select("raster_id", "row", "col", raster.gray(v, v * 3 % 256, v * 5 % 256).cast("int").alias("gray"))
@@ -271,7 +328,7 @@ def y_coverage(spark, d):
     return raster.y_coverage(view(spark, d, "pixel"), 32)
 
 
-@query("AP7 OR1", "SELECT raster_id, cast(floor(\"row\" / 4) AS int) AS \"row\", cast(floor(col / 4) AS int) AS col, sum(value) / count(*)::double AS value FROM pixel GROUP BY 1, 2, 3")
+@query("AP7", "SELECT raster_id, cast(floor(\"row\" / 4) AS int) AS \"row\", cast(floor(col / 4) AS int) AS col, sum(value) / count(*)::double AS value FROM pixel GROUP BY 1, 2, 3")
 def downsample_box(spark, d):
     return raster.downsample_box(view(spark, d, "pixel"), 4)
 
@@ -281,7 +338,7 @@ def upsample_nearest(spark, d):
     return raster.upsample_nearest(view(spark, d, "pixel"), 2)
 
 
-@query("AP2 AP5", "SELECT raster_id, cast(\"row\" - 2 AS int) AS \"row\", cast(col + 3 AS int) AS col, value FROM pixel WHERE \"row\" - 2 >= 0 AND col + 3 < 32")
+@query("AP2", "SELECT raster_id, cast(\"row\" - 2 AS int) AS \"row\", cast(col + 3 AS int) AS col, value FROM pixel WHERE \"row\" - 2 >= 0 AND col + 3 < 32")
 def shift_warp_nearest(spark, d):
     return raster.shift_nearest(view(spark, d, "pixel"), 3, -2, 32, 32)
 
@@ -302,13 +359,13 @@ def warp_extent(spark, d):
     return raster.warp_extent(view(spark, d, "raster"), tuple(F.lit(x) for x in (1.25, -0.5, 3.0, 0.5, 1.25, -7.0))).select("raster_id", "min_x", "max_x", "out_height")
 
 
-@query("SC22 SC23 SC25", "SELECT step, cast(trunc(3 / (0.02 / scale)) AS int) AS err_px, greatest(64, cast(trunc(64 / scale) AS int)) AS patch, greatest(150, 3 * cast(trunc(3 / (0.02 / scale)) AS int)) AS margin FROM steps")
+@query("SC22 SC23", "SELECT step, cast(trunc(3 / (0.02 / scale)) AS int) AS err_px, greatest(64, cast(trunc(64 / scale) AS int)) AS patch, greatest(150, 3 * cast(trunc(3 / (0.02 / scale)) AS int)) AS margin FROM steps")
 def ncc_parameters(spark, d):
     p = geo.adaptive_ncc(F.col("scale"))
     return view(spark, d, "steps").select("step", p["err_px"].alias("err_px"), p["patch"].alias("patch"), p["margin"].alias("margin"))
 
 
-@query("MT1 JN5 AGG18 WIN2 SC25 FIL9 FIL10 LIM5", """SELECT raster_id, py, px, dy, dx, round(ncc, 6) AS ncc FROM (SELECT *, row_number() OVER (PARTITION BY raster_id, py, px ORDER BY round(ncc, 9) DESC, dy, dx) AS rn FROM (
+@query("MT1 JN5 AGG18 WIN2 SC25", """SELECT raster_id, py, px, dy, dx, round(ncc, 6) AS ncc FROM (SELECT *, row_number() OVER (PARTITION BY raster_id, py, px ORDER BY round(ncc, 9) DESC, dy, dx) AS rn FROM (
   SELECT c.raster_id, cast(c.py AS int) AS py, cast(c.px AS int) AS px, cast(o.dy AS int) AS dy, cast(o.dx AS int) AS dx, (count(*) * sum(s.value * t.value) - sum(s.value) * sum(t.value)) / sqrt((count(*) * sum(s.value * s.value) - sum(s.value) * sum(s.value))::double * (count(*) * sum(t.value * t.value) - sum(t.value) * sum(t.value))::double) AS ncc
   FROM (SELECT raster_id, py, px FROM (SELECT DISTINCT raster_id FROM pixel) CROSS JOIN (SELECT unnest([4, 12, 20]) AS py) CROSS JOIN (SELECT unnest([4, 12, 20]) AS px)) c CROSS JOIN (SELECT unnest(range(-2, 3)) AS dy) o1(dy) CROSS JOIN (SELECT unnest(range(-2, 3)) AS dx) o2(dx) CROSS JOIN LATERAL (SELECT o1.dy, o2.dx) o
   JOIN pixel t ON t.raster_id = c.raster_id AND t."row" BETWEEN c.py - 4 AND c.py + 3 AND t.col BETWEEN c.px - 4 AND c.px + 3
@@ -331,12 +388,12 @@ def _keypoints(spark, d, odd: int, binary: bool = False):
 _KNN = "SELECT s.vec_id AS query_id, t.vec_id AS train_id, sqrt(list_sum(list_transform(list_zip(s.embedding, t.embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)))) AS dd FROM embeddings s JOIN embeddings t ON s.vec_id % 2 = 0 AND t.vec_id % 2 = 1"
 
 
-@query("JN1 WIN1 FIL3 LIM4 JN8", f"SELECT query_id, max(CASE WHEN rn = 1 THEN train_id END) AS train_id, round(max(CASE WHEN rn = 1 THEN dd END), 5) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dd, train_id) AS rn FROM ({_KNN})) WHERE rn <= 2 GROUP BY query_id HAVING max(CASE WHEN rn = 1 THEN dd END) < 0.98 * max(CASE WHEN rn = 2 THEN dd END)")
+@query("JN1 WIN1 FIL3", f"SELECT query_id, max(CASE WHEN rn = 1 THEN train_id END) AS train_id, round(max(CASE WHEN rn = 1 THEN dd END), 5) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dd, train_id) AS rn FROM ({_KNN})) WHERE rn <= 2 GROUP BY query_id HAVING max(CASE WHEN rn = 1 THEN dd END) < 0.98 * max(CASE WHEN rn = 2 THEN dd END)")
 def knn_ratio_l2(spark, d):
     return matching.ratio_matches(_keypoints(spark, d, 0), _keypoints(spark, d, 1), 0.98).select("query_id", "train_id", F.round("distance", 5).alias("distance"))
 
 
-@query("JN3 MT6", f"SELECT a.query_id, a.train_id, round(a.dd, 5) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dd, train_id) AS rn, row_number() OVER (PARTITION BY train_id ORDER BY dd, query_id) AS rm FROM ({_KNN})) a WHERE rn = 1 AND rm = 1")
+@query("JN3", f"SELECT a.query_id, a.train_id, round(a.dd, 5) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dd, train_id) AS rn, row_number() OVER (PARTITION BY train_id ORDER BY dd, query_id) AS rm FROM ({_KNN})) a WHERE rn = 1 AND rm = 1")
 def mutual_nn_matches(spark, d):
     return matching.mutual_matches(_keypoints(spark, d, 0), _keypoints(spark, d, 1)).select("query_id", "train_id", F.round("distance", 5).alias("distance"))
 
@@ -347,7 +404,7 @@ def knn_ratio_hamming(spark, d):
     return matching.ratio_matches(_keypoints(spark, d, 0, True), _keypoints(spark, d, 1, True), 0.95, "hamming").select("query_id", "train_id", "distance")
 
 
-@query("SRC7 SNK3 SNK8 OR9 FIL15 JN11", f"SELECT pair_id, count(*) AS n, cast(sum(match_id) AS bigint) AS ids, max(round({_DIST}, 6)) AS max_px FROM correspondence GROUP BY pair_id")
+@query("SNK3 OR9", f"SELECT pair_id, count(*) AS n, cast(sum(match_id) AS bigint) AS ids, max(round({_DIST}, 6)) AS max_px FROM correspondence GROUP BY pair_id")
 def match_json_roundtrip(spark, d):
     from rasterloom.sources.sinks import matches_json
 
@@ -357,13 +414,13 @@ def match_json_roundtrip(spark, d):
     return m.groupBy("pair_id", "n").agg(F.sum("m.match_id").alias("ids"), F.max("m.distance.pixels").alias("max_px"))
 
 
-@query("SNK10 SC35 SC36 D21", "SELECT event_type, count(*) AS n, cast(sum(cast(json_extract_string(props, '$.k') AS bigint)) AS bigint) AS k FROM debug_event GROUP BY event_type")
+@query("SNK10 SC35", "SELECT event_type, count(*) AS n, cast(sum(cast(json_extract_string(props, '$.k') AS bigint)) AS bigint) AS k FROM debug_event GROUP BY event_type")
 def debug_event_rollup(spark, d):
     e = view(spark, d, "debug_event")
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"))
 
 
-@query("SRC17 SRC18 SRT3 SRC20", "SELECT step, cast(regexp_extract(concat('matches_scale', printf('%.3f', scale), '.json'), 'scale([0-9]+\\.[0-9]+)', 1) AS double) AS scale, printf('%.1f KB', scale * 64) AS size FROM steps")
+@query("SRC18 SRC20", "SELECT step, cast(regexp_extract(concat('matches_scale', printf('%.3f', scale), '.json'), 'scale([0-9]+\\.[0-9]+)', 1) AS double) AS scale, printf('%.1f KB', scale * 64) AS size FROM steps")
 def scale_from_filename(spark, d):
     from rasterloom.sources.files import scale_of
 
@@ -377,10 +434,65 @@ def best_transform_per_pair(spark, d):
     return fits.choose_best(fits.fit_all(kept)).select("pair_id", "type", "num_points", "inlier_count", F.round("robust_rmse", 4).alias("robust_rmse"))
 
 
-@query("AP3 AP4 AP6 AP12 OR2")
+@query("AP6 AP5", """SELECT raster_id, cast(oy AS int) AS "row", cast(ox AS int) AS col, round(coalesce(sum(value * (1 - abs(sx - col)) * (1 - abs(sy - "row"))), 0), 2) AS value
+  FROM (SELECT DISTINCT raster_id AS id FROM pixel) CROSS JOIN (SELECT unnest(range(48)) AS oy) CROSS JOIN (SELECT unnest(range(48)) AS ox) CROSS JOIN LATERAL (SELECT ox * 0.9::double + 1.5 AS sx, oy * 0.9::double + 1.5 AS sy)
+  LEFT JOIN pixel ON raster_id = id AND abs(sx - col) < 1 AND abs(sy - "row") < 1 GROUP BY id, raster_id, oy, ox""".replace("SELECT raster_id,", "SELECT id AS raster_id,", 1).replace("GROUP BY id, raster_id", "GROUP BY id"))
 def tile_warp(spark, d):
     tiles = raster.to_tiles(view(spark, d, "pixel"), 16)
-    return raster.warp_tiles(tiles, lambda p: p * 0.9 + 1.5, 16, 32, 32).select("raster_id", "ty", "tx", F.crc32("data").alias("crc"))
+    warped = raster.warp_tiles(tiles, lambda p: p * 0.9 + 1.5, 16, 48, 48)
+    return registration.pixels_of(warped, 16).withColumn("value", F.round("value", 2))
+
+
+@query("JN6 SET1", """SELECT s.raster_id, s.ty, s.tx, s.n AS source_valid, t.n AS target_valid FROM (SELECT raster_id, cast(floor("row" / 8) AS int) AS ty, cast(floor(col / 8) AS int) AS tx, cast(count(*) FILTER (value > 10) AS bigint) AS n FROM pixel GROUP BY 1, 2, 3 HAVING count(*) FILTER (value > 10) >= 0.1 * count(*)) s
+  JOIN (SELECT raster_id, cast(floor("row" / 8) AS int) AS ty, cast(floor(col / 8) AS int) AS tx, cast(count(*) FILTER (value * 3 % 256 > 10) AS bigint) AS n FROM pixel GROUP BY 1, 2, 3 HAVING count(*) FILTER (value * 3 % 256 > 10) >= 0.1 * count(*)) t ON s.raster_id = t.raster_id AND s.ty = t.ty AND s.tx = t.tx""")
+def tile_pairs(spark, d):
+    p = view(spark, d, "pixel")
+    s, t = (raster.tile_validity(x, 8).select("raster_id", "ty", "tx", F.col("valid").alias(f"{n}_valid")) for n, x in (("source", p), ("target", p.withColumn("value", F.col("value") * 3 % 256))))
+    return s.join(t, ["raster_id", "ty", "tx"])
+
+
+@query("PRJ2 SRC3 AP10", """SELECT raster_id, b AS band, count(*) AS n, cast(sum(value + k * 7) AS bigint) AS total FROM (SELECT raster_id, value, (raster_id + 4) % 4 + 1 AS bands, unnest([1, 2, 3]) AS b FROM pixel) CROSS JOIN LATERAL (SELECT CASE WHEN bands = 1 THEN 1 WHEN bands = 2 AND b = 3 THEN 2 ELSE b END AS k) GROUP BY 1, 2""")
+def three_band_totals(spark, d):
+    p = view(spark, d, "pixel").withColumn("band", F.explode(F.sequence(F.lit(1), ((F.col("raster_id") + 4) % 4 + 1).cast("int"))))
+    return raster.three_bands(p.withColumn("value", F.col("value") + F.col("band") * 7)).groupBy("raster_id", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+@query("FIL14", f"SELECT pair_id, kind, count(*) AS n FROM (SELECT pair_id, CASE WHEN pair_id % 2 = 0 THEN 'spline' ELSE 'affine' END AS kind, abs(src_y % 4) AS err, {_DIST} < 4 AS inlier FROM correspondence) WHERE CASE WHEN kind = 'spline' THEN err > 1e-6 ELSE inlier END GROUP BY 1, 2")
+def histogram_inliers(spark, d):
+    m = view(spark, d, "correspondence").select("pair_id", F.when(F.col("pair_id") % 2 == 0, "spline").otherwise("affine").alias("kind"), F.abs(F.col("src_y") % 4).alias("err"), (robust.offset_distance() < 4).alias("inlier"))
+    return robust.inlier_errors(m, "kind").groupBy("pair_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("LIM4", "SELECT image, kp_id FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY response DESC, kp_id) AS rn FROM (SELECT cast(vec_id AS bigint) AS kp_id, label AS image, cast(vec_id * 37 % 101 AS double) AS response FROM embeddings)) WHERE rn <= 20")
+def strongest_keypoints(spark, d):
+    k = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("kp_id"), F.col("label").alias("image"), (F.col("vec_id") * 37 % 101).cast("double").alias("response"))
+    return matching.strongest(k, ["image"], 20).select("image", "kp_id")
+
+
+@query("JN8", f"SELECT query_id, train_id, cast(query_id % 97 AS double) AS src_x, cast(query_id % 89 AS double) AS src_y, cast(train_id % 97 AS double) AS dst_x, cast(train_id % 89 AS double) AS dst_y FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dd, train_id) AS rn FROM ({_KNN})) WHERE rn = 1")
+def matched_keypoints(spark, d):
+    s, t = _keypoints(spark, d, 0), _keypoints(spark, d, 1)
+    return matching.with_keypoints(matching.two_nearest(s, t).select("query_id", "train_id"), s, t).select("query_id", "train_id", "src_x", "src_y", "dst_x", "dst_y")
+
+
+_MASKED = """SELECT raster_id, py, px, dy, dx, round(ncc, 6) AS ncc FROM (SELECT *, row_number() OVER (PARTITION BY raster_id, py, px ORDER BY round(ncc, 9) DESC, dy, dx) AS rn FROM (
+  SELECT c.raster_id, cast(c.py AS int) AS py, cast(c.px AS int) AS px, cast(o.dy AS int) AS dy, cast(o.dx AS int) AS dx, (count(*) * sum(s.value * t.value) - sum(s.value) * sum(t.value)) / sqrt((count(*) * sum(s.value * s.value) - sum(s.value) * sum(s.value))::double * (count(*) * sum(t.value * t.value) - sum(t.value) * sum(t.value))::double) AS ncc
+  FROM good c CROSS JOIN (SELECT unnest(range(-2, 3)) AS dy) o1(dy) CROSS JOIN (SELECT unnest(range(-2, 3)) AS dx) o2(dx) CROSS JOIN LATERAL (SELECT o1.dy, o2.dx) o
+  JOIN pixel t ON t.raster_id = c.raster_id AND t."row" BETWEEN c.py - 4 AND c.py + 3 AND t.col BETWEEN c.px - 4 AND c.px + 3 JOIN src s ON s.raster_id = c.raster_id AND s."row" = t."row" + o.dy AND s.col = t.col + o.dx
+  GROUP BY 1, 2, 3, 4, 5 HAVING count(*) = 64 AND count(*) * sum(s.value * s.value) > sum(s.value) * sum(s.value) AND count(*) * sum(t.value * t.value) > sum(t.value) * sum(t.value))) r
+  WHERE rn = 1 AND EXISTS (SELECT 1 FROM src s WHERE s.raster_id = r.raster_id AND s.value > 10 AND s."row" BETWEEN py + dy - 5 AND py + dy + 5 AND s.col BETWEEN px + dx - 5 AND px + dx + 5)"""
+
+
+@query("MT1 FIL8 FIL9 FIL10 LIM5", f"""/* pixel */ SELECT * FROM (WITH src AS (SELECT raster_id, "row", col, CASE WHEN col < 17 THEN 0 ELSE (value * 3 + col) % 256 END AS value FROM pixel),
+  grid AS (SELECT raster_id, py, px, row_number() OVER (PARTITION BY raster_id ORDER BY py, px) AS rn FROM (SELECT DISTINCT raster_id FROM pixel) CROSS JOIN (SELECT unnest([4, 12, 20]) AS py) CROSS JOIN (SELECT unnest([4, 12, 20]) AS px)),
+  centre AS (SELECT g.raster_id, py, px FROM grid g JOIN pixel p ON p.raster_id = g.raster_id AND p."row" = py AND p.col = px WHERE rn <= 8 AND value > 10),
+  good AS (SELECT c.raster_id, py, px FROM centre c JOIN src s ON s.raster_id = c.raster_id AND s."row" BETWEEN py - 2 AND py + 9 AND s.col BETWEEN px - 2 AND px + 9 GROUP BY 1, 2, 3 HAVING NOT (count(*) FILTER (value > 10) < 64 * 0.2 AND count(*) FILTER (value > 10) < count(*) * 0.1))
+  {_MASKED})""")
+def patch_ncc_masked(spark, d):
+    p = view(spark, d, "pixel")
+    ids = p.select("raster_id").distinct().withColumn("height", F.lit(25)).withColumn("width", F.lit(25))
+    source = p.withColumn("value", F.when(F.col("col") < 17, 0).otherwise((F.col("value") * 3 + F.col("col")) % 256))
+    return matching.patch_ncc(source, p, matching.first_patches(matching.patch_grid(ids, 8, 8), 8), 8, 2, valid=10).withColumn("ncc", F.round("ncc", 6))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
