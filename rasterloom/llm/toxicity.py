@@ -4,11 +4,13 @@ Words are spelt ``^word$``. A toxic and an ordinary model give the probability
 of each character after the up to four before it in its word. Each model
 discounts its own counts and backs off to one shared Kneser-Ney model, whose
 lower orders use continuation counts over all documents, so an expression that
-is rare in both classes adds nothing. A word's evidence is what the difference of
-its log-likelihoods has above MARGIN (below that it tells of language and topic
-more than of class), a text's is the sum divided by its number of words. A
+is rare in both classes adds nothing. A toxic text is for the most part made of
+ordinary words, so its likelihood is that of a text in which each word is toxic
+with the probability SHARE: P(text | toxic) is the product of (1 - SHARE) P(word |
+ordinary) + SHARE P(word | toxic), P(text | ordinary) that of P(word | ordinary).
+The logarithms of both are divided by the number of words and compared; a
 logistic curve fitted on labelled rows that the models have not seen turns the
-logarithm of it into a score.
+difference into a score.
 """
 
 from __future__ import annotations
@@ -31,9 +33,9 @@ ORDER = 5
 MODEL_ROWS = 20_000
 CURVE_ROWS = 4_000
 DISCOUNT = 0.75
-#: A word's log-likelihood ratio counts from here on.
-MARGIN = 3.0
-#: Evidence for a text is ln(1 + mean excess / SCALE).
+#: The share of toxic words that a toxic text is taken to have.
+SHARE = 0.01
+#: The difference of the length-normalised log-likelihoods is at least ln(1 - SHARE); the curve takes ln(1 + what it has above that / SCALE).
 SCALE = 0.01
 
 
@@ -79,6 +81,12 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * (evidence - self.centre)))))
 
 
+def word_evidence(ratio: float) -> float:
+    """ln P(word | toxic text) - ln P(word | ordinary text), less its lowest value ln(1 - SHARE), for a word of this ln P(word | toxic) - ln P(word | ordinary)."""
+    x = ratio + math.log(SHARE / (1 - SHARE))
+    return x + math.log1p(math.exp(-x)) if x > 0 else math.log1p(math.exp(x))
+
+
 class Evidence:
     """Length-normalised evidence of texts; the values of up to ``limit`` words are kept."""
 
@@ -98,7 +106,7 @@ class Evidence:
                 known.clear()
             for w in words:
                 if w not in known:
-                    known[w] = max(0.0, self.model.word(w) - MARGIN)
+                    known[w] = word_evidence(self.model.word(w))
             return math.log1p(sum([known[w] for w in words]) / len(words) / SCALE)
 
 
