@@ -34,7 +34,7 @@ GRAM = 32
 WIDTH = SPAN - GRAM + 1
 #: Bytes whose anchors are found at once.
 CHUNK = 1 << 20
-#: Different runs of one anchor that one task compares; beyond, strings are counted by hash instead.
+#: Different runs of one anchor that one task compares; of an anchor with more, the strings are counted by 128-bit hash instead, with equal results.
 CAP = 8192
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
@@ -122,6 +122,7 @@ class Suffixes:
 
     def __init__(self, data: np.ndarray, start: np.ndarray, length: np.ndarray):
         self.data, self.start, self.length = data, start, length
+        self.fresh: np.ndarray | None = None  # where a group begins, once sorted
         self.sums, self.down = prefix_hashes(data)
 
     def extension(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -189,20 +190,26 @@ class Suffixes:
                 width *= 2
             order[(first[which][:, None] + column)[column < sizes[which][:, None]]] = table[table >= 0]
         common_ = np.zeros(len(group), np.int64)
-        inner = np.flatnonzero(group[1:] == group[:-1]) + 1
+        self.fresh = np.concatenate(([True], group[1:] != group[:-1]))
+        inner = np.flatnonzero(~self.fresh)
         common_[inner] = self.extension(order[inner - 1], order[inner])
         return order, common_
 
     def verify(self, order: np.ndarray, common_: np.ndarray) -> bool:
-        """Whether each common extension holds byte by byte, and no longer one does."""
-        inner = np.flatnonzero(common_ > 0)
-        if len(inner):
-            n = common_[inner]
-            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            a, b = np.repeat(self.start[order[inner - 1]], n), np.repeat(self.start[order[inner]], n)
-            if (self.data[a + step] != self.data[b + step]).any():
-                return False
-        return True
+        """Whether each common extension holds byte by byte and no longer one does, and the later suffix is no less: then
+        the whole order is right, since it is so for each two neighbours."""
+        inner = np.flatnonzero(~self.fresh)
+        if not len(inner):
+            return True
+        x, y, n = order[inner - 1], order[inner], common_[inner]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        if (self.data[np.repeat(self.start[x], n) + step] != self.data[np.repeat(self.start[y], n) + step]).any():
+            return False
+        left, right = self.length[x] - n, self.length[y] - n
+        if ((left < 0) | (right < 0) | ((right == 0) & (left > 0))).any():
+            return False
+        both = np.flatnonzero((left > 0) & (right > 0))
+        return bool((self.data[self.start[x[both]] + n[both]] < self.data[self.start[y[both]] + n[both]]).all())
 
 
 def plain_sort(data: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,8 +280,11 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
 
 
 def repeated_anchors(runs: DataFrame) -> DataFrame:
-    """mh: hashes of anchors of two runs or more, anywhere; counted in each task before the shuffle."""
-    return runs.groupBy("mh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mh")
+    """mh: hashes of anchors of two runs or more, anywhere; counted in each task before the shuffle.
+
+    Stored: as a table of its own it lets Spark split an anchor that very many runs have when both are joined.
+    """
+    return common.stored(runs.groupBy("mh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mh"), "repeated-anchors")
 
 
 def all_runs(rows: DataFrame) -> DataFrame:
@@ -301,8 +311,10 @@ def run_contents(rows: DataFrame) -> DataFrame:
     """(mh, hi, lo, doc, tkey, run, content) of each run whose anchor is repeated; hi and lo are a hash of the content,
     which stands only where a task meets it first. Stored."""
     found = common.stored(all_runs(rows), "all-runs")
-    wanted = common.stored(found.join(repeated_anchors(found), "mh").groupBy("doc", "tkey").agg(F.collect_list("mh").alias("anchors"), F.collect_list("run").alias("runs")), "wanted-runs")
+    anchors = repeated_anchors(found)
+    wanted = common.stored(found.join(anchors, "mh").groupBy("doc", "tkey").agg(F.collect_list("mh").alias("anchors"), F.collect_list("run").alias("runs")), "wanted-runs")
     common.discard(found)
+    common.discard(anchors)
     common.release(found.sparkSession)
     texts = rows.join(wanted, rows["doc"].eqNullSafe(wanted["doc"]) & (rows["tkey"] == wanted["tkey"])).select(rows["doc"], rows["tkey"], rows["text"], wanted["anchors"], wanted["runs"])
     names = ["mh", "hi", "lo", "doc", "tkey", "run", "content"]
@@ -346,8 +358,8 @@ def run_contents(rows: DataFrame) -> DataFrame:
 
 def compared_runs(runs: DataFrame, counts: DataFrame) -> DataFrame:
     """(hi, lo, strings): which strings of runs that occur once are in another run of their anchor."""
-    sizes = counts.groupBy("mh").agg(F.count(F.lit(1)).alias("members"))
-    some, many = sizes.where(f"members > 1 and members <= {CAP}").select("mh"), sizes.where(f"members > {CAP}").select("mh")
+    sizes = common.stored(counts.groupBy("mh").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "anchor-sizes")
+    some, many = sizes.where(f"members <= {CAP}").select("mh"), sizes.where(f"members > {CAP}").select("mh")
     contents = runs.where("content is not null").select("mh", "hi", "lo", (F.col("run").bitwiseAND(255)).cast("int").alias("anchor"), "content")
     once = counts.where("n = 1").select("mh", "hi", "lo", F.lit(1).alias("anchor"), F.lit(None).cast("binary").alias("content"))
     rows = contents.unionByName(once).join(some, "mh")
