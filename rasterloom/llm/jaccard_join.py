@@ -29,9 +29,9 @@ THRESHOLD = 0.8
 BANDS, ROWS = 26, 5
 STEP = 13
 #: A pair is dropped when the posterior probability of reaching the threshold is below this.
-TOLERANCE = 1e-4
-#: Members of a bucket or block that one task compares with as many others.
-CELL = 1024
+TOLERANCE = 1e-6
+#: Members of a bucket, and of a block of whole texts, that one task compares with as many others.
+SIGNATURE_CELL, CELL = 256, 1024
 
 
 def least_matches(threshold: float, tolerance: float, hashes: int, step: int) -> np.ndarray:
@@ -121,10 +121,10 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(words).alias("tkey"), words.alias("text"))
 
 
-def _cells(members: DataFrame, group: str, size: str) -> DataFrame:
-    """Rows (group, i, j, side) for pairs of blocks: a group of up to CELL members is one cell, a larger one is
+def _cells(members: DataFrame, size: str, cell: int) -> DataFrame:
+    """Rows (g, i, j, block) for pairs of blocks: a group of up to ``cell`` members is one cell, a larger one is
     cut into blocks by hash, and each two blocks are a cell of their own, wherever they run."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col(size) / CELL)).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col(size) / cell)).cast("int")
     rows = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     spread = rows.select("*", other)
@@ -205,7 +205,7 @@ def candidate_links(sketches: DataFrame, threshold: float = THRESHOLD, tolerance
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    cells = _cells(signed, "g", "members").select("g", "i", "j", "cls", "block", "sig")
+    cells = _cells(signed, "members", SIGNATURE_CELL).select("g", "i", "j", "cls", "block", "sig")
     return _placed(cells).mapInArrow(compare, "a long, b long")
 
 
@@ -250,7 +250,7 @@ def exact_links(docs: DataFrame, sketches: DataFrame, blocks: DataFrame, key: st
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b", "links"])
         common.trim()
 
-    cells = _cells(texts, "g", "members").select("g", "i", "j", "cls", "block", "copies", "text")
+    cells = _cells(texts, "members", CELL).select("g", "i", "j", "cls", "block", "copies", "text")
     return _placed(cells).mapInArrow(verify, "a long, b long, links long")
 
 
