@@ -1,6 +1,7 @@
 """Each operator against brute force, a round trip or held-out rows, with nulls, empty, long, repeated and clashing input."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -287,6 +288,7 @@ def test_jaccard_join(spark, corpus, none):
 
 def test_large_blocks_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "CELL", 8)
+    monkeypatch.setattr(jaccard_join, "SIGNATURE_CELL", 8)
     rng = random.Random(11)
     base = words(rng, 150).split()
     texts = [" ".join([*base[:k], "odd%d" % k, *base[k + 1 :]]) for k in range(5, 125, 3)]
@@ -297,6 +299,39 @@ def test_large_blocks_lose_no_link(spark, monkeypatch):
     assert {r.class_id for r in got.values()} == {0} and set(group) == {0}
 
 
+def test_recall_of_a_query_set_against_all_rows(spark):
+    """Every id divisible by 50 with every row, by exact similarity: of the links at 0.8 or more, at least 0.9 are counted."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: shingles(r.text) for r in docs.select("doc_id", "text").collect()}
+    holders: dict = {}
+    for i, own in sets.items():
+        for x in own:
+            holders.setdefault(x, []).append(i)
+    counted = {r.doc_id: r.n_links for r in jaccard_join.jaccard_join(docs).collect()}
+    links = found = 0
+    for i in (k for k in sets if k % 50 == 0):
+        shared = Counter(j for x in sets[i] for j in holders[x] if j != i)
+        true = sum(n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9 for j, n in shared.items())
+        assert counted[i] <= true or not sets[i]
+        links, found = links + true, found + min(counted[i], true)
+    assert found >= 0.9 * links
+
+
+def loss(similarity, needed, hashes=130, step=13):
+    """The probability that a pair of this similarity is dropped at one of the looks: a sum over the numbers of matches."""
+    alive, lost = np.array([1.0]), 0.0
+    look = np.array([math.comb(step, k) * similarity**k * (1 - similarity) ** (step - k) for k in range(step + 1)])
+    for least in needed:
+        alive = np.convolve(alive, look)
+        lost += alive[:least].sum()
+        alive[:least] = 0
+    return lost
+
+
+def test_pruning_loses_few_pairs_over_all_looks():
+    assert loss(0.8, jaccard_join.least_matches(0.8, jaccard_join.TOLERANCE, 130, 13)) < 1e-4
+
+
 def test_pruning_keeps_pairs_above_the_threshold():
     needed = jaccard_join.least_matches(0.8, 1e-4, 130, 13)
     assert (np.diff(needed) > 0).all() and needed[-1] < 0.8 * 130
@@ -360,6 +395,16 @@ def test_parts_of_a_long_text(spark, monkeypatch):
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute_repeats(texts)
 
 
+def test_a_wrong_order_or_extension_is_seen():
+    data = np.frombuffer(b"abcabdabcz", np.uint8)
+    group, start, length = np.zeros(3, int), np.array([0, 3, 6]), np.array([3, 3, 4])
+    suffixes = suffix_dedup.Suffixes(data, start, length)
+    order, shared = suffixes.sort(group)
+    assert suffixes.verify(order, shared)
+    for bad_order, bad in ((order, [0, shared[1] - 1, shared[2]]), (order, [0, shared[1], shared[2] + 1]), (order[::-1], shared[::-1]), (order[[0, 2, 1]], [0, 2, 2])):
+        assert not suffixes.verify(np.array(bad_order), np.array(bad))
+
+
 def test_suffix_sort_equals_plain_sort():
     rng = np.random.default_rng(4)
     data = rng.integers(97, 99, 4000).astype(np.uint8)
@@ -472,3 +517,41 @@ def test_rare_grams_keep_their_class_counts(spark):
     marks = spark.createDataFrame([(keys[0], 1), (keys[1], 0)], "doc_id long, toxic int")
     model = toxicity.train(docs, marks)
     assert {"^z", "^zq", "^zqx", "^zqx$"} <= set(model.seen) and model.word("zqx") > model.word("common")
+
+
+def direct_ratio(word, shared, own):
+    """ln P(word | toxic) - ln P(word | ordinary) from tables of counts: absolute discounts that back off to the shared model's probability, gram by gram."""
+    total = 0.0
+    for g in toxicity.grams(word):
+        p = []
+        for counts in own:
+            context = sum(n for h, n in counts.items() if h[:-1] == g[:-1])
+            types = sum(h[:-1] == g[:-1] for h in counts)
+            p.append(shared(g) if not context else max(counts.get(g, 0) - toxicity.DISCOUNT, 0) / context + toxicity.DISCOUNT * types / context * shared(g))
+        total += np.log(p[0]) - np.log(p[1])
+    return total
+
+
+def test_scores_equal_a_direct_kneser_ney_model(spark):
+    rng = random.Random(8)
+    vocabulary = words(rng, 40).split()
+    texts = [" ".join(rng.choice(vocabulary) + ("zork" if i % 3 == 0 and rng.random() < 0.3 else "") for _ in range(12)) for i in range(60)]
+    docs = table(spark, texts)
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.train(docs, marks)
+    every = toxicity.count_grams(Counter(w for t in texts for w in t.split()))
+    own = [toxicity.count_grams(Counter(w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 not in (0, 4) and (i % 3 == 0) == side for w in t.split())) for side in (True, False)]
+    below = shared_brute_force(every)
+    probe = texts[0].split() + texts[1].split()
+    expected = {w: direct_ratio(w, below.__getitem__, own) for w in probe}
+    assert {w: model.word(w) for w in probe} == pytest.approx(expected, abs=1e-9)
+    for t in texts[:6]:
+        ratios = np.array([direct_ratio(w, below.__getitem__, own) for w in t.split()])
+        normalised = np.log(1 - toxicity.SHARE + toxicity.SHARE * np.exp(ratios)).mean()
+        assert toxicity.Evidence(model).of(t) == pytest.approx(np.log1p((normalised - np.log(1 - toxicity.SHARE)) / toxicity.SCALE))
+
+
+def test_labels_may_have_names_of_documents(spark):
+    docs = table(spark, ["good words", "zork zork", None]).withColumn("toxic", F.lit(9)).withColumn("label", F.lit(1))
+    model = toxicity.train(docs, spark.createDataFrame([(0, 0, "x"), (1, 1, "y")], "doc_id long, toxic int, text string"))
+    assert toxicity.score(docs, model).count() == 3 and toxicity.without_toxic(docs, model).columns == docs.columns
