@@ -101,6 +101,25 @@ def bounding_box(points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return points.groupBy(*keys).agg(F.min("lat").alias("min_lat"), F.min("lon").alias("min_lon"), F.max("lat").alias("max_lat"), F.max("lon").alias("max_lon"))
 
 
+#: H3 base cells and those of them that are pentagons.
+BASE_CELLS, PENTAGONS = 122, (4, 14, 24, 38, 49, 58, 63, 72, 83, 97, 107, 117)
+
+
+def valid_cell(cell: Column) -> Column:
+    """Whether a text is an H3 cell: 15 hexadecimal digits with the mode of a cell, a base cell that exists, digits 0 to 6 up to its resolution and 7 beyond; a
+    pentagon's first digit that is not 0 is not 1."""
+    h = F.when(cell.rlike("^[0-9a-fA-F]{15}$"), F.conv(cell, 16, 10).cast("long"))
+    at = lambda place, bits: F.shiftright(h, place).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    resolution, base = at(52, 4), at(45, 7)
+    digits = [at(3 * (15 - i), 3) for i in range(1, 16)]
+    fits = [F.when(resolution >= i, d < 7).otherwise(d == 7) for i, d in enumerate(digits, 1)]
+    first = F.coalesce(*(F.when((d != 0) & (resolution >= i), d) for i, d in enumerate(digits, 1)), F.lit(0).cast("long"))
+    good = (at(59, 5) == 1) & (base < BASE_CELLS) & ~(base.isin(*PENTAGONS) & (first == 1))
+    for f in fits:
+        good = good & f
+    return F.coalesce(good, F.lit(False))
+
+
 def metres_to_degrees(dx: Column, dy: Column, lat: Column) -> tuple[Column, Column]:
     return dx / (METRES_PER_DEGREE * F.cos(F.radians(lat))), dy / METRES_PER_DEGREE
 

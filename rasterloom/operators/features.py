@@ -90,29 +90,39 @@ def keypoints(tiles: DataFrame, tile: int, variant: str = "raw", most: int = 200
     return tiles.mapInPandas(run, KEYPOINTS)
 
 
-def match_tiles(source: DataFrame, target: DataFrame, ratio: float = 0.75) -> DataFrame:
-    """Nearest descriptors that pass the ratio test, among the keypoints of equal tiles; coordinates are those of the whole raster.
+def match_tiles(source: DataFrame, target: DataFrame, ratio: float = 0.75, tile: int | None = None, overlap: int = 0) -> DataFrame:
+    """Nearest descriptors that pass the ratio test, tile by tile; coordinates are those of the whole raster.
 
-    A tile's keypoints are bounded by ``most``, so one task compares two small sets.
+    A tile's source keypoints meet the target ones of the same tile and, with ``tile`` given, those up to ``overlap`` pixels
+    beyond it, so what has moved across an edge is found too. A tile's keypoints are bounded by ``most``, so one task compares small sets.
     """
     cols = ["raster_id", "ty", "tx", "kp_id", "x", "y", "descriptor"]
     out = "pair_id long, match_id long, src_x double, src_y double, dst_x double, dst_y double, confidence double"
+    names = [c.split()[0] for c in out.split(", ")]
+    theirs = target.select(*cols)
+    if overlap and tile:
+        around = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1))))
+        near = theirs.withColumn("_n", around).withColumns({"ty": F.col("ty") + F.col("_n.dy"), "tx": F.col("tx") + F.col("_n.dx")})
+        inside = [(F.col(v) >= F.col(t) * tile - overlap) & (F.col(v) < (F.col(t) + 1) * tile + overlap) for v, t in (("y", "ty"), ("x", "tx"))]
+        theirs = near.where(inside[0] & inside[1]).select(*cols)
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(a) and len(b) > 1:
-            a, b = a.sort_values("kp_id"), b.sort_values("kp_id")
-            da, db = (np.stack(f["descriptor"].to_numpy()).astype(np.int64) for f in (a, b))
-            for i in range(len(a)):
-                d = np.bitwise_count((da[i] ^ db).view(np.uint64)).sum(1)
-                j, k = np.argsort(d, kind="stable")[:2]
-                if d[j] < ratio * d[k]:
-                    s, t = a.iloc[i], b.iloc[j]
-                    rows.append((int(s.raster_id), int(s.kp_id), s.x, s.y, t.x, t.y, 1 - d[j] / BITS))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in out.split(", ")])
+        if not len(a) or len(b) < 2:
+            return pd.DataFrame(columns=names)
+        a, b = a.sort_values("kp_id"), b.sort_values("kp_id")
+        da, db = (np.stack(f["descriptor"].to_numpy()).astype(np.int64).view(np.uint64) for f in (a, b))
+        found = []
+        for i in range(0, len(a), 256):
+            d = sum(np.bitwise_count(da[i : i + 256, None, k] ^ db[None, :, k]).astype(np.int32) for k in range(da.shape[1]))
+            two = np.argsort(d, axis=1, kind="stable")[:, :2]
+            first, second = np.take_along_axis(d, two, 1).T
+            keep = np.flatnonzero(first < ratio * second)
+            s, t = a.iloc[i + keep], b.iloc[two[keep, 0]]
+            found.append(pd.DataFrame({"pair_id": s["raster_id"].to_numpy(), "match_id": s["kp_id"].to_numpy(), "src_x": s["x"].to_numpy(), "src_y": s["y"].to_numpy(), "dst_x": t["x"].to_numpy(), "dst_y": t["y"].to_numpy(), "confidence": 1 - first[keep] / BITS}))
+        return pd.concat(found)[names]
 
     keys = ["raster_id", "ty", "tx"]
-    return source.select(*cols).groupBy(*keys).cogroup(target.select(*cols).groupBy(*keys)).applyInPandas(compare, out)
+    return source.select(*cols).groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInPandas(compare, out)
 
 
 def distinct_matches(matches: DataFrame, digits: int = 0) -> DataFrame:

@@ -26,7 +26,8 @@ TRANSFORM_SCHEMA = (
 ITERATIONS = 2000
 
 
-def ransac_threshold(scale: Column) -> Column:
+def ransac_threshold(scale: Column | float) -> Column | float:
+    """Pixels of a scale."""
     return 5.0 * (scale / 0.15)
 
 

@@ -107,6 +107,42 @@ def to_tiles(pixels: DataFrame, tile: int) -> DataFrame:
     return p.groupBy("raster_id", "ty", "tx").applyInPandas(fill, "raster_id long, ty int, tx int, data binary")
 
 
+def gray_tiles(tiles: DataFrame) -> DataFrame:
+    """Tiles (path, ty, tx, data) in gray of (path, band, ty, tx, data) with the bands red, green and blue or a single one."""
+
+    def mix(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        bands = {r.band: np.frombuffer(r.data, np.float32) for r in g.itertuples()}
+        out = sum(w * bands[k] for k, w in enumerate(GRAY, 1)) if len(bands) >= 3 else bands[min(bands)]
+        return pd.DataFrame({"path": [key[0]], "ty": [key[1]], "tx": [key[2]], "data": [np.asarray(out, np.float32).tobytes()]})
+
+    return tiles.groupBy("path", "ty", "tx").applyInPandas(mix, "path string, ty int, tx int, data binary")
+
+
+def reduce_tiles(tiles: DataFrame, tile: int, factor: int) -> DataFrame:
+    """Tiles of the raster at 1 / factor of its size, by means of factor x factor values; ``factor`` divides ``tile``. A task holds the tiles of one output tile, one after another."""
+    if factor == 1:
+        return tiles
+    if tile % factor:
+        raise ValueError(f"{factor} does not divide {tile}")
+    side = tile // factor
+
+    def shrink(frames):
+        for frame in frames:
+            data = [np.frombuffer(d, np.float32).reshape(side, factor, side, factor).mean(axis=(1, 3)).tobytes() for d in frame["data"]]
+            yield frame.assign(data=data)
+
+    def join(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros((tile, tile), np.float32)
+        for r in g.itertuples():
+            y, x = (r.ty - key[1] * factor) * side, (r.tx - key[2] * factor) * side
+            out[y : y + side, x : x + side] = np.frombuffer(r.data, np.float32).reshape(side, side)
+        return pd.DataFrame({"raster_id": [key[0]], "ty": [key[1]], "tx": [key[2]], "data": [out.tobytes()]})
+
+    small = tiles.select("raster_id", "ty", "tx", "data").mapInPandas(shrink, "raster_id long, ty int, tx int, data binary")  # before the shuffle
+    keyed = small.withColumn("oy", F.floor(F.col("ty") / factor).cast("int")).withColumn("ox", F.floor(F.col("tx") / factor).cast("int"))
+    return keyed.groupBy("raster_id", "oy", "ox").applyInPandas(join, "raster_id long, ty int, tx int, data binary")
+
+
 def warp_tiles(tiles: DataFrame, inverse: Callable[[np.ndarray], np.ndarray], tile: int, height: int, width: int) -> DataFrame:
     """Resample bilinearly; ``inverse`` maps output (n, 2) x, y to source ones and is the same on every task.
 

@@ -293,6 +293,17 @@ def h3_cells_distinct(spark, d):
     return view(spark, d, "cells").where(F.col("cell").rlike("^[0-9a-fA-F]{15}$")).distinct()
 
 
+_CELL = "concat('8', lpad(lower(hex(cast(p_partkey % 16 * 1048576 * 4294967296 + (p_partkey % 130) * 35184372088832 + CASE WHEN p_partkey % 3 = 0 THEN 35184372088831 ELSE (p_partkey * 7919 % 35184372088832) * 8 + 7 END AS bigint))), 14, '0'))"
+
+
+@query("FIL17", f"""SELECT p_partkey AS part, cell, coalesce((h >> 59) & 31 = 1 AND base < 122 AND list_bool_and([CASE WHEN res >= i THEN (h >> (3 * (15 - i))) & 7 < 7 ELSE (h >> (3 * (15 - i))) & 7 = 7 END FOR i IN range(1, 16)])
+  AND NOT (base IN (4, 14, 24, 38, 49, 58, 63, 72, 83, 97, 107, 117) AND coalesce(list_filter([(h >> (3 * (15 - i))) & 7 FOR i IN range(1, 16) IF i <= res], lambda x: x <> 0)[1], 0) = 1), false) AS valid
+  FROM (SELECT *, (h >> 52) & 15 AS res, (h >> 45) & 127 AS base FROM (SELECT p_partkey, cell, CASE WHEN regexp_matches(cell, '^[0-9a-fA-F]{{15}}$') THEN ('0x' || cell)::bigint END AS h FROM (SELECT p_partkey, {_CELL} AS cell FROM part)))""")
+def h3_cells_valid(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("part"), F.expr(_CELL).alias("cell"))
+    return p.withColumn("valid", geo.valid_cell(F.col("cell")))
+
+
 @query("SC34", "SELECT cell, count(*) AS n, printf('%.3f', count(*) / 8.0) AS label FROM cells GROUP BY cell")
 def h3_cells_text(spark, d):
     n = F.count(F.lit(1))

@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 
 from rasterloom.functions import geo
 from rasterloom.operators import control, features, fits, matching, raster, robust
+from rasterloom.sources import geotiff
 
 #: The plan that is used where none is given.
 DEFAULT_PLAN = ((0.125, "shift"), (0.25, "shift"), (0.5, "affine"))
@@ -60,7 +61,7 @@ def at_full_resolution(m: np.ndarray, scale: float) -> np.ndarray:
 
 def look_up(row: dict, scale: float) -> Callable[[np.ndarray], np.ndarray]:
     """The map of a polynomial or spline, fitted in pixels of a scale, in those of scale 1."""
-    if row["coef_x"]:
+    if row.get("coef_x"):
         coef = np.array([row["coef_x"], row["coef_y"]]).T
         return lambda p: fits.basis(p[:, 0] * scale, p[:, 1] * scale, row["degree"]) @ coef / scale
     s, d = np.array(row["ctrl_src"]), np.array(row["ctrl_dst"])
@@ -81,17 +82,28 @@ def checked_plan(scales: Sequence[float], kinds: Sequence[str]) -> list[tuple[fl
     return sorted(zip(scales, kinds, strict=True))
 
 
-def reduce_to(pixels: DataFrame, scale: float) -> DataFrame:
-    factor = max(1, round(1 / scale))
-    return pixels if factor == 1 else raster.downsample_box(pixels, factor)
+def reduced_pixels(tiles: DataFrame, tile: int, scale: float) -> DataFrame:
+    """Pixel rows of whole values of the raster at a scale; only the reduced raster becomes rows."""
+    small = raster.reduce_tiles(tiles, tile, max(1, round(1 / scale)))
+    return pixels_of(small, tile).withColumn("value", F.round("value").cast("int"))
 
 
-def ncc_matcher(patch: int = 8, spacing: int = 8, margin: int = 4, threshold: float = 0.5) -> Matcher:
-    """Patch correlation on a grid; both images are pixel tables of one scale."""
+def ncc_matcher(patch: int = 8, spacing: int = 8, margin: int = 4, threshold: float = 0.5, gsd: float | None = None, valid: int | None = None) -> Matcher:
+    """Patch correlation on a grid; both images are pixel tables of one scale.
+
+    gsd: metres per pixel of the source at scale 1; patch, spacing and margin then follow the scale as ``geo.adaptive_ncc`` has it. valid: see
+    ``matching.patch_ncc``.
+    """
+
+    def sizes(scale: float) -> tuple[int, int, int]:
+        if gsd is None:
+            return patch, spacing, margin
+        return max(patch, int(patch / scale)), max(spacing, int(spacing / scale)), max(150, 3 * int(3.0 / (gsd / scale)))
 
     def match(source: DataFrame, target: DataFrame, scale: float) -> DataFrame:
+        p, grid, around = sizes(scale)
         size = target.groupBy("raster_id").agg((F.max("row") + 1).cast("int").alias("height"), (F.max("col") + 1).cast("int").alias("width"))
-        best = matching.patch_ncc(source, target, matching.patch_grid(size, patch, spacing), patch, margin).where(F.col("ncc") > threshold)
+        best = matching.patch_ncc(source, target, matching.patch_grid(size, p, grid), p, around, valid).where(F.col("ncc") > threshold)
         key = (F.col("py") * 100_000 + F.col("px")).cast("long")
         x, y = F.col("px").cast("double"), F.col("py").cast("double")
         return best.select(F.col("raster_id").alias("pair_id"), key.alias("match_id"), (x + F.col("dx")).alias("src_x"), (y + F.col("dy")).alias("src_y"), x.alias("dst_x"), y.alias("dst_y"))
@@ -99,12 +111,12 @@ def ncc_matcher(patch: int = 8, spacing: int = 8, margin: int = 4, threshold: fl
     return match
 
 
-def corner_matcher(tile: int = 64, ratio: float = 0.75) -> Matcher:
-    """Corners and binary descriptors, tile by tile."""
+def corner_matcher(tile: int = 64, ratio: float = 0.75, overlap: int = 16) -> Matcher:
+    """Corners and binary descriptors, tile by tile, with an overlap."""
 
     def match(source: DataFrame, target: DataFrame, scale: float) -> DataFrame:
         a, b = (features.keypoints(raster.to_tiles(p, tile), tile) for p in (source, target))
-        return features.distinct_matches(features.match_tiles(a, b, ratio)).drop("confidence")
+        return features.distinct_matches(features.match_tiles(a, b, ratio, tile, overlap)).drop("confidence")
 
     return match
 
@@ -119,30 +131,31 @@ def matcher(name: str, **options) -> Matcher:
     return MATCHERS[name](**options)
 
 
-def register(source: DataFrame, target: DataFrame, plan: Sequence[tuple[float, str]] = DEFAULT_PLAN, match: Matcher | None = None, height: int = 0, width: int = 0) -> tuple[Registration, DataFrame]:
-    """Register one raster's pixels (values 0..255, integers) to another's; returns the steps and the warped tiles.
+def register(source: DataFrame, target: DataFrame, plan: Sequence[tuple[float, str]] = DEFAULT_PLAN, match: Matcher | None = None, height: int = 0, width: int = 0, tile: int = 64) -> tuple[Registration, DataFrame]:
+    """As register_tiles, from pixel tables."""
+    if not (height and width):
+        height, width = source.agg(F.max("row") + 1, F.max("col") + 1).first()
+    return register_tiles(raster.to_tiles(source, tile), raster.to_tiles(target, tile), tile, height, width, plan, match)
+
+
+def register_tiles(tiles: DataFrame, target: DataFrame, tile: int, height: int, width: int, plan: Sequence[tuple[float, str]] = DEFAULT_PLAN, match: Matcher | None = None) -> tuple[Registration, DataFrame]:
+    """Register one raster's tiles (values 0..255) to another's; returns the steps and the warped tiles.
 
     Each step needs the one before, so the scales are a loop on the driver, which holds the steps' transforms; the
     pixels stay distributed. A step that finds no transform leaves the mosaic as it is.
     """
     match, done = match or ncc_matcher(), Registration()
-    tile = 64
-    if not (height and width):
-        height, width = source.agg(F.max("row") + 1, F.max("col") + 1).first()
-    tiles = raster.to_tiles(source, tile)
 
     def warped() -> DataFrame:
         so_far = Registration(list(done.steps))
         return raster.warp_tiles(tiles, so_far.back, tile, height, width) if done.steps else tiles
 
     for scale, kind in plan:
-        whole = lambda df: df.withColumn("value", F.round("value").cast("int"))
-        moved = whole(reduce_to(pixels_of(warped(), tile), scale))
-        found = robust.remove_gross_outliers(match(moved, whole(reduce_to(target, scale)), scale))
+        found = robust.remove_gross_outliers(match(reduced_pixels(warped(), tile, scale), reduced_pixels(target, tile, scale), scale))
         if kind in ("polynomial_2", "polynomial_3", "spline"):
             ends = ("src_x", "src_y", "dst_x", "dst_y")
             found = found.select("pair_id", "match_id", *(F.col(a).alias(b) for a, b in zip(ends, ends[2:] + ends[:2], strict=True)))
-        rows = fits.fit_all(found, [kind], threshold=5.0 * scale / 0.15).where("error IS NULL").collect()  # one row
+        rows = fits.fit_all(found, [kind], threshold=fits.ransac_threshold(scale)).where("error IS NULL").collect()  # one row
         if rows and rows[0]["matrix"]:
             m = at_full_resolution(np.array(rows[0]["matrix"]).reshape(3, 3), scale)
             done.steps.append(Step(scale, kind, rows[0].asDict(), None if done.matrix is None else m @ done.matrix, lambda p, back=np.linalg.inv(m): fits._project(back, p)))
@@ -152,6 +165,15 @@ def register(source: DataFrame, target: DataFrame, plan: Sequence[tuple[float, s
     return done, warped()
 
 
+def apply_transform(tiles: DataFrame, row: dict, scale: float, tile: int, height: int, width: int) -> DataFrame:
+    """A fitted row of ``fits.TRANSFORM_SCHEMA``, in pixels of a scale, applied to full-resolution tiles: a matrix by its inverse, a
+    polynomial or spline as the map by which pixels are looked up."""
+    if row.get("matrix"):
+        back = np.linalg.inv(at_full_resolution(np.array(row["matrix"]).reshape(3, 3), scale))
+        return raster.warp_tiles(tiles, lambda p: fits._project(back, p), tile, height, width)
+    return raster.warp_tiles(tiles, look_up(row, scale), tile, height, width)
+
+
 def pixels_of(tiles: DataFrame, tile: int) -> DataFrame:
     """Pixel rows of tiles."""
     import pandas as pd
@@ -215,6 +237,64 @@ def fetch_tiles(tiles: DataFrame, fetch: Callable[[str], bytes | None], retries:
     return tiles.mapInPandas(run, StructType([*tiles.schema.fields]).add("data", "binary"))
 
 
+def stitch(fetched: DataFrame, folder: str, box: tuple[float, float, float, float], zoom: int, tile: int = geo.TILE_PX) -> tuple[DataFrame, int, int]:
+    """Fetched map tiles (x, y, data) as one image of a box: tiles (raster_id is the band, ty, tx, data), height and width.
+
+    The images are written to ``folder``, which all executors share, and decoded by Spark's image source; a tile that
+    was not fetched, or is no image, is gray 128.
+    """
+    import uuid
+
+    spark, top = fetched.sparkSession, f"{folder.rstrip('/')}/tiles-{uuid.uuid4().hex}"
+    x0, y0, x1, y1 = fetched.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    left, upper, right, lower = mosaic_crop(x0, y0, x1, y1, zoom, box)
+
+    def save(frames):
+        from pyarrow import fs
+
+        import pandas as pd
+
+        for frame in frames:
+            paths = []
+            for r in frame.itertuples():
+                path = f"{top}/{r.x}_{r.y}.img"
+                system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                system.create_dir(at.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(at, compression=None) as stream:
+                    stream.write(r.data or b"none")
+                paths.append(path)
+            yield pd.DataFrame({"path": paths})
+
+    fetched.mapInPandas(save, "path string").count()
+    images = spark.read.format("image").option("dropInvalid", False).load(top).select("image.*")
+
+    def place(frames):
+        import pandas as pd
+
+        for frame in frames:
+            for r in frame.itertuples():
+                x, y = (int(v) for v in r.origin.rpartition("/")[2].removesuffix(".img").split("_"))
+                pixels = np.full((3, tile, tile), 128, np.float32)
+                if r.height == tile and r.width == tile and r.nChannels in (1, 3, 4):
+                    got = np.frombuffer(r.data, np.uint8).reshape(tile, tile, r.nChannels)
+                    pixels[:] = (got[:, :, [2, 1, 0]] if r.nChannels >= 3 else got[:, :, [0, 0, 0]]).transpose(2, 0, 1)  # blue comes first
+                yield pd.DataFrame({"raster_id": [1, 2, 3], "ty": y - y0, "tx": x - x0, "data": [b.tobytes() for b in pixels]})
+
+    whole = images.mapInPandas(place, "raster_id long, ty int, tx int, data binary")
+    height, width = lower - upper, right - left
+    return raster.warp_tiles(whole, lambda p: p + [left, upper], tile, height, width), height, width
+
+
+def download_basemap(spark: SparkSession, box: tuple[float, float, float, float], source: str, fetch: Callable[[str], bytes | None], folder: str, zoom: int | None = None) -> DataFrame:
+    """Tiles of a box, stitched, cropped and written as GeoTIFFs in degrees under ``folder``; returns the manifest."""
+    zoom = zoom or zoom_of_box(box)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tiles, height, width = stitch(fetch_tiles(tiles_of_box(spark, box, zoom, source).repartition(n), fetch), folder, box, zoom)
+    lat0, lon0, lat1, lon1 = box
+    transform = ((lon1 - lon0) / width, 0.0, lon0, 0.0, (lat0 - lat1) / height, lat1)
+    return geotiff.write_tiles(tiles.withColumnRenamed("raster_id", "band"), f"{folder.rstrip('/')}/basemap", transform, 4326, height, width, geo.TILE_PX)
+
+
 def mosaic_crop(x0: int, y0: int, x1: int, y1: int, zoom: int, box: tuple[float, float, float, float]) -> tuple[int, int, int, int]:
     """(left, upper, right, lower) pixels of a box in the mosaic of tiles x0..x1, y0..y1; at least one pixel each way."""
     lat0, lon0, lat1, lon1 = box

@@ -68,6 +68,15 @@ def save_config(config: dict, path: str) -> None:
         json.dump(config, f, indent=2, sort_keys=True, default=str)
 
 
+def write_text(path: str, text: str) -> None:
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    system.create_dir(at.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(at, compression=None) as stream:
+        stream.write(text.encode())
+
+
 def to_uint8(image: np.ndarray) -> np.ndarray:
     low, high = float(image.min()), float(image.max())
     return ((image - low) / (high - low + 1e-6) * 255).astype(np.uint8)
