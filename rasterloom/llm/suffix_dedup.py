@@ -33,7 +33,7 @@ SPAN = 200
 GRAM = 32
 WIDTH = SPAN - GRAM + 1
 #: Bytes whose anchors are found at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Different runs of one anchor that one task compares; of an anchor with more, the strings are counted by 128-bit hash instead, with equal results.
 CAP = 8192
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -52,7 +52,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of byte * BASE**i, and BASE**-i: the hash of i..j is (sum[j] - sum[i]) * BASE**-i."""
-    size = 1 << max(20, int(len(data) + 1).bit_length())
+    size = 1 << max(19, int(len(data) + 1).bit_length())
     up, down = _powers(size)
     sums = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
