@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Strongest keypoints of an image that take part, as matchers have it.
 MAX_FEATURES = 5000
@@ -23,21 +24,32 @@ def strongest(keypoints: DataFrame, image: Sequence[str] = (), n: int = MAX_FEAT
     return keypoints.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def two_nearest(source: DataFrame, target: DataFrame, metric: str = "l2") -> DataFrame:
-    """(query_id, train_id, distance, next_distance): the nearest and second nearest target of each source descriptor.
+def two_nearest(source: DataFrame, target: DataFrame, metric: str = "l2", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, query_id, train_id, distance, next_distance): the nearest and second nearest target of each source descriptor.
 
-    Both sides are cut into blocks of about BLOCK rows by hash of their id, and each pair of blocks meets in a task.
-    Ties go to the smaller id; one target alone has no second.
+    keys: columns that name an image pair; descriptors of different pairs do not meet, and a pair with no target has no rows. Both sides of a
+    pair are cut into blocks of about BLOCK rows by hash of their id, and each two blocks meet in a task, so neither many pairs nor a large one
+    is a burden. Ties go to the smaller id; one target alone has no second.
     metric: l2 over float vectors, hamming over arrays of 64-bit words.
     """
     kind = np.float64 if metric == "l2" else np.int64
-    cuts = [max(1, -(-df.count() // BLOCK)) for df in (source, target)]
-
-    def blocks(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-        rows = df.select(F.col("kp_id").cast("long").alias("kp_id"), "descriptor").withColumn(own, F.pmod(F.xxhash64("kp_id"), F.lit(n)).cast("int"))
-        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).groupBy("sb", "tb")
-
-    def nearest(s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+    own_keys = list(keys) or ["_all"]
+    names = [F.col(k).alias(k) for k in keys] or [F.lit(0).alias("_all")]
+    sides = [df.select(*names, F.col("kp_id").cast("long").alias("kp_id"), F.col("descriptor").alias("descriptor")) for df in (source, target)]
+    cuts = [df.groupBy(*own_keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(n)) for df, n in zip(sides, ("_s", "_t"), strict=True)]
+    sizes = cuts[0].join(cuts[1], own_keys)
+
+    def blocks(df: DataFrame, own: str, n: str, other: str, m: str):
+        rows = df.join(sizes, own_keys).withColumn(own, F.pmod(F.xxhash64("kp_id"), F.col(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1)))
+        return rows.drop("_s", "_t").groupBy(*own_keys, "sb", "tb")
+
+    def nearest(key: tuple, s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        found = compare(s, t)
+        for k, v in zip(own_keys, key, strict=False):
+            found[k] = v
+        return found[[*own_keys, "query_id", "distance", "train_id"]]
+
+    def compare(s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         names = ["query_id", "distance", "train_id"]
         if not len(s) or not len(t):
             return pd.DataFrame({c: [] for c in names})
@@ -63,29 +75,30 @@ def two_nearest(source: DataFrame, target: DataFrame, metric: str = "l2") -> Dat
             out.append(pd.DataFrame({"query_id": np.repeat(s["kp_id"].to_numpy(np.int64)[i : i + 64], order.shape[1]), "distance": np.take_along_axis(d, order, 1).ravel(), "train_id": ids[order].ravel()}, columns=names))
         return pd.concat(out)
 
-    found = blocks(source, "sb", cuts[0], "tb", cuts[1]).cogroup(blocks(target, "tb", cuts[1], "sb", cuts[0])).applyInPandas(nearest, "query_id long, distance double, train_id long")
-    near = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("distance", "train_id"))).alias("n"))  # two of each target block
+    schema = StructType([sides[0].schema[k] for k in own_keys]).add("query_id", "long").add("distance", "double").add("train_id", "long")
+    found = blocks(sides[0], "sb", "_s", "tb", "_t").cogroup(blocks(sides[1], "tb", "_t", "sb", "_s")).applyInPandas(nearest, schema)
+    near = found.groupBy(*own_keys, "query_id").agg(F.sort_array(F.collect_list(F.struct("distance", "train_id"))).alias("n"))  # two of each target block
     first = F.get("n", F.lit(0))
-    return near.select("query_id", first["train_id"].alias("train_id"), first["distance"].alias("distance"), F.get("n", F.lit(1))["distance"].alias("next_distance"))
+    return near.select(*keys, "query_id", first["train_id"].alias("train_id"), first["distance"].alias("distance"), F.get("n", F.lit(1))["distance"].alias("next_distance"))
 
 
-def ratio_matches(source: DataFrame, target: DataFrame, ratio: float, metric: str = "l2") -> DataFrame:
+def ratio_matches(source: DataFrame, target: DataFrame, ratio: float, metric: str = "l2", keys: Sequence[str] = ()) -> DataFrame:
     """Lowe's test: the nearest is kept if it is nearer than ratio times the second."""
-    return two_nearest(source, target, metric).where(F.col("distance") < ratio * F.col("next_distance"))
+    return two_nearest(source, target, metric, keys).where(F.col("distance") < ratio * F.col("next_distance"))
 
 
-def mutual_matches(source: DataFrame, target: DataFrame, metric: str = "l2") -> DataFrame:
+def mutual_matches(source: DataFrame, target: DataFrame, metric: str = "l2", keys: Sequence[str] = ()) -> DataFrame:
     """Pairs that are each other's nearest."""
-    there = two_nearest(source, target, metric).select("query_id", "train_id", "distance")
-    back = two_nearest(target, source, metric).select(F.col("train_id").alias("query_id"), F.col("query_id").alias("train_id"))
-    return there.join(back, ["query_id", "train_id"])
+    there = two_nearest(source, target, metric, keys).select(*keys, "query_id", "train_id", "distance")
+    back = two_nearest(target, source, metric, keys).select(*keys, F.col("train_id").alias("query_id"), F.col("query_id").alias("train_id"))
+    return there.join(back, [*keys, "query_id", "train_id"])
 
 
-def with_keypoints(matches: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+def with_keypoints(matches: DataFrame, source: DataFrame, target: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Coordinates of both ends by match index."""
-    s = source.select(F.col("kp_id").alias("query_id"), F.col("x").alias("src_x"), F.col("y").alias("src_y"))
-    t = target.select(F.col("kp_id").alias("train_id"), F.col("x").alias("dst_x"), F.col("y").alias("dst_y"))
-    return matches.where("query_id >= 0 and train_id >= 0").join(s, "query_id").join(t, "train_id")
+    s = source.select(*keys, F.col("kp_id").alias("query_id"), F.col("x").alias("src_x"), F.col("y").alias("src_y"))
+    t = target.select(*keys, F.col("kp_id").alias("train_id"), F.col("x").alias("dst_x"), F.col("y").alias("dst_y"))
+    return matches.where("query_id >= 0 and train_id >= 0").join(s, [*keys, "query_id"]).join(t, [*keys, "train_id"])
 
 
 def confidence_to_distance(confidence: Column) -> Column:

@@ -252,3 +252,55 @@ def test_match_json_of_a_large_pair_comes_in_parts(spark):
     assert len({r.part for r in rows if r.pair_id == 1}) == len(texts) == 10 and {t["num_matches"] for t in texts} == {1000}
     assert max(len(t["matches"]) for t in texts) < 150 and sorted(m["match_id"] for t in texts for m in t["matches"]) == list(range(1000))
     assert [json.loads(r.json)["num_matches"] for r in rows if r.pair_id is None] == [1]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_robust_chain_reads_and_shuffles_once(spark):
+    """Filter, fit and error summary of a pair: one scan, one exchange; the choice among a pair's few fits is another small one."""
+    from rasterloom.plans import queries
+
+    for name, exchanges in (("robust_shift_per_pair", 1), ("gross_outlier_filter", 1), ("best_transform_per_pair", 2)):
+        text = plan_of(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert text.count("FileScan") == 1 and text.count("Exchange") == exchanges, name
+
+
+def test_neighbours_within_image_pairs(spark):
+    rng = np.random.default_rng(4)
+    rows = [(pair, side, k, rng.normal(size=8).tolist()) for pair in (1, 2) for side in (0, 1) for k in range(30)]
+    df = spark.createDataFrame([*rows, (3, 0, 1, [0.0] * 8), (4, 1, 1, [0.0] * 8)], "pair_id long, side int, kp_id long, descriptor array<double>")
+    got = {(r.pair_id, r.query_id): r for r in matching.two_nearest(df.where("side = 0"), df.where("side = 1"), keys=["pair_id"]).collect()}
+    assert len(got) == 60
+    for pair, side, k, v in rows:
+        if side == 0:
+            d = sorted((float(np.linalg.norm(np.array(v) - w)), j) for p, s, j, w in rows if p == pair and s == 1)
+            assert got[pair, k].train_id == d[0][1] and abs(got[pair, k].distance - d[0][0]) < 1e-9 and abs(got[pair, k].next_distance - d[1][0]) < 1e-9
+
+
+def test_many_targets(spark):
+    """Ten blocks of targets; equal descriptors go to the smallest id."""
+    ids = spark.range(20_000)
+    target = ids.select(F.col("id").alias("kp_id"), F.array(*((F.col("id") % m).cast("double") for m in (997, 89, 7))).alias("descriptor"))
+    source = spark.createDataFrame([(1, [5.0, 5.0, 5.0]), (2, [996.0, 88.0, 6.0])], "kp_id long, descriptor array<double>")
+    got = {r.query_id: r for r in matching.two_nearest(source, target).collect()}
+    every = np.array([[i % 997, i % 89, i % 7] for i in range(20_000)], float)
+    for r, v in ((got[1], [5, 5, 5]), (got[2], [996, 88, 6])):
+        d = np.linalg.norm(every - v, axis=1)
+        assert r.train_id == int(np.argmin(d)) and r.distance == d.min() and r.next_distance == np.sort(d)[1]
+
+
+def test_corpus_guard(monkeypatch):
+    """Without the corpus modules the other queries stay."""
+    import importlib.util
+    import sys
+
+    import __spark_entry__ as entry
+
+    find = importlib.util.find_spec
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name == "rasterloom.llm" else find(name, *a))
+    monkeypatch.delitem(sys.modules, "__spark_entry__")
+    import __spark_entry__ as bare
+
+    assert len(bare.queries()) >= 60 and not any(k.startswith("op") or k == "pipeline" for k in bare.queries()) and entry.queries().keys() >= bare.queries().keys()
