@@ -103,11 +103,13 @@ def test_every_stage(spark, tables, tmp_path):
         same(got, rows)
         assert df.columns == columns
     assert done == ["toxicity", "ngram_jaccard_join", "suffix_array_dedup", "benchmark_decontamination", "best_fit_packing"]
-    whole = corpus_pipeline.run(spark, tables).collect()
-    again = corpus_pipeline.run(spark, tables)  # a second run leaves what the first reads alone
-    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in whole) == pieces(rows)
+    first = corpus_pipeline.run(spark, tables)
+    for _, stage in corpus_pipeline.STAGES[:2]:  # what a later run deletes is its own, so the first can still be read
+        stage(spark, spark.read.parquet(f"{tables}/documents.parquet").limit(5), tables)
+    got = first.collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == pieces(rows)
     by = {}
-    for r in again.collect():
+    for r in got:
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
     for parts in by.values():
         at = 0
@@ -118,7 +120,7 @@ def test_every_stage(spark, tables, tmp_path):
 
 
 def test_extra_columns_and_empty_tables(spark, tables, tmp_path):
-    docs = spark.read.parquet(f"{tables}/documents.parquet").withColumns({c: F.lit(5) for c in ("toxic", "h", "tkey", "spans", "cls", "row")})
+    docs = spark.read.parquet(f"{tables}/documents.parquet").where("doc_id >= 70 or doc_id is null").withColumns({c: F.lit(5) for c in ("toxic", "h", "tkey", "spans", "cls", "row")})
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
         stage(spark, docs, tables).write.parquet(f"{tmp_path}/w{k}")
         new = spark.read.parquet(f"{tmp_path}/w{k}")
