@@ -5,12 +5,12 @@ of each character after the up to four before it in its word. Each model
 discounts its own counts and backs off to one shared Kneser-Ney model, whose
 lower orders use continuation counts over all documents, so an expression that
 is rare in both classes adds nothing. A toxic text is for the most part made of
-ordinary words, so its likelihood is that of a text in which each word is toxic
-with the probability SHARE: P(text | toxic) is the product of (1 - SHARE) P(word |
-ordinary) + SHARE P(word | toxic), P(text | ordinary) that of P(word | ordinary).
-The logarithms of both are divided by the number of words and compared; a
-logistic curve fitted on labelled rows that the models have not seen turns the
-difference into a score.
+ordinary words: each of its words is toxic with the probability SHARE, and its
+likelihood is that of the likeliest choice of the toxic ones, the product of
+max((1 - SHARE) P(word | ordinary), SHARE P(word | toxic)); that of an ordinary text is
+the product of P(word | ordinary). The logarithms of both are divided by the
+number of words and compared; a logistic curve fitted on labelled rows that the
+models have not seen turns the difference into a score.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ MODEL_ROWS = 20_000
 CURVE_ROWS = 4_000
 DISCOUNT = 0.75
 #: The share of toxic words that a toxic text is taken to have.
-SHARE = 0.01
+SHARE = 0.05
 #: The difference of the length-normalised log-likelihoods is at least ln(1 - SHARE); the curve takes ln(1 + what it has above that / SCALE).
 SCALE = 0.01
 
@@ -81,10 +81,12 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * (evidence - self.centre)))))
 
 
+LOG_ODDS = math.log(SHARE / (1 - SHARE))
+
+
 def word_evidence(ratio: float) -> float:
     """ln P(word | toxic text) - ln P(word | ordinary text), less its lowest value ln(1 - SHARE), for a word of this ln P(word | toxic) - ln P(word | ordinary)."""
-    x = ratio + math.log(SHARE / (1 - SHARE))
-    return x + math.log1p(math.exp(-x)) if x > 0 else math.log1p(math.exp(x))
+    return max(0.0, ratio + LOG_ODDS)
 
 
 class Evidence:
