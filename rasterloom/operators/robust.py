@@ -1,8 +1,7 @@
 """Robust statistics over correspondence tables: (pair_id, match_id, src_x, src_y, dst_x, dst_y, ...).
 
 Filter, fit and error summary of a group use windows over the same keys, so a
-chain of them reads its input once and shuffles it once. Medians come from
-sorted rows, which spill, and not from a buffer of all values.
+chain of them reads its input once and shuffles it once.
 """
 
 from __future__ import annotations
@@ -43,12 +42,8 @@ def with_median_and_mad(df: DataFrame, keys: Sequence[str], value: Column, prefi
 
 
 def with_median(df: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
-    """Add the group's median: the mean of the one or two values in the middle of its sorted rows."""
-    group = W.partitionBy(*keys)
-    ranked = df.withColumn("_value", value)
-    ranked = ranked.withColumn("_rank", F.row_number().over(group.orderBy(F.col("_value").asc_nulls_last()))).withColumn("_n", F.count("_value").over(group))
-    middle = (F.col("_rank") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_rank") == F.floor(F.col("_n") / 2) + 1)
-    return ranked.withColumn(name, F.avg(F.when(middle, F.col("_value"))).over(group)).drop("_value", "_rank", "_n")
+    """Add the group's exact median; a task holds the distinct values of a group."""
+    return df.withColumn("_value", value).withColumn(name, F.median("_value").over(W.partitionBy(*keys))).drop("_value")
 
 
 def remove_gross_outliers(df: DataFrame, keys: Sequence[str] = ("pair_id",), limit: float = 1000.0) -> DataFrame:
