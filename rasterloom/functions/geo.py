@@ -16,7 +16,10 @@ TILE_URLS = {
     "esri": "https://server.arcgisonline.com/ArcGIS/rest/services/World_Imagery/MapServer/tile/%d/%d/%d",
     "google_satellite": "https://mt1.google.com/vt/lyrs=s&x=%d&y=%d&z=%d",
     "osm": "https://tile.openstreetmap.org/%d/%d/%d.png",
+    "google_hybrid": "https://mt1.google.com/vt/lyrs=y&x=%d&y=%d&z=%d",
 }
+#: Names of providers, and whose addresses they are.
+TILE_PROVIDERS = {"esri": "esri", "esri_world_imagery": "esri", "google_satellite": "google_satellite", "google_hybrid": "google_hybrid", "osm": "osm", "openstreetmap": "osm"}
 
 
 def whole(x: Column) -> Column:
@@ -44,12 +47,12 @@ def tile_lat(y: Column, zoom: Column) -> Column:
 
 def tile_url(source: Column, x: Column, y: Column, zoom: Column) -> Column:
     """Raises for a source that is unknown."""
-    return (
-        F.when(source.isin("esri", "esri_world_imagery"), F.format_string(TILE_URLS["esri"], zoom, y, x))
-        .when(source == "google_satellite", F.format_string(TILE_URLS["google_satellite"], x, y, zoom))
-        .when(source == "osm", F.format_string(TILE_URLS["osm"], zoom, x, y))
-        .otherwise(F.raise_error(F.concat(F.lit("unknown tile source: "), source)))
-    )
+    order = {"esri": (zoom, y, x), "osm": (zoom, x, y)}
+    out = None
+    for name, own in TILE_PROVIDERS.items():
+        url = F.format_string(TILE_URLS[own], *order.get(own, (x, y, zoom)))
+        out = F.when(source == name, url) if out is None else out.when(source == name, url)
+    return out.otherwise(F.raise_error(F.concat(F.lit("unknown tile source: "), source)))
 
 
 def ground_resolution(lat: Column, zoom: Column) -> Column:
@@ -124,9 +127,9 @@ def metres_to_degrees(dx: Column, dy: Column, lat: Column) -> tuple[Column, Colu
     return dx / (METRES_PER_DEGREE * F.cos(F.radians(lat))), dy / METRES_PER_DEGREE
 
 
-def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: float = 6371008.8) -> Column:
-    h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * radius * F.asin(F.sqrt(h))
+def pixel_metres(epsg: Column, a: Column, top: Column, bottom: Column) -> Column:
+    """Width of a pixel in metres: degrees at the raster's middle latitude, other systems as they are."""
+    return F.abs(F.when(epsg == 4326, a * METRES_PER_DEGREE * F.cos(F.radians((top + bottom) / 2))).otherwise(a))
 
 
 def geodesic_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

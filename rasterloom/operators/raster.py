@@ -1,8 +1,7 @@
 """Rasters as pixel tables (raster_id, band, row, col, value) and as tiles of bytes.
 
-Everything that SQL can say works on pixels. Warps work on tiles: an output tile
-takes the source tiles that its mapped extent meets, an equi join on tile
-numbers, and resamples them in numpy.
+Everything that SQL can say works on pixels. Warps work on tiles: source and
+output tiles meet by number, an equi join, and each pair is resampled in numpy.
 """
 
 from __future__ import annotations
@@ -143,52 +142,81 @@ def reduce_tiles(tiles: DataFrame, tile: int, factor: int) -> DataFrame:
     return keyed.groupBy("raster_id", "oy", "ox").applyInPandas(join, "raster_id long, ty int, tx int, data binary")
 
 
-def warp_tiles(tiles: DataFrame, inverse: Callable[[np.ndarray], np.ndarray], tile: int, height: int, width: int) -> DataFrame:
+def _looked_up(inverse: Callable[[np.ndarray], np.ndarray], ty: int, tx: int, tile: int) -> np.ndarray:
+    """Source x, y of every pixel of an output tile; far outside where the map has no finite value."""
+    gy, gx = np.meshgrid(np.arange(tile) + ty * tile, np.arange(tile) + tx * tile, indexing="ij")
+    s = np.asarray(inverse(np.c_[gx.ravel(), gy.ravel()].astype(float)), float)
+    return np.clip(np.where(np.isfinite(s), s, -1e9), -1e9, 1e9)
+
+
+def _corners(s: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, weight) of the four pixels that bilinear interpolation at each place mixes."""
+    fx, fy = np.floor(s[:, 0]), np.floor(s[:, 1])
+    out = []
+    for dx in (0, 1):
+        for dy in (0, 1):
+            x, y = (fx + dx).astype(np.int64), (fy + dy).astype(np.int64)
+            out.append((x, y, (1 - np.abs(s[:, 0] - x)) * (1 - np.abs(s[:, 1] - y))))
+    return out
+
+
+def warp_tiles(tiles: DataFrame, inverse: Callable[[np.ndarray], np.ndarray], tile: int, height: int, width: int, source: tuple[int, int] | None = None, ids: tuple[int, ...] | None = None) -> DataFrame:
     """Resample bilinearly; ``inverse`` maps output (n, 2) x, y to source ones and is the same on every task.
 
-    Tasks work out which source tiles an output tile needs from the grid of tiles alone; both meet by tile number. An
-    output tile of which the source has nothing is all 0.
+    Tasks look up every pixel of an output tile to learn which source tiles it needs, so a map that bends within a tile
+    loses nothing, and one that scatters costs as many rows as it has pixels at most. Source and output tiles meet by
+    number; each pair gives the pixels, or the shares of pixels, that the source tile has, and an output tile adds them up: a task
+    holds one source tile at a time. ``source``: height and width, where a raster ends before its tiles do. ``ids``: the
+    raster_ids, where they are known. An output tile of which the source has nothing is all 0.
     """
     spark, down, across = tiles.sparkSession, -(-height // tile), -(-width // tile)
+    most = (-(-source[0] // tile), -(-source[1] // tile)) if source else (2**20, 2**20)
 
     def needed(frames):
-        edge = np.linspace(0, tile - 1, 9)
         for frame in frames:
-            out = []
-            for ty, tx in (divmod(int(k), across) for k in frame["id"]):
-                gy, gx = np.meshgrid(ty * tile + edge, tx * tile + edge, indexing="ij")
-                s = inverse(np.c_[gx.ravel(), gy.ravel()])
-                lo, hi = np.floor((s.min(0) - 2) / tile).astype(int), np.floor((s.max(0) + 2) / tile).astype(int)
-                found = [(ty, tx, int(sy), int(sx)) for sy in range(max(0, lo[1]), hi[1] + 1) for sx in range(max(0, lo[0]), hi[0] + 1)]
-                out += [*found, (ty, tx, -1, -1)]  # each output tile has a row of its own
-            yield pd.DataFrame(out, columns=["oy", "ox", "ty", "tx"])
-
-    plan = spark.range(down * across).mapInPandas(needed, "oy int, ox int, ty int, tx int")
-
-    def resample(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        out, g = np.zeros(tile * tile), g[g["data"].notna()]
-        if len(g):
-            y0, x0 = int(g["ty"].min()) * tile, int(g["tx"].min()) * tile
-            h, w = (int(g["ty"].max()) + 1) * tile - y0, (int(g["tx"].max()) + 1) * tile - x0
-            src = np.zeros((h + 1, w + 1), np.float32)
-            for r in g.itertuples():
-                src[r.ty * tile - y0 : (r.ty + 1) * tile - y0, r.tx * tile - x0 : (r.tx + 1) * tile - x0] = np.frombuffer(r.data, np.float32).reshape(tile, tile)
-            gy, gx = np.meshgrid(np.arange(tile) + key[1] * tile, np.arange(tile) + key[2] * tile, indexing="ij")
-            s = inverse(np.c_[gx.ravel(), gy.ravel()].astype(float)) - [x0, y0]
-            fx, fy = np.floor(s[:, 0]), np.floor(s[:, 1])
-            for ddx in (0, 1):
-                for ddy in (0, 1):
-                    x, y = (fx + ddx).astype(int), (fy + ddy).astype(int)
-                    ok = (x >= 0) & (x < w) & (y >= 0) & (y < h)
-                    weight = (1 - np.abs(s[:, 0] - x)) * (1 - np.abs(s[:, 1] - y))
-                    out[ok] += weight[ok] * src[y[ok], x[ok]]
-        return pd.DataFrame({"raster_id": [key[0]], "ty": [key[1]], "tx": [key[2]], "data": [out.astype(np.float32).tobytes()]})
-
-    cols = ["raster_id", "oy", "ox", "ty", "tx", "data"]
-    found = tiles.join(plan.where("ty >= 0"), ["ty", "tx"]).select(*cols)
-    every = tiles.select("raster_id").distinct().crossJoin(plan.where("ty < 0").select("oy", "ox"))  # a row for each output tile of each raster
-    rows = found.unionByName(every.select("raster_id", "oy", "ox", F.lit(-1).alias("ty"), F.lit(-1).alias("tx"), F.lit(None).cast("binary").alias("data")))
-    return rows.groupBy("raster_id", "oy", "ox").applyInPandas(resample, "raster_id long, ty int, tx int, data binary")
+            rows = []
+            for oy, ox in (divmod(int(k), across) for k in frame["id"]):
+                keys = [np.unique((y // tile)[ok] << 32 | (x // tile)[ok]) for x, y, w in _corners(_looked_up(inverse, oy, ox, tile)) if (ok := (w > 0) & (x >= 0) & (y >= 0) & (y // tile < most[0]) & (x // tile < most[1])).any()]
+                rows += [(oy, ox, int(k >> 32), int(k & 0xFFFFFFFF)) for k in np.unique(np.concatenate(keys))] if keys else []
+            yield pd.DataFrame(rows, columns=["oy", "ox", "ty", "tx"])
+
+    def place(frames):
+        looked: dict[tuple[int, int], np.ndarray] = {}
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples():
+                if (r.oy, r.ox) not in looked:
+                    if len(looked) >= 8:
+                        looked.clear()
+                    looked[r.oy, r.ox] = _looked_up(inverse, r.oy, r.ox, tile)
+                src, out, share = np.frombuffer(r.data, np.float32), np.zeros(tile * tile), np.zeros(tile * tile)
+                for x, y, w in _corners(looked[r.oy, r.ox]):
+                    at = np.flatnonzero((x // tile == r.tx) & (y // tile == r.ty) & (w > 0))
+                    out[at] += w[at] * src[(y[at] - r.ty * tile) * tile + x[at] - r.tx * tile]
+                    share[at] += w[at]
+                whole, part = np.flatnonzero(share > 1 - 1e-12), np.flatnonzero((share > 0) & (share <= 1 - 1e-12))
+                dense = len(whole) == tile * tile
+                rows.append((r.raster_id, r.oy, r.ox, b"" if dense else whole.astype("<i4").tobytes(), out[whole].astype(np.float32).tobytes(), part.astype("<i4").tobytes(), out[part].tobytes()))
+            yield pd.DataFrame(rows, columns=["raster_id", "oy", "ox", "at", "value", "part_at", "part"])
+
+    def add(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        out, parts = np.zeros(tile * tile, np.float32), np.zeros(tile * tile)
+        for r in g.sort_values(["part_at", "part"], na_position="last").itertuples():
+            if r.value is not None:
+                value = np.frombuffer(r.value, np.float32)
+                at = np.frombuffer(r.at, "<i4") if len(r.at) or not len(value) else slice(None)
+                out[at] = value
+                parts[np.frombuffer(r.part_at, "<i4")] += np.frombuffer(r.part)
+        return pd.DataFrame({"raster_id": [key[0]], "ty": [key[1]], "tx": [key[2]], "data": [(out + parts.astype(np.float32)).tobytes()]})
+
+    # Spark takes the plan for as small as the list of output tiles, so it must not be broadcast.
+    plan = spark.range(down * across).mapInPandas(needed, "oy int, ox int, ty int, tx int").hint("merge")
+    met = tiles.join(plan, ["ty", "tx"]).select("raster_id", "oy", "ox", "ty", "tx", "data")
+    found = met.mapInPandas(place, "raster_id long, oy int, ox int, at binary, value binary, part_at binary, part binary")
+    which = spark.createDataFrame([(int(i),) for i in ids], "raster_id long") if ids is not None else tiles.select("raster_id").distinct()
+    grid = spark.range(down * across).select(F.floor(F.col("id") / across).cast("int").alias("oy"), (F.col("id") % across).cast("int").alias("ox"))
+    rows = found.unionByName(which.crossJoin(grid), allowMissingColumns=True)  # a row for each output tile of each raster
+    return rows.groupBy("raster_id", "oy", "ox").applyInPandas(add, "raster_id long, ty int, tx int, data binary")
 
 
 def warp_extent(rasters: DataFrame, matrix: tuple[Column, ...]) -> DataFrame:

@@ -1,16 +1,18 @@
 """Coarse-to-fine registration, basemap tiles, diagnostics and reprojection as plans over DataFrames.
 
-A plan is an ordered list of (scale, transform type). At each scale the mosaic so
-far is reduced, matched against the target, fitted and composed; in the end the
-composed transform is applied once to the full-resolution tiles. Polynomials and
+A plan is an ordered list of (scale, transform type). At each scale both rasters come
+to one lattice, the source as the steps so far map it; they are matched, and the fit is
+composed with those before. In the end the
+composed transform is applied once to the full-resolution colour tiles. Polynomials and
 splines have no inverse in closed form, so they are fitted from the target to the
 mosaic, which is the way that pixels are looked up.
 """
 
 from __future__ import annotations
 
+import logging
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,11 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rasterloom.functions import geo
-from rasterloom.operators import control, features, fits, matching, raster, robust
-from rasterloom.sources import geotiff
+from rasterloom.operators import control, features, fits, grids, matching, raster, robust, scalespace
+from rasterloom.sources import geotiff, paths, sinks
 
+log = logging.getLogger("rasterloom")
 #: The plan that is used where none is given.
-DEFAULT_PLAN = ((0.125, "shift"), (0.25, "shift"), (0.5, "affine"))
+DEFAULT_PLAN = ((1.0, "affine"),)
 Matcher = Callable[[DataFrame, DataFrame, float], DataFrame]
 
 
@@ -53,20 +56,34 @@ class Registration:
         return p
 
 
+def lattice_place(scale: float) -> np.ndarray:
+    """Centres of a scale's pixels in pixels of scale 1: both count centres from 0, so edges and not centres coincide."""
+    k = 1 / scale
+    return np.array([[k, 0, (k - 1) / 2], [0, k, (k - 1) / 2], [0, 0, 1.0]])
+
+
 def at_full_resolution(m: np.ndarray, scale: float) -> np.ndarray:
     """A matrix in pixels of a scale, in those of scale 1."""
-    s = np.diag([scale, scale, 1.0])
-    return np.linalg.inv(s) @ m @ s
+    to = lattice_place(scale)
+    return to @ m @ np.linalg.inv(to)
 
 
 def look_up(row: dict, scale: float) -> Callable[[np.ndarray], np.ndarray]:
     """The map of a polynomial or spline, fitted in pixels of a scale, in those of scale 1."""
+    k, shift = 1 / scale, (1 / scale - 1) / 2
     if row.get("coef_x"):
         coef = np.array([row["coef_x"], row["coef_y"]]).T
-        return lambda p: fits.basis(p[:, 0] * scale, p[:, 1] * scale, row["degree"]) @ coef / scale
-    s, d = np.array(row["ctrl_src"]), np.array(row["ctrl_dst"])
-    weights, affine = fits.spline_through(s, d)
-    return lambda p: fits.apply_thin_plate(p * scale, s, weights, affine) / scale
+
+        def bent(q: np.ndarray) -> np.ndarray:
+            return fits.basis(q[:, 0], q[:, 1], row["degree"]) @ coef
+    else:
+        s, d = np.array(row["ctrl_src"]), np.array(row["ctrl_dst"])
+        weights, affine = fits.spline_through(s, d)
+
+        def bent(q: np.ndarray) -> np.ndarray:
+            return fits.apply_thin_plate(q, s, weights, affine)
+
+    return lambda p: bent((p - shift) / k) * k + shift
 
 
 def default_plan(scales: Sequence[float]) -> list[tuple[float, str]]:
@@ -82,12 +99,6 @@ def checked_plan(scales: Sequence[float], kinds: Sequence[str]) -> list[tuple[fl
     return sorted(zip(scales, kinds, strict=True))
 
 
-def reduced_pixels(tiles: DataFrame, tile: int, scale: float) -> DataFrame:
-    """Pixel rows of whole values of the raster at a scale; only the reduced raster becomes rows."""
-    small = raster.reduce_tiles(tiles, tile, max(1, round(1 / scale)))
-    return pixels_of(small, tile).withColumn("value", F.round("value").cast("int"))
-
-
 def ncc_matcher(patch: int = 8, spacing: int = 8, margin: int = 4, threshold: float = 0.5, gsd: float | None = None, valid: int | None = None) -> Matcher:
     """Patch correlation on a grid; both images are pixel tables of one scale.
 
@@ -121,7 +132,30 @@ def corner_matcher(tile: int = 64, ratio: float = 0.75, overlap: int = 16) -> Ma
     return match
 
 
-MATCHERS: dict[str, Callable[..., Matcher]] = {"patch_ncc": ncc_matcher, "corners": corner_matcher}
+def keypoint_matcher(kind: str, metric: str, ratio: float) -> Callable[..., Matcher]:
+    """Keypoints with scale and direction, the strongest of each raster, nearest descriptors that pass the ratio test."""
+
+    def make(most: int = matching.MAX_FEATURES, tile: int = 512) -> Matcher:
+        def match(source: DataFrame, target: DataFrame, scale: float) -> DataFrame:
+            sides = []
+            for p in (source, target):
+                # Keypoints are found once and read twice, so they are stored by whoever keeps the matches; a window begins at its own first pixel.
+                y0, x0, y1, x1 = p.agg(F.min("row"), F.min("col"), F.max("row"), F.max("col")).first()
+                if y0 is None:
+                    y0 = x0 = y1 = x1 = 0
+                t = raster.to_tiles(p.withColumns({"row": F.col("row") - y0, "col": F.col("col") - x0}), tile)
+                found = scalespace.valid_only(scalespace.keypoints(t, tile, y1 - y0 + 1, x1 - x0 + 1, kind), t, tile)
+                sides.append(matching.strongest(found.withColumns({"x": F.col("x") + x0, "y": F.col("y") + y0}), ["raster_id"], most))
+            a, b = sides
+            pairs = matching.with_keypoints(matching.ratio_matches(a, b, ratio, metric), a, b)
+            return pairs.select(F.lit(1).cast("long").alias("pair_id"), F.col("query_id").alias("match_id"), "src_x", "src_y", "dst_x", "dst_y")
+
+        return match
+
+    return make
+
+
+MATCHERS: dict[str, Callable[..., Matcher]] = {"patch_ncc": ncc_matcher, "corners": corner_matcher, "sift": keypoint_matcher("sift", "l2", 0.75), "orb": keypoint_matcher("orb", "hamming", 0.75)}
 
 
 def matcher(name: str, **options) -> Matcher:
@@ -131,6 +165,134 @@ def matcher(name: str, **options) -> Matcher:
     return MATCHERS[name](**options)
 
 
+@dataclass
+class Raster:
+    """An opened raster: its header and its tiles (raster_id is the band, ty, tx, data)."""
+
+    head: Mapping
+    tiles: DataFrame
+
+
+def open_raster(spark: SparkSession, path: str, tile: int) -> Raster:
+    """The one raster of a path, at most three bands of it; a path of several files or of none that can be read is an error."""
+    heads = geotiff.read_raster_headers(spark, path).limit(2).collect()
+    if len(heads) != 1:
+        raise ValueError(f"{path}: one raster is asked for, there are {'none' if not heads else 'several'}")
+    if heads[0].error:
+        raise ValueError(f"{heads[0].path}: {heads[0].error}")
+    tiles = geotiff.read_tiles(spark, path, tile).where("band <= 3").select(F.col("band").cast("long").alias("raster_id"), "ty", "tx", "data")
+    return Raster(geotiff.sound(heads[0].asDict()), tiles)
+
+
+def eight_bit(r: Raster, tile: int, joint: bool) -> DataFrame:
+    """Values of 0 to 255: those of bytes as they are, others stretched, all bands together or each by itself."""
+    if r.head.get("kind") == "u1":
+        return r.tiles
+    by = {e.raster_id: (e.low, e.high) for e in grids.ends(r.tiles, tile, r.head["height"], r.head["width"]).collect()}  # a row a band
+    if joint and by:
+        by = dict.fromkeys(by, (min(low for low, _ in by.values()), max(high for _, high in by.values())))
+    return grids.stretch_tiles(r.tiles, by)
+
+
+def in_gray(r: Raster, tile: int) -> DataFrame:
+    named = eight_bit(r, tile, joint=True).select(F.lit("").alias("path"), F.col("raster_id").alias("band"), "ty", "tx", "data")
+    return raster.gray_tiles(named).select(F.lit(1).cast("long").alias("raster_id"), "ty", "tx", "data")
+
+
+def window_pixels(tiles: DataFrame, tile: int, x0: int, y0: int, x1: int, y1: int) -> DataFrame:
+    """Pixel rows, of whole values, of a window; tiles beyond it are not read."""
+    met = tiles.where((F.col("ty") * tile < y1) & ((F.col("ty") + 1) * tile > y0) & (F.col("tx") * tile < x1) & ((F.col("tx") + 1) * tile > x0))
+    return pixels_of(met, tile).where(F.col("row").between(y0, y1 - 1) & F.col("col").between(x0, x1 - 1)).withColumn("value", F.round("value").cast("int"))
+
+
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def kept_in(folder: str) -> Keep:
+    """Write tables under a shared folder and read them again: the pyramid of a run, which steps read instead of the files."""
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        path = f"{folder.rstrip('/')}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    return keep
+
+
+#: Matchers that need what is not there, and who stands in.
+STAND_INS = {"lightglue": "sift"}
+
+
+def matcher_for(name: str, *, patch: int, spacing: int, margin: int, threshold: float, features: int, tile: int) -> Matcher:
+    """A matcher by name with the options of a run; one that is not there is replaced, with a warning."""
+    if name in STAND_INS and name not in MATCHERS:
+        log.warning("%s is not there, %s stands in", name, STAND_INS[name])
+        name = STAND_INS[name]
+    options = {"patch_ncc": {"patch": patch, "spacing": spacing, "margin": margin, "threshold": threshold}, "sift": {"most": features, "tile": tile}, "orb": {"most": features, "tile": tile}}
+    return matcher(name, **options.get(name, {}))
+
+
+def _step(rows: list, scale: float, kind: str, done: Registration) -> Step | None:
+    """A fitted row as the next step."""
+    if not rows:
+        return None
+    row = rows[0].asDict()
+    if not row["matrix"]:
+        return Step(scale, kind, row, None, look_up(row, scale))
+    m = at_full_resolution(np.array(row["matrix"]).reshape(3, 3), scale)
+    return Step(scale, kind, row, None if done.matrix is None else m @ done.matrix, lambda p, back=np.linalg.inv(m): fits._project(back, p))
+
+
+def fit_step(matches: DataFrame, kind: str, scale: float) -> list:
+    """The fitted row of one type, none where there is no transform."""
+    found = robust.remove_gross_outliers(matches)
+    if kind in ("polynomial_2", "polynomial_3", "spline"):
+        ends = ("src_x", "src_y", "dst_x", "dst_y")
+        found = found.select("pair_id", "match_id", *(F.col(a).alias(b) for a, b in zip(ends, ends[2:] + ends[:2], strict=True)))
+    return fits.fit_all(found, [kind], threshold=fits.ransac_threshold(scale)).where("error IS NULL").collect()  # one row
+
+
+def lattices(source: Raster, target: Raster, scales: Sequence[float]) -> dict[float, Mapping]:
+    """The lattice of each scale; rasters that have none are an error."""
+    spark = source.tiles.sparkSession
+    sides = [spark.createDataFrame([tuple(r.head.get(c) for c in grids.GEOTRANSFORM) + (1,)], ", ".join(f"{c} {'long' if c in ('width', 'height') else 'int' if c == 'epsg' else 'double'}" for c in grids.GEOTRANSFORM) + ", n long") for r in (source, target)]
+    s, t = grids.pair_of(*sides, ("n", "n"))
+    each = spark.createDataFrame([(float(k),) for k in scales], "scale double")
+    rows = grids.common_lattice(s.join(t, F.col("s_id") == F.col("t_id")).crossJoin(each), F.col("scale")).collect()  # a row a scale
+    if rows and rows[0].problem:
+        raise ValueError(rows[0].problem)
+    return {r.scale: r.asDict() for r in rows}
+
+
+def register_rasters(source: Raster, target: Raster, tile: int, plan: Sequence[tuple[float, str]], match: Matcher | None, keep: Keep) -> tuple[Registration, DataFrame, dict[float, DataFrame]]:
+    """Register one raster to another of any size, origin and pixel: the steps, the warped colour tiles and each scale's matches.
+
+    At each scale the source is reduced once, the target is brought to the same lattice within the overlap, and both
+    are kept; a step warps the reduced source alone. Each step needs the one before, so the scales are a loop on the
+    driver, which holds the steps' transforms; the pixels stay distributed. A step that finds no transform leaves the mosaic as it is.
+    """
+    match, done, matches = match or ncc_matcher(), Registration(), {}
+    shared = lattices(source, target, [s for s, _ in plan])
+    gray = keep(in_gray(source, tile), "source"), keep(in_gray(target, tile), "target")
+    for scale, kind in plan:
+        g = shared[scale]
+        h, w, window = g["lattice_height"], g["lattice_width"], (g["x0"], g["y0"], g["x1"], g["y1"])
+        small = keep(grids.resample_tiles(gray[0], tile, grids.Axis(0.0, 1 / scale, source.head["height"], 0, h), grids.Axis(0.0, 1 / scale, source.head["width"], 0, w)), f"source_scale{scale:.3f}")
+        y, x = (grids.Axis(g[f"start_{a}"], g[f"step_{a}"], target.head[size], g[f"{a}0"], g[f"{a}1"]) for a, size in (("y", "height"), ("x", "width")))
+        aim = keep(grids.resample_tiles(gray[1], tile, y, x), f"target_overlap_scale{scale:.3f}")
+        if done.steps:
+            to, so_far = lattice_place(scale), Registration(list(done.steps))
+            back = lambda p, to=to, so_far=so_far: fits._project(np.linalg.inv(to), so_far.back(fits._project(to, p)))
+            small = keep(raster.warp_tiles(small, back, tile, h, w, (h, w), (1,)), f"source_scale{scale:.3f}_moved")
+        matches[scale] = keep(match(window_pixels(small, tile, *window), window_pixels(aim, tile, *window), scale), f"matches_scale{scale:.3f}")
+        if step := _step(fit_step(matches[scale], kind, scale), scale, kind, done):
+            done.steps.append(step)
+    size = source.head["height"], source.head["width"]
+    color = eight_bit(source, tile, joint=False)
+    bands = tuple(range(1, min(3, source.head["bands"]) + 1))
+    return done, raster.warp_tiles(color, done.back, tile, *size, size, bands) if done.steps else color, matches
+
+
 def register(source: DataFrame, target: DataFrame, plan: Sequence[tuple[float, str]] = DEFAULT_PLAN, match: Matcher | None = None, height: int = 0, width: int = 0, tile: int = 64) -> tuple[Registration, DataFrame]:
     """As register_tiles, from pixel tables."""
     if not (height and width):
@@ -138,31 +300,11 @@ def register(source: DataFrame, target: DataFrame, plan: Sequence[tuple[float, s
     return register_tiles(raster.to_tiles(source, tile), raster.to_tiles(target, tile), tile, height, width, plan, match)
 
 
-def register_tiles(tiles: DataFrame, target: DataFrame, tile: int, height: int, width: int, plan: Sequence[tuple[float, str]] = DEFAULT_PLAN, match: Matcher | None = None) -> tuple[Registration, DataFrame]:
-    """Register one raster's tiles (values 0..255) to another's; returns the steps and the warped tiles.
-
-    Each step needs the one before, so the scales are a loop on the driver, which holds the steps' transforms; the
-    pixels stay distributed. A step that finds no transform leaves the mosaic as it is.
-    """
-    match, done = match or ncc_matcher(), Registration()
-
-    def warped() -> DataFrame:
-        so_far = Registration(list(done.steps))
-        return raster.warp_tiles(tiles, so_far.back, tile, height, width) if done.steps else tiles
-
-    for scale, kind in plan:
-        found = robust.remove_gross_outliers(match(reduced_pixels(warped(), tile, scale), reduced_pixels(target, tile, scale), scale))
-        if kind in ("polynomial_2", "polynomial_3", "spline"):
-            ends = ("src_x", "src_y", "dst_x", "dst_y")
-            found = found.select("pair_id", "match_id", *(F.col(a).alias(b) for a, b in zip(ends, ends[2:] + ends[:2], strict=True)))
-        rows = fits.fit_all(found, [kind], threshold=fits.ransac_threshold(scale)).where("error IS NULL").collect()  # one row
-        if rows and rows[0]["matrix"]:
-            m = at_full_resolution(np.array(rows[0]["matrix"]).reshape(3, 3), scale)
-            done.steps.append(Step(scale, kind, rows[0].asDict(), None if done.matrix is None else m @ done.matrix, lambda p, back=np.linalg.inv(m): fits._project(back, p)))
-        elif rows:
-            row = rows[0].asDict()
-            done.steps.append(Step(scale, kind, row, None, look_up(row, scale)))
-    return done, warped()
+def register_tiles(tiles: DataFrame, target: DataFrame, tile: int, height: int, width: int, plan: Sequence[tuple[float, str]] = DEFAULT_PLAN, match: Matcher | None = None, keep: Keep | None = None) -> tuple[Registration, DataFrame]:
+    """Register one raster's gray tiles (values 0..255) to another's on the same grid; returns the steps and the warped tiles."""
+    head = {"height": height, "width": width, "bands": 1, "kind": "u1", "epsg": 4326, "a": 1.0, "b": 0.0, "c": 0.0, "d": 0.0, "e": -1.0, "f": float(height), "left": 0.0, "right": float(width), "bottom": 0.0, "top": float(height)}
+    sides = (Raster(head, t.select(F.lit(1).cast("long").alias("raster_id"), "ty", "tx", "data")) for t in (tiles, target))
+    return register_rasters(*sides, tile, plan, match, keep or (lambda df, name: df))[:2]
 
 
 def apply_transform(tiles: DataFrame, row: dict, scale: float, tile: int, height: int, width: int) -> DataFrame:
@@ -245,25 +387,18 @@ def stitch(fetched: DataFrame, folder: str, box: tuple[float, float, float, floa
     """
     import uuid
 
-    spark, top = fetched.sparkSession, f"{folder.rstrip('/')}/tiles-{uuid.uuid4().hex}"
+    spark, top = fetched.sparkSession, f"{paths.qualified(fetched.sparkSession, folder).rstrip('/')}/tiles-{uuid.uuid4().hex}"
     x0, y0, x1, y1 = fetched.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
     left, upper, right, lower = mosaic_crop(x0, y0, x1, y1, zoom, box)
 
     def save(frames):
-        from pyarrow import fs
-
         import pandas as pd
 
         for frame in frames:
-            paths = []
-            for r in frame.itertuples():
-                path = f"{top}/{r.x}_{r.y}.img"
-                system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-                system.create_dir(at.rpartition("/")[0], recursive=True)
-                with system.open_output_stream(at, compression=None) as stream:
-                    stream.write(r.data or b"none")
-                paths.append(path)
-            yield pd.DataFrame({"path": paths})
+            names = [f"{top}/{r.x}_{r.y}.img" for r in frame.itertuples()]
+            for name, data in zip(names, frame["data"], strict=True):
+                paths.write(name, data or b"none")
+            yield pd.DataFrame({"path": names})
 
     fetched.mapInPandas(save, "path string").count()
     images = spark.read.format("image").option("dropInvalid", False).load(top).select("image.*")
@@ -357,6 +492,53 @@ def reproject_to_utm(tiles: DataFrame, tile: int, height: int, width: int, trans
     return raster.warp_tiles(tiles, inverse, tile, out_height, out_width)
 
 
+def reproject_file(spark: SparkSession, path: str, out: str, epsg: int | None = None, tile: int = 256) -> str:
+    """A raster in degrees, without rotation, resampled to metres and written under ``out``; returns its files' path.
+
+    epsg: a UTM zone; by default that of the raster's centre. Pixels keep their size on the ground.
+    """
+    r = open_raster(spark, path, tile)
+    h = r.head
+    if h["epsg"] != 4326 or h["b"] or h["d"]:
+        raise ValueError("only rasters in degrees, without rotation, are reprojected")
+    at = spark.range(1).select(geo.utm_epsg(F.lit((h["left"] + h["right"]) / 2), F.lit((h["bottom"] + h["top"]) / 2)).alias("zone"), geo.pixel_metres(F.lit(4326), F.lit(h["a"]), F.lit(h["top"]), F.lit(h["bottom"])).alias("m")).first()
+    epsg = epsg or at.zone
+    # Edges of a box bend in the projection, so points along them give its extent.
+    t = F.col("id") / 64.0
+    edge = [(F.lit(h["left"]) + t * (h["right"] - h["left"]), F.lit(y)) for y in (h["bottom"], h["top"])] + [(F.lit(x), F.lit(h["bottom"]) + t * (h["top"] - h["bottom"])) for x in (h["left"], h["right"])]
+    places = spark.range(65).select(F.explode(F.array(*(F.struct(*(c.alias(n) for c, n in zip(utm_forward(x, y, F.lit(epsg % 100)), ("x", "y"), strict=True))) for x, y in edge))).alias("p"))
+    if epsg // 100 == 327:  # the south counts from ten million metres below the equator, whatever the point's own latitude
+        places = places.select(F.struct(F.col("p.x").alias("x"), F.when(F.col("p.y") < 5e6, F.col("p.y") + 1e7).otherwise(F.col("p.y")).alias("y")).alias("p"))
+    box = places.agg(F.min("p.x").alias("left"), F.min("p.y").alias("bottom"), F.max("p.x").alias("right"), F.max("p.y").alias("top")).first()
+    width, height = max(1, math.ceil((box.right - box.left) / at.m)), max(1, math.ceil((box.top - box.bottom) / at.m))
+    warped = reproject_to_utm(eight_bit(r, tile, joint=False), tile, h["height"], h["width"], tuple(h[c] for c in "abcdef"), epsg, at.m, (box.left, box.top), height, width)
+    geotiff.write_tiles(warped.withColumnRenamed("raster_id", "band"), out, (at.m, 0.0, box.left, 0.0, -at.m, box.top), epsg, height, width, tile)
+    return f"{out}/*.tif"
+
+
+def write_patches(placed: DataFrame, folder: str) -> int:
+    """Write each point's patch (path, gcp_id, x0, y0, x1, y1) as a PNG of its first three bands, or of one; returns how many."""
+    import pandas as pd
+
+    out = paths.qualified(placed.sparkSession, folder)
+
+    def cut(frames):
+        for frame in frames:
+            names = []
+            for path, own in frame.groupby("path", sort=False):
+                with geotiff.open_file(path) as stream:
+                    tiff = geotiff.Tiff(stream)
+                    for r in own.itertuples():
+                        image = tiff.window(r.y0, r.y1, r.x0, r.x1)[:3]
+                        image = image if image.dtype == np.uint8 else sinks.to_uint8(image)
+                        names.append(f"{out.rstrip('/')}/{r.name}.png")
+                        paths.write(names[-1], sinks.png(np.ascontiguousarray(image.transpose(1, 2, 0)) if len(image) == 3 else image[0]))
+            yield pd.DataFrame({"name": names})
+
+    named = placed.select("path", "x0", "y0", "x1", "y1", geo.safe_name(F.col("gcp_id").cast("string")).alias("name"))
+    return named.mapInPandas(cut, "name string").count()
+
+
 def analyse_gcps(gcps: DataFrame, rasters: DataFrame, size: int = 300) -> tuple[DataFrame, DataFrame]:
     """Patch bounds of the points that a raster holds, and the number of points with and without."""
     placed = control.patch_bounds(control.points_in_rasters(gcps, rasters), size)

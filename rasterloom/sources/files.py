@@ -93,6 +93,21 @@ def load_config(path: str) -> dict:
         return json.load(f)
 
 
+def read_steps(spark: SparkSession, path: str) -> list[dict]:
+    """A run's transforms in order of scale: a file that lists them, one transform's file, or a folder of transform_scale*.json or *level*.json."""
+    rows = [(r.path, json.loads(bytes(r.content))) for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).collect()]  # a file a scale
+    lists = [t for _, t in rows if isinstance(t, list)]
+    if lists:
+        return lists[0]
+    named = [(p.rpartition("/")[2], t) for p, t in rows if isinstance(t, dict) and ("matrix" in t or "coefficients_x" in t)]
+
+    def order(item: tuple[str, dict]) -> tuple:
+        found = re.search(r"(?:scale|level)([0-9]+(?:\.[0-9]+)?)", item[0])
+        return (float(found[1]) if found else float(item[1].get("scale", 1.0)), item[0])
+
+    return [{"scale": order((n, t))[0] if "scale" not in t else t["scale"]} | t for n, t in sorted(named, key=order)]
+
+
 def read_tiff(data: bytes) -> np.ndarray:
     """(bands, height, width) of a whole TIFF in memory; files are read by window, see geotiff.read_tiles."""
     tiff = geotiff.Tiff(BytesIO(data))

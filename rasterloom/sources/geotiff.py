@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.sources import paths
+
 #: TIFF tags and the bytes of their types.
 TAGS = {
     256: "width", 257: "height", 258: "bits", 259: "compression", 262: "photometric", 273: "strips", 277: "bands", 278: "rows", 279: "counts", 284: "planar", 317: "predictor", 322: "tile_width", 323: "tile_height",
@@ -25,7 +27,7 @@ TAGS = {
 }
 SIZES = {1: ("B", 1), 2: ("c", 1), 3: ("H", 2), 4: ("I", 4), 11: ("f", 4), 12: ("d", 8), 16: ("Q", 8)}
 KINDS = {(8, 1): "u1", (16, 1): "u2", (32, 1): "u4", (8, 2): "i1", (16, 2): "i2", (32, 2): "i4", (32, 3): "f4", (64, 3): "f8"}
-RASTER_SCHEMA = "path string, epsg int, width int, height int, bands int, a double, b double, c double, d double, e double, f double, left double, bottom double, right double, top double, error string"
+RASTER_SCHEMA = "path string, epsg int, width int, height int, bands int, a double, b double, c double, d double, e double, f double, left double, bottom double, right double, top double, kind string, error string"
 TILE_SCHEMA = "path string, band int, ty int, tx int, data binary"
 #: Least side of a reduced image.
 LEAST_SIDE = 100
@@ -33,11 +35,7 @@ LEAST_SIDE = 100
 
 def open_file(path: str):
     """A seekable stream of a path with or without a scheme."""
-    from pyarrow import fs
-
-    if path.startswith("file:/") and not path.startswith("file://"):
-        path = "file://" + path[5:]
-    system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    system, at = paths.file_system(path)
     return system.open_input_file(at)
 
 
@@ -89,7 +87,19 @@ def geo_row(path: str, t: dict) -> dict:
     keys = t.get("geokeys", ())
     epsg = next((keys[k + 3] for k in range(4, len(keys), 4) if keys[k] in (2048, 3072)), None)
     xs, ys = [a * i + b * j + c for i in (0, w) for j in (0, h)], [d * i + e * j + f for i in (0, w) for j in (0, h)]
-    return {"path": path, "epsg": epsg, "width": w, "height": h, "bands": t.get("bands", (1,))[0], "a": a, "b": b, "c": c, "d": d, "e": e, "f": f, "left": min(xs), "right": max(xs), "bottom": min(ys), "top": max(ys)}
+    kind = KINDS.get((t.get("bits", (1,))[0], t.get("format", (1,))[0]))
+    return {"kind": kind, "path": path, "epsg": epsg, "width": w, "height": h, "bands": t.get("bands", (1,))[0], "a": a, "b": b, "c": c, "d": d, "e": e, "f": f, "left": min(xs), "right": max(xs), "bottom": min(ys), "top": max(ys)}
+
+
+def sound(head: dict) -> dict:
+    """A header whose pixels have no size gets one from its bounds; without bounds either, pixels are units."""
+    if abs(head["a"]) > 1e-10 or abs(head["e"]) > 1e-10 or head["b"] or head["d"]:
+        return head
+    left, bottom, right, top = (head[c] for c in ("left", "bottom", "right", "top"))
+    w, h = head["width"], head["height"]
+    if right - left <= 0 or top - bottom <= 0:
+        left, bottom, right, top = left, top - h, left + w, top
+    return head | {"a": (right - left) / w, "b": 0.0, "c": left, "d": 0.0, "e": (bottom - top) / h, "f": top, "left": left, "bottom": bottom, "right": right, "top": top}
 
 
 def read_raster_headers(spark: SparkSession, path: str) -> DataFrame:
@@ -289,15 +299,14 @@ def write_tiles(tiles: DataFrame, out: str, transform: tuple[float, ...], epsg:
     """Write (band, ty, tx, data) of one raster as GeoTIFFs of block x block tiles; returns the manifest (path, y0, x0, height, width, bands).
 
     Values from low to high become 0 to 255; one band is written as three. A block's file is
-    written under a new name, so a repeated attempt leaves a file that no row names. The manifest is
-    cached by nothing: write it, or collect it, once.
+    written under a new name, so a repeated attempt leaves a file that no row names. The files are written now: the
+    manifest is a table beside them, ``out``/manifest, so reading it writes nothing again.
     """
+    out = paths.qualified(tiles.sparkSession, out)
     a, b, c, d, e, f = transform
     rows = tiles if "band" in tiles.columns else tiles.withColumn("band", F.lit(1))
 
     def write(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        from pyarrow import fs
-
         y0, x0 = key[0] * block * tile, key[1] * block * tile
         h, w = min(block * tile, height - y0), min(block * tile, width - x0)
         bands = int(g["band"].max())
@@ -309,15 +318,14 @@ def write_tiles(tiles: DataFrame, out: str, transform: tuple[float, ...], epsg:
         if bands == 1:
             eight = np.repeat(eight, 3, axis=0)
         path = f"{out.rstrip('/')}/block-{key[0]:05d}-{key[1]:05d}-{uuid.uuid4().hex}.tif"
-        system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-        system.create_dir(at.rpartition("/")[0], recursive=True)
-        with system.open_output_stream(at, compression=None) as stream:
-            stream.write(encode(eight, (a, b, c + a * x0 + b * y0, d, e, f + d * x0 + e * y0), epsg))
+        paths.write(path, encode(eight, (a, b, c + a * x0 + b * y0, d, e, f + d * x0 + e * y0), epsg))
         return pd.DataFrame({"path": [path], "y0": [y0], "x0": [x0], "height": [h], "width": [w], "bands": [len(eight)]})
 
     cut = rows.where((F.col("ty") >= 0) & (F.col("tx") >= 0) & (F.col("ty") * tile < height) & (F.col("tx") * tile < width))
     groups = cut.select("band", "ty", "tx", "data", F.floor(F.col("ty") / block).cast("int").alias("by"), F.floor(F.col("tx") / block).cast("int").alias("bx")).groupBy("by", "bx")
-    return groups.applyInPandas(write, "path string, y0 int, x0 int, height int, width int, bands int")
+    shape = "path string, y0 int, x0 int, height int, width int, bands int"
+    groups.applyInPandas(write, shape).write.mode("overwrite").parquet(f"{out.rstrip('/')}/manifest")
+    return tiles.sparkSession.read.schema(shape).parquet(f"{out.rstrip('/')}/manifest")
 
 
 def vrt(manifest: list[dict], transform: tuple[float, ...], epsg: int, height: int, width: int) -> str:

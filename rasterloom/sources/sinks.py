@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.operators.robust import offset_distance
+from rasterloom.sources import paths
 
 
 #: Matches of one JSON text, about.
@@ -53,6 +54,19 @@ def transforms_json(transforms: DataFrame, resolution: str = "pixel_resolution")
     )
 
 
+def transform_record(row: dict, scale: float, pixel_m: float) -> dict:
+    """A step's transform for a file: errors and shifts in pixels of its scale and in metres, ``pixel_m`` being a pixel of scale 1."""
+    at = pixel_m / scale
+    errors = {f"{c}_{unit}": None if row.get(c) is None else row[c] * k for c in ("median_error", "robust_rmse", "mean_error", "std_error", "max_error") for unit, k in (("pixels", 1.0), ("meters", at))}
+    m = row.get("matrix")
+    metres = None if not m else [v * at if k in (2, 5) else v / at if k in (6, 7) else v for k, v in enumerate(m)]
+    names = {"coef_x": "coefficients_x", "coef_y": "coefficients_y", "ctrl_src": "control_points_src", "ctrl_dst": "control_points_dst"}
+    return {
+        "scale": scale, "transform_type": row["type"], "type": row["type"], "pixel_resolution_meters": at, "matrix": m, "matrix_meters": metres, **errors, **{n: row.get(k) for k, n in names.items()},
+        "degree": row.get("degree"), "num_points": row.get("num_points"), "inlier_count": row.get("inlier_count"), "inlier_ratio": row.get("inlier_ratio"),
+    }
+
+
 def append_events(events: DataFrame, path: str) -> None:
     """NDJSON lines: sessionId, runId, hypothesisId, location, message, data, timestamp."""
     events.write.mode("append").json(path)
@@ -69,12 +83,7 @@ def save_config(config: dict, path: str) -> None:
 
 
 def write_text(path: str, text: str) -> None:
-    from pyarrow import fs
-
-    system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    system.create_dir(at.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(at, compression=None) as stream:
-        stream.write(text.encode())
+    paths.write(path, text.encode())
 
 
 def to_uint8(image: np.ndarray) -> np.ndarray:

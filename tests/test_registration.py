@@ -1,13 +1,14 @@
 import json
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rasterloom import __main__ as cli
-from rasterloom.operators import features, fits, raster
+from rasterloom.operators import features, fits, matching, raster, scalespace
 from rasterloom.plans import registration
-from rasterloom.sources import geotiff, sinks
+from rasterloom.sources import files, geotiff, sinks
 from rasterloom.streaming import events
 
 def meridian_m(lat, steps=200_000):
@@ -192,7 +193,7 @@ def test_basemap_is_stitched_and_written(spark, tmp_path):
     left, upper, right, lower = registration.mosaic_crop(min(xs), min(ys), max(xs), max(ys), zoom, box)
     assert sum(m.height * m.width for m in manifest) == (lower - upper) * (right - left)
     for m in manifest:
-        with open(m.path, "rb") as f:
+        with geotiff.open_file(m.path) as f:
             tiff = geotiff.Tiff(f)
             part = tiff.window(0, m.height, 0, m.width)
             assert geotiff.geo_row("", tiff.tags)["epsg"] == 4326
@@ -201,6 +202,120 @@ def test_basemap_is_stitched_and_written(spark, tmp_path):
             assert part[:, r, c].tolist() == ([128] * 3 if (x + y) % 3 == 0 else [(x * 50) % 256, (y * 50) % 256, 7])
 
 
+def picture(seed, n, step=6):
+    """A smooth random picture of n x n pixels as a function of place."""
+    rng = np.random.default_rng(seed)
+    grid = rng.integers(0, 255, (n // step + 8, n // step + 8)).astype(float)
+
+    def at(x, y):
+        u, v = np.clip(x / step + 2, 0, grid.shape[1] - 2.001), np.clip(y / step + 2, 0, grid.shape[0] - 2.001)
+        i, j = np.floor(v).astype(int), np.floor(u).astype(int)
+        fv, fu = v - i, u - j
+        fv, fu = fv * fv * (3 - 2 * fv), fu * fu * (3 - 2 * fu)
+        return (grid[i, j] * (1 - fu) + grid[i, j + 1] * fu) * (1 - fv) + (grid[i + 1, j] * (1 - fu) + grid[i + 1, j + 1] * fu) * fv
+
+    return at
+
+
+def tiles_of(spark, image, tile):
+    h, w = image.shape
+    rows = []
+    for ty in range(-(-h // tile)):
+        for tx in range(-(-w // tile)):
+            a = np.zeros((tile, tile), np.float32)
+            part = image[ty * tile : (ty + 1) * tile, tx * tile : (tx + 1) * tile]
+            a[: part.shape[0], : part.shape[1]] = part
+            rows.append((1, ty, tx, a.tobytes()))
+    return spark.createDataFrame(rows, "raster_id long, ty int, tx int, data binary")
+
+
+@pytest.mark.parametrize("kind", ["sift", "orb"])
+def test_keypoints_do_not_depend_on_tiles(spark, kind):
+    y, x = np.mgrid[0:150, 0:170]
+    image = np.rint(picture(4, 170)(x, y))
+    found = [{(round(r.x, 6), round(r.y, 6), round(r.angle, 6), tuple(r.descriptor)) for r in scalespace.keypoints(tiles_of(spark, image, tile), tile, 150, 170, kind).collect()} for tile in (256, 64)]
+    assert len(found[0]) > 30 and found[0] == found[1]
+
+
+@pytest.mark.parametrize("kind,metric,turn,size", [("sift", "l2", 30, 1.0), ("sift", "l2", 0, 1.5), ("orb", "hamming", 30, 1.0), ("orb", "hamming", 0, 1.44)])
+def test_matches_under_rotation_and_scale(spark, kind, metric, turn, size):
+    y, x = np.mgrid[0:220, 0:220].astype(float)
+    at, t = picture(9, 220, 9), np.radians(turn)
+    m = np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]]) / size
+    moved = np.einsum("ij,jyx->iyx", m, np.stack([x - 110, y - 110])) + 110
+    a, b = (scalespace.keypoints(tiles_of(spark, np.rint(v), 256), 256, 220, 220, kind) for v in (at(moved[0], moved[1]), at(x, y)))
+    rows = matching.with_keypoints(matching.ratio_matches(a, b, 0.8, metric), a, b).collect()
+    away = [np.hypot(*(m @ [r.src_x - 110, r.src_y - 110] + 110 - [r.dst_x, r.dst_y])) for r in rows]
+    assert len(rows) >= 15 and np.mean(np.array(away) < 3) > 0.8
+
+
+@pytest.mark.parametrize("name", ["sift", "orb"])
+def test_registration_by_keypoints(spark, name):
+    y, x = np.mgrid[0:160, 0:160].astype(float)
+    at = picture(3, 160, 7)
+    pixels = lambda a: spark.createDataFrame([(1, r, c, int(a[r, c])) for r in range(160) for c in range(160)], SCHEMA)
+    done, _ = registration.register(pixels(at(x, y)), pixels(at(x + 5, y - 3)), [(1.0, "shift")], registration.matcher(name, tile=160), tile=160)
+    assert np.allclose(done.matrix[:2, 2], [-5, 3], atol=0.6)
+
+
+def test_two_rasters_of_different_grids_register(spark, tmp_path, capsys):
+    """A colour source of 0.02 m and a coarser target, elsewhere, of 16 bits; the source is 0.5 m off to the east and 0.3 m to the south."""
+    at = [picture(k, 1100, 24) for k in (1, 2, 3)]
+    x, y = np.meshgrid((np.arange(900) + 0.5) * 0.02, 50 - (np.arange(700) + 0.5) * 0.02)
+    source = np.stack([f((x - 0.5) * 50, (50 - (y + 0.3)) * 50) for f in at])
+    u, v = np.meshgrid(2 + (np.arange(180) + 0.5) * 0.07, 49 - (np.arange(150) + 0.5) * 0.07)
+    target = np.stack([f(u * 50, (50 - v) * 50) for f in at])
+    (tmp_path / "s.tif").write_bytes(geotiff.encode(np.rint(source).astype(np.uint8), (0.02, 0, 0.0, 0, -0.02, 50.0), 32610, 128))
+    (tmp_path / "t.tif").write_bytes(sinks.geotiff(np.clip(target, 0, 255).astype(np.uint8), (0.07, 0, 2.0, 0, -0.07, 49.0), 32610))
+    config = {"source_path": f"{tmp_path}/s.tif", "target_path": f"{tmp_path}/t.tif", "output_dir": f"{tmp_path}/out", "hierarchical_scales": [0.15, 0.3, 0.5], "algorithms": ["shift", "shift", "shift"], "method": "patch_ncc", "patch_size": 32, "patch_grid_spacing": 24, "search_margin": 8, "verbose": True, "_note": "x"}
+    (tmp_path / "c.json").write_text(json.dumps(config))
+    (tmp_path / "p.csv").write_text("Label,X,Y,Z,Accuracy,Enabled\na,5,45,1,0.1,1\nb,9,40,,,1\n")
+    cli.main(["register", "--config", f"{tmp_path}/c.json", "--tile", "256", "--gcp-analysis", f"{tmp_path}/p.csv", "--gcp-evaluation", f"{tmp_path}/p.csv"])
+    run = capsys.readouterr().out.strip().splitlines()[-1].removeprefix("file:")
+    steps = json.loads(open(f"{run}/steps.json").read())
+    assert [s["scale"] for s in steps] == [0.15, 0.3, 0.5] and steps[0]["matrix_meters"][2] == pytest.approx(steps[0]["matrix"][2] * 0.02 / 0.15)
+    moved = np.sum([np.array(s["matrix_meters"])[[2, 5]] for s in steps], axis=0) / 0.02
+    assert np.allclose(moved, [-25, -15], atol=1.0)
+    manifest = spark.read.parquet(f"{run}/registered/manifest").collect()
+    image = np.zeros((3, 700, 900), np.uint8)
+    for m in manifest:
+        with geotiff.open_file(m.path) as f:
+            image[:, m.y0 : m.y0 + m.height, m.x0 : m.x0 + m.width] = geotiff.Tiff(f).window(0, m.height, 0, m.width)
+    want = np.stack([f(x * 50, (50 - y) * 50) for f in at])
+    error = np.abs(image[:, 100:600, 100:800].astype(float) - want[:, 100:600, 100:800])
+    assert error.mean() < 12 and len({image[k].tobytes() for k in range(3)}) == 3
+    assert {f"transform_scale{s:.3f}.json" for s in (0.15, 0.3, 0.5)} <= set(os.listdir(run)) and len(os.listdir(f"{run}/gcp_analysis")) == 2
+    again = files.read_steps(spark, f"{run}/transform_scale*.json")
+    assert [s["scale"] for s in again] == [0.15, 0.3, 0.5] and again[1]["matrix"] == steps[1]["matrix"]
+
+
+def test_other_inputs_are_refused_or_stretched(spark, tmp_path):
+    flat = np.full((3, 20, 20), 9, np.uint8)
+    for k, (transform, epsg) in enumerate([((1, 0, 0, 0, -1, 20), 32610), ((1, 0, 500, 0, -1, 20), 32610), ((1, 0, 0, 0, -1, 20), 4326)]):
+        (tmp_path / f"r{k}.tif").write_bytes(sinks.geotiff(flat, transform, epsg))
+    opened = [registration.open_raster(spark, f"{tmp_path}/r{k}.tif", 16) for k in range(3)]
+    for other, why in ((1, "no overlap"), (2, "reference systems differ")):
+        with pytest.raises(ValueError, match=why):
+            registration.lattices(opened[0], opened[other], [0.5])
+    with pytest.raises(ValueError, match="several"):
+        registration.open_raster(spark, f"{tmp_path}/*.tif", 16)
+    wide = registration.Raster({"kind": "u2", "height": 2, "width": 2, "bands": 2}, tiles_of(spark, np.array([[100.0, 300.0], [200.0, 500.0]]), 4))
+    assert np.frombuffer(registration.eight_bit(wide, 4, True).first().data, np.float32).reshape(4, 4)[:2, :2].tolist() == [[0, 127], [63, 255]]
+    assert geotiff.sound({"a": 0.0, "b": 0.0, "d": 0.0, "e": 0.0, "left": 5.0, "bottom": 1.0, "right": 9.0, "top": 3.0, "width": 4, "height": 4})["a"] == 1.0
+
+
+def test_reprojected_file_keeps_its_place(spark, tmp_path):
+    y, x = np.mgrid[0:60, 0:80]
+    image = np.stack([x * 3, y * 4, x + y]).astype(np.uint8)
+    (tmp_path / "d.tif").write_bytes(sinks.geotiff(image, (0.0001, 0, -123.0, 0, -0.0001, 49.3), 4326))
+    cli.main(["reproject", f"{tmp_path}/d.tif", f"{tmp_path}/utm"])
+    r = registration.open_raster(spark, f"{tmp_path}/utm/d/*.tif", 64)
+    assert r.head["epsg"] == 32610
+    lon, lat = registration.utm_inverse(np.array([r.head["c"] + 30.5 * r.head["a"]]), np.array([r.head["f"] + 25.5 * r.head["e"]]), 32610)
+    tile = {t.raster_id: np.frombuffer(t.data, np.float32).reshape(64, 64) for t in r.tiles.where("ty = 0 and tx = 0").collect()}
+    assert abs(tile[1][25, 30] - ((lon[0] + 123) / 0.0001 - 0.5) * 3) < 3 and abs(tile[2][25, 30] - ((49.3 - lat[0]) / 0.0001 - 0.5) * 4) < 4
+
+
 def test_command_line(spark, tmp_path, capsys):
     rng = np.random.default_rng(9)
     image = np.kron(rng.integers(20, 250, (32, 32)), np.ones((4, 4))).astype(np.uint8)
@@ -208,8 +323,8 @@ def test_command_line(spark, tmp_path, capsys):
     transform = (0.001, 0.0, -123.0, 0.0, -0.001, 49.2)
     for name, a in (("s", image), ("t", moved)):
         (tmp_path / f"{name}.tif").write_bytes(geotiff.encode(a[None].repeat(3, 0), transform, 4326, 32))
-    cli.main(["register", f"{tmp_path}/s.tif", f"{tmp_path}/t.tif", f"{tmp_path}/out", "--scales", "1", "--algorithms", "shift", "--tile", "64", "--patch", "16", "--spacing", "16", "--margin", "6"])
-    run = capsys.readouterr().out.strip().splitlines()[-1]
+    cli.main(["register", f"{tmp_path}/s.tif", f"{tmp_path}/t.tif", f"{tmp_path}/out", "--scales", "1", "--algorithms", "shift", "--matcher", "patch_ncc", "--tile", "64", "--patch", "16", "--spacing", "16", "--margin", "6"])
+    run = capsys.readouterr().out.strip().splitlines()[-1].removeprefix("file:")
     steps = json.loads(open(f"{run}/steps.json").read())
     assert [round(steps[0]["matrix"][k]) for k in (2, 5)] == [3, 2] and "SimpleSource" in open(f"{run}/registered/registered.vrt").read()
     (tmp_path / "p.csv").write_text("Label,X,Y,Z,Accuracy,Enabled\na,-122.95,49.15,1,0.1,1\nb,-122.9,49.1,,,1\nc,10,10,,,1\n")

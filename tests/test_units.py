@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.functions import geo
-from rasterloom.operators import control, fits, matching, raster, robust
+from rasterloom.operators import control, fits, grids, matching, raster, robust
 from rasterloom.sources import files, sinks
 
 SCHEMA = "pair_id long, match_id long, src_x double, src_y double, dst_x double, dst_y double"
@@ -304,3 +304,79 @@ def test_corpus_guard(monkeypatch):
     import __spark_entry__ as bare
 
     assert len(bare.queries()) >= 60 and not any(k.startswith("op") or k == "pipeline" for k in bare.queries()) and entry.queries().keys() >= bare.queries().keys()
+
+
+def test_area_and_cubic_resampling_equal_plain_sums(spark):
+    rng = np.random.default_rng(6)
+    image = rng.integers(0, 255, (45, 37)).astype(np.float32)
+    p = spark.createDataFrame([(1, r, c, float(image[r, c])) for r in range(45) for c in range(37)], "raster_id long, row int, col int, value double")
+    for step, start in ((2.6, -1.3), (1.0, 0.25), (7.5, 0.0), (0.4, -2.0)):
+        y, x = grids.Axis(start, step, 45, 0, 20), grids.Axis(start / 2, step, 37, 0, 17)
+        got = np.zeros((24, 24), np.float32)
+        for r in grids.resample_tiles(raster.to_tiles(p, 8), 8, y, x).collect():
+            got[r.ty * 8 : r.ty * 8 + 8, r.tx * 8 : r.tx * 8 + 8] = np.frombuffer(r.data, np.float32).reshape(8, 8)
+
+        def row(axis, i):
+            if axis.step >= 1:
+                a, b = max(0, axis.start + i * axis.step), min(axis.size, axis.start + (i + 1) * axis.step)
+                return [max(0, min(b, j + 1) - max(a, j)) / (b - a) if b > a else 0 for j in range(axis.size)]
+            s = axis.start + (i + 0.5) * axis.step - 0.5
+            out = [0.0] * axis.size
+            for at in range(int(np.floor(s)) - 1, int(np.floor(s)) + 3) if -0.5 <= s <= axis.size - 0.5 else ():
+                d = abs(s - at)
+                out[min(max(at, 0), axis.size - 1)] += 1.5 * d**3 - 2.5 * d**2 + 1 if d < 1 else -0.5 * d**3 + 2.5 * d**2 - 4 * d + 2
+            return out
+
+        want = np.array([row(y, i) for i in range(20)]) @ image @ np.array([row(x, i) for i in range(17)]).T
+        assert np.allclose(got[:20, :17], want, atol=1e-3) and not got[20:].any() and not got[:, 17:].any()
+
+
+def test_stretch_leaves_out_padding_and_what_is_not_finite(spark):
+    p = [(1, r, c, 1000.0 + 10 * r + c) for r in range(5) for c in range(5)] + [(2, r, c, 7.0) for r in range(5) for c in range(5)]
+    p[3] = (1, 0, 3, float("nan"))
+    tiles = raster.to_tiles(spark.createDataFrame(p, "raster_id long, row int, col int, value double"), 4)
+    by = {r.raster_id: (r.low, r.high) for r in grids.ends(tiles, 4, 5, 5).collect()}
+    assert by == {1: (1000.0, 1044.0), 2: (7.0, 7.0)}
+    got = {(r.raster_id, r.ty, r.tx): np.frombuffer(r.data, np.float32).reshape(4, 4) for r in grids.stretch_tiles(tiles, by).collect()}
+    assert got[1, 0, 0][0, 1] == 5 and got[1, 0, 0][0, 3] == 0 and got[1, 1, 1][0, 0] == 255 and not got[2, 0, 0].any()
+
+
+def test_a_local_bump_loses_no_pixel(spark):
+    """A few pixels far away in the middle of a tile; the same picture as looking each pixel up."""
+    image = np.arange(64 * 64, dtype=np.float32).reshape(64, 64)
+    tiles = raster.to_tiles(spark.createDataFrame([(1, r, c, float(image[r, c])) for r in range(64) for c in range(64)], "raster_id long, row int, col int, value double"), 16)
+
+    def bump(q):
+        hit = (np.abs(q - [21, 38]) <= 1).all(1)
+        return q + np.where(hit[:, None], [30.0, -30.5], 0)
+
+    def scatter(q):
+        return (q * 3000.0 + q**3) % 64 // 1
+
+    for inverse in (bump, scatter, lambda q: q * np.nan, lambda q: q * 1e30):
+        got = np.zeros((64, 64), np.float32)
+        for r in raster.warp_tiles(tiles, inverse, 16, 64, 64, (64, 64), (1,)).collect():
+            got[r.ty * 16 : r.ty * 16 + 16, r.tx * 16 : r.tx * 16 + 16] = np.frombuffer(r.data, np.float32).reshape(16, 16)
+        y, x = np.mgrid[0:64, 0:64]
+        s = inverse(np.c_[x.ravel(), y.ravel()].astype(float))
+        want = np.zeros(64 * 64)
+        for k, (sx, sy) in enumerate(s):
+            if np.isfinite([sx, sy]).all() and 0 <= sx <= 63 and 0 <= sy <= 63:
+                i, j = int(sy), int(sx)
+                a, b = min(i + 1, 63), min(j + 1, 63)
+                want[k] = (image[i, j] * (1 - sx % 1) + image[i, b] * (sx % 1)) * (1 - sy % 1) + (image[a, j] * (1 - sx % 1) + image[a, b] * (sx % 1)) * (sy % 1)
+        edge = np.isfinite(s).all(1) & (((s < 0) & (s > -1)) | ((s > 63) & (s < 64))).any(1)
+        assert np.allclose(got.ravel()[~edge], want[~edge], atol=1e-2)
+
+
+def test_lattice_of_two_rasters(spark):
+    cols = "rid long, width long, height long, a double, b double, c double, d double, e double, f double, left double, bottom double, right double, top double, epsg int"
+    s = spark.createDataFrame([(1, 1000, 800, 0.02, 0.0, 100.0, 0.0, -0.02, 50.0, 100.0, 34.0, 120.0, 50.0, 32610)], cols)
+    t = [(2, 100, 100, 0.19, 0.0, 105.0, 0.0, -0.19, 60.0, 105.0, 41.0, 124.0, 60.0, 32610), (3, 10, 10, 1.0, 0.0, 500.0, 0.0, -1.0, 60.0, 500.0, 50.0, 510.0, 60.0, 32610), (4, 10, 10, 1.0, 0.5, 100.0, 0.0, -1.0, 50.0, 100.0, 40.0, 110.0, 50.0, 32610), (5, 9, 9, 1.0, 0.0, 100.0, 0.0, -1.0, 50.0, 100.0, 41.0, 109.0, 50.0, 4326)]
+    a, b = grids.pair_of(s, spark.createDataFrame(t, cols), ("rid", "rid"))
+    got = {r.t_id: r for r in grids.common_lattice(a.crossJoin(b), 0.15).collect()}
+    assert {k: r.problem for k, r in got.items()} == {2: None, 3: "no overlap", 4: "rotated", 5: "reference systems differ"}
+    r = got[2]
+    assert (r.lattice_width, r.lattice_height) == (150, 120) and (r.x0, r.x1, r.y0, r.y1) == (37, 150, 0, 68)
+    for i in (0, 10, 77):
+        assert abs(100 + i / 0.15 * 0.02 - (105 + (r.start_x + i * r.step_x) * 0.19)) < 1e-9 and abs(50 - i / 0.15 * 0.02 - (60 - (r.start_y + i * r.step_y) * 0.19)) < 1e-9
