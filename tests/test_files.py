@@ -148,7 +148,7 @@ def test_files_to_tiles_and_back(spark, tmp_path):
     assert len(manifest) == 4
     whole = np.zeros_like(image)
     for m in manifest:
-        with open(m["path"], "rb") as f:
+        with geotiff.open_file(m["path"]) as f:
             part = geotiff.Tiff(f)
             row = geotiff.geo_row("", part.tags)
             assert (row["left"], row["top"], row["epsg"]) == (100 + 0.5 * m["x0"], 50 - 0.25 * m["y0"], 32610)
