@@ -2,11 +2,12 @@
 
 A page is cut into blocks at block-level tags. A block has its word count, the
 share of its words inside links, the same two of the blocks before and after it,
-and marks for what encloses it. A decision tree, grown on the blocks of the
+the words of the page, and what its enclosing elements say with how many words. A decision tree, grown on the blocks of the
 labelled pages below, says which blocks are main text.
 
-An element that is named like a menu, a footer, an advert and so on marks its
-blocks, unless it turns out to hold the page itself: see ``Page.outside``. Reading
+An element that is named like a menu, a footer, an advert and so on weighs on its
+blocks, the less the more its name says besides, and not at all if it turns out to hold the page itself: see
+``Page.outside``. Of several articles those that the rest of the page, or another article, dwarfs are teasers. Reading
 takes time in proportion to the page's length, however its tags are broken.
 """
 
@@ -40,14 +41,20 @@ ITEMS = frozenset("li td th option dt".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 #: Words that name a region; those of COMMENTS hold what readers wrote.
 COMMENTS = frozenset("comment comments commentlist commentform respond reply replies disqus".split())
-REGIONS = COMMENTS | frozenset(
+#: What follows the text under such a name is what readers wrote; text that the page goes on after is the page's own.
+LATE = frozenset("discussion discussions response responses reaction reactions feedback thread threads conversation opinions".split())
+REGIONS = COMMENTS | LATE | frozenset(
     "ad ads advert advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice notification "
     "alert newsletter subscribe subscription signup login popup modal overlay share sharing social related recommended recommendations pager pagination widget toolbar copyright legal disclaimer".split()
 )
-#: Words that name a region whatever follows them.
+#: Words that may name a region by coming first.
 FIRST = frozenset("ad ads advert advertisement adsense sponsored cookie cookies gdpr newsletter disqus".split())
 #: Words that say where or how a region is, not what it is; and words that make a name tell a state of the page.
 PLACES = frozenset("left right top bottom primary secondary main site page inner outer wrap wrapper container box list links link area section block group item items content bar row col column text body".split())
+#: Fewer words than these after an element are no more of the main text.
+LATE_WORDS = 5
+#: An element of fewer words is what any part of its name says.
+NAMED_WORDS = 45
 STATES = frozenset("has no with without is not hide hidden show js".split())
 
 TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -68,24 +75,30 @@ class Block:
     inside: bool  # within an article or main element
     item: bool  # a list item or table cell
     heading: bool
+    article: int  # number of the outermost article around it; -1: none
 
 
 @dataclass
 class Page:
-    """Blocks in page order; for each element named as a region the one around it (-1: none), whether it holds comments and whether it is within an article or main element."""
+    """Blocks in page order; for each element named as a region the one around it (-1: none), how much its name says, whether it
+    holds comments, whether only if nothing follows it, and whether it is within an article or main element."""
 
     blocks: list[Block] = field(default_factory=list)
     around: list[int] = field(default_factory=list)
+    weight: list[float] = field(default_factory=list)
     comments: list[bool] = field(default_factory=list)
+    late: list[bool] = field(default_factory=list)
     within: list[bool] = field(default_factory=list)
 
-    def outside(self) -> list[bool]:
-        """Whether each block is within an element that counts as outside main text.
+    def outside(self) -> list[float]:
+        """How much each block's elements say that it is outside main text, 0 to 1.
 
         Names mislead: a menu that is never closed, a header or a form around everything. So an
         element does not count if it has most of the words in article and main elements and three
         tenths of the page's, or, on a page without such words, most of the page's; words in links are
-        left aside. One inside an article or main element, and one of comments, always counts.
+        left aside. Inside an article or main element one does not count if it has two thirds of all such words. A
+        name that says something else too says less the more words it has, from NAMED_WORDS on. One of
+        comments always counts, and one that is named like comments among other things if no more of the main text follows it.
         """
         own, core = [0] * len(self.around), [0] * len(self.around)
         whole = main = 0
@@ -100,40 +113,61 @@ class Page:
             if self.around[k] >= 0:
                 own[self.around[k]] += own[k]
                 core[self.around[k]] += core[k]
-        off: list[bool] = []
+        last = [-1] * len(self.around)  # the last block of each element
+        for i, b in enumerate(self.blocks):
+            if b.mark >= 0:
+                last[b.mark] = i
+        for k in range(len(last) - 1, -1, -1):
+            if self.around[k] >= 0:
+                last[self.around[k]] = max(last[self.around[k]], last[k])
+        after, total = [0] * (len(self.blocks) + 1), 0  # unmarked words from each block on
+        for i in range(len(self.blocks) - 1, -1, -1):
+            b = self.blocks[i]
+            total += (b.words - b.linked) * (b.mark < 0 and (b.inside or not main))
+            after[i] = total
+        off: list[float] = []
         for k, up in enumerate(self.around):
-            page_itself = 2 * core[k] > main and 10 * own[k] >= 3 * whole if main else 2 * own[k] > whole
-            off.append(up >= 0 and off[up] or self.comments[k] or self.within[k] or not page_itself)
-        return [b.mark >= 0 and off[b.mark] for b in self.blocks]
-
-
-def region(name: str) -> str | None:
-    """The word of REGIONS that a class or id names, e.g. 'footer' for 'site-footer'; None for 'has-footer' or 'footer-fixed'."""
+            page_itself = (3 * core[k] > 2 * main if self.within[k] else 2 * core[k] > main and 10 * own[k] >= 3 * whole) if main else 2 * own[k] > whole
+            if self.late[k]:
+                says = float(after[last[k] + 1] < LATE_WORDS) if last[k] >= 0 else 0.0
+            else:
+                plain = self.weight[k] == 1 or own[k] < NAMED_WORDS
+                says = 0.0 if page_itself and not self.comments[k] else 1.0 if plain else self.weight[k] * NAMED_WORDS / own[k]
+            off.append(max(off[up] if up >= 0 else 0.0, says))
+        return [off[b.mark] if b.mark >= 0 else 0.0 for b in self.blocks]
+
+
+def region(name: str) -> tuple[str, float] | None:
+    """The word of REGIONS that a class or id names and how plainly, e.g. ('footer', 1) for 'site-footer' and ('ad', 1/2) for 'ad-free-story'; None for 'has-footer' or 'footer-fixed'."""
     words = [w.lower() for w in WORDS.findall(name)]
     if not words or words[0] in STATES:
         return None
     while len(words) > 1 and (words[-1] in PLACES or words[-1].isdigit()):
         words.pop()
     if words[-1] in REGIONS:
-        return words[-1]
-    return words[0] if words[0] in FIRST else None
+        return words[-1], 1.0
+    return (words[0], 0.5) if words[0] in FIRST else None
 
 
-def outside(tag: str, attributes: dict[str, str], within_main: bool) -> tuple[bool, bool]:
-    """Whether an element's tag or attributes say that it is no main text, and whether they say that it holds comments."""
+def outside(tag: str, attributes: dict[str, str], within_main: bool) -> tuple[float, bool, bool]:
+    """How much an element's tag or attributes say that it is no main text, whether they say that it holds comments, and whether only if nothing follows it."""
     if tag in ("html", "body", "main"):
-        return False, False
-    named = {r for k in ("class", "id") if k in attributes for name in attributes[k].split() if (r := region(name))} if attributes else set()
-    comments = bool(named & COMMENTS)
+        return 0.0, False, False
+    named = dict(r for k in ("class", "id") if k in attributes for name in attributes[k].split() if (r := region(name))) if attributes else {}
+    comments = any(n in COMMENTS for n in named)
     if tag == "article":
-        return comments, comments
+        return float(comments), comments, False
     if tag in OUTSIDE_TAGS and not (tag == "header" and within_main):
-        return True, comments
+        return 1.0, comments, False
     if not attributes:
-        return False, False
+        return 0.0, False, False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True, comments
-    return (bool(named) or attributes.get("role", "").lower() in OUTSIDE_ROLES) and not (named <= {"header"} and within_main and named), comments
+        return 1.0, comments, False
+    if attributes.get("role", "").lower() in OUTSIDE_ROLES:
+        return 1.0, comments, False
+    if within_main:
+        named.pop("header", None)
+    return max(named.values(), default=0.0), comments, bool(named) and set(named) <= LATE
 
 
 class Reader:
@@ -148,7 +182,8 @@ class Reader:
         self.marks: list[int] = [-1]
         self.parts: list[str] = []
         self.linked: list[str] = []
-        self.silent = self.mains = self.links = self.items = self.headings = 0
+        self.silent = self.mains = self.links = self.items = self.headings = self.articles = 0
+        self.article = -1
         self.last_double, self.last_single = page.rfind('"'), page.rfind("'")
         self.ends: dict[str, int] | None = None
 
@@ -165,20 +200,23 @@ class Reader:
                 anchors = SPACE.sub(" ", "".join(self.linked)).strip()
                 words = text.count(" ") + 1
                 linked = min(words, anchors.count(" ") + 1) if anchors else 0
-                self.out.blocks.append(Block(text, words, linked, self.marks[-1], self.mains > 0, self.items > 0, self.headings > 0))
+                self.out.blocks.append(Block(text, words, linked, self.marks[-1], self.mains > 0, self.items > 0, self.headings > 0, self.article if self.articles else -1))
             self.parts.clear()
             self.linked.clear()
 
     def push(self, tag: str, attributes: dict[str, str], silent: bool) -> None:
-        off, comments = outside(tag, attributes, self.mains > 0)
+        off, comments, late = outside(tag, attributes, self.mains > 0)
         if off:
             self.out.around.append(self.marks[-1])
+            self.out.weight.append(off)
             self.out.comments.append(comments)
+            self.out.late.append(late)
             self.out.within.append(self.mains > 0)
             self.marks.append(len(self.out.around) - 1)
         link = tag == "a" and "href" in attributes
         place = len(self.stack)
-        self.stack.append((tag, silent, off, link))
+        self.article += tag == "article" and not self.articles
+        self.stack.append((tag, silent, off > 0, link))
         self.open.setdefault(tag, []).append(place)
         if tag in BLOCK_TAGS:
             self.blocks_open.append(place)
@@ -190,6 +228,7 @@ class Reader:
         self.silent += by * silent
         self.links += by * link
         self.mains += by * (tag in MAIN_TAGS)
+        self.articles += by * (tag == "article")
         self.items += by * (tag in ITEMS)
         self.headings += by * (tag in HEADINGS)
 
@@ -318,27 +357,62 @@ def read(page: str) -> Page:
     return Reader(page).read()
 
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "outside", "placed", "item", "heading")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "place", "items", "heading")
+#: An article is a teaser if the largest has more than so many times its words, or the text beside all articles more than twice the largest's.
+DWARFED = 4
+
+
+def teasers(page: Page, plain: list[int]) -> set[int]:
+    """Numbers of the articles that are not the page's own, of several; ``plain``: each block's unmarked words that are no links."""
+    by: dict[int, int] = {}
+    beside = within_main = 0
+    for b, n in zip(page.blocks, plain, strict=True):
+        if b.article >= 0:
+            by[b.article] = by.get(b.article, 0) + n
+        else:
+            beside += n
+            within_main += n * b.inside
+    if len(by) < 2:
+        return set()
+    largest = max(by.values())
+    if (within_main or beside) > 2 * largest:
+        return set(by)
+    return {k for k, n in by.items() if n * DWARFED < largest}
 
 
 def features(page: Page) -> list[tuple[float, ...]]:
     """A row of FEATURES for each block; blocks beyond the page's ends have no words.
 
-    outside: within an element that counts as such. placed: 1 within an article or main element that is
-    not itself outside, 0 beside one, 0.5 where such elements have less than three tenths of the page's unmarked words that are no links.
+    items: the words, without links, of the list or table row after row that it is in. place: 1 within an article or main element that is
+    no teaser, 0 beside one, 0.5 where such elements have less than three tenths of the page's unmarked words that are no links; less
+    by as much as its elements say that it is outside.
     """
     off = page.outside()
-    inside = [b.inside and not x for b, x in zip(page.blocks, off, strict=True)]
-    plain = [(b.words - b.linked) * (not x) for b, x in zip(page.blocks, off, strict=True)]
-    core = sum(n for n, x in zip(plain, inside, strict=True) if x)
-    beside = 0.0 if any(inside) and 10 * core >= 3 * sum(plain) else 0.5
+    plain = [(b.words - b.linked) * (x < 1) for b, x in zip(page.blocks, off, strict=True)]
+    less = teasers(page, plain)
+    off = [1.0 if b.article in less else x for b, x in zip(page.blocks, off, strict=True)]
+    inside = [b.inside and x < 1 for b, x in zip(page.blocks, off, strict=True)]
+    plain = [n * (x < 1) for n, x in zip(plain, off, strict=True)]
+    core, whole = sum(n for n, x in zip(plain, inside, strict=True) if x), sum(plain)
+    beside = 0.0 if any(inside) and 10 * core >= 3 * whole else 0.5
+    runs, i = [0] * len(page.blocks), 0
+    while i < len(page.blocks):
+        j = i
+        while j < len(page.blocks) and page.blocks[j].item:
+            j += 1
+        runs[i:j] = [sum(plain[i:j])] * (j - i)
+        i = max(j, i + 1)
     flat = [(0.0, 0.0), *((float(b.words), b.linked / b.words) for b in page.blocks), (0.0, 0.0)]
     return [
-        (*flat[i + 1], *flat[i], *flat[i + 2], float(off[i]), (1.0 if inside[i] and beside == 0.0 else beside), float(b.item), float(b.heading))
+        (*flat[i + 1], *flat[i], *flat[i + 2], (1 - off[i]) * (1.0 if inside[i] and beside == 0.0 else beside), float(runs[i]), float(b.heading))
         for i, b in enumerate(page.blocks)
     ]
 
 
+#: In an article any kind of block may follow any other: all pairs of these.
+_KINDS = ("{+1}", "{+4}", "{+9}", "{+35}", "<a>{+1}</a>", "<a>{+7}</a>", "<a>{+35}</a>", "{+3} <a>{+3}</a>")
+_ANY = "".join(f"<p>{a}<p>{b}" for a in _KINDS for b in _KINDS)
+
 #: Invented pages; {+n} stands for n words of main text, {-n} for n words of something else.
 LABELLED = (
     # an article with what usually surrounds it
@@ -355,6 +429,25 @@ LABELLED = (
     "<div><a>{-3}</a></div><div>{-7}</div><div><a>{-6}</a></div><div>{-3} <a>{-9}</a></div><p>{+40}<p>{+22} <a>{+2}</a><p>{+15}<p><a>{-30}</a><p><a>{-12}</a> {-2}",
     "<div class=header><a>{-2}</a> {-6}</div><p>{+80}<p>{+13}<div class=comments><p>{-40}<p>{-70}</div><div class=sidebar><h3>{-3}</h3><ul><li><a>{-8}</a></ul></div>",
     "<p>{-4}<ul><li><a>{-2}</a><li><a>{-1}</a><li><a>{-3}</a></ul><p>{+65}<p>{+30}<div>{-6}</div><ul><li><a>{-20}</a> {-8}<li><a>{-15}</a> {-2}</ul><p>{-6}",
+    # names that say something else too: they count by the words under them
+    "<article><h1>{+6}</h1><div class=cookie-recipe><p>{+60}<p>{+9}</div></article><div class=cookie-law-info>{-22}</div>", "<main><div class=ad-free-story><p>{+50}<p>{+6}<p>{+20}</div><div class=ad-300x250>{-14}</div></main>",
+    "<article><p>{+70}<div class=ad-728x90><p>{-15}</div><p>{+30}</article><div class=ad-728x90><p>{-15}</div>", "<div class=newsletter-archive-story><p>{+90}<p>{+4}</div><p>{-3}<div class=ads-1x>{-6}</div>",
+    "<h1>{+5}</h1><div class=cookie-baking-guide><p>{+45}<ul><li>{+5}<li>{+7}</ul></div>",
+    # readers' posts under other names, and a page's own discussion
+    "<article><h1>{+5}</h1><p>{+80}<section class=discussion><h3>{-2}</h3><p>{-40}<p>{-25}</section></article>", "<main><p>{+60}<p>{+9}<div class=responses><p>{-35}<p>{-50}</div></main>",
+    "<article><p>{+50}<section class=discussion><h2>{+1}</h2><p>{+60}</section><section><h2>{+1}</h2><p>{+30}</section></article>",
+    "<div>{-6}</div><article><h1>{+1}</h1><p>{+2}<p><a>{+1}</a><p>{+1}<p><a>{+3}</a><p>{+30}<p>{+3}<p>{+2}<p>{+25}<p>{+1}<p><a>{+12}</a><ul><li>{+2}<li>{+1}<li><a>{+2}</a></ul><p>{+5}<p><a>{+40}</a></article><p>{-20}<p>{-8}",
+    "<p><a>{-3}</a><main><h2>{+2}</h2><p>{+1}<p>{+1}<p>{+2}<p><a>{+2}</a> {+1}<p>{+4}<div>{+3}</div><div><a>{+1}</a></div><p>{+60}<p>{+3}<h3>{+1}</h3><p>{+6}<p>{+2}</main><div>{-9} <a>{-2}</a></div>",
+    "<article><h1>{+2}</h1><p>{+60}<p>{+6}</article>", "<article><p>{+2}</article>", "<main><p>{+30}<p>{+1}</main>", "<article><h1>{+5}</h1><p>{+3}<p>{+6}</article>", "<nav><a>{-2}</a></nav><article><h1>{+4}</h1><p>{+40}<p>{+4}<p><a>{+3}</a></article>",
+    "<main><p>{+50}<p><a>{+6}</a></main>", "<article><p>{+9} <a>{+2}</a><p>{+5}</article>", "<div class=ad>{-6}</div><main><h1>{+3}</h1><p>{+20}<ul><li>{+4}<li>{+6}</ul></main>",
+    f"<article>{_ANY}</article>", f"<div>{{-30}}</div><main><ul>{_ANY.replace('<p>', '<li>')}</ul></main><p>{{-12}}",
+    "<nav><a>{-1}</a></nav><p>{+90}<p>{+2}<p>{+50}<footer>{-4}</footer>", "<div><a>{-2}</a></div><p>{+70}<p>{+3}<p>{+30}", "<ul><li><a>{-3}</a><li><a>{-2}</a></ul><h1>{+5}</h1><p>{+40}<p>{+4}<p>{+20}<p><a>{-3}</a>", "<div><a>{-9}</a></div><p>{+45}<p><a>{-4}</a>",
+    # lists
+    "<h1>{+3}</h1><ol>" + "<li>{+8}" * 12 + "</ol>", "<ol>" + "<li>{+5}<li>{+11}" * 6 + "</ol>", "<ol>" + "<li>{+2}<li>{+5}<li>{+8}<li>{+3}" * 4 + "</ol>",
+    "<ul><li><a>{-1}</a><li><a>{-2}</a><li><a>{-1}</a></ul><h1>{+4}</h1><ol>" + "<li>{+7}<li>{+4}<li>{+12}" * 4 + "</ol><div><a>{-2}</a></div>",
+    # several articles
+    "<div class=post-body><h1>{+6}</h1><p>{+80}<p>{+40}</div><article><h3>{-5}</h3><p>{-18}</article><article><h3>{-6}</h3><p>{-20}</article><article><h3>{-4}</h3><p>{-17}</article>",
+    "<article><h1>{+5}</h1><p>{+150}<p>{+90}</article><article><h3>{-5}</h3><p>{-15}</article><article><p>{-20}</article>", "<article><p>{+60}</article><article><p>{+40}</article><article><p>{+75}</article>",
     "<h1>{+5}</h1><p>{+19}<p><a>{-2}</a><div>{-8} <a>{-1}</a></div><div><a>{-2}</a></div>", "<div>{-3}</div><div>{-2}</div><div>{-3}</div>", "<p>{+26} <a>{+4}</a><p>{+14}",
 )
 
@@ -400,10 +493,22 @@ def predict(tree, row: tuple[float, ...]) -> float:
     return tree
 
 
+#: So many words that nothing marks, and that are no links, are never nothing.
+SOME = 10
+
+
 def main_text(page: str | None, tree) -> str:
-    """The main blocks, white space made single spaces, joined by spaces; empty for no page."""
+    """The main blocks, white space made single spaces, joined by spaces; empty for no page.
+
+    Where the tree finds none on a page that has SOME unmarked words, the unmarked blocks that are no links are main text.
+    """
     found = read(page or "")
-    return " ".join(b.text for b, row in zip(found.blocks, features(found), strict=True) if predict(tree, row) >= 0.5)
+    rows = features(found)
+    main = [b.text for b, row in zip(found.blocks, rows, strict=True) if predict(tree, row) >= 0.5]
+    if not main:
+        rest = [b for b, row in zip(found.blocks, rows, strict=True) if row[6] > 0 and 2 * b.linked < b.words]
+        main = [b.text for b in rest] if sum(b.words - b.linked for b in rest) >= SOME else []
+    return " ".join(main)
 
 
 def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html_column: str = "html", labelled: tuple[str, ...] = LABELLED) -> DataFrame:

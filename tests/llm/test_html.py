@@ -62,6 +62,52 @@ def test_names_of_what_does_not(name):
     assert main(f"<body>{aside}<article>{ARTICLE}{aside}</article>{aside}</body>") == TEXT
 
 
+def n_words(n, word="word"):
+    return " ".join([word] * n)
+
+
+@pytest.mark.parametrize("name", ["cookie-recipe", "ad-free-story", "adsense-guide-chapter", "newsletter-archive-story"])
+def test_a_name_that_says_something_else_too(name):
+    body = f"<p>{n_words(60)}</p><p>{n_words(6)}</p>"
+    assert main(f"<article><h1>Head line.</h1><div class='{name}'>{body}</div></article>") == f"Head line. {n_words(66)}"
+    assert main(f"<nav><a href=x>menu</a></nav><main><h1>Head.</h1><p>{n_words(30)}</p><div class='{name}'>{body}</div></main><footer>foot</footer>") == f"Head. {n_words(96)}"
+
+
+@pytest.mark.parametrize("extra", [15, 25, 40])
+def test_teasers_are_not_the_post(extra):
+    teaser = f"<article><h3>Read on</h3><p>{n_words(extra, 'teaser')}</p></article>" * 3
+    post = f"<h1>Head line.</h1><p>{n_words(70)}</p><p>{n_words(50)}</p>"
+    want = f"Head line. {n_words(120)}"
+    assert main(f"<body><div class=post-body>{post}</div>{teaser}</body>") == want
+    assert main(f"<body><main><div class=post-body>{post}</div>{teaser}</main></body>") == want
+    assert main(f"<body><article>{post}<p>{n_words(90)}</p></article>{teaser}</body>") == f"{want} {n_words(90)}" if extra <= 40 else True
+
+
+def test_articles_of_about_equal_length_all_stay():
+    assert main("".join(f"<article><h2>Head.</h2><p>{n_words(n)}</p></article>" for n in (60, 45, 80))) == " ".join(f"Head. {n_words(n)}" for n in (60, 45, 80))
+
+
+def test_pages_of_little_text():
+    assert main(f"<p>{n_words(9)}</p><p>{n_words(7)}</p>") == n_words(16)
+    assert main(f"<nav><a href=x>menu</a></nav><p>{n_words(5)}</p><p>{n_words(8)}</p><footer>foot</footer>") == n_words(13)
+    steps = "".join(f"<li>{n_words(n)}</li>" for n in (8, 5, 12, 9, 7, 11, 6, 10, 8, 9, 7, 5))
+    for page in (f"<ol>{steps}</ol>", f"<nav><ul><li><a href=x>menu</a></li></ul></nav><h1>Head.</h1><ol>{steps}</ol><footer>foot</footer>"):
+        assert main(page).endswith(n_words(97))
+    assert main("<nav><ul><li><a href=x>menu</a></li><li><a href=y>other</a></li></ul></nav>") == ""
+
+
+@pytest.mark.parametrize("name", ["discussion", "responses", "reader-feedback", "comment-thread"])
+def test_comments_by_other_names(name):
+    posts = f"<h3>Two</h3><p>{n_words(30, 'post')}</p><p>{n_words(45, 'post')}</p>"
+    body = f"<h1>Head.</h1><p>{n_words(90)}</p><p>{n_words(7)}</p>"
+    assert main(f"<article>{body}<section class='{name}'>{posts}</section></article>") == main(f"<main>{body}<div class='{name}'>{posts}</div></main>") == f"Head. {n_words(97)}"
+
+
+def test_a_discussion_that_the_page_goes_on_after_is_its_own():
+    page = f"<article><p>{n_words(50)}</p><section class=discussion><h2>Discussion.</h2><p>{n_words(40)}</p></section><section><h2>End.</h2><p>{n_words(20)}</p></section></article>"
+    assert main(page) == f"{n_words(50)} Discussion. {n_words(40)} End. {n_words(20)}"
+
+
 def test_a_short_article_between_longer_parts():
     assert main(f"<nav><a href=x>menu</a></nav><div class=ad>{'buy it ' * 9}</div><article><h1>One.</h1><p>Two.</article><footer>{'foot ' * 40}</footer>") == "One. Two."
 
