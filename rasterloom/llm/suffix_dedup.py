@@ -5,7 +5,13 @@ one of least hash, the first of equals. Equal strings have equal anchors at
 equal places, so only strings of one anchor need comparing. Strings with the
 same anchor that follow each other in a document are a run, of less than
 SPAN + SPAN bytes. Runs whose anchor occurs once are left; equal runs are
-counted and taken once.
+counted and taken once: they are told by hash, and the bytes of each are compared with
+a representative's; should they differ, all is done again with another hash.
+
+An anchor of many different runs is cut before it is sorted: a string that begins at most d bytes before its
+anchor has so many bytes behind it, one that begins earlier has so many before it, and equal strings
+agree in them, so runs are dealt by those bytes to groups for each half of the depths, again and again
+until a group is small or one depth is left.
 
 The rest is suffix sorting around anchors: prefix polynomial hashes and binary
 search find common extensions, so a comparison takes logarithmic time; a
@@ -34,11 +40,13 @@ GRAM = 32
 WIDTH = SPAN - GRAM + 1
 #: Bytes whose anchors are found at once.
 CHUNK = 1 << 19
-#: Different runs of one anchor that one task compares; of an anchor with more, the strings are counted by 128-bit hash instead, with equal results.
-CAP = 8192
+#: Different runs that are sorted together; a larger group is cut by the bytes next to its anchor.
+CAP = 2048
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 PLACE = np.uint64((1 << 22) - 1)
+#: Bytes of runs that a task keeps to compare copies with.
+SEEN_BYTES = 48 << 20
 
 
 @functools.cache
@@ -233,9 +241,10 @@ def classes_by_depth(data: np.ndarray, start: np.ndarray, length: np.ndarray, gr
     return order, common_
 
 
-def repeated_strings(contents: list[bytes], anchor: np.ndarray, group: np.ndarray) -> list[list[int]]:
+def repeated_strings(contents: list[bytes], anchor: np.ndarray, group: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> list[list[int]]:
     """For runs of equal anchors in equal groups (in order), the strings of each that occur in another run of its
-    group: [first, end, first, end, ...]."""
+    group: [first, end, first, end, ...]. low, high: the depths of the strings that count, by run; all if absent."""
+    low, high = np.zeros(len(anchor), np.int64) if low is None else low, np.full(len(anchor), WIDTH - 1) if high is None else high
     length = np.array([len(c) for c in contents], np.int64)
     start = np.concatenate(([0], np.cumsum(length)[:-1]))
     data = np.frombuffer(b"".join(contents), np.uint8)
@@ -248,7 +257,7 @@ def repeated_strings(contents: list[bytes], anchor: np.ndarray, group: np.ndarra
     right, left = np.empty(len(group), np.int64), np.empty(len(group), np.int64)
     for depth in range(WIDTH):
         at = anchor - depth  # the string that begins ``depth`` bytes before the anchor
-        which = np.flatnonzero((at >= 0) & (at < strings))
+        which = np.flatnonzero((at >= 0) & (at < strings) & (low <= depth) & (depth <= high))
         if len(which) < 2:
             continue
         right[after] = np.cumsum(fresh | (after_common < SPAN - depth))
@@ -307,12 +316,14 @@ def all_runs(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(find, "mh long, doc long, tkey long, run long")
 
 
-def run_contents(rows: DataFrame) -> DataFrame:
+def run_contents(rows: DataFrame, seed: int = 0) -> DataFrame:
     """(mh, hi, lo, doc, tkey, run, content) of each run whose anchor is repeated; hi and lo are a hash of the content,
-    which stands only where a task meets it first. Stored."""
+    which stands where a task meets it first, and wherever its bytes differ from those. Stored."""
     found = common.stored(all_runs(rows), "all-runs")
     anchors = repeated_anchors(found)
-    wanted = common.stored(found.join(anchors, "mh").groupBy("doc", "tkey").agg(F.collect_list("mh").alias("anchors"), F.collect_list("run").alias("runs")), "wanted-runs")
+    # Rows of one id and text have the same runs, so they are taken once; each such row is cut below.
+    wanted = found.join(anchors, "mh").groupBy("doc", "tkey").agg(F.collect_set(F.struct("run", "mh")).alias("found")).select("doc", "tkey", F.col("found.mh").alias("anchors"), F.col("found.run").alias("runs"))
+    wanted = common.stored(wanted, "wanted-runs")
     common.discard(found)
     common.discard(anchors)
     common.release(found.sparkSession)
@@ -320,7 +331,8 @@ def run_contents(rows: DataFrame) -> DataFrame:
     names = ["mh", "hi", "lo", "doc", "tkey", "run", "content"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: dict[bytes, bytes] = {}
+        held = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)
@@ -330,21 +342,21 @@ def run_contents(rows: DataFrame) -> DataFrame:
                 hashes: list[bytes] = []
                 contents: list[bytes | None] = []
                 for i, raw in enumerate(_texts(part, 2)):
-                    own, first = np.unique(part.column(4)[i].values.to_numpy(), return_index=True)  # a repeated row has its runs twice
+                    own, first = np.unique(part.column(4)[i].values.to_numpy(), return_index=True)
                     mh.append(part.column(3)[i].values.to_numpy()[first])
                     run.append(own)
                     row += [i] * len(own)
                     for p, n in zip((own >> 16).tolist(), (own >> 8 & 255).tolist(), strict=True):
                         content = raw[p : p + n + SPAN - 1]
-                        h = xxhash.xxh3_128_digest(content)
+                        h = content_hash(content, seed)
                         hashes.append(h)
-                        if h in seen:
-                            contents.append(None)
-                        else:
-                            contents.append(content)
-                            seen.add(h)
-                if len(seen) > 300_000:
+                        if (same := seen.get(h)) is None:
+                            seen[h] = content
+                            held += len(content)
+                        contents.append(None if same == content else content)
+                if held > SEEN_BYTES:
                     seen.clear()
+                    held = 0
                 if row:
                     words = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
                     at_row = pa.array(row)
@@ -356,73 +368,127 @@ def run_contents(rows: DataFrame) -> DataFrame:
     return runs
 
 
+def content_hash(content: bytes, seed: int) -> bytes:
+    return xxhash.xxh3_128_digest(content, seed=seed)
+
+
+#: Marks a run whose hash another one has too.
+_DIFFERS = [-1]
+_PIECE = "g long, hi long, lo long, anchor int, low int, high int, content binary"
+
+
+def _halves(pieces: DataFrame) -> DataFrame:
+    """Each piece's strings in two: those that begin at most the middle depth before the anchor, dealt by the bytes behind it, and the others by those before it."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for g, hi, lo, anchor, low, high, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                middle, strings = (low + high) // 2, len(content) - SPAN + 1
+                for a, b, key in ((low, middle, content[anchor : anchor + SPAN - middle]), (middle + 1, high, content[anchor - middle - 1 : anchor] if anchor > middle else b"")):
+                    if max(a, anchor - strings + 1) <= min(b, anchor):
+                        to = xxhash.xxh3_64_intdigest(key, seed=(g ^ a * 0x9E3779B97F4A7C15) & (2**64 - 1))
+                        out.append((to - (to >> 63 << 64), hi, lo, anchor, a, b, content))
+            cols = list(zip(*out, strict=True)) if out else [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=batch.schema.names)
+
+    return pieces.mapInArrow(deal, _PIECE)
+
+
+def _of_one_depth(pieces: DataFrame) -> DataFrame:
+    """(hi, lo, strings) for pieces of one string each, which are equal or not as bytes."""
+    one = pieces.select("hi", "lo", (F.col("anchor") - F.col("low")).alias("at"), F.substring("content", F.col("anchor") - F.col("low") + 1, F.lit(SPAN)).alias("string"))
+    often = common.stored(one.groupBy("string").agg(F.count_distinct("hi", "lo", "at").alias("n")).where("n > 1").select("string"), "equal-strings")
+    return one.join(often, "string").select("hi", "lo", F.array("at", F.col("at") + 1).alias("strings"))
+
+
 def compared_runs(runs: DataFrame, counts: DataFrame) -> DataFrame:
-    """(hi, lo, strings): which strings of runs that occur once are in another run of their anchor."""
-    sizes = common.stored(counts.groupBy("mh").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "anchor-sizes")
-    some, many = sizes.where(f"members <= {CAP}").select("mh"), sizes.where(f"members > {CAP}").select("mh")
+    """(hi, lo, strings): which strings of runs that occur once are in another run of their anchor; strings of [-1] mark a hash of two different runs. Stored."""
+    sizes = common.stored(counts.groupBy("mh").agg(F.count(F.lit(1)).alias("members"), F.max("n").alias("most")), "anchor-sizes")
     contents = runs.where("content is not null").select("mh", "hi", "lo", (F.col("run").bitwiseAND(255)).cast("int").alias("anchor"), "content")
-    once = counts.where("n = 1").select("mh", "hi", "lo", F.lit(1).alias("anchor"), F.lit(None).cast("binary").alias("content"))
-    rows = contents.unionByName(once).join(some, "mh")
-    placed = rows.repartition(common.parts(runs.sparkSession), "mh").sortWithinPartitions("mh", "hi", "lo", "content")
+    # An anchor of one run, several times: its copies are compared with one of them.
+    alone = contents.join(sizes.where("members = 1 and most > 1").select("mh"), "mh").groupBy("mh", "hi", "lo").agg(F.min("content").alias("least"), F.max("content").alias("largest"))
+    found = [alone.where("least <> largest").select("hi", "lo", F.array(F.lit(-1)).alias("strings"))]
+    whole = contents.select(F.col("mh").alias("g"), "hi", "lo", "anchor", F.lit(0).alias("low"), F.lit(WIDTH - 1).alias("high"), "content")
+    once = counts.where("n = 1").select(F.col("mh").alias("g"), "hi", "lo", F.lit(1).alias("anchor"), F.lit(0).alias("low"), F.lit(WIDTH - 1).alias("high"), F.lit(None).cast("binary").alias("content"))
+    found.append(_sorted_groups(whole.unionByName(once).join(sizes.where(f"members > 1 and members <= {CAP}").select(F.col("mh").alias("g")), "g"), marked=True))
+    large = sizes.where(f"members > {CAP}").select(F.col("mh").alias("g"))
+    if not large.isEmpty():
+        pieces = common.stored(whole.join(large, "g"), "pieces")
+        # Different contents of one hash, before copies go.
+        found.append(pieces.groupBy("hi", "lo").agg(F.min("content").alias("least"), F.max("content").alias("largest")).where("least <> largest").select("hi", "lo", F.array(F.lit(-1)).alias("strings")))
+        pieces = pieces.dropDuplicates(["g", "hi", "lo"])
+        while True:
+            pieces = common.stored(_halves(pieces), "pieces")
+            groups = common.stored(pieces.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.max(F.col("high") - F.col("low")).alias("depths")).where("members > 1"), "piece-groups")
+            found.append(_sorted_groups(pieces.join(groups.where(f"members <= {CAP}").select("g"), "g"), marked=False))
+            large = groups.where(f"members > {CAP}").select("g", "depths")
+            if large.isEmpty():
+                break
+            rest = pieces.join(large, "g")
+            # Copies of one string at one depth are no group to be sorted.
+            found.append(_of_one_depth(rest.where("low = high")))
+            pieces = rest.where("low < high").drop("depths")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return common.stored(out, "repeated-strings")
+
+
+def _sorted_groups(pieces: DataFrame, marked: bool) -> DataFrame:
+    """(hi, lo, strings) of groups of at most CAP runs. marked: only runs with a row without content count, as they occur once."""
+    placed = pieces.select("g", "hi", "lo", "anchor", "low", "high", "content").repartition(common.parts(pieces.sparkSession), "g").sortWithinPartitions("g", "low", "hi", "lo", "content")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Whole groups are compared together, up to about CAP runs.
-        held: list[tuple[int, int, int, int, bytes, bool]] = []
+        held: list[tuple] = []
+        differ: list[tuple[int, int]] = []
         mark = None  # a row without content, which comes first, says that its run occurs once
 
         def compared() -> pa.RecordBatch:
-            found = repeated_strings([r[4] for r in held], np.array([r[3] for r in held], np.int64), np.array([r[0] for r in held], np.int64))
-            out = [(r[1], r[2], f) for r, f in zip(held, found, strict=True) if f and r[5]]
+            columns = [np.array([r[k] for r in held], np.int64) for k in (0, 3, 4, 5)]
+            found = repeated_strings([r[6] for r in held], columns[1], columns[0], columns[2], columns[3])
+            out = [(r[1], r[2], f) for r, f in zip(held, found, strict=True) if f and (r[7] or not marked)] + [(*d, _DIFFERS) for d in differ]
+            differ.clear()
             return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int32()))], names=["hi", "lo", "strings"])
 
         for batch in batches:
-            for mh, hi, lo, anchor, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for g, hi, lo, anchor, low, high, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if content is None:
                     mark = hi, lo
                     continue
-                if held and held[-1][:3] == (mh, hi, lo):
+                if held and held[-1][:3] == (g, hi, lo) and held[-1][4] == low:
+                    if held[-1][6] != content:
+                        differ.append((hi, lo))
                     continue
-                if len(held) >= CAP and held[-1][0] != mh:
+                if len(held) >= CAP and held[-1][0] != g:
                     yield compared()
                     held.clear()
-                held.append((mh, hi, lo, anchor, content, mark == (hi, lo)))
+                held.append((g, hi, lo, anchor, low, high, content, mark == (hi, lo)))
         if held:
             yield compared()
             held.clear()
         _powers.cache_clear()
         common.trim()
 
-    near = placed.mapInArrow(compare, "hi long, lo long, strings array<int>")
-    return near.unionByName(_counted_strings(contents.join(many, "mh"), counts))
-
-
-def _counted_strings(contents: DataFrame, counts: DataFrame) -> DataFrame:
-    """The same for anchors of more than CAP different runs: their strings are counted by 128-bit hash, combined before the shuffle."""
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for hi, lo, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = [xxhash.xxh3_128_intdigest(content[k : k + SPAN]) for k in range(len(content) - SPAN + 1)]
-                words = np.frombuffer(b"".join(f.to_bytes(16, "little") for f in found), np.int64).reshape(-1, 2)
-                n = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array(words[:, 0]), pa.array(words[:, 1]), pa.array([hi] * n, pa.int64()), pa.array([lo] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32))], names=["x", "y", "hi", "lo", "at"])
-
-    spelt = contents.dropDuplicates(["hi", "lo"]).select("hi", "lo", "content").mapInArrow(spell, "x long, y long, hi long, lo long, at int")
-    often = spelt.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x", "y")
-    once = counts.where("n = 1").select("hi", "lo")
-    hits = spelt.join(often, ["x", "y"]).join(once, ["hi", "lo"])
-    return hits.groupBy("hi", "lo").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + 1))).alias("strings"))
+    return placed.mapInArrow(compare, "hi long, lo long, strings array<int>")
 
 
 def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, tkey, spans): byte ranges of each text, as [start, end] pairs that may overlap, that repeated strings cover."""
-    spark = docs.sparkSession
-    runs = run_contents(_rows(docs, key, text))
-    common.release(spark)
-    counts = common.stored(runs.groupBy("mh", "hi", "lo").agg(F.count(F.lit(1)).alias("n")), "run-counts")
+    spark, seed = docs.sparkSession, 0
+    while True:
+        runs = run_contents(_rows(docs, key, text), seed)
+        common.release(spark)
+        counts = common.stored(runs.groupBy("mh", "hi", "lo").agg(F.count(F.lit(1)).alias("n")), "run-counts")
+        found = compared_runs(runs, counts)
+        common.release(spark)
+        if found.where(F.get("strings", F.lit(0)) < 0).isEmpty():
+            break
+        seed += 1  # two different runs had one hash
     whole = counts.where("n > 1").select("hi", "lo", F.array(F.lit(0), F.lit(1 << 20)).alias("strings"))
-    covered = whole.unionByName(common.stored(compared_runs(runs, counts), "repeated-strings"))
-    common.release(spark)
+    covered = whole.unionByName(found)
     hits = runs.select("hi", "lo", "doc", "tkey", "run").join(covered, ["hi", "lo"])
     offset, strings = F.shiftright("run", 16), F.shiftright("run", 8).bitwiseAND(255).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), (F.size("strings") / 2).cast("int") - 1), lambda i: F.array(offset + F.element_at("strings", 2 * i + 1), offset + F.least(F.element_at("strings", 2 * i + 2), strings) + (SPAN - 1)))

@@ -369,7 +369,7 @@ def repeats_corpus():
 
 @pytest.mark.parametrize("cap", [8192, 4])
 def test_repeated_strings(spark, none, monkeypatch, cap):
-    monkeypatch.setattr(suffix_dedup, "CAP", cap)  # 4: nearly all anchors go the other exact way
+    monkeypatch.setattr(suffix_dedup, "CAP", cap)  # 4: nearly all anchors are cut, down to single depths
     texts = repeats_corpus()
     ids = [*range(len(texts) - 1), None]
     got = suffix_dedup.digest_repeats(table(spark, texts, ids)).collect()
@@ -388,6 +388,27 @@ def test_repeated_rows_are_occurrences(spark):
     assert [(r.doc_id, r.n_removed) for r in got] == [(4, len(t)), (4, len(t)), (5, 0)]
 
 
+@pytest.mark.parametrize("same", [205, 230, 420])
+def test_an_anchor_of_very_many_runs(spark, monkeypatch, same):
+    """A passage in many different surroundings, and parts of it in others."""
+    monkeypatch.setattr(suffix_dedup, "CAP", 8)
+    rng = random.Random(5)
+    passage = words(rng, 200)[:same]
+    texts = [words(rng, 30) + passage + words(rng, 30) for _ in range(40)] + [words(rng, 30) + passage[k:] + words(rng, 25) for k in range(0, 60, 7)] + [words(rng, 20) + passage[:-k] + words(rng, 25) for k in range(1, 60, 7)]
+    got = suffix_dedup.digest_repeats(table(spark, texts)).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute_repeats(texts)
+
+
+def test_hashes_that_collide_are_seen(spark, monkeypatch):
+    def weak(content, seed):
+        return suffix_dedup.xxhash.xxh3_128_digest(content, seed=seed) if seed else bytes([content[0] % 3]) * 16
+
+    monkeypatch.setattr(suffix_dedup, "content_hash", weak)
+    texts = repeats_corpus()
+    got = suffix_dedup.digest_repeats(table(spark, texts)).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute_repeats(texts)
+
+
 def test_parts_of_a_long_text(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
     texts = repeats_corpus()
