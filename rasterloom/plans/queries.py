@@ -163,16 +163,21 @@ _CUM = f"""m AS (SELECT step, m0, m1, m2 / scale AS m2, m3, m4, m5 / scale AS m5
     SELECT m.step, a0 * m0 + a1 * m3, a0 * m1 + a1 * m4, a0 * m2 + a1 * m5 + a2, a3 * m0 + a4 * m3, a3 * m1 + a4 * m4, a3 * m2 + a4 * m5 + a5 FROM c JOIN m ON m.step = c.step + 1)"""
 
 
-def _evaluation(spark, d):
+def _step_matrix():
     s = F.col("step")
-    matrix = F.array(1 + s / 1000.0, -s / 2000.0, "shift_x", s / 2000.0, 1 - s / 1000.0, "shift_y")
-    return control.step_errors(_placed(spark, d), control.cumulative_matrices(view(spark, d, "steps").withColumn("matrix", matrix)), 0.25)
+    return F.array(1 + s / 1000.0, -s / 2000.0, "shift_x", s / 2000.0, 1 - s / 1000.0, "shift_y")
+
+
+def _evaluation(spark, d):
+    return control.step_errors(_placed(spark, d), control.cumulative_matrices(view(spark, d, "steps").withColumn("matrix", _step_matrix())), 0.25)
 
 
 @query("JN10 SC28 AGG14 SET3 OR6", f"""/* gcp raster_bounds steps */ SELECT * FROM (WITH RECURSIVE {_IN}, {_CUM}, e AS (SELECT step, raster_id, a0 * px + a1 * py + a2 - px AS dx, a3 * px + a4 * py + a5 - py AS dy FROM j CROSS JOIN c)
   SELECT step, raster_id, count(*) AS n, round(max(sqrt(dx * dx + dy * dy) * 0.25), 5) AS max_error, round(median(sqrt(dx * dx + dy * dy) * 0.25), 5) AS median_error FROM e GROUP BY step, raster_id)""")
 def gcp_step_errors(spark, d):
-    return control.step_summary(_evaluation(spark, d), ("step", "raster_id")).select("step", "raster_id", "n", F.round("max_error", 5).alias("max_error"), F.round("median_error", 5).alias("median_error"))
+    steps = [(r.step, r.matrix) for r in control.cumulative_matrices(view(spark, d, "steps").withColumn("matrix", _step_matrix())).collect()]  # a row a scale
+    errors = control.step_errors_wide(_placed(spark, d), steps, 0.25)
+    return control.step_summary_wide(errors, [k for k, _ in steps], ["raster_id"]).select("step", "raster_id", "n", F.round("max_error", 5).alias("max_error"), F.round("median_error", 5).alias("median_error"))
 
 
 @query("SNK8 OR6", f"""/* gcp raster_bounds steps */ SELECT * FROM (WITH RECURSIVE {_IN}, {_CUM}, e AS (SELECT step, gcp_id, a0 * px + a1 * py + a2 - px AS dx, a3 * px + a4 * py + a5 - py AS dy FROM j CROSS JOIN c)
@@ -185,6 +190,67 @@ def evaluation_json_roundtrip(spark, d):
     return p.groupBy("step", "n").agg(F.sum("p.gcp_id").alias("ids"), F.round(F.max("p.error_m"), 5).alias("max_error"))
 
 
+@query("JN4 FIL11 SC16", f"""/* gcp raster_bounds */ SELECT * FROM (WITH r AS (SELECT raster_id, width, height, a, e, "left" AS x, top AS y FROM raster_bounds UNION ALL SELECT -1, 23040, 11520, 0.015625, -0.015625, -180, 90)
+  SELECT gcp_id, raster_id, round((lon - x) / a, 6) AS px, round((lat - y) / e, 6) AS py FROM gcp JOIN r ON enabled = '1' AND (lon - x) / a >= 0 AND (lon - x) / a < width AND (lat - y) / e >= 0 AND (lat - y) / e < height)""")
+def gcp_in_bounds_of_the_world(spark, d):
+    """Among them one raster of the whole world."""
+    r = view(spark, d, "raster_bounds")
+    world = spark.sql("SELECT -1L AS raster_id, 23040L AS width, 11520L AS height, 4326 AS epsg, -180D AS left, -90D AS bottom, 180D AS right, 90D AS top, 0.015625D AS a, 0D AS b, -180D AS c, 0D AS d, -0.015625D AS e, 90D AS f")
+    placed = control.points_in_rasters(view(spark, d, "gcp").where("enabled = '1'"), r.unionByName(world))
+    return placed.select("gcp_id", "raster_id", (F.round("px", 6) + 0.0).alias("px"), (F.round("py", 6) + 0.0).alias("py"))
+
+
+@query("JN7 SET4", """SELECT x.raster_id AS a_id, y.raster_id AS b_id FROM (SELECT raster_id, "left", bottom, "right", top FROM raster_bounds WHERE raster_id % 2 = 0 UNION ALL SELECT -2, -180, -90, 180, 90) x
+  JOIN (SELECT raster_id, "left", bottom, "right", top FROM raster_bounds WHERE raster_id % 2 = 1 UNION ALL SELECT -1, -180, -90, 180, 90) y ON greatest(x."left", y."left") < least(x."right", y."right") AND greatest(x.bottom, y.bottom) < least(x.top, y.top)""")
+def raster_overlap_of_the_world(spark, d):
+    """Among them one raster of the whole world on each side."""
+    r = view(spark, d, "raster_bounds").select(F.col("raster_id").alias("id"), "left", "bottom", "right", "top")
+    world = lambda k: spark.sql(f"SELECT {k}L AS id, -180D AS left, -90D AS bottom, 180D AS right, 90D AS top")
+    return control.overlaps(r.where("id % 2 = 0").unionByName(world(-2)), r.where("id % 2 = 1").unionByName(world(-1))).select("a_id", "b_id")
+
+
+@query("SC10 AP15 JN7", """/* raster_bounds steps */ SELECT * FROM (WITH p AS (SELECT x.raster_id AS s_id, y.raster_id AS t_id, scale, x.width AS w, x.height AS h, x.a, x.e, y.a AS ta, y.e AS te, x."left" AS x0, x.top AS y0, y."left" AS tx0, y.top AS ty0,
+    greatest(x."left", y."left") AS l, least(x."right", y."right") AS r, greatest(x.bottom, y.bottom) AS b, least(x.top, y.top) AS t FROM raster_bounds x JOIN raster_bounds y ON y.raster_id = x.raster_id + 1 CROSS JOIN steps WHERE x.raster_id % 2 = 0)
+  SELECT s_id, t_id, scale, CASE WHEN l >= r OR b >= t THEN 'no overlap' END AS problem, cast(ceil(w * scale) AS bigint) AS lattice_width, cast(ceil(h * scale) AS bigint) AS lattice_height,
+    cast(greatest(0, floor(least((l - x0) / a * scale, (r - x0) / a * scale))) AS bigint) AS x0, cast(least(ceil(h * scale), ceil(greatest((t - y0) / e * scale, (b - y0) / e * scale))) AS bigint) AS y1, round((y0 - ty0) / te, 6) AS start_y, round(a / scale / ta, 9) AS step_x FROM p)""")
+def common_lattice_of_pairs(spark, d):
+    from rasterloom.operators import grids
+
+    r = view(spark, d, "raster_bounds")
+    s, t = grids.pair_of(r.where("raster_id % 2 = 0"), r, ("raster_id", "raster_id"))
+    pairs = s.join(t.withColumn("_s", F.col("t_id") - 1), F.col("s_id") == F.col("_s")).crossJoin(F.broadcast(view(spark, d, "steps").select("scale")))  # a row a scale
+    g = grids.common_lattice(pairs, F.col("scale"))
+    return g.select("s_id", "t_id", "scale", "problem", "lattice_width", "lattice_height", "x0", "y1", (F.round("start_y", 6) + 0.0).alias("start_y"), F.round("step_x", 9).alias("step_x"))
+
+
+@query("AP15 AP7 AP10", """SELECT raster_id, cast(oy AS int) AS "row", cast(ox AS int) AS col, cast(sum(value * wy * wx) / (max(cy) * max(cx)) AS float)::double AS value FROM (
+  SELECT p.raster_id, oy, ox, value, least(oy * 2.5 + 2.5, p."row" + 1) - greatest(oy * 2.5, p."row") AS wy, least(ox * 2.5 + 2.5, p.col + 1) - greatest(ox * 2.5, p.col) AS wx, least(oy * 2.5 + 2.5, 32) - oy * 2.5 AS cy, least(ox * 2.5 + 2.5, 32) - ox * 2.5 AS cx
+  FROM (SELECT raster_id, "row", col, value::double AS value FROM pixel) p CROSS JOIN (SELECT unnest(range(13))::double AS oy) CROSS JOIN (SELECT unnest(range(13))::double AS ox)) WHERE wy > 0 AND wx > 0 GROUP BY raster_id, oy, ox HAVING sum(abs(value)) > 0""")
+def resample_area(spark, d):
+    """To pixels 2.5 times as long."""
+    from rasterloom.operators import grids
+
+    axis = grids.Axis(0.0, 2.5, 32, 0, 13)
+    small = registration.pixels_of(grids.resample_tiles(raster.to_tiles(view(spark, d, "pixel"), 16), 16, axis, axis), 16).where("row < 13 and col < 13")
+    return small.where("value <> 0")
+
+
+@query("AP6 AP3 AP4", """SELECT raster_id, cast(oy AS int) AS "row", cast(ox AS int) AS col, round(coalesce(sum(value * (1 - abs(sx - col)) * (1 - abs(sy - "row"))), 0), 2) AS value
+  FROM (SELECT DISTINCT raster_id AS id FROM pixel) CROSS JOIN (SELECT unnest(range(32)) AS oy) CROSS JOIN (SELECT unnest(range(32)) AS ox)
+  CROSS JOIN LATERAL (SELECT ox + CASE WHEN ox BETWEEN 20 AND 22 AND oy BETWEEN 9 AND 10 THEN -17.5::double ELSE 0 END AS sx, oy + CASE WHEN ox BETWEEN 20 AND 22 AND oy BETWEEN 9 AND 10 THEN 15.25::double ELSE 0.5 END AS sy)
+  LEFT JOIN pixel ON raster_id = id AND abs(sx - col) < 1 AND abs(sy - "row") < 1 GROUP BY id, raster_id, oy, ox""".replace("SELECT raster_id,", "SELECT id AS raster_id,", 1).replace("GROUP BY id, raster_id", "GROUP BY id"))
+def local_warp(spark, d):
+    """A map that moves a few pixels within a tile far away."""
+    import numpy as np
+
+    def bump(p):
+        hit = (p[:, 0] >= 20) & (p[:, 0] <= 22) & (p[:, 1] >= 9) & (p[:, 1] <= 10)
+        return p + np.where(hit[:, None], [-17.5, 15.25], [0.0, 0.5])
+
+    warped = raster.warp_tiles(raster.to_tiles(view(spark, d, "pixel"), 16), bump, 16, 32, 32, (32, 32))
+    return registration.pixels_of(warped, 16).withColumn("value", F.round("value", 2))
+
+
 @query("WIN3", f"/* steps */ SELECT * FROM (WITH {_ERR}, e AS (SELECT step, sqrt(cx * cx + cy * cy) AS m FROM c), l AS (SELECT *, lag(m) OVER (ORDER BY step) AS p FROM e) SELECT step, round(m, 6) AS mean_error, CASE WHEN p IS NULL THEN 'N/A' WHEN m < p THEN 'Improving' WHEN m > p THEN 'Degrading' ELSE 'Same' END AS trend FROM l)")
 def gcp_step_trend(spark, d):
     s = fits.compose_shifts(view(spark, d, "steps")).withColumn("mean_error", F.sqrt(F.col("cum_x") * F.col("cum_x") + F.col("cum_y") * F.col("cum_y")))
