@@ -20,10 +20,17 @@ from pyspark.sql import functions as F
 LEAST_POINTS = {"shift": 1, "similarity": 2, "affine": 3, "homography": 4, "polynomial_2": 6, "polynomial_3": 10, "spline": 3}
 TRANSFORM_SCHEMA = (
     "pair_id long, type string, matrix array<double>, coef_x array<double>, coef_y array<double>, ctrl_src array<array<double>>, ctrl_dst array<array<double>>, degree int, "
-    "num_points long, inlier_count long, inlier_ratio double, median_error double, robust_rmse double, mean_error double, std_error double, max_error double, error string"
+    "num_points long, inlier_count long, inlier_ratio double, median_error double, robust_rmse double, mean_error double, std_error double, max_error double, held_error double, as_good boolean, error string"
 )
 #: Fixed value: hypotheses of a robust fit, at most.
 ITERATIONS = 2000
+#: Chance that a robust fit which stops earlier has seen no sample of inliers alone.
+MISS = 1e-9
+#: One of so many parts of the matches judges a type that is fitted to the others; a type whose mean error there exceeds the least by no
+#: more than so many standard errors of the difference is as good.
+FOLDS, SURE = 5, 2.0
+#: A spline is tried where the next scale is below this.
+SPLINE_SCALE = 0.5
 
 
 def ransac_threshold(scale: Column | float) -> Column | float:
@@ -31,13 +38,17 @@ def ransac_threshold(scale: Column | float) -> Column | float:
     return 5.0 * (scale / 0.15)
 
 
+def _centred_sums(df: DataFrame, keys: Sequence[str], pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Counts, means and centred sums of products per group, in one aggregate."""
+    cols = ["src_x", "src_y", "dst_x", "dst_y"]
+    n = F.count(F.lit(1)).cast("double")
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"m_{c}") for c in cols), *((F.covar_pop(p, q) * n).alias(k) for k, (p, q) in pairs.items()))
+
+
 def fit_affine_lsq(df: DataFrame, keys: Sequence[str] = ("pair_id",)) -> DataFrame:
     """Affine least squares by centred normal equations: n and a, b, tx, c, d, ty (null for collinear points)."""
-    cols = ["src_x", "src_y", "dst_x", "dst_y"]
-    means = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"m_{c}") for c in cols))
-    r = df.join(means, list(keys))
-    x, y, u, v = (F.col(c) - F.col(f"m_{c}") for c in cols)
-    sums = r.groupBy(*keys, "n", *(f"m_{c}" for c in cols)).agg(*(F.sum(e).alias(k) for k, e in {"sxx": x * x, "sxy": x * y, "syy": y * y, "sxu": x * u, "syu": y * u, "sxv": x * v, "syv": y * v}.items()))
+    x, y, u, v = "src_x", "src_y", "dst_x", "dst_y"
+    sums = _centred_sums(df, keys, {"sxx": (x, x), "sxy": (x, y), "syy": (y, y), "sxu": (x, u), "syu": (y, u), "sxv": (x, v), "syv": (y, v)})
     det = F.col("sxx") * F.col("syy") - F.col("sxy") * F.col("sxy")
     solved = sums.withColumn("det", F.when(F.abs(det) > 1e-9, det))
     for name, p, q in (("a", "sxu", "syu"), ("c", "sxv", "syv")):
@@ -51,11 +62,10 @@ def fit_affine_lsq(df: DataFrame, keys: Sequence[str] = ("pair_id",)) -> DataFra
 
 def fit_similarity_lsq(df: DataFrame, keys: Sequence[str] = ("pair_id",)) -> DataFrame:
     """Rotation, scale and shift least squares: u = a x - b y + tx, v = b x + a y + ty."""
-    cols = ["src_x", "src_y", "dst_x", "dst_y"]
-    means = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"m_{c}") for c in cols))
-    x, y, u, v = (F.col(c) - F.col(f"m_{c}") for c in cols)
-    s = df.join(means, list(keys)).groupBy(*keys, "n", *(f"m_{c}" for c in cols)).agg(F.sum(x * x + y * y).alias("ss"), F.sum(x * u + y * v).alias("p"), F.sum(x * v - y * u).alias("q"))
-    s = s.withColumn("ss", F.when(F.col("ss") > 1e-9, F.col("ss"))).withColumn("a", F.col("p") / F.col("ss")).withColumn("b", F.col("q") / F.col("ss"))
+    x, y, u, v = "src_x", "src_y", "dst_x", "dst_y"
+    s = _centred_sums(df, keys, {"sxx": (x, x), "syy": (y, y), "sxu": (x, u), "syv": (y, v), "sxv": (x, v), "syu": (y, u)})
+    ss = F.col("sxx") + F.col("syy")
+    s = s.withColumn("ss", F.when(ss > 1e-9, ss)).withColumn("a", (F.col("sxu") + F.col("syv")) / F.col("ss")).withColumn("b", (F.col("sxv") - F.col("syu")) / F.col("ss"))
     tx = F.col("m_dst_x") - F.col("a") * F.col("m_src_x") + F.col("b") * F.col("m_src_y")
     ty = F.col("m_dst_y") - F.col("b") * F.col("m_src_x") - F.col("a") * F.col("m_src_y")
     return s.select(*keys, "n", "a", "b", tx.alias("tx"), ty.alias("ty"))
@@ -172,8 +182,11 @@ def ransac(kind: str, s: np.ndarray, d: np.ndarray, threshold: float, seed: int
     """
     need, best = LEAST_POINTS[kind], np.zeros(len(s), bool)
     picks = distinct_picks(np.random.default_rng(seed), len(s), need, ITERATIONS)
-    step = int(np.clip(200_000 // len(s), 1, ITERATIONS))
+    step = int(np.clip(100_000 // len(s), 1, 100))
     for i in range(0, len(picks), step):
+        # Enough, if so many samples have missed a better set of inliers with a probability below MISS.
+        if i and (1 - best.mean() ** need) ** i < MISS:
+            break
         m = through(kind, s[picks[i : i + step]], d[picks[i : i + step]])
         if not len(m):
             continue
@@ -273,26 +286,63 @@ def fit_one(kind: str, s: np.ndarray, d: np.ndarray, threshold: float = 5.0, rou
     return out | {"coef_x": cx.tolist(), "coef_y": cy.tolist(), "degree": degree} | _statistics(np.linalg.norm(np.c_[whole @ cx, whole @ cy] - d, axis=1), inside)
 
 
-def fit_all(df: DataFrame, kinds: Sequence[str] = tuple(LEAST_POINTS), threshold: float = 5.0) -> DataFrame:
-    """A row per pair and type."""
+def mapped(row: dict, s: np.ndarray) -> np.ndarray:
+    """Points through a fitted row."""
+    if row.get("matrix"):
+        return _project(np.array(row["matrix"]).reshape(3, 3), s)
+    if row.get("coef_x"):
+        return basis(s[:, 0], s[:, 1], row["degree"]) @ np.array([row["coef_x"], row["coef_y"]]).T
+    c, t = np.array(row["ctrl_src"]), np.array(row["ctrl_dst"])
+    return apply_thin_plate(s, c, *spline_through(c, t))
+
+
+def held_errors(kind: str, s: np.ndarray, d: np.ndarray, held: np.ndarray, threshold: float, rough: np.ndarray | None) -> np.ndarray | None:
+    """Errors, up to the threshold, on the held matches of a fit to the others; None where one has too few."""
+    if not held.any():
+        return None
+    row = fit_one(kind, s[~held], d[~held], threshold, None if rough is None else rough[~held])
+    return None if row.get("error") else np.minimum(np.linalg.norm(mapped(row, s[held]) - d[held], axis=1), threshold)
+
+
+def judged(rows: list[dict], errors: list[np.ndarray | None]) -> None:
+    """Set held_error and as_good: no worse than the least mean error, but for chance."""
+    known = [e for e in errors if e is not None]
+    best = min(known, key=lambda e: e.mean()) if known else None
+    for row, e in zip(rows, errors, strict=True):
+        if e is not None:
+            more = e - best
+            row |= {"held_error": float(e.mean()), "as_good": bool(more.mean() <= SURE * more.std() / len(more) ** 0.5 + 1e-6)}
+
+
+def fit_all(df: DataFrame, kinds: Sequence[str] = tuple(LEAST_POINTS), threshold: float = 5.0, judge: bool = False) -> DataFrame:
+    """A row per pair and type. judge: also fit each type to four fifths of the matches, by hash, and measure it on the others."""
     names = [c.split()[0] for c in TRANSFORM_SCHEMA.split(", ")]
 
     def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("match_id")
-        s, d = g[["src_x", "src_y"]].to_numpy(float), g[["dst_x", "dst_y"]].to_numpy(float)
+        s, d, held = g[["src_x", "src_y"]].to_numpy(float), g[["dst_x", "dst_y"]].to_numpy(float), g["fold"].to_numpy() == 0
         rough = ransac("affine", s, d, 2 * threshold)[1] if len(s) >= 3 and not set(kinds) <= {"shift", "similarity", "affine", "homography"} else None
         rows = [{"pair_id": key[0]} | fit_one(k, s, d, threshold, rough) for k in kinds]
+        if judge:
+            judged(rows, [None if r.get("error") else held_errors(r["type"], s, d, held, threshold, rough) for r in rows])
         return pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names)
 
-    return df.select("pair_id", "match_id", "src_x", "src_y", "dst_x", "dst_y").groupBy("pair_id").applyInPandas(fit, TRANSFORM_SCHEMA)
+    fold = F.pmod(F.xxhash64("match_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    return df.select("pair_id", "match_id", "src_x", "src_y", "dst_x", "dst_y", fold).groupBy("pair_id").applyInPandas(fit, TRANSFORM_SCHEMA)
+
+
+def candidate_kinds(next_scale: float | None = None) -> tuple[str, ...]:
+    """Types that are tried at a scale: a spline, which goes through its own points, only on the way to a coarse next scale."""
+    return tuple(k for k in LEAST_POINTS if k != "spline" or next_scale is not None and next_scale < SPLINE_SCALE)
 
 
 def choose_best(transforms: DataFrame, keys: Sequence[str] = ("pair_id",)) -> DataFrame:
-    """Per group the valid transform of least robust RMSE, the simplest of equals."""
+    """Per group a valid transform: the simplest of those that are as good as any on matches that they were not fitted to; where none
+    was judged, the one of least robust RMSE, the simplest of equals."""
     order = F.array_position(F.array(*(F.lit(k) for k in LEAST_POINTS)), F.col("type"))
-    w = W.partitionBy(*keys).orderBy("robust_rmse", order)
-    valid = transforms.where(F.col("error").isNull())
-    return valid.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    good = F.coalesce("as_good", F.lit(False))
+    w = W.partitionBy(*keys).orderBy(~good, F.when(good, order), "robust_rmse", order)
+    return transforms.where(F.col("error").isNull()).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
 def compose_shifts(steps: DataFrame, order: str = "step") -> DataFrame:

@@ -24,6 +24,35 @@ def strongest(keypoints: DataFrame, image: Sequence[str] = (), n: int = MAX_FEAT
     return keypoints.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
+def compare_blocks(s: pd.DataFrame, t: pd.DataFrame, metric: str) -> pd.DataFrame:
+    """(query_id, distance, train_id): the two nearest rows of t (kp_id, descriptor) to each of s, ties to the smaller id."""
+    kind = np.float64 if metric == "l2" else np.int64
+    names = ["query_id", "distance", "train_id"]
+    if not len(s) or not len(t):
+        return pd.DataFrame({c: [] for c in names})
+    t = t.sort_values("kp_id", kind="stable")
+    ids, theirs, own = t["kp_id"].to_numpy(np.int64), np.array(t["descriptor"].tolist(), kind), np.array(s["descriptor"].tolist(), kind)
+    out, squares = [], (theirs * theirs).sum(1)[None] if metric == "l2" else None
+    for i in range(0, len(own), 64):
+        if metric == "l2":
+            part = own[i : i + 64]
+            near = (part * part).sum(1)[:, None] - 2 * part @ theirs.T + squares
+            # The product picks a few candidates; their distances are taken from the differences.
+            some = np.argpartition(near, min(CLOSE, len(ids)) - 1, axis=1)[:, :CLOSE]
+            limit = np.sort(np.take_along_axis(near, some, 1), axis=1)[:, : min(2, len(ids))][:, -1]
+            if len(ids) > CLOSE and ((near <= limit[:, None] + 1e-9 * (1 + np.abs(near).max())).sum(1) > CLOSE).any():
+                some = np.tile(np.arange(len(ids)), (len(part), 1))  # more are as near as the second than were picked
+            some.sort(axis=1)
+            exact = np.sqrt(((part[:, None, :] - theirs[some]) ** 2).sum(-1))
+            best = np.argsort(exact, axis=1, kind="stable")[:, :2]
+            out.append(pd.DataFrame({"query_id": np.repeat(s["kp_id"].to_numpy(np.int64)[i : i + 64], best.shape[1]), "distance": np.take_along_axis(exact, best, 1).ravel(), "train_id": ids[np.take_along_axis(some, best, 1)].ravel()}, columns=names))
+            continue
+        d = np.bitwise_count((own[i : i + 64, None, :] ^ theirs[None]).view(np.uint64)).sum(-1).astype(np.float64)
+        order = np.argsort(d, axis=1, kind="stable")[:, :2]
+        out.append(pd.DataFrame({"query_id": np.repeat(s["kp_id"].to_numpy(np.int64)[i : i + 64], order.shape[1]), "distance": np.take_along_axis(d, order, 1).ravel(), "train_id": ids[order].ravel()}, columns=names))
+    return pd.concat(out)
+
+
 def two_nearest(source: DataFrame, target: DataFrame, metric: str = "l2", keys: Sequence[str] = ()) -> DataFrame:
     """(keys, query_id, train_id, distance, next_distance): the nearest and second nearest target of each source descriptor.
 
@@ -32,7 +61,6 @@ def two_nearest(source: DataFrame, target: DataFrame, metric: str = "l2", keys:
     is a burden. Ties go to the smaller id; one target alone has no second.
     metric: l2 over float vectors, hamming over arrays of 64-bit words.
     """
-    kind = np.float64 if metric == "l2" else np.int64
     own_keys = list(keys) or ["_all"]
     names = [F.col(k).alias(k) for k in keys] or [F.lit(0).alias("_all")]
     sides = [df.select(*names, F.col("kp_id").cast("long").alias("kp_id"), F.col("descriptor").alias("descriptor")) for df in (source, target)]
@@ -44,37 +72,11 @@ def two_nearest(source: DataFrame, target: DataFrame, metric: str = "l2", keys:
         return rows.drop("_s", "_t").groupBy(*own_keys, "sb", "tb")
 
     def nearest(key: tuple, s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        found = compare(s, t)
+        found = compare_blocks(s, t, metric)
         for k, v in zip(own_keys, key, strict=False):
             found[k] = v
         return found[[*own_keys, "query_id", "distance", "train_id"]]
 
-    def compare(s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "distance", "train_id"]
-        if not len(s) or not len(t):
-            return pd.DataFrame({c: [] for c in names})
-        t = t.sort_values("kp_id", kind="stable")
-        ids, theirs, own = t["kp_id"].to_numpy(np.int64), np.array(t["descriptor"].tolist(), kind), np.array(s["descriptor"].tolist(), kind)
-        out, squares = [], (theirs * theirs).sum(1)[None] if metric == "l2" else None
-        for i in range(0, len(own), 64):
-            if metric == "l2":
-                part = own[i : i + 64]
-                near = (part * part).sum(1)[:, None] - 2 * part @ theirs.T + squares
-                # The product picks a few candidates; their distances are taken from the differences.
-                some = np.argpartition(near, min(CLOSE, len(ids)) - 1, axis=1)[:, :CLOSE]
-                limit = np.sort(np.take_along_axis(near, some, 1), axis=1)[:, : min(2, len(ids))][:, -1]
-                if len(ids) > CLOSE and ((near <= limit[:, None] + 1e-9 * (1 + np.abs(near).max())).sum(1) > CLOSE).any():
-                    some = np.tile(np.arange(len(ids)), (len(part), 1))  # more are as near as the second than were picked
-                some.sort(axis=1)
-                exact = np.sqrt(((part[:, None, :] - theirs[some]) ** 2).sum(-1))
-                best = np.argsort(exact, axis=1, kind="stable")[:, :2]
-                out.append(pd.DataFrame({"query_id": np.repeat(s["kp_id"].to_numpy(np.int64)[i : i + 64], best.shape[1]), "distance": np.take_along_axis(exact, best, 1).ravel(), "train_id": ids[np.take_along_axis(some, best, 1)].ravel()}, columns=names))
-                continue
-            d = np.bitwise_count((own[i : i + 64, None, :] ^ theirs[None]).view(np.uint64)).sum(-1).astype(np.float64)
-            order = np.argsort(d, axis=1, kind="stable")[:, :2]
-            out.append(pd.DataFrame({"query_id": np.repeat(s["kp_id"].to_numpy(np.int64)[i : i + 64], order.shape[1]), "distance": np.take_along_axis(d, order, 1).ravel(), "train_id": ids[order].ravel()}, columns=names))
-        return pd.concat(out)
-
     schema = StructType([sides[0].schema[k] for k in own_keys]).add("query_id", "long").add("distance", "double").add("train_id", "long")
     found = blocks(sides[0], "sb", "_s", "tb", "_t").cogroup(blocks(sides[1], "tb", "_t", "sb", "_s")).applyInPandas(nearest, schema)
     near = found.groupBy(*own_keys, "query_id").agg(F.sort_array(F.collect_list(F.struct("distance", "train_id"))).alias("n"))  # two of each target block

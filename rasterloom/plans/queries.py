@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions import geo
-from rasterloom.operators import control, fits, matching, raster, robust
+from rasterloom.operators import control, fits, grids, index, matching, raster, robust, split
 from rasterloom.plans import registration
 from rasterloom.plans.views import view, with_views
+from rasterloom.sources import paths
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,17 +41,29 @@ def _with(own: str, body: str) -> str:
     return f"/* correspondence */ SELECT * FROM (WITH {own} {body})"
 
 
-@query("FIL2 FIL5 FIL18 TF1 AGG1 AGG2 AGG4 SC14", _with(_KEPT + """, s AS (SELECT pair_id, count(*) AS n, cast(sum(cast(round((dst_x - src_x) * 1000000) AS bigint)) AS bigint) / (count(*) * cast(1000000 AS double)) AS shift_x,
+_SHIFTS = _with(_KEPT + """, s AS (SELECT pair_id, count(*) AS n, cast(sum(cast(round((dst_x - src_x) * 1000000) AS bigint)) AS bigint) / (count(*) * cast(1000000 AS double)) AS shift_x,
      cast(sum(cast(round((dst_y - src_y) * 1000000) AS bigint)) AS bigint) / (count(*) * cast(1000000 AS double)) AS shift_y FROM kept GROUP BY pair_id),
   e AS (SELECT k.pair_id, n, shift_x, shift_y, sqrt((dst_x - src_x - shift_x) * (dst_x - src_x - shift_x) + (dst_y - src_y - shift_y) * (dst_y - src_y - shift_y)) AS err FROM kept k JOIN s ON k.pair_id = s.pair_id),
   f AS (SELECT *, median(err) OVER (PARTITION BY pair_id) AS med FROM e)""", """
   SELECT pair_id, n, round(shift_x, 6) AS shift_x, round(shift_y, 6) AS shift_y, round(max(med), 5) AS median_error, round(max(med) + 1.4826 * median(abs(err - med)), 5) AS robust_rmse, round(max(err), 5) AS max_error
-  FROM f GROUP BY pair_id, n, shift_x, shift_y"""))
-def robust_shift_per_pair(spark, d):
-    s = robust.fit_shift(robust.remove_gross_outliers(view(spark, d, "correspondence")))
+  FROM f GROUP BY pair_id, n, shift_x, shift_y""")
+
+
+def _shifts(s):
     return s.select("pair_id", "n", F.round("shift_x", 6).alias("shift_x"), F.round("shift_y", 6).alias("shift_y"), F.round("median_error", 5).alias("median_error"), F.round("robust_rmse", 5).alias("robust_rmse"), F.round("max_error", 5).alias("max_error"))
 
 
+@query("FIL2 FIL5 TF1 AGG1 AGG2 AGG4 SC14", _SHIFTS)
+def robust_shift_per_pair(spark, d):
+    return _shifts(robust.fit_shift(robust.remove_gross_outliers(view(spark, d, "correspondence"))))
+
+
+@query("FIL2 TF1 AGG1 AGG2 AGG8", _SHIFTS)
+def robust_shift_of_split_pairs(spark, d):
+    """The same for pairs of any size: no task holds a pair's rows."""
+    return _shifts(split.fit_shift(split.remove_gross_outliers(view(spark, d, "correspondence"), paths.keep), paths.keep))
+
+
 @query("FIL2 FIL5", _with(_KEPT, "SELECT pair_id, match_id, src_x, dst_x, dst_y, round(dist, 6) AS dist FROM kept"))
 def gross_outlier_filter(spark, d):
     return robust.remove_gross_outliers(view(spark, d, "correspondence")).select("pair_id", "match_id", "src_x", "dst_x", "dst_y", F.round("dist", 6).alias("dist"))
@@ -214,8 +227,6 @@ def raster_overlap_of_the_world(spark, d):
   SELECT s_id, t_id, scale, CASE WHEN l >= r OR b >= t THEN 'no overlap' END AS problem, cast(ceil(w * scale) AS bigint) AS lattice_width, cast(ceil(h * scale) AS bigint) AS lattice_height,
     cast(greatest(0, floor(least((l - x0) / a * scale, (r - x0) / a * scale))) AS bigint) AS x0, cast(least(ceil(h * scale), ceil(greatest((t - y0) / e * scale, (b - y0) / e * scale))) AS bigint) AS y1, round((y0 - ty0) / te, 6) AS start_y, round(a / scale / ta, 9) AS step_x FROM p)""")
 def common_lattice_of_pairs(spark, d):
-    from rasterloom.operators import grids
-
     r = view(spark, d, "raster_bounds")
     s, t = grids.pair_of(r.where("raster_id % 2 = 0"), r, ("raster_id", "raster_id"))
     pairs = s.join(t.withColumn("_s", F.col("t_id") - 1), F.col("s_id") == F.col("_s")).crossJoin(F.broadcast(view(spark, d, "steps").select("scale")))  # a row a scale
@@ -228,8 +239,6 @@ def common_lattice_of_pairs(spark, d):
   FROM (SELECT raster_id, "row", col, value::double AS value FROM pixel) p CROSS JOIN (SELECT unnest(range(13))::double AS oy) CROSS JOIN (SELECT unnest(range(13))::double AS ox)) WHERE wy > 0 AND wx > 0 GROUP BY raster_id, oy, ox HAVING sum(abs(value)) > 0""")
 def resample_area(spark, d):
     """To pixels 2.5 times as long."""
-    from rasterloom.operators import grids
-
     axis = grids.Axis(0.0, 2.5, 32, 0, 13)
     small = registration.pixels_of(grids.resample_tiles(raster.to_tiles(view(spark, d, "pixel"), 16), 16, axis, axis), 16).where("row < 13 and col < 13")
     return small.where("value <> 0")
@@ -475,6 +484,13 @@ def mutual_nn_matches(spark, d):
     return matching.mutual_matches(_keypoints(spark, d, 0), _keypoints(spark, d, 1)).select("query_id", "train_id", F.round("distance", 5).alias("distance"))
 
 
+@query("JN1")
+def knn_index_search(spark, d):
+    """Every vector whose id is divisible by 50 against all others, by inverted lists."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("kp_id"), F.col("embedding").cast("array<double>").alias("descriptor"))
+    return index.search(index.keys_of(e), e.where("kp_id % 50 <> 0")).select("query_id", "train_id", F.round("distance", 5).alias("distance"))
+
+
 @query("JN2 WIN1 FIL3", """SELECT query_id, max(CASE WHEN rn = 1 THEN train_id END) AS train_id, cast(max(CASE WHEN rn = 1 THEN dd END) AS double) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dd, train_id) AS rn FROM (
   SELECT s.vec_id AS query_id, t.vec_id AS train_id, list_sum(list_transform(list_zip(s.embedding, t.embedding), lambda z: CASE WHEN (z[1] > 0) <> (z[2] > 0) THEN 1 ELSE 0 END)) AS dd FROM embeddings s JOIN embeddings t ON s.vec_id % 2 = 0 AND t.vec_id % 2 = 1)) WHERE rn <= 2 GROUP BY query_id HAVING max(CASE WHEN rn = 1 THEN dd END) < 0.95 * max(CASE WHEN rn = 2 THEN dd END)""")
 def knn_ratio_hamming(spark, d):
@@ -508,7 +524,7 @@ def scale_from_filename(spark, d):
 @query("TF2 TF3 TF4 TF5 TF6 TF7 TF8 TF9 FIL13 FIL18 FIL19 LIM1 SRT1 SET2 SC26 TF10")
 def best_transform_per_pair(spark, d):
     kept = robust.remove_gross_outliers(view(spark, d, "correspondence"))
-    return fits.choose_best(fits.fit_all(kept)).select("pair_id", "type", "num_points", "inlier_count", F.round("robust_rmse", 4).alias("robust_rmse"))
+    return fits.choose_best(fits.fit_all(kept, fits.candidate_kinds(), judge=True)).select("pair_id", "type", "num_points", "inlier_count", F.round("robust_rmse", 4).alias("robust_rmse"))
 
 
 @query("AP6 AP5", """SELECT raster_id, cast(oy AS int) AS "row", cast(ox AS int) AS col, round(coalesce(sum(value * (1 - abs(sx - col)) * (1 - abs(sy - "row"))), 0), 2) AS value

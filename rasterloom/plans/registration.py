@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rasterloom.functions import geo
-from rasterloom.operators import control, features, fits, grids, matching, raster, robust, scalespace
+from rasterloom.operators import control, features, fits, grids, matching, raster, robust, scalespace, split
 from rasterloom.sources import geotiff, paths, sinks
 
 log = logging.getLogger("rasterloom")
@@ -243,8 +243,15 @@ def _step(rows: list, scale: float, kind: str, done: Registration) -> Step | Non
     return Step(scale, kind, row, None if done.matrix is None else m @ done.matrix, lambda p, back=np.linalg.inv(m): fits._project(back, p))
 
 
+#: Matches of a pair beyond which its fit is split over tasks.
+SPLIT = 200_000
+
+
 def fit_step(matches: DataFrame, kind: str, scale: float) -> list:
     """The fitted row of one type, none where there is no transform."""
+    if kind in ("similarity", "affine", "homography") and split.largest_share(matches) > SPLIT:
+        found = split.fit_matrix(split.remove_gross_outliers(matches, paths.keep), kind, fits.ransac_threshold(scale), paths.keep)
+        return found.where("error IS NULL").withColumns({"type": F.lit(kind), **{c: F.lit(None) for c in ("coef_x", "coef_y", "ctrl_src", "ctrl_dst", "degree")}}).collect()  # one row
     found = robust.remove_gross_outliers(matches)
     if kind in ("polynomial_2", "polynomial_3", "spline"):
         ends = ("src_x", "src_y", "dst_x", "dst_y")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.functions import geo
-from rasterloom.operators import control, fits, grids, matching, raster, robust
+from rasterloom.operators import control, fits, grids, index, matching, raster, robust, split
 from rasterloom.sources import files, sinks
 
 SCHEMA = "pair_id long, match_id long, src_x double, src_y double, dst_x double, dst_y double"
@@ -380,3 +380,87 @@ def test_lattice_of_two_rasters(spark):
     assert (r.lattice_width, r.lattice_height) == (150, 120) and (r.x0, r.x1, r.y0, r.y1) == (37, 150, 0, 68)
     for i in (0, 10, 77):
         assert abs(100 + i / 0.15 * 0.02 - (105 + (r.start_x + i * r.step_x) * 0.19)) < 1e-9 and abs(50 - i / 0.15 * 0.02 - (60 - (r.start_y + i * r.step_y) * 0.19)) < 1e-9
+
+
+def keeper(folder):
+    from rasterloom.plans.registration import kept_in
+
+    count = iter(range(10_000))
+    return lambda df, name: kept_in(str(folder))(df, f"{name}-{next(count)}")
+
+
+def test_medians_of_split_groups(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(k, i, float(v)) for k, n in ((1, 3000), (2, 7), (3, 2), (4, 1), (5, 1200)) for i, v in enumerate(rng.normal(size=n).round(2) if k != 5 else [4.0] * n)] + [(6, 0, None), (None, 1, 2.0), (None, 2, 5.0)]
+    df = spark.createDataFrame(rows, "pair_id long, match_id long, v double").repartition(7)
+    got = {r.pair_id: r["median"] for r in split.group_medians(df, ["pair_id"], F.col("v"), keeper(tmp_path), F.col("match_id")).where("pair_id is not null").collect()}
+    assert got == {k: float(np.median([v for p, _, v in rows if p == k])) for k in (1, 2, 3, 4, 5)}
+    # The largest group is in several tasks.
+    assert spark.read.parquet(f"{tmp_path}/ranked-0").where("pair_id = 1").select("_p").distinct().count() > 1
+
+
+def test_split_shift_equals_the_window_form(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    s = rng.uniform(0, 500, (900, 2))
+    d = s + [3, -2] + rng.normal(0, 0.3, s.shape)
+    d[::29] += 200
+    df = pairs(spark, s.tolist(), d.tolist())
+    keep = keeper(tmp_path)
+    one = robust.fit_shift(robust.remove_gross_outliers(df)).first().asDict()
+    two = split.fit_shift(split.remove_gross_outliers(df, keep), keep).first().asDict()
+    assert one == pytest.approx(two)
+
+
+@pytest.mark.parametrize("kind", ["similarity", "affine", "homography"])
+def test_split_fits_equal_fits_of_one_task(spark, tmp_path, kind):
+    rng = np.random.default_rng(4)
+    s = rng.uniform(0, 800, (3000, 2))
+    m = {"similarity": [[0.9, -0.2, 5], [0.2, 0.9, -7], [0, 0, 1]], "affine": [[0.9, -0.3, 5], [0.1, 1.1, -7], [0, 0, 1]], "homography": [[0.9, -0.3, 5], [0.1, 1.1, -7], [1e-4, -5e-5, 1]]}[kind]
+    d = fits._project(np.array(m, float), s) + rng.normal(0, 0.5, s.shape)
+    d[:600] += rng.uniform(-300, 300, (600, 2))
+    df = pairs(spark, s.tolist(), d.tolist()).union(pairs(spark, [(1, 1), (2, 2)], [(1, 1), (2, 2)]).withColumn("pair_id", F.lit(2).cast("long")).limit(1))
+    got = {r.pair_id: r for r in split.fit_matrix(df, kind, 3.0, keeper(tmp_path), chunk=400).collect()}
+    one = fits.fit_one(kind, s, d, 3.0)
+    inside = np.linalg.norm(fits._project(np.array(got[1].matrix).reshape(3, 3), s) - d, axis=1)
+    assert np.abs(fits._project(np.array(got[1].matrix).reshape(3, 3), s) - fits._project(np.array(m, float), s)).max() < 0.3
+    assert abs(got[1].inlier_count - one["inlier_count"]) < 15 and got[1].inlier_count == (inside <= 3).sum() and got[1].num_points == 3000
+    kept = inside[inside <= 3]
+    assert got[1].median_error == pytest.approx(np.median(kept)) and got[1].max_error == pytest.approx(kept.max()) and got[1].mean_error == pytest.approx(kept.mean(), abs=1e-5)
+    assert got[2].error == "insufficient_points" and got[2].matrix is None
+
+
+@pytest.mark.parametrize("kind", ["shift", "similarity", "affine", "polynomial_2"])
+def test_the_chosen_type_is_the_planted_one(spark, kind):
+    rng = np.random.default_rng(6)
+    s = rng.uniform(0, 400, (300, 2))
+    x, y = s.T
+    d = {"shift": np.c_[x + 4, y - 9], "similarity": np.c_[0.98 * x - 0.1 * y + 4, 0.1 * x + 0.98 * y], "affine": np.c_[1.05 * x - 0.1 * y + 4, 0.02 * x + 0.9 * y], "polynomial_2": np.c_[x + 2e-4 * x * y, y - 1e-4 * x * x + 3]}[kind]
+    d = d + rng.normal(0, 0.4, s.shape)
+    df = pairs(spark, s.tolist(), d.tolist())
+    assert fits.choose_best(fits.fit_all(df, fits.candidate_kinds(0.3), judge=True)).first()["type"] == kind
+    assert "spline" not in fits.candidate_kinds(0.5) and "spline" not in fits.candidate_kinds()
+
+
+def test_robust_fits_stop_when_they_have_seen_enough():
+    rng = np.random.default_rng(8)
+    s = rng.uniform(0, 400, (400, 2))
+    d = s * 1.1 + 3
+    d[:120] += rng.uniform(20, 200, (120, 2))
+    m, inside = fits.ransac("affine", s, d, 1.0)
+    assert inside.sum() == 280 and np.allclose(m, [[1.1, 0, 3], [0, 1.1, 3], [0, 0, 1]])
+
+
+def test_inverted_lists_find_the_nearest(spark, monkeypatch):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("kp_id"), F.col("embedding").cast("array<double>").alias("descriptor"))
+    monkeypatch.setattr(index, "PER_LIST", 40)  # 50 lists of these few rows
+    monkeypatch.setattr(matching, "BLOCK", 30)  # lists in several blocks
+    queries, rest = index.keys_of(e), e.where("kp_id % 50 <> 0")
+    centroids = index.fit(rest)
+    assert len(centroids) == 49
+    exact = matching.two_nearest(queries, rest)
+    assert index.recall(index.search(queries, rest, centroids), exact) >= 0.9
+    whole = {r.query_id: (r.train_id, r.next_distance) for r in index.search(queries, rest, centroids, probes=49).collect()}
+    assert whole == {r.query_id: (r.train_id, r.next_distance) for r in exact.collect()} and len(whole) == queries.count()
+    assert index.search(queries, rest.limit(0)).count() == 0 and index.search(queries.limit(0), rest, centroids).count() == 0
+    # Every row is in its lists.
+    assert index.placed(rest, centroids, 2).select("kp_id").distinct().count() == rest.count()
