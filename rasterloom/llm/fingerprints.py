@@ -135,8 +135,8 @@ def fingerprint_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     """Fingerprints of each text and of its edited text, with their likenesses.
 
     Null texts are empty. The next document is the next row by (key, text), null keys
-    first; the last row's is the first row. Repeated rows follow each other. An empty
-    table gives no rows; other columns are not used.
+    first; the last row's is the first row. Repeated rows follow each other. Very long texts are fingerprinted
+    whole, their terms some at a time. An empty table gives no rows; other columns are not used.
     """
     import hashlib
 

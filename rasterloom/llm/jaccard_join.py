@@ -297,7 +297,8 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", th
     documents whose shingle sets have a Jaccard similarity of ``threshold`` or more, copies
     included; ``first`` marks one row of each class. Shingles are windows of five words; a
     shorter text is one shingle, and null, empty and blank texts are copies of each other.
-    Repeated rows are copies too. Null ids come before others. Other columns are not used.
+    Repeated rows are copies too. Null ids come before others. Very long texts count whole, their
+    shingles are hashed some at a time. An empty table gives no rows. Other columns are not used.
     """
     sketches = common.stored(sketch(docs, key, text), "sketches")
     blocks = components(candidate_links(sketches, threshold))

@@ -8,7 +8,6 @@ table, footer; with the block starts a reader can begin at any block.
 
 from __future__ import annotations
 
-import io
 import struct
 import uuid
 import zlib
@@ -223,6 +222,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, *, key: str = "
     row is there, so files of failed or repeated attempts are ignored. Null texts are empty,
     null keys come first, equal keys are ordered by a hash of the text, repeated rows stay; rows
     of one key may fill several ranges. A file of ``rotate`` ids is closed, which bounds its index.
+    A very long text is encoded in pieces and may fill many blocks. An empty table gives no file and no row; other columns are not used.
     """
     spark = docs.sparkSession
     out = common.qualified(spark, out)
@@ -292,9 +292,3 @@ def read_token_files(manifest: DataFrame, each, schema: str) -> DataFrame:
 
 def crc_row(key: int | None, start: int, ids: np.ndarray) -> tuple:
     return key, start, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4"))
-
-
-def roundtrip(ids: np.ndarray) -> np.ndarray:
-    """Encode and decode in memory, for callers that only need the block format."""
-    data, starts = encode_blocks(np.asarray(ids, np.uint32))
-    return decode_blocks(io.BytesIO(data).getvalue(), starts)

@@ -70,7 +70,8 @@ def attribute_sections(
     """A row for each section of each document: doc_id, section, start, end (characters), n_tokens, n_crossing.
 
     Null and empty texts have one empty section of no tokens. Repeated rows give repeated
-    results, null keys stay null, other columns are not used.
+    results, null keys stay null; very long texts are encoded whole; an empty table gives no rows; other
+    columns are not used.
     """
     if rule not in RULES:
         raise ValueError(f"rule {rule!r} is not one of {RULES}")
@@ -98,7 +99,9 @@ def attribute_sections(
 def attribute_fields(docs: DataFrame, tokenizer: str, fields: Sequence[str], *, key: str = "doc_id", separator: str = "\n", rule: str = "most") -> DataFrame:
     """Token counts of columns that are encoded together, joined by ``separator``; null fields are empty.
 
-    A separator belongs to the field before it. The row's section is the field's name.
+    A separator belongs to the field before it. The row's section is the field's name. Null and empty fields have no
+    tokens, a row of such fields alone those of its separators; null keys stay null, repeated rows give repeated results, very long
+    fields are encoded whole, an empty table gives no rows, other columns are not used.
     """
     if rule not in RULES:
         raise ValueError(f"rule {rule!r} is not one of {RULES}")

@@ -253,7 +253,8 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     """doc_id, held_out, score and predicted of each row.
 
     Null and empty texts have no evidence and score as such; repeated rows are scored each;
-    a null id counts as the text 'null' for its fold; other columns are not used.
+    a null id counts as the text 'null' for its fold; very long texts are read word by word, none is cut;
+    an empty table gives no rows; other columns are not used.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

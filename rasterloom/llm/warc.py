@@ -204,7 +204,8 @@ def write_archives(pages: DataFrame, out: str, *, key: str = "page_id", url: str
     Of rows with equal payloads of at least ``least`` bytes that with the smallest key is a
     response and the others revisit it (repeated rows of that key are responses too, and a
     null key never is the smallest; payloads that only rows of null keys have are responses).
-    Archives of failed or repeated attempts are not in the manifest.
+    Archives of failed or repeated attempts are not in the manifest. Null or empty html is an empty payload, a null
+    address no header line; a very long page is one record; an empty table gives an empty manifest; other columns are not used.
     """
     spark = pages.sparkSession
     out = common.qualified(spark, out)

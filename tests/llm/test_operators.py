@@ -1,6 +1,7 @@
 """Each operator against brute force, a round trip or held-out rows, with nulls, empty, long, repeated and clashing input."""
 
 import hashlib
+import io
 import math
 import random
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from rasterloom.llm import common, fingerprints, jaccard_join, packing, pfor, suffix_dedup, token_counts, toxicity, warc
@@ -203,6 +205,21 @@ def test_token_counts_of_fields(spark):
     got = token_counts.attribute_fields(table(spark, ["hello there", None]), default_tokenizer(), ["lang", "source", "text"]).collect()
     assert sum(r.n_tokens for r in got if r.doc_id == 0) == len(library().encode("en\ns\nhello there", add_special_tokens=False).ids)
     assert {r.field: r.n_tokens for r in got if r.doc_id == 1}["text"] == 0
+    own = library()
+    docs = table(spark, ["a b", "a b", "", "word " * 50_000], [None, 3, 3, 3])
+    for rule in token_counts.RULES:
+        rows = token_counts.attribute_fields(docs, default_tokenizer(), ["text", "lang"], rule=rule).collect()
+        assert len(rows) == 8 and sum(r.doc_id is None for r in rows) == 2
+        totals = sorted(round(sum(r.n_tokens for r in pair), 6) for pair in zip(rows[::2], rows[1::2], strict=True))
+        assert totals == sorted(len(own.encode(f"{t}\nen", add_special_tokens=False).ids) for t in ("a b", "a b", "", "word " * 50_000))
+
+
+def test_token_counts_of_no_documents_and_of_a_long_one(spark, none):
+    assert token_counts.attribute_sections(none, default_tokenizer()).collect() == [] == token_counts.attribute_fields(none, default_tokenizer(), ["text"]).collect()
+    rng = random.Random(8)
+    text = "\n".join(words(rng, 40) for _ in range(1500))
+    got = token_counts.attribute_sections(table(spark, [text]), default_tokenizer()).collect()
+    assert len(got) == 1500 and sum(r.n_tokens for r in got) == len(library().encode(text, add_special_tokens=False).ids)
 
 
 # --- fingerprints ---
@@ -468,6 +485,39 @@ def test_damaged_records_are_refused():
             warc.read_record(bad)
 
 
+def archive_of(payloads, sample=200):
+    out = io.BytesIO()
+    writer = warc.ArchiveWriter(out, sample=sample)
+    for i, p in enumerate(payloads):
+        writer.add(warc.record(i, "u", p))
+    writer.close()
+    return out.getvalue()
+
+
+def test_damaged_archives_are_refused():
+    payloads = [f"page {k} of some archive with words in it".encode() * 5 for k in range(20)]
+    data = archive_of(payloads)
+    assert [warc.read_record(r)["payload"] for r in warc.read_frames(io.BytesIO(data))] == payloads
+    assert [warc.read_record(r)["payload"] for r in warc.read_frames(io.BytesIO(data), buffer=7)] == payloads
+    size = int.from_bytes(data[4:8], "little")
+    for bad, why in ((b"", "no dictionary"), (data[:5], "no dictionary"), (b"WARC" + data[4:], "magic"), (data[: 8 + size // 2], "dictionary frame is cut"), (data[:-3], "last frame is cut")):
+        with pytest.raises(warc.WarcError, match=why):
+            list(warc.read_frames(io.BytesIO(bad)))
+    broken = bytearray(data)
+    broken[8 + size + 30] ^= 0xFF  # within the first record's frame
+    with pytest.raises((warc.WarcError, zstandard.ZstdError)):
+        [warc.read_record(r) for r in warc.read_frames(io.BytesIO(bytes(broken)))]
+
+
+def test_archives_that_differ_from_the_manifest_are_refused(spark, tmp_path):
+    data = archive_of([b"one", b"two"])
+    (tmp_path / "a.warc.zst").write_bytes(data)
+    for size, records in ((len(data) + 1, 2), (len(data), 3)):
+        manifest = spark.createDataFrame([(f"file://{tmp_path}/a.warc.zst", size, records)], "path string, bytes long, records long")
+        with pytest.raises(Exception, match="not " + str(size if records == 2 else 3)):
+            warc.read_archives(manifest).collect()
+
+
 # --- toxicity ---
 
 
