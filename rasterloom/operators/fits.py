@@ -2,8 +2,8 @@
 
 Shift, similarity and affine least squares are sums and closed forms. Robust
 fits (RANSAC), homography, polynomials and thin-plate splines run as numpy in
-one task per group, on all of its matches; a group is one image pair at one scale. ``fit_all`` makes one row per type, ``choose_best`` takes the
-least robust RMSE.
+one task per group, on all of its matches; a group is one image pair at one scale, and ``split`` has the forms for groups of any size.
+``fit_all`` makes one row per type, ``choose_best`` takes the simplest that is as good as any on matches it was not fitted to.
 """
 
 from __future__ import annotations
@@ -237,6 +237,72 @@ def apply_thin_plate(at: np.ndarray, s: np.ndarray, weights: np.ndarray, affine:
     return out
 
 
+#: Control points of a cell, about, beyond which a spline is made of local ones; how far a cell's own spline reaches beyond it, in shares of its sides.
+CELL, REACH = 400, 0.5
+
+
+class LocalSplines:
+    """A partition of unity of thin-plate splines: control points are cut into cells of at most CELL by a k-d split, each cell has the spline
+    of the points within its box and REACH around it, and splines are blended by weights that fall smoothly to 0 at the edge of their reach.
+
+    With up to CELL points it is the thin-plate spline itself. Fitting and memory grow with the number of points; it goes through the
+    control points where their splines do.
+    """
+
+    def __init__(self, s: np.ndarray, d: np.ndarray):
+        self.s, self.d = s, d
+        low, high = s.min(0), s.max(0)
+        pad = np.maximum(high - low, 1e-9) * 1e-9
+        self.root = self._split(np.arange(len(s)), low - pad, high + pad, None)
+
+    def _split(self, own: np.ndarray, low: np.ndarray, high: np.ndarray, whole: np.ndarray | None) -> dict:
+        """A node: the box that its splines reach, and either two halves or a spline. whole: the points that may be within reach; all if absent."""
+        whole = np.arange(len(self.s)) if whole is None else whole
+        around = (high - low) * REACH
+        if len(own) <= CELL:
+            near = own if len(own) == len(self.s) else whole[((self.s[whole] >= low - around) & (self.s[whole] <= high + around)).all(1)]
+            weights, affine = spline_through(self.s[near], self.d[near])
+            return {"low": low - around, "high": high + around, "near": near, "weights": weights, "affine": affine}
+        axis = int(np.argmax(high - low))
+        cut = float(np.median(self.s[own, axis]))
+        left = self.s[own, axis] <= cut
+        if left.all() or not left.any():  # as many points in one place
+            left = np.arange(len(own)) < len(own) // 2
+        reach = whole[((self.s[whole] >= low - 2 * around) & (self.s[whole] <= high + 2 * around)).all(1)]
+        halves = []
+        for side in (left, ~left):
+            a, b = low.copy(), high.copy()
+            (b if side is left else a)[axis] = cut
+            halves.append(self._split(own[side], a, b, reach))
+        return {"low": np.minimum(halves[0]["low"], halves[1]["low"]), "high": np.maximum(halves[0]["high"], halves[1]["high"]), "halves": halves}
+
+    def __call__(self, at: np.ndarray) -> np.ndarray:
+        if "halves" not in self.root:
+            r = self.root
+            return apply_thin_plate(at, self.s[r["near"]], r["weights"], r["affine"])
+        total, share = np.zeros((len(at), 2)), np.zeros(len(at))
+        # Points beyond all cells take the value of the nearest place within the outermost box.
+        box = np.clip(at, self.s.min(0), self.s.max(0))
+        self._add(self.root, box, np.arange(len(at)), total, share)
+        out = total / share[:, None]
+        return out + (at - box)
+
+    def _add(self, node: dict, at: np.ndarray, which: np.ndarray, total: np.ndarray, share: np.ndarray) -> None:
+        p = at[which]
+        which = which[((p > node["low"]) & (p < node["high"])).all(1)]
+        if not len(which):
+            return
+        if "halves" in node:
+            for half in node["halves"]:
+                self._add(half, at, which, total, share)
+            return
+        middle, side = (node["low"] + node["high"]) / 2, np.maximum((node["high"] - node["low"]) / 2, 1e-12)
+        t = np.abs((at[which] - middle) / side)
+        w = ((1 - t) ** 4 * (4 * t + 1)).prod(1)
+        total[which] += w[:, None] * apply_thin_plate(at[which], self.s[node["near"]], node["weights"], node["affine"])
+        share[which] += w
+
+
 def _statistics(err: np.ndarray, inside: np.ndarray) -> dict:
     """Of the inliers' errors; of all where there is no inlier."""
     used = err[inside] if inside.any() else err
@@ -270,7 +336,7 @@ def fit_one(kind: str, s: np.ndarray, d: np.ndarray, threshold: float = 5.0, rou
         c, t = np.unique(s[inside], axis=0, return_index=True)
         t = d[inside][t]
         try:
-            got = apply_thin_plate(s, c, *spline_through(c, t))
+            got = LocalSplines(c, t)(s)
         except np.linalg.LinAlgError:
             return out | {"error": "degenerate_points"}
         return out | {"ctrl_src": c.tolist(), "ctrl_dst": t.tolist()} | _statistics(np.linalg.norm(got - d, axis=1), inside)
@@ -292,8 +358,7 @@ def mapped(row: dict, s: np.ndarray) -> np.ndarray:
         return _project(np.array(row["matrix"]).reshape(3, 3), s)
     if row.get("coef_x"):
         return basis(s[:, 0], s[:, 1], row["degree"]) @ np.array([row["coef_x"], row["coef_y"]]).T
-    c, t = np.array(row["ctrl_src"]), np.array(row["ctrl_dst"])
-    return apply_thin_plate(s, c, *spline_through(c, t))
+    return LocalSplines(np.array(row["ctrl_src"]), np.array(row["ctrl_dst"]))(s)
 
 
 def held_errors(kind: str, s: np.ndarray, d: np.ndarray, held: np.ndarray, threshold: float, rough: np.ndarray | None) -> np.ndarray | None:

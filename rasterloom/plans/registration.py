@@ -77,11 +77,7 @@ def look_up(row: dict, scale: float) -> Callable[[np.ndarray], np.ndarray]:
         def bent(q: np.ndarray) -> np.ndarray:
             return fits.basis(q[:, 0], q[:, 1], row["degree"]) @ coef
     else:
-        s, d = np.array(row["ctrl_src"]), np.array(row["ctrl_dst"])
-        weights, affine = fits.spline_through(s, d)
-
-        def bent(q: np.ndarray) -> np.ndarray:
-            return fits.apply_thin_plate(q, s, weights, affine)
+        bent = fits.LocalSplines(np.array(row["ctrl_src"]), np.array(row["ctrl_dst"]))
 
     return lambda p: bent((p - shift) / k) * k + shift
 

@@ -2,6 +2,7 @@
 
 import json
 import math
+import time
 import zipfile
 from datetime import datetime
 
@@ -464,3 +465,24 @@ def test_inverted_lists_find_the_nearest(spark, monkeypatch):
     assert index.search(queries, rest.limit(0)).count() == 0 and index.search(queries.limit(0), rest, centroids).count() == 0
     # Every row is in its lists.
     assert index.placed(rest, centroids, 2).select("kp_id").distinct().count() == rest.count()
+
+
+def test_local_splines_are_the_spline_itself_for_few_points():
+    rng = np.random.default_rng(1)
+    s = rng.uniform(0, 500, (300, 2))
+    d = np.c_[s[:, 0] + 8 * np.sin(s[:, 1] / 60), s[:, 1] + 5 * np.cos(s[:, 0] / 80)]
+    at = rng.uniform(-20, 520, (500, 2))
+    assert np.allclose(fits.LocalSplines(s, d)(at), fits.apply_thin_plate(at, s, *fits.spline_through(s, d)), atol=1e-6)
+
+
+def test_local_splines_of_many_points_follow_the_map():
+    rng = np.random.default_rng(2)
+    bend = lambda p: np.c_[p[:, 0] + 8 * np.sin(p[:, 1] / 60), p[:, 1] + 5 * np.cos(p[:, 0] / 80)]
+    s = rng.uniform(0, 2000, (9000, 2))
+    began = time.process_time()
+    spline = fits.LocalSplines(s, bend(s))
+    at = rng.uniform(30, 1970, (4000, 2))
+    assert np.abs(spline(at) - bend(at)).max() < 0.2 and np.abs(spline(at) - bend(at)).mean() < 0.005 and np.abs(spline(s) - bend(s)).max() < 1e-3
+    assert time.process_time() - began < 120 and np.isfinite(spline(rng.uniform(-500, 3000, (500, 2)))).all()
+    same = np.repeat([[5.0, 5.0], [9.0, 7.0]], 600, axis=0) + rng.normal(0, 1e-3, (1200, 2))  # two heaps of points
+    assert np.isfinite(fits.LocalSplines(same, same + 3)(same)).all()
