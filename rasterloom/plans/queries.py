@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.functions import geo
+from rasterloom.functions import geo, projection
 from rasterloom.operators import control, fits, grids, index, matching, raster, robust, split
 from rasterloom.plans import registration
 from rasterloom.plans.views import view, with_views
@@ -260,6 +260,16 @@ def local_warp(spark, d):
     return registration.pixels_of(warped, 16).withColumn("value", F.round("value", 2))
 
 
+@query("SC17 AP12", "SELECT gcp_id, round(6378137.0::double * radians(lon), 3) AS x, round(6378137.0::double * ln(tan(pi() / 4 + radians(lat) / 2)), 3) AS y, true AS same FROM gcp")
+def web_mercator(spark, d):
+    """Forward, and back again."""
+    g = view(spark, d, "gcp")
+    x, y = projection.forward(F.col("lon"), F.col("lat"), 3857, projection.columns)
+    p = g.select("gcp_id", "lon", "lat", x.alias("x"), y.alias("y"))
+    lon, lat = projection.inverse(F.col("x"), F.col("y"), 3857, projection.columns)
+    return p.select("gcp_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), ((F.abs(lon - F.col("lon")) < 1e-9) & (F.abs(lat - F.col("lat")) < 1e-9)).alias("same"))
+
+
 @query("WIN3", f"/* steps */ SELECT * FROM (WITH {_ERR}, e AS (SELECT step, sqrt(cx * cx + cy * cy) AS m FROM c), l AS (SELECT *, lag(m) OVER (ORDER BY step) AS p FROM e) SELECT step, round(m, 6) AS mean_error, CASE WHEN p IS NULL THEN 'N/A' WHEN m < p THEN 'Improving' WHEN m > p THEN 'Degrading' ELSE 'Same' END AS trend FROM l)")
 def gcp_step_trend(spark, d):
     s = fits.compose_shifts(view(spark, d, "steps")).withColumn("mean_error", F.sqrt(F.col("cum_x") * F.col("cum_x") + F.col("cum_y") * F.col("cum_y")))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rasterloom.functions import geo
+from rasterloom.functions import geo, projection
 from rasterloom.operators import control, features, fits, grids, matching, raster, robust, scalespace, split
 from rasterloom.sources import geotiff, paths, sinks
 
@@ -446,76 +446,52 @@ def mosaic_crop(x0: int, y0: int, x1: int, y1: int, zoom: int, box: tuple[float,
     return left, upper, max(left + 1, right), max(upper + 1, lower)
 
 
-def utm_forward(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
-    """Easting and northing on WGS84 by the sixth-order series of the transverse Mercator projection; within a millimetre in a zone."""
-    a, f = 6378137.0, 1 / 298.257223563
-    n = f / (2 - f)
-    big = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
-    e = math.sqrt(f * (2 - f))
-    phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
-    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    x, y = eta, xi
-    for j, c in enumerate(alpha, 1):
-        x = x + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        y = y + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return 500000 + 0.9996 * big * x, F.when(lat < 0, 10000000.0).otherwise(0.0) + 0.9996 * big * y
-
-
-def utm_inverse(easting: np.ndarray, northing: np.ndarray, epsg: int) -> tuple[np.ndarray, np.ndarray]:
-    """Longitude and latitude of UTM coordinates on WGS84, by Newton's method on the forward series' inverse."""
-    a, f = 6378137.0, 1 / 298.257223563
-    n = f / (2 - f)
-    big = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
-    e = math.sqrt(f * (2 - f))
-    xi = (np.asarray(northing, float) - (1e7 if epsg // 100 == 327 else 0)) / (0.9996 * big)
-    eta = (np.asarray(easting, float) - 5e5) / (0.9996 * big)
-    x, y = xi.copy(), eta.copy()
-    for j, c in enumerate(beta, 1):
-        x -= c * np.sin(2 * j * xi) * np.cosh(2 * j * eta)
-        y -= c * np.cos(2 * j * xi) * np.sinh(2 * j * eta)
-    chi = np.arcsin(np.sin(x) / np.cosh(y))
-    phi = chi.copy()
-    for _ in range(6):
-        s = np.sin(phi)
-        phi = np.arcsin(np.tanh(np.arctanh(np.sin(chi)) + e * np.arctanh(e * s)))
-    return np.degrees(np.arctan2(np.sinh(y), np.cos(x))) + (epsg % 100) * 6 - 183, np.degrees(phi)
-
-
-def reproject_to_utm(tiles: DataFrame, tile: int, height: int, width: int, transform: tuple[float, ...], epsg: int, pixel_m: float, origin: tuple[float, float], out_height: int, out_width: int) -> DataFrame:
-    """Tiles of a raster in degrees (no rotation) resampled to a UTM grid whose upper left corner is ``origin``."""
-    a, _, c, _, e, f = transform
+def reproject_tiles(tiles: DataFrame, tile: int, head: Mapping, transform: tuple[float, ...], epsg: int, height: int, width: int, ids: tuple[int, ...] | None = None) -> DataFrame:
+    """Tiles of a raster (its header: a to f, height, width, epsg) resampled to the grid of a geotransform in another system."""
+    a, b, c, d, e, f = (head[k] for k in "abcdef")
+    back = np.linalg.inv(np.array([[a, b, c], [d, e, f], [0, 0, 1.0]]))
+    a2, b2, c2, d2, e2, f2 = transform
 
     def inverse(p: np.ndarray) -> np.ndarray:
-        lon, lat = utm_inverse(origin[0] + (p[:, 0] + 0.5) * pixel_m, origin[1] - (p[:, 1] + 0.5) * pixel_m, epsg)
-        return np.c_[(lon - c) / a - 0.5, (lat - f) / e - 0.5]
+        u, v = p[:, 0] + 0.5, p[:, 1] + 0.5
+        x, y = projection.between(epsg, head["epsg"], a2 * u + b2 * v + c2, d2 * u + e2 * v + f2)
+        return (np.c_[x, y, np.ones(len(p))] @ back.T)[:, :2] - 0.5
 
-    return raster.warp_tiles(tiles, inverse, tile, out_height, out_width)
+    return raster.warp_tiles(tiles, inverse, tile, height, width, (head["height"], head["width"]), ids)
+
+
+def best_zone(head: Mapping) -> int:
+    """EPSG code of the UTM zone that holds a raster's centre."""
+    lon, lat = projection.inverse(np.array((head["left"] + head["right"]) / 2), np.array((head["bottom"] + head["top"]) / 2), head["epsg"])
+    spark = SparkSession.getActiveSession()
+    return spark.range(1).select(geo.utm_epsg(F.lit(float(lon)), F.lit(float(lat)))).first()[0]
 
 
 def reproject_file(spark: SparkSession, path: str, out: str, epsg: int | None = None, tile: int = 256) -> str:
-    """A raster in degrees, without rotation, resampled to metres and written under ``out``; returns its files' path.
+    """A raster resampled to another system of ``projection`` and written under ``out``; returns its files' path.
 
-    epsg: a UTM zone; by default that of the raster's centre. Pixels keep their size on the ground.
+    epsg: by default the UTM zone of the raster's centre. Pixels keep about their size on the ground: the width of one
+    at the raster's centre.
     """
     r = open_raster(spark, path, tile)
     h = r.head
-    if h["epsg"] != 4326 or h["b"] or h["d"]:
-        raise ValueError("only rasters in degrees, without rotation, are reprojected")
-    at = spark.range(1).select(geo.utm_epsg(F.lit((h["left"] + h["right"]) / 2), F.lit((h["bottom"] + h["top"]) / 2)).alias("zone"), geo.pixel_metres(F.lit(4326), F.lit(h["a"]), F.lit(h["top"]), F.lit(h["bottom"])).alias("m")).first()
-    epsg = epsg or at.zone
+    epsg = epsg or best_zone(h)
+    if bad := [k for k in (h["epsg"], epsg) if k is None or not projection.known(k)]:
+        raise ValueError(f"EPSG:{bad[0]} is not known")
+    u = np.linspace(0, 1, 65)
     # Edges of a box bend in the projection, so points along them give its extent.
-    t = F.col("id") / 64.0
-    edge = [(F.lit(h["left"]) + t * (h["right"] - h["left"]), F.lit(y)) for y in (h["bottom"], h["top"])] + [(F.lit(x), F.lit(h["bottom"]) + t * (h["top"] - h["bottom"])) for x in (h["left"], h["right"])]
-    places = spark.range(65).select(F.explode(F.array(*(F.struct(*(c.alias(n) for c, n in zip(utm_forward(x, y, F.lit(epsg % 100)), ("x", "y"), strict=True))) for x, y in edge))).alias("p"))
-    if epsg // 100 == 327:  # the south counts from ten million metres below the equator, whatever the point's own latitude
-        places = places.select(F.struct(F.col("p.x").alias("x"), F.when(F.col("p.y") < 5e6, F.col("p.y") + 1e7).otherwise(F.col("p.y")).alias("y")).alias("p"))
-    box = places.agg(F.min("p.x").alias("left"), F.min("p.y").alias("bottom"), F.max("p.x").alias("right"), F.max("p.y").alias("top")).first()
-    width, height = max(1, math.ceil((box.right - box.left) / at.m)), max(1, math.ceil((box.top - box.bottom) / at.m))
-    warped = reproject_to_utm(eight_bit(r, tile, joint=False), tile, h["height"], h["width"], tuple(h[c] for c in "abcdef"), epsg, at.m, (box.left, box.top), height, width)
-    geotiff.write_tiles(warped.withColumnRenamed("raster_id", "band"), out, (at.m, 0.0, box.left, 0.0, -at.m, box.top), epsg, height, width, tile)
+    px = np.concatenate([u * h["width"], u * h["width"], 0 * u, 0 * u + h["width"]])
+    py = np.concatenate([0 * u, 0 * u + h["height"], u * h["height"], u * h["height"]])
+    x, y = projection.between(h["epsg"], epsg, h["a"] * px + h["b"] * py + h["c"], h["d"] * px + h["e"] * py + h["f"])
+    mx, my = h["width"] / 2 + np.array([0.0, 1.0, 0.0]), h["height"] / 2 + np.array([0.0, 0.0, 1.0])
+    cx, cy = projection.between(h["epsg"], epsg, h["a"] * mx + h["b"] * my + h["c"], h["d"] * mx + h["e"] * my + h["f"])
+    size = float(np.hypot(cx[1] - cx[0], cy[1] - cy[0]))
+    left, top = float(x.min()), float(y.max())
+    width, height = max(1, math.ceil((x.max() - left) / size)), max(1, math.ceil((top - y.min()) / size))
+    transform = (size, 0.0, left, 0.0, -size, top)
+    bands = tuple(range(1, min(3, h["bands"]) + 1))
+    warped = reproject_tiles(eight_bit(r, tile, joint=False), tile, h, transform, epsg, height, width, bands)
+    geotiff.write_tiles(warped.withColumnRenamed("raster_id", "band"), out, transform, epsg, height, width, tile)
     return f"{out}/*.tif"
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom import __main__ as cli
+from rasterloom.functions import projection
 from rasterloom.operators import features, fits, matching, raster, scalespace
 from rasterloom.plans import registration
 from rasterloom.sources import files, geotiff, sinks
@@ -56,7 +57,7 @@ def test_basemap_tiles(spark):
 
 
 def test_utm(spark):
-    e, n = registration.utm_forward(F.lit(-123.0), F.lit(49.0), F.lit(10))
+    e, n = projection.forward(F.lit(-123.0), F.lit(49.0), 32610, projection.columns)
     r = spark.range(1).select(e.alias("e"), n.alias("n")).first()
     assert abs(r.e - 500000) < 1e-3 and abs(r.n - 0.9996 * meridian_m(49.0)) < 1e-3
 
@@ -77,12 +78,27 @@ def test_event_stream(spark, tmp_path):
     assert spark.table("counts").first().n == 2
 
 
-def test_utm_there_and_back(spark):
-    for lon, lat, epsg in ((-123.3, 49.2, 32610), (20.5, -30.2, 32734), (5.0, 60.0, 32632)):
-        e, n = registration.utm_forward(F.lit(lon), F.lit(lat), F.lit(epsg % 100))
-        r = spark.range(1).select(e.alias("e"), n.alias("n")).first()
-        lon2, lat2 = registration.utm_inverse(np.array([r.e]), np.array([r.n]), epsg)
-        assert abs(lon2[0] - lon) < 1e-8 and abs(lat2[0] - lat) < 1e-8
+@pytest.mark.parametrize("epsg,lon,lat", [(32610, -123.3, 49.2), (32734, 20.5, -30.2), (32632, 5.0, 60.0), (25832, 10.7, 48.1), (26910, -121.0, 37.5), (3857, 151.2, -33.9), (2154, 2.35, 48.85), (2154, -4.5, 42.5), (3034, 24.0, 61.0), (3347, -63.5, 46.2)])
+def test_projections_there_and_back(spark, epsg, lon, lat):
+    """Columns and arrays agree, and what comes back is within a tenth of a millimetre."""
+    x, y = projection.forward(F.lit(lon), F.lit(lat), epsg, projection.columns)
+    r = spark.range(1).select(x.alias("x"), y.alias("y")).select("x", "y", *(c.alias(n) for c, n in zip(projection.inverse(F.col("x"), F.col("y"), epsg, projection.columns), ("lon", "lat"), strict=True))).first()
+    assert abs(r.lon - lon) < 1e-9 and abs(r.lat - lat) < 1e-9
+    ax, ay = projection.forward(np.array([lon]), np.array([lat]), epsg)
+    assert abs(ax[0] - r.x) < 1e-6 and abs(ay[0] - r.y) < 1e-6
+    # A conformal map stretches alike in all directions.
+    d = 1e-5
+    here, east, north = (np.array(projection.forward(np.array([lon + i * d / np.cos(np.radians(lat))]), np.array([lat + j * d]), epsg))[:, 0] for i, j in ((0, 0), (1, 0), (0, 1)))
+    assert abs(np.dot(east - here, north - here)) < 1e-4 * np.dot(north - here, north - here)
+
+
+def test_known_places():
+    assert np.allclose(projection.forward(3.0, 46.5, 2154), (700000, 6600000), atol=1e-3)  # the origins of the systems
+    assert np.allclose(projection.forward(10.0, 52.0, 3034), (4000000, 2800000), atol=1e-3)
+    assert np.allclose(projection.forward(180.0, 0.0, 3857), (20037508.342789, 0), atol=1e-5)
+    assert not projection.known(4267) and projection.known(32760) and not projection.known(32761)
+    with pytest.raises(ValueError, match="not known"):
+        projection.forward(0.0, 0.0, 4267)
 
 
 def test_corners_match_across_a_shift(spark):
@@ -108,13 +124,10 @@ def test_gcp_analysis(spark):
 
 
 def test_reprojection_keeps_a_flat_image(spark):
-    from rasterloom.operators import raster
-
     p = spark.createDataFrame([(1, r, c, 100) for r in range(32) for c in range(32)], SCHEMA)
-    tiles = raster.to_tiles(p, 16)
-    e, n = registration.utm_forward(F.lit(-123.0), F.lit(49.0), F.lit(10))
-    o = spark.range(1).select(e.alias("e"), n.alias("n")).first()
-    out = registration.reproject_to_utm(tiles, 16, 32, 32, (0.0001, 0, -123.0, 0, -0.0001, 49.0), 32610, 10.0, (o.e + 30, o.n - 30), 16, 16).collect()
+    head = {"a": 0.0001, "b": 0.0, "c": -123.0, "d": 0.0, "e": -0.0001, "f": 49.0, "height": 32, "width": 32, "epsg": 4326}
+    x, y = projection.forward(-123.0, 49.0, 32610)
+    out = registration.reproject_tiles(raster.to_tiles(p, 16), 16, head, (10.0, 0.0, x + 30, 0.0, -10.0, y - 30), 32610, 16, 16).collect()
     assert len(out) == 1 and np.allclose(np.frombuffer(out[0].data, np.float32), 100, atol=1e-3)
 
 
@@ -311,7 +324,9 @@ def test_reprojected_file_keeps_its_place(spark, tmp_path):
     cli.main(["reproject", f"{tmp_path}/d.tif", f"{tmp_path}/utm"])
     r = registration.open_raster(spark, f"{tmp_path}/utm/d/*.tif", 64)
     assert r.head["epsg"] == 32610
-    lon, lat = registration.utm_inverse(np.array([r.head["c"] + 30.5 * r.head["a"]]), np.array([r.head["f"] + 25.5 * r.head["e"]]), 32610)
+    lon, lat = projection.inverse(np.array([r.head["c"] + 30.5 * r.head["a"]]), np.array([r.head["f"] + 25.5 * r.head["e"]]), 32610)
+    cli.main(["reproject", f"{tmp_path}/utm/d/*.tif", f"{tmp_path}/web", "--epsg", "3857"])
+    assert registration.open_raster(spark, f"{tmp_path}/web/*/*.tif", 64).head["epsg"] == 3857
     tile = {t.raster_id: np.frombuffer(t.data, np.float32).reshape(64, 64) for t in r.tiles.where("ty = 0 and tx = 0").collect()}
     assert abs(tile[1][25, 30] - ((lon[0] + 123) / 0.0001 - 0.5) * 3) < 3 and abs(tile[2][25, 30] - ((49.3 - lat[0]) / 0.0001 - 0.5) * 4) < 4
 
