@@ -45,9 +45,11 @@ def settled(a: argparse.Namespace) -> dict:
     """Options of a run: the command line before the configuration file before the defaults; unknown names of the file are logged."""
     config = files.load_config(a.config) if a.config else {}
     given = {CONFIG[k]: v for k, v in config.items() if k in CONFIG}
-    if other := [k for k in config if k not in CONFIG and not k.startswith("_")]:
+    if other := [k for k in config if k not in (*CONFIG, "output_format") and not k.startswith("_")]:
         log.info("not used of %s: %s", a.config, ", ".join(other))
     out = DEFAULTS | {"algorithms": None, "source": None, "target": None} | given | {k: v for k, v in vars(a).items() if k in {*CONFIG.values()} and v is not None}
+    form = config.get("output_format") or {}
+    out["quality"] = a.jpeg_quality or (int(form.get("jpeg_quality", 90)) if str(form.get("compression", "")).upper() == "JPEG" else None)
     if out["algorithms"] is None and out["scales"] == DEFAULTS["scales"]:
         out["algorithms"] = [k for _, k in registration.DEFAULT_PLAN]
     return out
@@ -81,7 +83,7 @@ def register(spark: SparkSession, a: argparse.Namespace) -> None:
     head = source.head
     transform, epsg = tuple(head[c] for c in "abcdef"), head["epsg"] or 32610
     pixel_m = spark.range(1).select(geo.pixel_metres(F.lit(epsg), *(F.lit(head[c]) for c in ("a", "top", "bottom")))).first()[0]
-    manifest = [r.asDict() for r in geotiff.write_tiles(tiles.withColumnRenamed("raster_id", "band"), f"{run['run']}/registered", transform, epsg, head["height"], head["width"], a.tile).collect()]  # a row per file
+    manifest = [r.asDict() for r in geotiff.write_tiles(tiles.withColumnRenamed("raster_id", "band"), f"{run['run']}/registered", transform, epsg, head["height"], head["width"], a.tile, quality=o["quality"]).collect()]  # a row per file
     for scale, found in matches.items():
         sinks.matches_json(found.withColumn("scale", F.lit(scale)), pixel_m / scale, ("pair_id", "scale")).select("json").write.mode("overwrite").text(f"{run['run']}/matches_scale{scale:.3f}")
     steps = [sinks.transform_record(s.row, s.scale, pixel_m) for s in done.steps]
@@ -189,6 +191,7 @@ def main(argv: list[str] | None = None) -> None:
     for name in ("patch", "spacing", "margin", "features"):
         r.add_argument(f"--{name}", type=int)
     r.add_argument("--threshold", type=float)
+    r.add_argument("--jpeg-quality", type=int)
     r.set_defaults(run=register)
     b = commands.add_parser("basemap", help="download the map of an area")
     b.add_argument("area", help="min_lat,min_lon,max_lat,max_lon or a file that holds them")

@@ -18,14 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.sources import paths
+from rasterloom.sources import jpeg, paths
 
 #: TIFF tags and the bytes of their types.
 TAGS = {
     256: "width", 257: "height", 258: "bits", 259: "compression", 262: "photometric", 273: "strips", 277: "bands", 278: "rows", 279: "counts", 284: "planar", 317: "predictor", 322: "tile_width", 323: "tile_height",
-    324: "tiles", 325: "tile_counts", 339: "format", 33550: "pixel_scale", 33922: "tiepoint", 34264: "matrix", 34735: "geokeys",
+    324: "tiles", 325: "tile_counts", 339: "format", 347: "jpeg_tables", 33550: "pixel_scale", 33922: "tiepoint", 34264: "matrix", 34735: "geokeys",
 }
-SIZES = {1: ("B", 1), 2: ("c", 1), 3: ("H", 2), 4: ("I", 4), 11: ("f", 4), 12: ("d", 8), 16: ("Q", 8)}
+SIZES = {1: ("B", 1), 2: ("c", 1), 3: ("H", 2), 4: ("I", 4), 7: ("B", 1), 11: ("f", 4), 12: ("d", 8), 16: ("Q", 8)}
 KINDS = {(8, 1): "u1", (16, 1): "u2", (32, 1): "u4", (8, 2): "i1", (16, 2): "i2", (32, 2): "i4", (32, 3): "f4", (64, 3): "f8"}
 RASTER_SCHEMA = "path string, epsg int, width int, height int, bands int, a double, b double, c double, d double, e double, f double, left double, bottom double, right double, top double, kind string, error string"
 TILE_SCHEMA = "path string, band int, ty int, tx int, data binary"
@@ -157,6 +157,8 @@ def unpack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+#: The compression and the photometric interpretation of JPEG in luminance and differences.
+JPEG, YCC = 7, 6
 DECODERS = {1: lambda d: d, 5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpack_bits}
 
 
@@ -171,10 +173,13 @@ class Tiff:
         self.compression, self.predictor = t.get("compression", (1,))[0], t.get("predictor", (1,))[0]
         if len(kinds) != 1 or next(iter(kinds)) not in KINDS:
             raise ValueError(f"samples of {sorted(kinds)} bits and kinds are not read")
-        if self.compression not in DECODERS or self.predictor not in (1, 2):
+        if self.compression not in (*DECODERS, JPEG) or self.predictor not in (1, 2):
             raise ValueError(f"compression {self.compression} with predictor {self.predictor} is not read")
         self.kind = np.dtype(t["order"] + KINDS[next(iter(kinds))])
         self.separate = t.get("planar", (1,))[0] == 2
+        self.jpeg = jpeg.Tables()
+        if self.compression == JPEG and "jpeg_tables" in t:
+            jpeg.read_tables(bytes(t["jpeg_tables"]), self.jpeg)
         self.tiled = "tiles" in t
         self.block = (t["tile_height"][0], t["tile_width"][0]) if self.tiled else (min(t.get("rows", (self.height,))[0], self.height), self.width)
         self.across = -(-self.width // self.block[1])
@@ -189,7 +194,11 @@ class Tiff:
             h = min(h, self.height - i * h)
         if not self.counts[k]:
             return np.zeros((h, w, samples), self.kind)
-        raw = DECODERS[self.compression](self.read(self.offsets[k], self.counts[k]))
+        data = self.read(self.offsets[k], self.counts[k])
+        if self.compression == JPEG:
+            got = jpeg.decode(data, self.jpeg)[:h, :w]
+            return jpeg.from_ycc(got) if self.tags.get("photometric", (1,))[0] == YCC and got.shape[2] == 3 else got
+        raw = DECODERS[self.compression](data)
         out = np.frombuffer(raw, self.kind, h * w * samples).reshape(h, w, samples)
         if self.predictor == 2:
             out = np.cumsum(out, axis=1, dtype=self.kind.newbyteorder("="))
@@ -265,20 +274,21 @@ def read_reduced(spark: SparkSession, path: str, scale: float, tile: int = 256)
     return grid.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "ty").mapInPandas(read, TILE_SCHEMA)
 
 
-def encode(image: np.ndarray, transform: tuple[float, ...], epsg: int, tile: int = 256) -> bytes:
-    """A tiled, deflated 8-bit GeoTIFF of (bands, height, width)."""
+def encode(image: np.ndarray, transform: tuple[float, ...], epsg: int, tile: int = 256, quality: int | None = None) -> bytes:
+    """A tiled 8-bit GeoTIFF of (bands, height, width), deflated or, with a quality, in JPEG."""
     bands, h, w = image.shape
     a, _, c, _, e, f = transform
     down, across = -(-h // tile), -(-w // tile)
     padded = np.zeros((down * tile, across * tile, bands), np.uint8)
     padded[:h, :w] = image.transpose(1, 2, 0)
-    blocks = [zlib.compress(padded[i * tile : (i + 1) * tile, j * tile : (j + 1) * tile].tobytes(), 6) for i in range(down) for j in range(across)]
+    cut = [padded[i * tile : (i + 1) * tile, j * tile : (j + 1) * tile] for i in range(down) for j in range(across)]
+    shared, blocks = (None, [zlib.compress(c.tobytes(), 6) for c in cut]) if quality is None else jpeg.encode(cut, quality)
     degrees = epsg == 4326
     geokeys = (1, 1, 0, 3, 1024, 0, 1, 2 if degrees else 1, 1025, 0, 1, 1, 2048 if degrees else 3072, 0, 1, epsg)
     n = len(blocks)
     fields = [
-        (256, "I", (w,)), (257, "I", (h,)), (258, "H", (8,) * bands), (259, "H", (8,)), (262, "H", (2 if bands >= 3 else 1,)), (277, "H", (bands,)), (284, "H", (1,)), (322, "I", (tile,)), (323, "I", (tile,)),
-        (324, "I", (0,) * n), (325, "I", tuple(map(len, blocks))), *([(338, "H", (0,) * (bands - 3))] if bands > 3 else []), (33550, "d", (a, -e, 0.0)), (33922, "d", (0.0, 0.0, 0.0, c, f, 0.0)), (34735, "H", geokeys),
+        (256, "I", (w,)), (257, "I", (h,)), (258, "H", (8,) * bands), (259, "H", (8 if quality is None else JPEG,)), (262, "H", (2 if bands >= 3 else 1,)), (277, "H", (bands,)), (284, "H", (1,)), (322, "I", (tile,)), (323, "I", (tile,)),
+        (324, "I", (0,) * n), (325, "I", tuple(map(len, blocks))), *([(338, "H", (0,) * (bands - 3))] if bands > 3 else []), *([(347, "B", tuple(shared))] if shared else []), (33550, "d", (a, -e, 0.0)), (33922, "d", (0.0, 0.0, 0.0, c, f, 0.0)), (34735, "H", geokeys),
     ]
     start = 8 + 2 + 12 * len(fields) + 4
     extra = start + sum(s for _, code, v in fields if (s := struct.calcsize(f"<{len(v)}{code}")) > 4)
@@ -286,7 +296,7 @@ def encode(image: np.ndarray, transform: tuple[float, ...], epsg: int, tile: int
     directory, tail = b"", b""
     for tag, code, values in fields:
         data = struct.pack(f"<{len(values)}{code}", *(places if tag == 324 else values))
-        kind = {"H": 3, "I": 4, "d": 12}[code]
+        kind = {"B": 7, "H": 3, "I": 4, "d": 12}[code]
         if len(data) > 4:
             directory += struct.pack("<HHII", tag, kind, len(values), start + len(tail))
             tail += data
@@ -295,10 +305,10 @@ def encode(image: np.ndarray, transform: tuple[float, ...], epsg: int, tile: int
     return struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<H", len(fields)) + directory + struct.pack("<I", 0) + tail + b"".join(blocks)
 
 
-def write_tiles(tiles: DataFrame, out: str, transform: tuple[float, ...], epsg: int, height: int, width: int, tile: int, block: int = 8, low: float = 0.0, high: float = 255.0) -> DataFrame:
+def write_tiles(tiles: DataFrame, out: str, transform: tuple[float, ...], epsg: int, height: int, width: int, tile: int, block: int = 8, low: float = 0.0, high: float = 255.0, quality: int | None = None) -> DataFrame:
     """Write (band, ty, tx, data) of one raster as GeoTIFFs of block x block tiles; returns the manifest (path, y0, x0, height, width, bands).
 
-    Values from low to high become 0 to 255; one band is written as three. A block's file is
+    Values from low to high become 0 to 255; one band is written as three; files are deflated or, with a quality, in JPEG. A block's file is
     written under a new name, so a repeated attempt leaves a file that no row names. The files are written now: the
     manifest is a table beside them, ``out``/manifest, so reading it writes nothing again.
     """
@@ -318,7 +328,7 @@ def write_tiles(tiles: DataFrame, out: str, transform: tuple[float, ...], epsg:
         if bands == 1:
             eight = np.repeat(eight, 3, axis=0)
         path = f"{out.rstrip('/')}/block-{key[0]:05d}-{key[1]:05d}-{uuid.uuid4().hex}.tif"
-        paths.write(path, encode(eight, (a, b, c + a * x0 + b * y0, d, e, f + d * x0 + e * y0), epsg))
+        paths.write(path, encode(eight, (a, b, c + a * x0 + b * y0, d, e, f + d * x0 + e * y0), epsg, quality=quality))
         return pd.DataFrame({"path": [path], "y0": [y0], "x0": [x0], "height": [h], "width": [w], "bands": [len(eight)]})
 
     cut = rows.where((F.col("ty") >= 0) & (F.col("tx") >= 0) & (F.col("ty") * tile < height) & (F.col("tx") * tile < width))

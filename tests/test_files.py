@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from rasterloom.operators import raster
-from rasterloom.sources import files, geotiff
+from rasterloom.sources import files, geotiff, jpeg
 
 
 def lzw(data):
@@ -175,3 +175,66 @@ def test_tiles_without_source_are_empty(spark):
     pixels = spark.createDataFrame([(1, r, c, 100) for r in range(32) for c in range(32)], "raster_id long, row int, col int, value int")
     got = raster.warp_tiles(raster.to_tiles(pixels, 16), lambda p: p, 16, 64, 64).collect()
     assert len(got) == 16 and sum(np.frombuffer(r.data, np.float32).any() for r in got) == 4
+
+
+@pytest.mark.parametrize("shape", [(64, 48, 3), (8, 8, 1), (32, 40, 4)])
+@pytest.mark.parametrize("picture", ["smooth", "noise", "flat"])
+def test_jpeg_there_and_back(shape, picture):
+    rng = np.random.default_rng(3)
+    y, x, c = np.mgrid[0 : shape[0], 0 : shape[1], 0 : shape[2]]
+    image = {"smooth": 128 + 90 * np.sin(x / 9 + c) * np.cos(y / 7), "noise": rng.integers(0, 256, shape), "flat": np.full(shape, 77)}[picture].astype(np.uint8)
+    shared, streams = jpeg.encode([image, image[::-1].copy()], 90)
+    tables = jpeg.Tables()
+    jpeg.read_tables(shared, tables)
+    for want, stream in ((image, streams[0]), (image[::-1], streams[1])):
+        error = jpeg.decode(stream, tables).astype(float) - want
+        # Each of the 64 coefficients is off by half a step at most.
+        assert np.sqrt((error**2).mean()) <= np.sqrt((jpeg.quantisation(90) ** 2).mean()) / 2 + 0.6
+    with pytest.raises(ValueError):
+        jpeg.decode(streams[0][: len(streams[0]) // 2], tables)
+    with pytest.raises(ValueError):
+        jpeg.decode(b"\xff\xd8\xff\xd9", tables)
+
+
+def test_jpeg_equals_spark_s_own_reader(spark, tmp_path):
+    """A whole file with its tables inside, read by Java's decoder."""
+    y, x = np.mgrid[0:72, 0:104]
+    image = (128 + 100 * np.sin(x / 11) * np.cos(y / 5)).astype(np.uint8)[:, :, None]
+    shared, (stream,) = jpeg.encode([image], 92)
+    (tmp_path / "a.jpg").write_bytes(shared[:-2] + stream[2:])
+    r = spark.read.format("image").load(f"{tmp_path}/a.jpg").select("image.*").first()
+    theirs = np.frombuffer(bytes(r.data), np.uint8).reshape(72, 104, -1)[:, :, 0]
+    assert np.abs(theirs.astype(int) - jpeg.decode(shared[:-2] + stream[2:])[:, :, 0]).max() <= 1
+
+
+def test_geotiffs_in_jpeg_are_read_by_window(spark, tmp_path):
+    y, x = np.mgrid[0:130, 0:150]
+    image = np.stack([x + 20, y + 30, 255 - x]).astype(np.uint8)
+    manifest = geotiff.write_tiles(tiles_from(spark, image, 64), str(tmp_path / "j"), (1, 0, 0, 0, -1, 130), 32610, 130, 150, 64, quality=90).collect()
+    (m,) = manifest
+    with geotiff.open_file(m.path) as f:
+        tiff = geotiff.Tiff(f)
+        assert tiff.compression == geotiff.JPEG
+        part = tiff.window(40, 120, 10, 149)
+    assert np.abs(part.astype(int) - image[:, 40:120, 10:149]).max() <= 12 and np.abs(part.astype(int) - image[:, 40:120, 10:149]).mean() < 1.5
+    got = geotiff.read_tiles(spark, m.path, 64).where("band = 2 and ty = 1 and tx = 1").first()
+    assert np.abs(np.frombuffer(got.data, np.float32).reshape(64, 64) - image[1, 64:128, 64:128]).max() <= 12
+
+
+def tiles_from(spark, image, tile):
+    rows = []
+    for band, plane in enumerate(image, 1):
+        for ty in range(-(-plane.shape[0] // tile)):
+            for tx in range(-(-plane.shape[1] // tile)):
+                a = np.zeros((tile, tile), np.float32)
+                part = plane[ty * tile : (ty + 1) * tile, tx * tile : (tx + 1) * tile]
+                a[: part.shape[0], : part.shape[1]] = part
+                rows.append((band, ty, tx, a.tobytes()))
+    return spark.createDataFrame(rows, "band int, ty int, tx int, data binary")
+
+
+def test_colours_of_luminance_and_differences():
+    rgb = np.array([[[255, 0, 0], [0, 255, 0], [0, 0, 255], [200, 100, 50]]], float)
+    m = np.array([[0.299, 0.587, 0.114], [-0.168736, -0.331264, 0.5], [0.5, -0.418688, -0.081312]])
+    ycc = rgb @ m.T + [0, 128, 128]
+    assert np.abs(jpeg.from_ycc(np.clip(np.rint(ycc), 0, 255)) - rgb).max() <= 2
