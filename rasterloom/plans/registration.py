@@ -27,6 +27,8 @@ from rasterloom.sources import geotiff, paths, sinks
 log = logging.getLogger("rasterloom")
 #: The plan that is used where none is given.
 DEFAULT_PLAN = ((1.0, "affine"),)
+#: Instead of a transform type: try all, and take the one after which the next scale matches best.
+AUTO = "auto"
 Matcher = Callable[[DataFrame, DataFrame, float], DataFrame]
 
 
@@ -90,7 +92,7 @@ def default_plan(scales: Sequence[float]) -> list[tuple[float, str]]:
 def checked_plan(scales: Sequence[float], kinds: Sequence[str]) -> list[tuple[float, str]]:
     if len(scales) != len(kinds):
         raise ValueError("as many algorithms as scales")
-    if bad := set(kinds) - set(fits.LEAST_POINTS):
+    if bad := set(kinds) - {*fits.LEAST_POINTS, AUTO}:
         raise ValueError(f"unknown transform {sorted(bad)[0]!r}")
     return sorted(zip(scales, kinds, strict=True))
 
@@ -255,6 +257,55 @@ def fit_step(matches: DataFrame, kind: str, scale: float) -> list:
     return fits.fit_all(found, [kind], threshold=fits.ransac_threshold(scale)).where("error IS NULL").collect()  # one row
 
 
+#: Types whose fit goes from the target to the source.
+BACKWARD = ("polynomial_2", "polynomial_3", "spline")
+
+
+def candidates(matches: DataFrame, scale: float, next_scale: float | None) -> list:
+    """The fitted rows, valid ones alone, of every type that is tried at a scale, simplest first; each judged on matches it was not fitted to."""
+    found, kinds = robust.remove_gross_outliers(matches), fits.candidate_kinds(next_scale)
+    ends = ("src_x", "src_y", "dst_x", "dst_y")
+    swapped = found.select("pair_id", "match_id", *(F.col(a).alias(b) for a, b in zip(ends, ends[2:] + ends[:2], strict=True)))
+    rows = []
+    for df, own in ((found, [k for k in kinds if k not in BACKWARD]), (swapped, [k for k in kinds if k in BACKWARD])):
+        rows += fits.fit_all(df, own, fits.ransac_threshold(scale), judge=True).where("error IS NULL").collect()  # a row a type
+    return sorted(rows, key=lambda r: list(fits.LEAST_POINTS).index(r["type"]))
+
+
+def simplest_of_best(rows: list, error: dict[str, float]) -> object | None:
+    """Of rows in order, the first whose error is within a twentieth, and a hundredth of a pixel, of the least."""
+    known = [r for r in rows if error.get(r["type"]) is not None]
+    least = min((error[r["type"]] for r in known), default=0.0)
+    return next((r for r in known if error[r["type"]] <= 1.05 * least + 0.01), None)
+
+
+def process_scale_level(matches: DataFrame, scale: float, next_scale: float | None, done: Registration, rematch: Callable[[Step], DataFrame] | None) -> tuple[Step | None, DataFrame | None]:
+    """Try every type at a scale: the step that is best, and a histogram of offsets at the next scale for each type (type, bin, left_edge, n).
+
+    ``rematch`` gives the matches of the next scale after a step. A type is judged by the robust RMSE of their offsets, if it leaves at
+    least half as many matches as any; where there is no next scale, by its error on matches that it was not fitted to.
+    """
+    rows = candidates(matches, scale, next_scale)
+    if next_scale is None or rematch is None:
+        # Types of one direction are compared by chance, those of the two by a quarter of the error.
+        held = {r["type"]: r["held_error"] if r["held_error"] is not None else r["robust_rmse"] for r in rows}
+        least = min(held.values(), default=0.0)
+        best = next((r for r in rows if r["as_good"] is not False and held[r["type"]] <= 1.25 * least + 0.01), None)
+        return _step([best], scale, best["type"], done) if best else None, None
+    offsets = None
+    for r in rows:
+        own = rematch(_step([r], scale, r["type"], done)).select(F.lit(r["type"]).alias("type"), robust.offset_distance().alias("err"))
+        offsets = own if offsets is None else offsets.unionByName(own)
+    if offsets is None:
+        return None, None
+    stats = {r["type"]: r for r in robust.error_summary(offsets, ["type"], "err").join(offsets.groupBy("type").count(), "type").collect()}  # a row a type
+    most = max((r["count"] for r in stats.values()), default=0)
+    best = simplest_of_best(rows, {k: r["robust_rmse"] for k, r in stats.items() if 2 * r["count"] >= most})
+    ends = offsets.groupBy("type").agg(F.min("err").alias("_low"), F.max("err").alias("_high"))
+    report = robust.histogram(offsets.join(ends, "type"), "err", 50, F.col("_low"), F.col("_high"), ["type"])
+    return _step([best], scale, best["type"], done) if best else None, report
+
+
 def lattices(source: Raster, target: Raster, scales: Sequence[float]) -> dict[float, Mapping]:
     """The lattice of each scale; rasters that have none are an error."""
     spark = source.tiles.sparkSession
@@ -277,18 +328,39 @@ def register_rasters(source: Raster, target: Raster, tile: int, plan: Sequence[t
     match, done, matches = match or ncc_matcher(), Registration(), {}
     shared = lattices(source, target, [s for s, _ in plan])
     gray = keep(in_gray(source, tile), "source"), keep(in_gray(target, tile), "target")
-    for scale, kind in plan:
+    small: dict[float, DataFrame] = {}
+
+    def aim(scale: float) -> DataFrame:
         g = shared[scale]
-        h, w, window = g["lattice_height"], g["lattice_width"], (g["x0"], g["y0"], g["x1"], g["y1"])
-        small = keep(grids.resample_tiles(gray[0], tile, grids.Axis(0.0, 1 / scale, source.head["height"], 0, h), grids.Axis(0.0, 1 / scale, source.head["width"], 0, w)), f"source_scale{scale:.3f}")
         y, x = (grids.Axis(g[f"start_{a}"], g[f"step_{a}"], target.head[size], g[f"{a}0"], g[f"{a}1"]) for a, size in (("y", "height"), ("x", "width")))
-        aim = keep(grids.resample_tiles(gray[1], tile, y, x), f"target_overlap_scale{scale:.3f}")
-        if done.steps:
-            to, so_far = lattice_place(scale), Registration(list(done.steps))
-            back = lambda p, to=to, so_far=so_far: fits._project(np.linalg.inv(to), so_far.back(fits._project(to, p)))
-            small = keep(raster.warp_tiles(small, back, tile, h, w, (h, w), (1,)), f"source_scale{scale:.3f}_moved")
-        matches[scale] = keep(match(window_pixels(small, tile, *window), window_pixels(aim, tile, *window), scale), f"matches_scale{scale:.3f}")
-        if step := _step(fit_step(matches[scale], kind, scale), scale, kind, done):
+        return grids.resample_tiles(gray[1], tile, y, x)
+
+    def matched(scale: float, steps: list[Step], name: str) -> DataFrame:
+        """Matches of a scale as the steps map the source."""
+        g = shared[scale]
+        h, w, window = g["lattice_height"], g["lattice_width"], (g["x0"], g["y0"], g["x1"], g["y1"])
+        if scale not in small:
+            axes = (grids.Axis(0.0, 1 / scale, source.head[size], 0, n) for size, n in (("height", h), ("width", w)))
+            small[scale] = keep(grids.resample_tiles(gray[0], tile, *axes), f"source_scale{scale:.3f}")
+            aims[scale] = keep(aim(scale), f"target_overlap_scale{scale:.3f}")
+        moved = small[scale]
+        if steps:
+            to, so_far = lattice_place(scale), Registration(list(steps))
+            back = lambda p: fits._project(np.linalg.inv(to), so_far.back(fits._project(to, p)))
+            moved = keep(raster.warp_tiles(moved, back, tile, h, w, (h, w), (1,)), f"source_scale{scale:.3f}_{name}")
+        return keep(match(window_pixels(moved, tile, *window), window_pixels(aims[scale], tile, *window), scale), f"matches_scale{scale:.3f}_{name}")
+
+    aims: dict[float, DataFrame] = {}
+    for k, (scale, kind) in enumerate(plan):
+        matches[scale] = matched(scale, done.steps, "moved")
+        if kind == AUTO:
+            after = plan[k + 1][0] if k + 1 < len(plan) else None
+            step, report = process_scale_level(matches[scale], scale, after, done, lambda s, after=after: matched(after, [*done.steps, s], f"after_{s.kind}"))
+            if report is not None:
+                keep(report, f"histograms_scale{scale:.3f}")
+        else:
+            step = _step(fit_step(matches[scale], kind, scale), scale, kind, done)
+        if step:
             done.steps.append(step)
     size = source.head["height"], source.head["width"]
     color = eight_bit(source, tile, joint=False)

@@ -302,6 +302,42 @@ def test_two_rasters_of_different_grids_register(spark, tmp_path, capsys):
     assert [s["scale"] for s in again] == [0.15, 0.3, 0.5] and again[1]["matrix"] == steps[1]["matrix"]
 
 
+@pytest.mark.parametrize("kind", ["shift", "affine", "polynomial_2"])
+def test_the_type_that_makes_the_next_scale_match_is_chosen(spark, tmp_path, kind):
+    """A matcher that knows the map: after the right type the next scale's offsets are noise."""
+    flat = {(x, y) for x in range(0, 60, 4) for y in range(0, 60, 4)}
+    rng = np.random.default_rng(3)
+    p = np.array(sorted(flat), float)
+    x, y = p.T
+    d = {"shift": np.c_[x + 4, y - 3], "affine": np.c_[1.05 * x - 0.08 * y + 2, 0.03 * x + 0.93 * y + 3], "polynomial_2": np.c_[x + 2e-3 * x * y, y - 2e-3 * x * x + 3]}[kind]
+    rows = lambda a, b: spark.createDataFrame([(1, i, *map(float, u), *map(float, v)) for i, (u, v) in enumerate(zip(a, b, strict=True))], "pair_id long, match_id long, src_x double, src_y double, dst_x double, dst_y double")
+    asked = []
+
+    def rematch(step):
+        asked.append(step.kind)
+        moved = fits._project(step.matrix, p) if step.matrix is not None else None
+        if moved is None:  # the step looks up the source of each target place
+            found = step.back(d)
+            return rows(d + (p - found) + rng.normal(0, 0.05, p.shape), d)
+        return rows(moved + rng.normal(0, 0.05, p.shape), d)
+
+    step, report = registration.process_scale_level(rows(p + rng.normal(0, 0.05, p.shape), d), 1.0, 1.0, registration.Registration(), rematch)
+    assert step.kind == kind and "spline" not in asked and len(asked) >= 5
+    assert {r.type for r in report.select("type").distinct().collect()} == set(asked) and report.groupBy("type").agg(F.sum("n").alias("n")).where(f"n <> {len(p)}").count() == 0
+    alone, none = registration.process_scale_level(rows(p + rng.normal(0, 0.05, p.shape), d), 1.0, None, registration.Registration(), None)
+    assert alone.kind[:10] == kind[:10] and none is None  # the inverse of a square is no square
+
+
+def test_registration_tries_all_types(spark, tmp_path):
+    y, x = np.mgrid[0:96, 0:96].astype(float)
+    at = picture(12, 110, 7)
+    pixels = lambda a: spark.createDataFrame([(1, r, c, int(a[r, c])) for r in range(96) for c in range(96)], SCHEMA)
+    tiles = [raster.to_tiles(pixels(a), 96) for a in (at(x, y), at(x + 3, y - 2))]
+    done, _ = registration.register_tiles(*tiles, 96, 96, 96, [(0.5, "auto"), (1.0, "auto")], registration.ncc_matcher(16, 12, 6, 0.6), registration.kept_in(str(tmp_path)))
+    assert len(done.steps) == 2 and np.allclose(fits._project(done.matrix, np.array([[48.0, 48.0]])), [[45, 50]], atol=0.6)
+    assert any(f.startswith("histograms") for f in os.listdir(tmp_path))
+
+
 def test_other_inputs_are_refused_or_stretched(spark, tmp_path):
     flat = np.full((3, 20, 20), 9, np.uint8)
     for k, (transform, epsg) in enumerate([((1, 0, 0, 0, -1, 20), 32610), ((1, 0, 500, 0, -1, 20), 32610), ((1, 0, 0, 0, -1, 20), 4326)]):
