@@ -85,7 +85,7 @@ def register(spark: SparkSession, a: argparse.Namespace) -> None:
     pixel_m = spark.range(1).select(geo.pixel_metres(F.lit(epsg), *(F.lit(head[c]) for c in ("a", "top", "bottom")))).first()[0]
     manifest = [r.asDict() for r in geotiff.write_tiles(tiles.withColumnRenamed("raster_id", "band"), f"{run['run']}/registered", transform, epsg, head["height"], head["width"], a.tile, quality=o["quality"]).collect()]  # a row per file
     for scale, found in matches.items():
-        sinks.matches_json(found.withColumn("scale", F.lit(scale)), pixel_m / scale, ("pair_id", "scale")).select("json").write.mode("overwrite").text(f"{run['run']}/matches_scale{scale:.3f}")
+        sinks.matches_json(found.withColumn("scale", F.lit(scale)), pixel_m / scale, ("pair_id", "scale"), statistics=True).select("json").write.mode("overwrite").text(f"{run['run']}/matches_scale{scale:.3f}")
     steps = [sinks.transform_record(s.row, s.scale, pixel_m) for s in done.steps]
     texts = {f"transform_scale{s['scale']:.3f}.json": json.dumps(s, indent=2) for s in steps} | {
         "steps.json": json.dumps(steps, indent=2), "registered/registered.vrt": geotiff.vrt(manifest, transform, epsg, head["height"], head["width"]),

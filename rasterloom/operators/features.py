@@ -90,6 +90,30 @@ def keypoints(tiles: DataFrame, tile: int, variant: str = "raw", most: int = 200
     return tiles.mapInPandas(run, KEYPOINTS)
 
 
+def prepared(tiles: DataFrame, tile: int, variant: str) -> DataFrame:
+    """Tiles as a variant has them."""
+    prepare = VARIANTS[variant]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(data=[np.asarray(prepare(np.frombuffer(d, np.float32).reshape(tile, tile)), np.float32).tobytes() for d in frame["data"]])
+
+    return tiles.select("raster_id", "ty", "tx", "data").mapInPandas(run, "raster_id long, ty int, tx int, data binary")
+
+
+def renumbered(matches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Matches whose ends are places as keypoints: (pair_id, kp_id, x, y) of each side, a place once, and (pair_id, match_id, query_id, train_id).
+
+    Ids are hashes of the place, so that no task numbers all of them.
+    """
+    sides = []
+    for side, name in (("src", "query_id"), ("dst", "train_id")):
+        place = [F.col(f"{side}_x"), F.col(f"{side}_y")]
+        matches = matches.withColumn(name, F.xxhash64(*place))
+        sides.append(matches.groupBy("pair_id", F.col(name).alias("kp_id")).agg(F.first(place[0]).alias("x"), F.first(place[1]).alias("y")))
+    return sides[0], sides[1], matches.select("pair_id", "match_id", "query_id", "train_id")
+
+
 def match_tiles(source: DataFrame, target: DataFrame, ratio: float = 0.75, tile: int | None = None, overlap: int = 0) -> DataFrame:
     """Nearest descriptors that pass the ratio test, tile by tile; coordinates are those of the whole raster.
 

@@ -334,12 +334,14 @@ def overlap_pixel_windows(spark, d):
 
 
 @query("SC37 SC38 OR7", """SELECT x.raster_id AS id, round(greatest(0, least(x."right", y."right") - greatest(x."left", y."left")) * greatest(0, least(x.top, y.top) - greatest(x.bottom, y.bottom)) / ((x."right" - x."left") * (x.top - x.bottom)), 6) AS overlap,
-  CASE WHEN least(x."right", y."right") > greatest(x."left", y."left") AND least(x.top, y.top) > greatest(x.bottom, y.bottom) THEN NULL ELSE round(sqrt(power((x."left" + x."right" - y."left" - y."right") / 2, 2) + power((x.bottom + x.top - y.bottom - y.top) / 2, 2)), 6) END AS centre_distance
+  CASE WHEN least(x."right", y."right") > greatest(x."left", y."left") AND least(x.top, y.top) > greatest(x.bottom, y.bottom) THEN NULL ELSE round(sqrt(power((x."left" + x."right" - y."left" - y."right") / 2, 2) + power((x.bottom + x.top - y.bottom - y.top) / 2, 2)), 6) END AS centre_distance,
+  CASE WHEN least(x."right", y."right") <= greatest(x."left", y."left") OR least(x.top, y.top) <= greatest(x.bottom, y.bottom) THEN 'no overlap'
+    WHEN (least(x."right", y."right") - greatest(x."left", y."left")) * (least(x.top, y.top) - greatest(x.bottom, y.bottom)) / ((x."right" - x."left") * (x.top - x.bottom)) < 0.1::double THEN 'small overlap' ELSE '' END AS issues
   FROM raster_bounds x JOIN raster_bounds y ON y.raster_id = x.raster_id + 1""")
 def alignment_diagnosis(spark, d):
     r = view(spark, d, "raster_bounds")
     s, t = (r.select(*((F.col("raster_id") - k).alias("id"),), F.struct(*r.columns).alias(name)) for name, k in (("source", 0), ("target", 1)))
-    return registration.diagnose(s.join(t, "id")).select("id", F.round("overlap", 6).alias("overlap"), F.round("centre_distance", 6).alias("centre_distance"))
+    return registration.diagnose(s.join(t, "id")).select("id", F.round("overlap", 6).alias("overlap"), F.round("centre_distance", 6).alias("centre_distance"), F.array_join("issues", ", ").alias("issues"))
 
 
 _WORLD = "SELECT gcp_id, cast(gcp_id * 37 % 360 - 180 AS double) + 0.5 AS wlon, cast(gcp_id * 53 % 160 - 80 AS double) + 0.25 AS wlat FROM gcp"

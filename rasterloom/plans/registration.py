@@ -391,6 +391,34 @@ def apply_transform(tiles: DataFrame, row: dict, scale: float, tile: int, height
     return raster.warp_tiles(tiles, look_up(row, scale), tile, height, width)
 
 
+def matrix_at(record: Mapping, pixel_m: float) -> list[float] | None:
+    """A transform file's matrix for pixels of ``pixel_m`` metres, of whatever scale and raster: from its metres, or else from its own pixels."""
+    m = record.get("matrix_meters")
+    if not m and record.get("matrix"):
+        own = record["pixel_resolution_meters"]
+        m = [v * own if k in (2, 5) else v / own if k in (6, 7) else v for k, v in enumerate(record["matrix"])]
+    return None if not m else [v / pixel_m if k in (2, 5) else v * pixel_m if k in (6, 7) else v for k, v in enumerate(m)]
+
+
+def run_methods(source: DataFrame, target: DataFrame, scale: float, methods: Mapping[str, Matcher]) -> DataFrame:
+    """Matches of two pixel tables by each matcher, marked with its name in ``method``; see robust.leaderboard."""
+    found = None
+    for name, match in methods.items():
+        own = match(source, target, scale).withColumn("method", F.lit(name))
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+def compare_patch_variants(source: DataFrame, target: DataFrame, tile: int, match: Matcher | None = None, scale: float = 1.0) -> DataFrame:
+    """Patch matches of two rasters' tiles as they are and as gradients, equalised and as edges, marked in ``method``."""
+    sides = ((name, *(pixels_of(features.prepared(t, tile, name), tile).withColumn("value", F.round("value").cast("int")) for t in (source, target))) for name in features.VARIANTS)
+    found = None
+    for name, a, b in sides:
+        own = (match or ncc_matcher())(a, b, scale).withColumn("method", F.lit(name))
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
 def pixels_of(tiles: DataFrame, tile: int) -> DataFrame:
     """Pixel rows of tiles."""
     import pandas as pd

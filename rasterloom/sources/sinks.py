@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.operators.robust import offset_distance
+from rasterloom.operators.robust import distance_summary, offset_distance
 from rasterloom.sources import paths
 
 
@@ -21,8 +21,9 @@ from rasterloom.sources import paths
 PART = 10_000
 
 
-def matches_json(matches: DataFrame, pixel_m: float, keys: tuple[str, ...] = ("pair_id",), part: int = PART) -> DataFrame:
-    """JSON texts (keys, part, json) of each group: matches in order of match_id, the group's number of them and the mean distances; order of keys as read back.
+def matches_json(matches: DataFrame, pixel_m: float, keys: tuple[str, ...] = ("pair_id",), part: int = PART, statistics: bool = False) -> DataFrame:
+    """JSON texts (keys, part, json) of each group: matches in order of match_id and the group's number of them; order of keys as read back.
+    statistics: also the mean, median, deviation, least and largest distance of the group, in pixels and metres.
 
     A group of more than ``part`` matches is dealt out over several texts of about that size by hash of match_id; readers add them up.
     """
@@ -31,11 +32,17 @@ def matches_json(matches: DataFrame, pixel_m: float, keys: tuple[str, ...] = ("p
         F.col("match_id").alias("match_id"), F.struct(F.col("src_x").alias("x"), F.col("src_y").alias("y")).alias("source"), F.struct(F.col("dst_x").alias("x"), F.col("dst_y").alias("y")).alias("target_original"),
         F.struct(d.alias("pixels"), F.round(d * pixel_m, 6).alias("meters")).alias("distance"),
     )
-    counts = matches.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.count(F.lit(1)).alias("_total"))
+    stats = [f"{s}_{u}" for u in ("px", "m") for s in ("mean", "median", "stddev", "min", "max")]
+    named = [F.col(k).alias(f"_{k}") for k in keys]
+    if statistics:
+        counts = distance_summary(matches, keys, pixel_m).select(*named, F.col("n").alias("_total"), F.struct(*stats).alias("_statistics"))
+    else:
+        counts = matches.groupBy(*named).agg(F.count(F.lit(1)).alias("_total"))
     same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
     parts = F.ceil(F.col("_total") / part)
     rows = matches.join(counts, same).withColumn("part", F.pmod(F.xxhash64("match_id"), parts).cast("int"))
-    body = F.to_json(F.struct(F.first("_total").alias("num_matches"), F.sort_array(F.collect_list(one)).alias("matches")))
+    whole = [F.first("_statistics").alias("statistics")] if statistics else []
+    body = F.to_json(F.struct(F.first("_total").alias("num_matches"), *whole, F.sort_array(F.collect_list(one)).alias("matches")))
     return rows.groupBy(*keys, "part").agg(body.alias("json"))
 
 

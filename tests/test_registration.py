@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rasterloom import __main__ as cli
 from rasterloom.functions import projection
-from rasterloom.operators import features, fits, matching, raster, scalespace
+from rasterloom.operators import features, fits, matching, raster, robust, scalespace
 from rasterloom.plans import registration
 from rasterloom.sources import files, geotiff, sinks
 from rasterloom.streaming import events
@@ -384,3 +384,28 @@ def test_command_line(spark, tmp_path, capsys):
     assert [(r["step"], r["n"]) for r in lines] == [(0, 2), (1, 2)] and lines[0]["mean_error"] == 0 and abs(lines[1]["mean_error"] - 0.001 * 13**0.5) < 3e-4
     cli.main(["headers", f"{tmp_path}/*.tif"])
     assert len(capsys.readouterr().out.strip().splitlines()) == 2
+
+
+def test_methods_and_variants_are_compared(spark):
+    y, x = np.mgrid[0:96, 0:96].astype(float)
+    at = picture(5, 120, 6)
+    pixels = lambda a: spark.createDataFrame([(1, r, c, int(a[r, c])) for r in range(96) for c in range(96)], SCHEMA)
+    source, target = pixels(at(x, y)), pixels(at(x + 4, y - 2))
+    both = registration.run_methods(source, target, 1.0, {"patch_ncc": registration.ncc_matcher(16, 12, 8), "corners": registration.corner_matcher(96)})
+    board = {r.method: r for r in robust.leaderboard(both).collect()}
+    assert set(board) == {"patch_ncc", "corners"} and sum(r.is_best for r in board.values()) == 1
+    found = registration.compare_patch_variants(raster.to_tiles(source, 96), raster.to_tiles(target, 96), 96, registration.ncc_matcher(16, 12, 8)).collect()
+    for name in features.VARIANTS:
+        own = [m for m in found if m.method == name]
+        assert len(own) > 10 and np.mean([abs(m.dst_x - m.src_x + 4) < 1.5 and abs(m.dst_y - m.src_y - 2) < 1.5 for m in own]) > 0.8, name
+    a, b, links = features.renumbered(both)
+    assert a.count() == both.select("src_x", "src_y").distinct().count() and links.count() == both.count() and set(b.columns) == {"pair_id", "kp_id", "x", "y"}
+
+
+def test_a_transform_file_serves_pixels_of_any_size():
+    record = sinks.transform_record({"type": "homography", "matrix": [1.1, 0.2, 30.0, -0.1, 0.9, 6.0, 1e-4, 2e-4, 1.0], "median_error": 2.0}, 0.5, 0.1)
+    assert record["pixel_resolution_meters"] == 0.2 and record["median_error_meters"] == 0.4 and record["matrix_meters"][2] == 6.0
+    m = np.array(registration.matrix_at(record, 0.05)).reshape(3, 3)
+    p = np.array([[10.0, 20.0]])
+    assert np.allclose(fits._project(m, p * 4), fits._project(np.array(record["matrix"]).reshape(3, 3), p) * 4)
+    assert np.allclose(registration.matrix_at({k: v for k, v in record.items() if k != "matrix_meters"}, 0.05), m.ravel()) and registration.matrix_at({}, 1.0) is None
