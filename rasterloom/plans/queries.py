@@ -548,7 +548,7 @@ def tile_warp(spark, d):
     return registration.pixels_of(warped, 16).withColumn("value", F.round("value", 2))
 
 
-@query("JN6 SET1", """SELECT s.raster_id, s.ty, s.tx, s.n AS source_valid, t.n AS target_valid FROM (SELECT raster_id, cast(floor("row" / 8) AS int) AS ty, cast(floor(col / 8) AS int) AS tx, cast(count(*) FILTER (value > 10) AS bigint) AS n FROM pixel GROUP BY 1, 2, 3 HAVING count(*) FILTER (value > 10) >= 0.1 * count(*)) s
+@query("JN6", """SELECT s.raster_id, s.ty, s.tx, s.n AS source_valid, t.n AS target_valid FROM (SELECT raster_id, cast(floor("row" / 8) AS int) AS ty, cast(floor(col / 8) AS int) AS tx, cast(count(*) FILTER (value > 10) AS bigint) AS n FROM pixel GROUP BY 1, 2, 3 HAVING count(*) FILTER (value > 10) >= 0.1 * count(*)) s
   JOIN (SELECT raster_id, cast(floor("row" / 8) AS int) AS ty, cast(floor(col / 8) AS int) AS tx, cast(count(*) FILTER (value * 3 % 256 > 10) AS bigint) AS n FROM pixel GROUP BY 1, 2, 3 HAVING count(*) FILTER (value * 3 % 256 > 10) >= 0.1 * count(*)) t ON s.raster_id = t.raster_id AND s.ty = t.ty AND s.tx = t.tx""")
 def tile_pairs(spark, d):
     p = view(spark, d, "pixel")
