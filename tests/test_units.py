@@ -292,21 +292,6 @@ def test_many_targets(spark):
         assert r.train_id == int(np.argmin(d)) and r.distance == d.min() and r.next_distance == np.sort(d)[1]
 
 
-def test_corpus_guard(monkeypatch):
-    """Without the corpus modules the other queries stay."""
-    import importlib.util
-    import sys
-
-    import __spark_entry__ as entry
-
-    find = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name == "rasterloom.llm" else find(name, *a))
-    monkeypatch.delitem(sys.modules, "__spark_entry__")
-    import __spark_entry__ as bare
-
-    assert len(bare.queries()) >= 60 and not any(k.startswith("op") or k == "pipeline" for k in bare.queries()) and entry.queries().keys() >= bare.queries().keys()
-
-
 def test_area_and_cubic_resampling_equal_plain_sums(spark):
     rng = np.random.default_rng(6)
     image = rng.integers(0, 255, (45, 37)).astype(np.float32)
