@@ -4,6 +4,7 @@ import json
 import math
 import time
 import zipfile
+from collections import Counter
 from datetime import datetime
 
 import numpy as np
@@ -222,6 +223,22 @@ def test_points_patches_and_disjoint_boxes(spark):
     assert control.overlaps(boxes, far).count() == 0 and control.overlaps(boxes, boxes).first().share_a == 1.0
 
 
+def rasters_of(spark, rows):
+    """(raster_id, left) as rasters of 400 x 200 pixels."""
+    cols = "raster_id long, width long, height long, a double, b double, c double, d double, e double, f double, left double, bottom double, right double, top double"
+    return spark.createDataFrame([(k, 400, 200, 0.001, 0.0, x, 0.0, -0.001, 50.0, x, 49.8, x + 0.4, 50.0) for k, x in rows], cols)
+
+
+def test_rasters_of_one_shape_are_looked_up_once(spark):
+    r = rasters_of(spark, [(k, 10.0) for k in range(2500)] + [(7, 10.0), (None, 10.0), (9000, 10.1), (9001, 30.0)])
+    g = spark.createDataFrame([(1, 10.0505, 49.9995), (2, 10.15, 49.9)], "gcp_id long, lon double, lat double")
+    seen = []
+    got = control.points_in_rasters(g, r, lambda p: seen.append(p.count()) or p.withColumn("twice", F.col("gcp_id") * 2)).collect()
+    assert seen == [3]
+    assert Counter((p.gcp_id, p.raster_id) for p in got) == Counter([(k, x) for k in (1, 2) for x in (*range(2500), 7, None)] + [(2, 9000)])
+    assert all(p.twice == 2 * p.gcp_id for p in got) and {round(p.px, 6) for p in got if p.raster_id == 9000} == {50.0}
+
+
 def test_best_transform_fits_every_match(spark, monkeypatch):
     from rasterloom.plans import queries
 
