@@ -239,7 +239,16 @@ def test_rasters_of_one_shape_are_looked_up_once(spark):
     assert all(p.twice == 2 * p.gcp_id for p in got) and {round(p.px, 6) for p in got if p.raster_id == 9000} == {50.0}
 
 
-@pytest.mark.parametrize("name", ["gcp_patch_bounds", "gcp_in_bounds_of_the_world", "gcp_step_errors"])
+def test_boxes_of_one_shape_meet_once(spark):
+    a = rasters_of(spark, [(k, 10.0) for k in range(1500)] + [(7, 10.0), (None, 10.0), (9000, 30.0)]).withColumnRenamed("raster_id", "id")
+    b = rasters_of(spark, [(k, 10.2) for k in range(1200)] + [(9001, 10.3)]).withColumnRenamed("raster_id", "id")
+    seen = []
+    got = control.overlaps(a, b, control.SHAPE, lambda met: seen.append(met.count()) or control.overlap_pixels(met)).select("a_id", "b_id", "x0", "x1")
+    assert seen == [2] and got.count() == 1502 * 1201 and got.where("a_id = 7").count() == 2 * 1201 and got.where("a_id is null").distinct().count() == 1201
+    assert {(r.x0, r.x1) for r in got.where("b_id = 9001").collect()} == {(300, 400)}
+
+
+@pytest.mark.parametrize("name", ["gcp_patch_bounds", "gcp_in_bounds_of_the_world", "gcp_step_errors", "raster_overlap", "overlap_pixel_windows"])
 def test_values_of_a_shape_are_computed_before_its_rasters_are_listed(spark, name):
     from rasterloom.plans import queries
 
