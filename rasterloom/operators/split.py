@@ -44,6 +44,21 @@ def group_medians(df: DataFrame, keys: Sequence[str], value: Column, keep: Keep,
     return picks.groupBy(*keys).agg(F.avg("_v").alias("median"))
 
 
+def weighted_medians(df: DataFrame, keys: Sequence[str], value: Column, weight: Column, keep: Keep) -> DataFrame:
+    """As group_medians of rows that stand for ``weight`` rows each; weights are whole numbers."""
+    keys, parts = list(keys), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(*keys, value.cast("double").alias("_v"), weight.cast("long").alias("_w")).where("_v is not null")
+    ranged = keep(rows.repartitionByRange(parts, *keys, "_v").withColumn("_p", F.spark_partition_id()), "weighted")
+    group = W.partitionBy(*keys)
+    cut = ranged.groupBy(*keys, "_p").agg(F.sum("_w").alias("_n"))
+    cut = cut.withColumns({"_before": F.sum("_n").over(group.orderBy("_p")) - F.col("_n"), "_total": F.sum("_n").over(group)})
+    cut = cut.withColumns({"_low": F.floor((F.col("_total") - 1) / 2) - F.col("_before"), "_high": F.floor(F.col("_total") / 2) - F.col("_before")})
+    wanted = cut.where("_low >= 0 and _low < _n or _high >= 0 and _high < _n").select(*keys, "_p", "_low", "_high")  # a part or two of a group
+    near = ranged.join(wanted, [*keys, "_p"]).withColumn("_to", F.sum("_w").over(W.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)))
+    picks = near.where("_low >= _to - _w and _low < _to or _high >= _to - _w and _high < _to")
+    return picks.groupBy(*keys).agg(F.avg("_v").alias("median"))
+
+
 def with_split_median(df: DataFrame, keys: Sequence[str], value: Column, name: str, keep: Keep, tie: Column | None = None) -> DataFrame:
     """As robust.with_median for groups of any size."""
     return df.join(group_medians(df, keys, value, keep, tie).withColumnRenamed("median", name), list(keys))

@@ -239,6 +239,20 @@ def test_rasters_of_one_shape_are_looked_up_once(spark):
     assert all(p.twice == 2 * p.gcp_id for p in got) and {round(p.px, 6) for p in got if p.raster_id == 9000} == {50.0}
 
 
+def test_evaluation_of_rows_that_stand_for_several(spark, tmp_path):
+    keep = lambda df, label: (df.write.parquet(str(tmp_path / label)), spark.read.parquet(str(tmp_path / label)))[1]
+    rows = [(k % 3, k, float(k), 1.0, float(k), 2.0, (k * 37 % 101) / 8, 1 + k % 5) for k in range(200)] + [(5, 1, 0.0, 0.0, 0.0, 0.0, 0.5, 1), (5, 2, 0.0, 0.0, 0.0, 0.0, 1.5, 1)]
+    e = spark.createDataFrame(rows, "step int, gcp_id long, px double, py double, new_x double, new_y double, error_m double, rasters long")
+    whole = e.select("step", "error_m", F.explode(F.sequence(F.lit(1).cast("long"), "rasters")))
+    want = {r.step: r for r in control.step_summary(whole).collect()}
+    summary = control.weighted_step_summary(e, "rasters", keep)
+    got = {r.step: r for r in summary.collect()}
+    assert set(got) == set(want) == {0, 1, 2, 5} and got[5].median_error == 1.0
+    assert all(got[k][c] == pytest.approx(want[k][c], rel=1e-12) for k in want for c in want[k].asDict())
+    texts = [json.loads(r.json) for r in control.evaluation_json(summary, e).collect()]
+    assert all(sum(p["rasters"] for p in t["points"]) == t["n"] for t in texts) and sum(len(t["points"]) for t in texts) == len(rows)
+
+
 def test_boxes_of_one_shape_meet_once(spark):
     a = rasters_of(spark, [(k, 10.0) for k in range(1500)] + [(7, 10.0), (None, 10.0), (9000, 30.0)]).withColumnRenamed("raster_id", "id")
     b = rasters_of(spark, [(k, 10.2) for k in range(1200)] + [(9001, 10.3)]).withColumnRenamed("raster_id", "id")
