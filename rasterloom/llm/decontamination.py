@@ -18,8 +18,8 @@ tokens is read in a fourth way, with all slots, which only a whole sentence of a
 A document's windows are not shuffled: only those whose first hash is set in a
 bitmap of the benchmark's, which is of at most 2**BITMAP_BITS bits whatever the
 benchmark, go on to the join. The items that have a window are its class. A document's hit counts for each of
-them, so no item's coverage depends on another's; of a class of more than SHARED items the least stands for
-all, with the class's number, and ``members`` lists them: very many items of one template cost no more than so many.
+them, so no item's coverage depends on another's, however many they are. A class of more than SHARED items has a
+number besides, and ``members`` lists it.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ STRETCH, LITERAL = 8, 4
 SENTENCE_LITERAL = 3
 #: The number of the reading that meets whole sentences.
 SENTENCE = 3
-#: Items of a class that are told one by one.
+#: A class of more items has a number.
 SHARED = 64
 #: The bitmap that documents' windows are tested with has at most 2**BITMAP_BITS bits (16 MB).
 BITMAP_BITS = 27
@@ -289,25 +289,25 @@ _RANK = (1, 2, 0, 1)
 
 
 def _classes(windows: DataFrame) -> DataFrame:
-    """(h, h2, class, items, told): the number of a window's class, how many items it has, and whether they are told one by one."""
-    out = windows.groupBy("h", "h2").agg(F.count_distinct(F.coalesce("item", F.lit(common.NULL_ID))).alias("items"), F.min("item").alias("first"))
-    return out.select("h", "h2", F.xxhash64("h", "h2").alias("class"), "items", "first", (F.col("items") <= SHARED).alias("told"))
+    """(h, h2, class, items): the number of a window's class, null up to SHARED items, and how many items it has."""
+    out = windows.groupBy("h", "h2").agg(F.count_distinct(F.coalesce("item", F.lit(common.NULL_ID))).alias("items"))
+    return out.select("h", "h2", F.when(F.col("items") > SHARED, F.xxhash64("h", "h2")).alias("class"), "items")
 
 
 def members(benchmark: DataFrame, *, key: str = "item_id", text: str = "text") -> DataFrame:
-    """(class, item_id) of the classes of more than SHARED items, of which ``find_leaks`` tells the least alone."""
+    """(class, item_id) of the classes of more than SHARED items."""
     windows = benchmark_windows(benchmark, key=key, text=text)
-    return windows.join(_classes(windows).where("not told"), ["h", "h2"]).select("class", F.col("item").alias("item_id")).distinct()
+    return windows.join(_classes(windows).where("class is not null"), ["h", "h2"]).select("class", F.col("item").alias("item_id")).distinct()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, doc, tkey, item, n, size, item_place, rank, items, class): the windows of documents that are windows of items, once for each item
-    that has the window; of a class of more than SHARED, for the least. rank: 0 is the same word for word. class: null where all items are told."""
+    that has the window. rank: 0 is the same word for word. class: null for up to SHARED items."""
     windows = benchmark_windows(benchmark)
     hits = window_hits(docs, windows, key=key, text=text).select("row", "doc", "tkey", "h", "h2").distinct()
     # A table of its own, so that Spark can split a window that very many documents hold.
-    told = windows.join(_classes(windows), ["h", "h2"]).where(F.col("told") | F.col("item").eqNullSafe(F.col("first")))
-    told = told.select("h", "h2", "item", "n", "size", F.col("place").alias("item_place"), F.element_at(F.array(*map(F.lit, _RANK)), F.col("way") + 1).alias("rank"), "items", F.when(~F.col("told"), F.col("class")).alias("class"))
+    told = windows.join(_classes(windows), ["h", "h2"])
+    told = told.select("h", "h2", "item", "n", "size", F.col("place").alias("item_place"), F.element_at(F.array(*map(F.lit, _RANK)), F.col("way") + 1).alias("rank"), "items", "class")
     return hits.join(common.stored(told, "benchmark-classes"), ["h", "h2"]).drop("h", "h2")
 
 
@@ -315,9 +315,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
     """A row for each document and benchmark item that leaked into it: doc_id, item_id, n_tokens, coverage, changed, n_items, classes.
 
     n_tokens of the item's tokens, its share ``coverage``, are in windows that the document has too; ``changed``
-    says that some have other values. An item's coverage is that of all its windows, whoever else has them. Of a window that more than SHARED
-    items have, the least id stands for all: n_items is the greatest number that one stands for, and ``classes`` has the numbers of such
-    windows, whose items ``members`` lists (empty: there are none).
+    says that some have other values. An item's coverage is that of all its windows, whoever else has them, and each
+    item has its row. n_items is the greatest number of items that share one of the windows, and ``classes`` has the numbers of those that more
+    than SHARED share, whose items ``members`` lists (empty: there are none).
 
     Null and empty texts and items match nothing; items of fewer than LEAST tokens match as they are, case aside; very long texts are read in
     chunks; repeated rows give a row each; an empty table or benchmark gives no rows; null ids stay null; other columns are not used.

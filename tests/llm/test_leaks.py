@@ -192,3 +192,12 @@ def test_bitmap_holds_every_window(spark):
     bits, table_ = decontamination.bitmap(windows)
     h = np.array([r.h for r in windows.select("h").collect()], np.int64).view(np.uint64) >> np.uint64(64 - bits)
     assert ((table_[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & 1).all() and table_.nbytes == 1 << (bits - 3)
+
+
+def test_items_of_a_very_large_class_are_each_told(spark):
+    rng = random.Random(2)
+    word = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    shared = word(20)
+    got = found(spark, [f"before {shared} after"], [(k, f"{shared} {word(k % 4)}") for k in range(150)])
+    assert {k: round(r.coverage, 6) for k, r in got.items()} == {(0, k): round(20 / (20 + k % 4), 6) for k in range(150)}
+    assert {r.n_items for r in got.values()} == {150}
