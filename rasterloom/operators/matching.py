@@ -61,6 +61,11 @@ def two_nearest(source: DataFrame, target: DataFrame, metric: str = "l2", keys:
     is a burden. Ties go to the smaller id; one target alone has no second.
     metric: l2 over float vectors, hamming over arrays of 64-bit words.
     """
+    return _nearest(source, target, metric, keys, False).drop("back")
+
+
+def _nearest(source: DataFrame, target: DataFrame, metric: str, keys: Sequence[str], both: bool) -> DataFrame:
+    """Rows of two_nearest with back false; both: those of each target among the sources too, with back true, from the same blocks."""
     own_keys = list(keys) or ["_all"]
     names = [F.col(k).alias(k) for k in keys] or [F.lit(0).alias("_all")]
     sides = [df.select(*names, F.col("kp_id").cast("long").alias("kp_id"), F.col("descriptor").alias("descriptor")) for df in (source, target)]
@@ -72,16 +77,18 @@ def two_nearest(source: DataFrame, target: DataFrame, metric: str = "l2", keys:
         return rows.drop("_s", "_t").groupBy(*own_keys, "sb", "tb")
 
     def nearest(key: tuple, s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        found = compare_blocks(s, t, metric)
+        found = compare_blocks(s, t, metric).assign(back=False)
+        if both:
+            found = pd.concat([found, compare_blocks(t, s, metric).assign(back=True)])
         for k, v in zip(own_keys, key, strict=False):
             found[k] = v
-        return found[[*own_keys, "query_id", "distance", "train_id"]]
+        return found[[*own_keys, "back", "query_id", "distance", "train_id"]]
 
-    schema = StructType([sides[0].schema[k] for k in own_keys]).add("query_id", "long").add("distance", "double").add("train_id", "long")
+    schema = StructType([sides[0].schema[k] for k in own_keys]).add("back", "boolean").add("query_id", "long").add("distance", "double").add("train_id", "long")
     found = blocks(sides[0], "sb", "_s", "tb", "_t").cogroup(blocks(sides[1], "tb", "_t", "sb", "_s")).applyInPandas(nearest, schema)
-    near = found.groupBy(*own_keys, "query_id").agg(F.sort_array(F.collect_list(F.struct("distance", "train_id"))).alias("n"))  # two of each target block
+    near = found.groupBy(*own_keys, "back", "query_id").agg(F.sort_array(F.collect_list(F.struct("distance", "train_id"))).alias("n"))  # two of each target block
     first = F.get("n", F.lit(0))
-    return near.select(*keys, "query_id", first["train_id"].alias("train_id"), first["distance"].alias("distance"), F.get("n", F.lit(1))["distance"].alias("next_distance"))
+    return near.select(*keys, "back", "query_id", first["train_id"].alias("train_id"), first["distance"].alias("distance"), F.get("n", F.lit(1))["distance"].alias("next_distance"))
 
 
 def ratio_matches(source: DataFrame, target: DataFrame, ratio: float, metric: str = "l2", keys: Sequence[str] = ()) -> DataFrame:
@@ -90,10 +97,11 @@ def ratio_matches(source: DataFrame, target: DataFrame, ratio: float, metric: st
 
 
 def mutual_matches(source: DataFrame, target: DataFrame, metric: str = "l2", keys: Sequence[str] = ()) -> DataFrame:
-    """Pairs that are each other's nearest."""
-    there = two_nearest(source, target, metric, keys).select(*keys, "query_id", "train_id", "distance")
-    back = two_nearest(target, source, metric, keys).select(*keys, F.col("train_id").alias("query_id"), F.col("query_id").alias("train_id"))
-    return there.join(back, [*keys, "query_id", "train_id"])
+    """Pairs that are each other's nearest; two blocks meet once for both ways."""
+    near = _nearest(source, target, metric, keys, True)
+    ends = [F.when(F.col("back"), F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("train_id", "query_id"), ("query_id", "train_id"))]
+    pairs = near.select(*keys, *ends, "distance", "back").groupBy(*keys, "query_id", "train_id")
+    return pairs.agg(F.max(F.when(~F.col("back"), F.col("distance"))).alias("distance"), F.count_distinct("back").alias("_ways")).where("_ways = 2").drop("_ways")
 
 
 def with_keypoints(matches: DataFrame, source: DataFrame, target: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -292,6 +292,17 @@ def test_nearest_among_more_than_one_image(spark):
     assert len(got) == len(a)
 
 
+def test_mutual_neighbours_compare_blocks_once(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 9, (60, 2)).astype(float), rng.integers(0, 9, (50, 2)).astype(float)
+    s, t = (spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "kp_id long, descriptor array<double>") for m in (a, b))
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
+    there, back = d.argmin(1), d.argmin(0)
+    found = matching.mutual_matches(s, t)
+    assert {tuple(r) for r in found.collect()} == {(i, j, d[i, j]) for i, j in enumerate(there) if back[j] == i}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroupsIn") == 1
+
+
 def test_match_json_of_a_large_pair_comes_in_parts(spark):
     grid = [(x, y) for x in range(50) for y in range(20)]
     df = pairs(spark, grid, [(x + 3, y + 4) for x, y in grid])
