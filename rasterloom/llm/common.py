@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 #: Sort key of a null id: before every other id.
 NULL_ID = -(2**63)
 
+#: Rows of an Arrow batch while a table is stored; the JVM and the Python worker hold a batch of whole texts each.
+BATCH_ROWS = 1000
+
 _scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
 
 
@@ -73,12 +76,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to shared scratch and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again.scratch = path
     return again
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile tasks get at most BATCH_ROWS rows at once from Spark; a smaller setting stays, and the caller's is set again at the end."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``stored`` wrote, once nothing will read it again."""
     delete_paths(df.sparkSession, [df.scratch])

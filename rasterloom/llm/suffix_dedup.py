@@ -38,8 +38,8 @@ from rasterloom.llm import common
 SPAN = 200
 GRAM = 32
 WIDTH = SPAN - GRAM + 1
-#: Bytes whose anchors are found at once.
-CHUNK = 1 << 19
+#: Bytes whose anchors are found at once, or up to twice as many; a task holds some 100 bytes for each.
+CHUNK = 1 << 17
 #: Different runs that are sorted together; a larger group is cut by the bytes next to its anchor.
 CAP = 2048
 BASE = np.uint64(0x9E3779B97F4A7C15)

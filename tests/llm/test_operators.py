@@ -626,3 +626,29 @@ def test_labels_may_have_names_of_documents(spark):
     docs = table(spark, ["good words", "zork zork", None]).withColumn("toxic", F.lit(9)).withColumn("label", F.lit(1))
     model = toxicity.train(docs, spark.createDataFrame([(0, 0, "x"), (1, 1, "y")], "doc_id long, toxic int, text string"))
     assert toxicity.score(docs, model).count() == 3 and toxicity.without_toxic(docs, model).columns == docs.columns
+
+
+def test_tables_are_stored_by_small_batches(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    got = [r.n for r in common.stored(spark.range(0, 3500, 1, 1).mapInArrow(sizes, "n long"), "sizes").collect()]
+    assert max(got) <= 1000 and sum(got) == 3500 and spark.conf.get(name) == before
+
+
+def test_anchors_take_little_memory_at_once():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    texts = [rng.integers(32, 127, 5000, np.uint8).tobytes() for _ in range(300)]
+    tracemalloc.start()
+    for data, starts, _ in suffix_dedup._chunks(texts):
+        suffix_dedup.runs_of(data, starts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
