@@ -8,6 +8,7 @@ one task per group, on all of its matches; a group is one image pair at one scal
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -26,6 +27,8 @@ TRANSFORM_SCHEMA = (
 ITERATIONS = 2000
 #: Chance that a robust fit which stops earlier has seen no sample of inliers alone.
 MISS = 1e-9
+#: Hypotheses that are scored before the others of the first step.
+FIRST = 4
 #: One of so many parts of the matches judges a type that is fitted to the others; a type whose mean error there exceeds the least by no
 #: more than so many standard errors of the difference is as good.
 FOLDS, SURE = 5, 2.0
@@ -118,7 +121,7 @@ def solve(kind: str, s: np.ndarray, d: np.ndarray) -> np.ndarray | None:
     rows = np.zeros((2 * len(s), 9))
     rows[0::2, 0:2], rows[0::2, 2], rows[0::2, 6:8], rows[0::2, 8] = x, 1, -u[:, :1] * x, -u[:, 0]
     rows[1::2, 3:5], rows[1::2, 5], rows[1::2, 6:8], rows[1::2, 8] = x, 1, -u[:, 1:] * x, -u[:, 1]
-    _, sv, vt = np.linalg.svd(rows, full_matrices=True)
+    _, sv, vt = np.linalg.svd(rows, full_matrices=len(rows) < 9)  # else the left factor has a row and a column for each equation
     if len(sv) >= 8 and sv[7] < 1e-9 * sv[0]:
         return None
     h = vt[-1].reshape(3, 3)
@@ -175,19 +178,29 @@ def through(kind: str, s: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.concatenate([h, np.ones((len(h), 1))], axis=1).reshape(-1, 3, 3)
 
 
+@functools.lru_cache(maxsize=128)
+def _samples(n: int, need: int, many: int, seed: int) -> np.ndarray:
+    """The samples of a robust fit; they depend on the number of points alone, so groups of one size share them."""
+    picks = distinct_picks(np.random.default_rng(seed), n, need, many)
+    picks.flags.writeable = False
+    return picks
+
+
 def ransac(kind: str, s: np.ndarray, d: np.ndarray, threshold: float, seed: int = 0) -> tuple[np.ndarray | None, np.ndarray]:
     """The matrix with most inliers among seeded hypotheses (the first of equals), refitted on them.
 
     Hypotheses are made and scored some at a time, so that work and memory per step stay about equal for any number of points.
     """
     need, best = LEAST_POINTS[kind], np.zeros(len(s), bool)
-    picks = distinct_picks(np.random.default_rng(seed), len(s), need, ITERATIONS)
+    picks = _samples(len(s), need, ITERATIONS, seed)
     step = int(np.clip(100_000 // len(s), 1, 100))
-    for i in range(0, len(picks), step):
+    # A few come first: where one of them has all points inside, it is the first of the best, whatever follows.
+    begins = [0, *range(FIRST, step, step), *range(step, len(picks), step)]
+    for i, end in zip(begins, [*begins[1:], len(picks)], strict=True):
         # Enough, if so many samples have missed a better set of inliers with a probability below MISS.
-        if i and (1 - best.mean() ** need) ** i < MISS:
+        if i >= step and (1 - best.mean() ** need) ** i < MISS:
             break
-        m = through(kind, s[picks[i : i + step]], d[picks[i : i + step]])
+        m = through(kind, s[picks[i:end]], d[picks[i:end]])
         if not len(m):
             continue
         w = np.where(np.abs(w := m[:, 2, :2] @ s.T + m[:, 2, 2:]) < 1e-6, 1.0, w)

@@ -546,3 +546,30 @@ def test_split_shift_ranks_different_offsets_alone(spark, tmp_path):
     assert one == pytest.approx(two) and max(rows) == 4
     three = split.fit_shift(split.remove_gross_outliers(df, counting), counting).first().asDict()
     assert one == pytest.approx(three) and max(rows) == 4
+
+
+def test_homography_memory_grows_with_matches():
+    import tracemalloc
+
+    s = np.random.default_rng(5).uniform(0, 500, (2000, 2))
+    tracemalloc.start()
+    m = fits.solve("homography", s, s + [3, -2])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.abs(m - [[1, 0, 3], [0, 1, -2], [0, 0, 1]]).max() < 1e-6 and peak < 10e6
+
+
+@pytest.mark.parametrize("kind", ["similarity", "affine", "homography"])
+@pytest.mark.parametrize("wrong", [0, 90, 500])
+def test_a_robust_fit_stops_at_a_sample_that_has_all_points(monkeypatch, kind, wrong):
+    rng = np.random.default_rng(6)
+    s = rng.uniform(0, 500, (600, 2))
+    d = s + [3, -2] + rng.normal(0, 0.2, s.shape)
+    d[:wrong] += rng.uniform(50, 90, (wrong, 2))
+    made, through = [], fits.through
+    monkeypatch.setattr(fits, "through", lambda k, a, b: made.append(len(a)) or through(k, a, b))
+    m, inside = fits.ransac(kind, s, d, 30.0)
+    few = sum(made)
+    monkeypatch.setattr(fits, "FIRST", 100)
+    whole, same = fits.ransac(kind, s, d, 30.0)
+    assert (inside == same).all() and np.allclose(m, whole) and (wrong or few < 100)
