@@ -5,9 +5,7 @@ from __future__ import annotations
 import contextlib
 import contextvars
 import ctypes
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -73,10 +71,13 @@ def delete_paths(spark: SparkSession, paths: list[str]) -> None:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to shared scratch and read it again: cuts lineage, survives lost executors."""
+    """Write ``df`` as Parquet to shared scratch and read it again: cuts lineage, survives lost executors.
+
+    Shuffle files of the write go as soon as it ends, not when the driver next collects its garbage.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    with small_batches(spark):
+    with small_batches(spark), short_lived_shuffles(spark):
         df.write.parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again.scratch = path
@@ -96,19 +97,26 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextlib.contextmanager
+def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile Spark deletes the shuffle files of a query at its end; the caller's setting is restored."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, True)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``stored`` wrote, once nothing will read it again."""
     delete_paths(df.sparkSession, [df.scratch])
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of what nothing refers to any more, rather than at some later collection."""
-    for _ in range(2):  # what Python lets go first, then what that kept alive
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)  # Spark's cleaner works in the background
-
-
 def trim() -> None:
     """Give what a Python worker has freed back to the system; workers live on after a task, beside the next one."""
     pa.default_memory_pool().release_unused()

@@ -326,7 +326,6 @@ def run_contents(rows: DataFrame, seed: int = 0) -> DataFrame:
     wanted = common.stored(wanted, "wanted-runs")
     common.discard(found)
     common.discard(anchors)
-    common.release(found.sparkSession)
     texts = rows.join(wanted, rows["doc"].eqNullSafe(wanted["doc"]) & (rows["tkey"] == wanted["tkey"])).select(rows["doc"], rows["tkey"], rows["text"], wanted["anchors"], wanted["runs"])
     names = ["mh", "hi", "lo", "doc", "tkey", "run", "content"]
 
@@ -404,16 +403,15 @@ def _of_one_depth(pieces: DataFrame) -> DataFrame:
 
 
 def compared_runs(runs: DataFrame, counts: DataFrame) -> DataFrame:
-    """(hi, lo, strings): which strings of runs that occur once are in another run of their anchor; strings of [-1] mark a hash of two different runs. Stored."""
+    """(hi, lo, strings): which strings of runs that occur once are in another run of their anchor; strings of [-1] mark a hash of two different runs."""
     sizes = common.stored(counts.groupBy("mh").agg(F.count(F.lit(1)).alias("members"), F.max("n").alias("most")), "anchor-sizes")
     contents = runs.where("content is not null").select("mh", "hi", "lo", (F.col("run").bitwiseAND(255)).cast("int").alias("anchor"), "content")
-    # An anchor of one run, several times: its copies are compared with one of them.
-    alone = contents.join(sizes.where("members = 1 and most > 1").select("mh"), "mh").groupBy("mh", "hi", "lo").agg(F.min("content").alias("least"), F.max("content").alias("largest"))
-    found = [alone.where("least <> largest").select("hi", "lo", F.array(F.lit(-1)).alias("strings"))]
     whole = contents.select(F.col("mh").alias("g"), "hi", "lo", "anchor", F.lit(0).alias("low"), F.lit(WIDTH - 1).alias("high"), "content")
     once = counts.where("n = 1").select(F.col("mh").alias("g"), "hi", "lo", F.lit(1).alias("anchor"), F.lit(0).alias("low"), F.lit(WIDTH - 1).alias("high"), F.lit(None).cast("binary").alias("content"))
-    found.append(_sorted_groups(whole.unionByName(once).join(sizes.where(f"members > 1 and members <= {CAP}").select(F.col("mh").alias("g")), "g"), marked=True))
-    large = sizes.where(f"members > {CAP}").select(F.col("mh").alias("g"))
+    # Contents are shuffled once: an anchor of one run, several times, comes along, to compare its copies with one of them.
+    found = [_sorted_groups(whole.unionByName(once).join(sizes.where(f"members <= {CAP} and (members > 1 or most > 1)").select(F.col("mh").alias("g")), "g"), marked=True)]
+    # Few, and a table of their own, so that Spark can broadcast them rather than shuffle all contents.
+    large = common.stored(sizes.where(f"members > {CAP}").select(F.col("mh").alias("g")), "large-anchors")
     if not large.isEmpty():
         pieces = common.stored(whole.join(large, "g"), "pieces")
         # Different contents of one hash, before copies go.
@@ -433,7 +431,7 @@ def compared_runs(runs: DataFrame, counts: DataFrame) -> DataFrame:
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return common.stored(out, "repeated-strings")
+    return out
 
 
 def _sorted_groups(pieces: DataFrame, marked: bool) -> DataFrame:
@@ -448,11 +446,15 @@ def _sorted_groups(pieces: DataFrame, marked: bool) -> DataFrame:
 
         def compared() -> pa.RecordBatch:
             columns = [np.array([r[k] for r in held], np.int64) for k in (0, 3, 4, 5)]
-            found = repeated_strings([r[6] for r in held], columns[1], columns[0], columns[2], columns[3])
+            found = repeated_strings([r[6] for r in held], columns[1], columns[0], columns[2], columns[3]) if held else []
             out = [(r[1], r[2], f) for r, f in zip(held, found, strict=True) if f and (r[7] or not marked)] + [(*d, _DIFFERS) for d in differ]
             differ.clear()
             return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int32()))], names=["hi", "lo", "strings"])
 
+        def drop_single() -> None:
+            if held and (len(held) == 1 or held[-2][0] != held[-1][0]):
+                held.pop()  # a group of one run, whose copies have been compared with it
+
         for batch in batches:
             for g, hi, lo, anchor, low, high, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if content is None:
@@ -462,11 +464,14 @@ def _sorted_groups(pieces: DataFrame, marked: bool) -> DataFrame:
                     if held[-1][6] != content:
                         differ.append((hi, lo))
                     continue
-                if len(held) >= CAP and held[-1][0] != g:
-                    yield compared()
-                    held.clear()
+                if held and held[-1][0] != g:
+                    drop_single()
+                    if len(held) >= CAP:
+                        yield compared()
+                        held.clear()
                 held.append((g, hi, lo, anchor, low, high, content, mark == (hi, lo)))
-        if held:
+        drop_single()
+        if held or differ:
             yield compared()
             held.clear()
         _powers.cache_clear()
@@ -476,23 +481,28 @@ def _sorted_groups(pieces: DataFrame, marked: bool) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, tkey, spans): byte ranges of each text, as [start, end] pairs that may overlap, that repeated strings cover."""
+    """(doc, tkey, spans): byte ranges of each text, as [start, end] pairs that may overlap, that repeated strings cover. Stored; nothing else is left."""
     spark, seed = docs.sparkSession, 0
-    while True:
-        runs = run_contents(_rows(docs, key, text), seed)
-        common.release(spark)
-        counts = common.stored(runs.groupBy("mh", "hi", "lo").agg(F.count(F.lit(1)).alias("n")), "run-counts")
-        found = compared_runs(runs, counts)
-        common.release(spark)
-        if found.where(F.get("strings", F.lit(0)) < 0).isEmpty():
-            break
-        seed += 1  # two different runs had one hash
+    with common.scratch_scope([]) as done:
+        while True:
+            runs = run_contents(_rows(docs, key, text), seed)
+            counts = common.stored(runs.groupBy("mh", "hi", "lo").agg(F.count(F.lit(1)).alias("n")), "run-counts")
+            with common.scratch_scope([]) as compared:
+                found = compared_runs(runs, counts)
+            found = common.stored(found, "repeated-strings")
+            common.delete_paths(spark, compared)
+            if found.where(F.get("strings", F.lit(0)) < 0).isEmpty():
+                break
+            common.delete_paths(spark, done)
+            seed += 1  # two different runs had one hash
     whole = counts.where("n > 1").select("hi", "lo", F.array(F.lit(0), F.lit(1 << 20)).alias("strings"))
     covered = whole.unionByName(found)
     hits = runs.select("hi", "lo", "doc", "tkey", "run").join(covered, ["hi", "lo"])
     offset, strings = F.shiftright("run", 16), F.shiftright("run", 8).bitwiseAND(255).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), (F.size("strings") / 2).cast("int") - 1), lambda i: F.array(offset + F.element_at("strings", 2 * i + 1), offset + F.least(F.element_at("strings", 2 * i + 2), strings) + (SPAN - 1)))
-    return hits.select("doc", "tkey", pairs.alias("spans")).groupBy("doc", "tkey").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    spans = common.stored(hits.select("doc", "tkey", pairs.alias("spans")).groupBy("doc", "tkey").agg(F.flatten(F.collect_set("spans")).alias("spans")), "spans")
+    common.delete_paths(spark, done)
+    return spans
 
 
 def merged(spans: list[list[int]] | None) -> list[tuple[int, int]]:

@@ -652,3 +652,68 @@ def test_anchors_take_little_memory_at_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 40e6
+
+
+def shuffle_files(spark):
+    """Size of each shuffle file on disk, by name."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [files.apply(i) for i in range(files.size())]
+    return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+
+def test_repeats_leave_no_shuffles_and_only_spans(spark, monkeypatch):
+    import time
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    stored, before, left = common.stored, set(shuffle_files(spark)), []
+
+    def watched(df, label):
+        got, end = stored(df, label), time.time() + 3
+        while set(shuffle_files(spark)) - before and time.time() < end:
+            time.sleep(0.1)
+        left.append(set(shuffle_files(spark)) - before)
+        return got
+
+    monkeypatch.setattr(common, "stored", watched)
+    monkeypatch.setattr(suffix_dedup, "CAP", 8)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = spark.conf.get(name)
+    with common.scratch_scope([]) as paths:
+        suffix_dedup.digest_repeats(table(spark, repeats_corpus()))
+    assert len(left) > 6 and not any(left) and spark.conf.get(name) == held
+    assert [Path(p).name.split("-")[0] for p in paths if Path(urlparse(p).path).exists()] == ["spans"]
+
+
+def test_contents_are_shuffled_once(spark, monkeypatch):
+    import contextlib
+
+    monkeypatch.setattr(common, "short_lived_shuffles", lambda spark: contextlib.nullcontext(), raising=False)
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(48, 123, 4000, np.uint8).tobytes().decode() for _ in range(60)]
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, -1)
+    try:
+        docs = table(spark, texts * 2)
+        runs = suffix_dedup.run_contents(suffix_dedup._rows(docs, "doc_id", "text"))
+        counts = common.stored(runs.groupBy("mh", "hi", "lo").agg(F.count(F.lit(1)).alias("n")), "run-counts")
+        written = []
+        for job in (lambda: runs.where("content is not null").repartition(4, "mh").write.format("noop").mode("overwrite").save(), lambda: common.stored(suffix_dedup.compared_runs(runs, counts), "found")):
+            old = set(shuffle_files(spark))
+            job()
+            written.append(sum(n for f, n in shuffle_files(spark).items() if f not in old))
+    finally:
+        spark.conf.set(name, before)
+    assert 0 < written[0] and written[1] < 1.6 * written[0]
+
+
+def test_copies_of_an_anchor_of_one_run_are_compared(spark):
+    """Rows of one run whose bytes differ mark its hash, beside a group of two runs."""
+    def piece(g, hi, content):
+        return g, hi, 0, 5, 0, suffix_dedup.WIDTH - 1, content
+
+    a, b = bytes(range(210)), bytes(range(1, 211))
+    rows = [piece(1, 1, a), piece(1, 1, a), piece(1, 1, b), piece(2, 2, a), piece(2, 2, a), piece(3, 3, a), piece(3, 4, a), piece(3, 3, None), piece(4, 5, b)]
+    got = suffix_dedup._sorted_groups(spark.createDataFrame(rows, suffix_dedup._PIECE), marked=True).collect()
+    assert sorted((r.hi, r.strings) for r in got) == [(1, [-1]), (3, [0, 6])]
