@@ -21,6 +21,9 @@ NULL_ID = -(2**63)
 #: Rows of an Arrow batch while a table is stored; the JVM and the Python worker hold a batch of whole texts each.
 BATCH_ROWS = 1000
 
+#: Rows that a task decodes at once where whole texts are read and nothing else is done with them in the JVM.
+READ_ROWS = 256
+
 _scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
 
 
@@ -97,6 +100,19 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextlib.contextmanager
+def small_reads(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile tasks read at most READ_ROWS rows of a Parquet file at once; a smaller setting stays, and the caller's is set again at the end."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    if int(before) > READ_ROWS:
+        spark.conf.set(name, READ_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextlib.contextmanager
 def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
     """Meanwhile Spark deletes the shuffle files of a query at its end; the caller's setting is restored."""

@@ -115,7 +115,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text:
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "place"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return common.stored(rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"), "pieces")
+    with common.small_reads(docs.sparkSession):
+        return common.stored(rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"), "pieces")
 
 
 def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:

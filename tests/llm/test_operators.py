@@ -178,6 +178,28 @@ def test_packing(spark, corpus, none):
     assert packing.pack_documents(none, default_tokenizer()).count() == 0
 
 
+@pytest.mark.parametrize("setting", [4096, 100])
+def test_texts_to_pack_are_read_by_few_rows(spark, corpus, tmp_path, monkeypatch, setting):
+    docs, rows = corpus
+    docs.write.parquet(f"{tmp_path}/docs")
+    name, seen, stored = "spark.sql.parquet.columnarReaderBatchSize", [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, label: seen.append(int(spark.conf.get(name))) or stored(df, label))
+    before = spark.conf.get(name)
+    spark.conf.set(name, setting)
+    try:
+        got = packing.pack_documents(spark.read.parquet(f"{tmp_path}/docs"), default_tokenizer())
+        assert seen == [min(setting, common.READ_ROWS)] and int(spark.conf.get(name)) == setting
+    finally:
+        spark.conf.set(name, before)
+    ids = Counter()
+    for r in got.collect():
+        ids[r.doc_id] += r.length
+    expected = Counter()
+    for i, t in rows:
+        expected[i] += len(expected_ids(t, 2))
+    assert ids == expected
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(spark, rule):
     text = "one two\n\nthree  \n four é\nfive"
