@@ -98,8 +98,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text:
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                rows = batch.slice(i, 500)
+            for i in range(0, batch.num_rows, 250):
+                rows = batch.slice(i, 250)
                 texts = [t or "" for t in rows.column(1).to_pylist()]
                 out: list[tuple] = []
                 for k, ids in zip(rows.column(0).to_pylist(), encoder(tokenizer, kept).encode_many(texts), strict=True):
@@ -111,6 +111,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text:
                         out.append((k, p, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), part, seen[b - a]))
                         seen[b - a] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+        common.trim()
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "place"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
