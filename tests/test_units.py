@@ -262,6 +262,25 @@ def test_boxes_of_one_shape_meet_once(spark):
     assert {(r.x0, r.x1) for r in got.where("b_id = 9001").collect()} == {(300, 400)}
 
 
+@pytest.fixture
+def unbroadcast(spark):
+    """As with tables that are too large to be broadcast."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield spark
+    spark.conf.set(key, old)
+
+
+def test_points_of_one_shape_are_dealt_to_several_tasks(unbroadcast):
+    g = unbroadcast.createDataFrame([(k, 10.001 + k / 2000, 49.9) for k in range(400)], "gcp_id long, lon double, lat double")
+    for ids in ([1], [1, 2, 2]):
+        got = control.points_in_rasters(g, rasters_of(unbroadcast, [(k, 10.0) for k in ids])).select("gcp_id", "raster_id", F.spark_partition_id().alias("task")).collect()
+        assert Counter((p.gcp_id, p.raster_id) for p in got) == Counter((k, x) for k in range(400) for x in ids)
+        tasks = Counter(p.task for p in got)
+        assert len(tasks) >= 4 and max(tasks.values()) < len(got) / 2
+
+
 @pytest.mark.parametrize("name", ["gcp_patch_bounds", "gcp_in_bounds_of_the_world", "gcp_step_errors", "raster_overlap", "overlap_pixel_windows"])
 def test_values_of_a_shape_are_computed_before_its_rasters_are_listed(spark, name):
     from rasterloom.plans import queries
