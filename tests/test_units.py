@@ -281,7 +281,7 @@ def test_points_of_one_shape_are_dealt_to_several_tasks(unbroadcast):
         assert len(tasks) >= 4 and max(tasks.values()) < len(got) / 2
 
 
-@pytest.mark.parametrize("name", ["gcp_patch_bounds", "gcp_in_bounds", "gcp_step_errors"])
+@pytest.mark.parametrize("name", ["gcp_patch_bounds", "gcp_in_bounds", "gcp_in_bounds_of_the_world", "gcp_step_errors"])
 def test_only_the_columns_asked_for_are_listed(spark, name):
     from rasterloom.plans import queries
 
