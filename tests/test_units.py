@@ -281,6 +281,17 @@ def test_points_of_one_shape_are_dealt_to_several_tasks(unbroadcast):
         assert len(tasks) >= 4 and max(tasks.values()) < len(got) / 2
 
 
+def test_boxes_of_one_shape_are_dealt_to_several_tasks_and_listed_on_one_side_at_a_time(unbroadcast):
+    a, b = (rasters_of(unbroadcast, [(k, x) for k in range(60)]).withColumnRenamed("raster_id", "id") for x in (10.0, 10.2))
+    met = control.overlaps(a, b, control.SHAPE, control.overlap_pixels).select("a_id", "b_id", "x0")
+    got = met.withColumn("task", F.spark_partition_id()).collect()
+    assert Counter((p.a_id, p.b_id) for p in got) == Counter((k, x) for k in range(60) for x in range(60)) and len({p.x0 for p in got}) == 1
+    tasks = Counter(p.task for p in got)
+    assert len(tasks) >= 4 and max(tasks.values()) < len(got) / 2
+    _, between, *_ = met._jdf.queryExecution().optimizedPlan().toString().split("Generate inline")
+    assert "Join" in between
+
+
 @pytest.mark.parametrize("name", ["gcp_patch_bounds", "gcp_in_bounds", "gcp_in_bounds_of_the_world", "gcp_step_errors"])
 def test_only_the_columns_asked_for_are_listed(spark, name):
     from rasterloom.plans import queries
